@@ -1,0 +1 @@
+"""Web-corpus and store analytics as Spark DataFrame jobs."""

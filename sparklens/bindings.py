@@ -1,0 +1,22 @@
+"""The given tables in the shapes that the jobs take."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and parts that trade, linked in both directions."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p")
+    ).distinct()
+    both = lines.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(
+        lines.select(F.col("p").alias("src"), F.col("s").alias("dst"))
+    )
+    edges = both.select(F.lit("trade").alias("dataset"), "src", "dst")
+    nodes = edges.select("dataset", F.col("src").alias("url")).distinct()
+    return nodes, edges

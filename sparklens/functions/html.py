@@ -1,0 +1,122 @@
+"""Paragraph text, titles and link values of captured HTML as column expressions.
+
+All steps are whole-string regular expressions, so they stay inside generated
+code. Two Unicode noncharacters mark where paragraphs open and close.
+"""
+
+from __future__ import annotations
+
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, functions as F
+
+from sparklens.functions.text import WHITE, trim_white
+
+_OPEN, _SHUT, _END_TAG = "\ufdd0", "\ufdd1", "\ufdd2"
+
+# Elements whose start or end tag closes an open paragraph.
+PARAGRAPH_CLOSERS = (
+    "address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|"
+    "form|h[1-6]|header|hgroup|hr|html|li|listing|main|menu|nav|ol|plaintext|pre|search|section|summary|table|tbody|"
+    "td|tfoot|th|thead|tr|ul|xmp"
+)
+_INVISIBLE = (
+    r"(?is)<!--.*?(?:-->|$)|<script(?:\s[^>]*)?>.*?(?:</script\s*>|$)|<style(?:\s[^>]*)?>.*?(?:</style\s*>|$)"
+)
+_ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
+
+
+def strip_invisible(html: Column) -> Column:
+    """Remove comments, scripts and style sheets with their content."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), _INVISIBLE, "")
+
+
+def decode_entities(text: Column) -> Column:
+    """Replace named (HTML 4) and numeric character references in one pass."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def one(piece: Column) -> Column:
+        body = F.regexp_extract(piece, r"^&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(piece, F.length(body) + F.lit(3), F.length(piece))
+        code = F.when(
+            body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("int")
+        ).when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body)).cast("int"))
+        # UTF-32 bytes of the code point; 0 and values beyond Unicode read as U+FFFD
+        safe = F.when(
+            code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code
+        ).otherwise(F.lit(0xFFFD))
+        numeric = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+        char = (
+            F.when(body == "amp", F.lit("&"))
+            .when(body == "lt", F.lit("<"))
+            .when(body == "gt", F.lit(">"))
+            .when(body == "quot", F.lit('"'))
+            .when(body == "apos", F.lit("'"))
+            .when(body.startswith("#"), numeric)
+            .otherwise(F.try_element_at(names, body))
+        )
+        return F.when((body == "") | char.isNull(), piece).otherwise(F.concat(char, rest))
+
+    pieces = F.split(text, "(?=&)", -1)
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def _marked(html: Column) -> Column:
+    """Text of the page with paragraph marks, everything outside paragraphs removed."""
+    s = F.regexp_replace(strip_invisible(html), f"[{_OPEN}{_SHUT}{_END_TAG}]", "")
+    s = F.regexp_replace(s, r"(?is)<title(?:\s[^>]*)?>.*?</title\s*>", "")
+    s = F.regexp_replace(s, r"(?i)<p(?:[\s/][^>]*)?>", _OPEN)
+    s = F.regexp_replace(s, r"(?i)</p(?:[\s/][^>]*)?>", _END_TAG)
+    s = F.regexp_replace(s, rf"(?i)</?(?:{PARAGRAPH_CLOSERS})(?:[\s/][^>]*)?>", _SHUT)
+    s = F.regexp_replace(s, _ANY_TAG, "")
+    # an end tag that closes an open paragraph, then those that close none (an empty paragraph each)
+    s = F.regexp_replace(s, f"({_OPEN}[^{_OPEN}{_SHUT}{_END_TAG}]*){_END_TAG}", f"$1{_SHUT}")
+    s = F.regexp_replace(s, _END_TAG, f"{_OPEN}{_SHUT}")
+    s = F.regexp_replace(s, f"{_SHUT}[^{_OPEN}]*", "")
+    return F.regexp_replace(s, f"^[^{_OPEN}]+", "")
+
+
+def paragraph_text(html: Column) -> Column:
+    """Trimmed text of every paragraph, empty ones dropped, joined by one space."""
+    s = decode_entities(_marked(html))
+    edge = WHITE[:-1] + _OPEN + "]"
+    s = F.regexp_replace(s, f"{edge}*{_OPEN}{edge}*", _OPEN)
+    s = F.regexp_replace(s, f"^{edge}+|{edge}+$", "")
+    return F.replace(s, F.lit(_OPEN), F.lit(" "))
+
+
+def paragraph_text_keep_empty(html: Column) -> Column:
+    """As ``paragraph_text`` but empty paragraphs keep their joining space."""
+    s = decode_entities(_marked(html))
+    s = F.regexp_replace(s, f"{WHITE}*{_OPEN}{WHITE}*", _OPEN)
+    s = F.regexp_replace(s, f"^{_OPEN}|{WHITE}+$", "")
+    return F.replace(s, F.lit(_OPEN), F.lit(" "))
+
+
+def _first_element(html: Column, tag: str) -> Column:
+    inner = F.regexp_extract(strip_invisible(html), rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|$)", 1)
+    plain = inner if tag == "title" else F.regexp_replace(inner, _ANY_TAG, "")
+    return trim_white(decode_entities(plain))
+
+
+def page_title(html: Column) -> Column:
+    """First ``title``, else first ``h1``, else ``Untitled``."""
+    return F.coalesce(
+        F.nullif(_first_element(html, "title"), F.lit("")),
+        F.nullif(_first_element(html, "h1"), F.lit("")),
+        F.lit("Untitled"),
+    )
+
+
+def link_values(html: Column) -> Column:
+    """The ``href`` of every ``a`` element in document order, entities decoded."""
+    anchors = F.regexp_extract_all(
+        strip_invisible(html), F.lit(r"""(?i)(<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)"""), F.lit(1)
+    )
+    value = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+    def href(tag: Column) -> Column:
+        return F.concat(*[F.regexp_extract(tag, value, group) for group in (1, 2, 3)])
+
+    with_href = F.filter(anchors, lambda tag: tag.rlike(r"(?i)\shref(?:\s*=|[\s/>])"))
+    return F.transform(with_href, lambda tag: decode_entities(href(tag)))

@@ -1,0 +1,140 @@
+"""URL resolution, directories and encoding as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+from sparklens.functions.text import trim_white
+
+# Link schemes that lead to no page.
+UNUSABLE_SCHEMES = ("mailto:", "javascript:", "tel:")
+
+_REFERENCE_JUNK = r"[\t\n\r]"
+_CONTROL_EDGE = r"^[\x00-\x20]+|[\x00-\x20]+$"
+# characters that a serialized path or query carries percent-encoded
+_PATH_UNSAFE = r"""[^\x21\x24-\x3b\x3d\x40-\x5f\x61-\x7a\x7c\x7e]"""
+_QUERY_UNSAFE = r"""[^\x21\x24-\x26\x28-\x3b\x3d\x3f-\x7e]"""
+
+
+def usable_href(href: Column) -> Column:
+    """False for empty links and for the schemes above (compared case-sensitively)."""
+    h = trim_white(href)
+    bad = F.lit(False)
+    for scheme in UNUSABLE_SCHEMES:
+        bad = bad | h.startswith(scheme)
+    return F.coalesce((h != "") & ~bad, F.lit(False))
+
+
+def _percent_encode(text: Column, unsafe: str) -> Column:
+    def one(char: Column) -> Column:
+        return F.when(
+            char.rlike(unsafe), F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1")
+        ).otherwise(char)
+
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    return F.when(text.rlike(unsafe), F.array_join(F.transform(chars, one), "")).otherwise(text)
+
+
+def _normal_path(path: Column) -> Column:
+    """Fold ``.`` and ``..`` segments; the result starts with a slash."""
+    dot, dots = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+    clean = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^/", "")
+    segments = F.split(clean, "/", -1)
+    folded = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s.rlike(dot), done)
+        .when(s.rlike(dots), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    last = F.element_at(segments, -1)
+    ends_open = last.rlike(dot) | last.rlike(dots)
+    closed = F.when(ends_open, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    plain = F.concat(F.lit("/"), clean)
+    # paths without dot segments, nearly all of them, skip the fold
+    return F.when(
+        clean.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))
+    ).otherwise(plain)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """Absolute form of ``href`` found on page ``base``, without its fragment.
+
+    Host lower-cased, default ports dropped, dot segments folded, unsafe
+    characters percent-encoded. Null when there is no valid http(s) URL.
+    """
+    h = F.regexp_replace(F.regexp_replace(href, _CONTROL_EDGE, ""), _REFERENCE_JUNK, "")
+    h = F.regexp_replace(h, "(?s)#.*$", "")
+    b = F.regexp_replace(base, "(?s)#.*$", "")
+    base_scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z]+):", 1))
+    base_authority = F.regexp_extract(b, r"^[A-Za-z]+://([^/?]*)", 1)
+    base_path = F.regexp_extract(b, r"^[A-Za-z]+://[^/?]*([^?]*)", 1)
+    base_query = F.regexp_extract(b, r"(?s)^[^?]*(\?.*)$", 1)
+
+    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    after_scheme = F.regexp_replace(h, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    same_scheme_relative = (scheme == base_scheme) & ~after_scheme.rlike(r"^[/\\]{2}")
+    absolute = (scheme != "") & ~same_scheme_relative
+    ref = F.when(same_scheme_relative, after_scheme).otherwise(h)
+    with_authority = absolute | ref.rlike(r"^[/\\]{2}")
+
+    rest = F.regexp_replace(F.when(absolute, after_scheme).otherwise(ref), r"^[/\\]+", "")
+    out_scheme = F.when(absolute, scheme).otherwise(base_scheme)
+    authority = F.when(with_authority, F.regexp_extract(rest, r"^([^/\\?]*)", 1)).otherwise(base_authority)
+    tail = F.when(with_authority, F.regexp_replace(rest, r"^[^/\\?]*", "")).otherwise(ref)
+    tail_path = F.regexp_extract(tail, r"(?s)^([^?]*)", 1)
+    tail_query = F.regexp_extract(tail, r"(?s)^[^?]*(\?.*)$", 1)
+
+    directory = F.regexp_replace(base_path, "[^/]*$", "")
+    path = (
+        F.when(with_authority | tail_path.rlike(r"^[/\\]"), tail_path)
+        .when(tail_path == "", base_path)
+        .otherwise(F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), tail_path))
+    )
+    query = F.when(~with_authority & (tail == ""), base_query).otherwise(
+        F.when(tail_query == "?", F.lit("")).otherwise(tail_query)
+    )
+
+    login = F.regexp_extract(authority, "^(.*@)", 1)
+    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?([^:@]*)", 1))
+    port = F.regexp_extract(authority, r"^(?:.*@)?[^:@]*:([0-9]*)$", 1).try_cast("long")
+    bad_port = authority.rlike(r":[0-9]*[^0-9@][^@]*$") | (F.coalesce(port, F.lit(0)) > 65535)
+    valid = (
+        out_scheme.isin("http", "https")
+        & host.rlike(r"^[a-z0-9._~!$&'()*+,;=\-]+$")
+        & ~bad_port
+    )
+    default_port = F.when(out_scheme == "https", F.lit(443)).otherwise(F.lit(80))
+    shown_port = F.when(port.isNull() | (port == default_port), F.lit("")).otherwise(
+        F.concat(F.lit(":"), port.cast("string"))
+    )
+    return F.when(
+        valid,
+        F.concat(
+            out_scheme,
+            F.lit("://"),
+            login,
+            host,
+            shown_port,
+            _percent_encode(_normal_path(path), _PATH_UNSAFE),
+            _percent_encode(query, _QUERY_UNSAFE),
+        ),
+    )
+
+
+def directory_prefix(url: Column) -> Column:
+    """Origin and directory of a URL: everything up to the last slash of its path."""
+    return F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+/(?:[^?#]*/)?)", 1)
+
+
+def encode_component(text: Column) -> Column:
+    """Percent-encode all but letters, digits and ``- _ . ! ~ * ' ( )``."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def last_part(url: Column) -> Column:
+    """Text after the last slash."""
+    return F.element_at(F.split(url, "/", -1), -1)

@@ -1,0 +1,239 @@
+"""PageRank by power iteration, for one or many link graphs at once.
+
+``alpha`` is the teleport share; rank that reaches a page without links is lost,
+not spread; self-links count; a step is the last one when the Euclidean distance
+to the step before is below ``epsilon``, and its vector is the result.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, settings
+
+# links of one source page that share a partition; larger sources are split
+SOURCE_BLOCK = 500_000
+# steps that run as one job, between two reliable checkpoints of the rank vector
+STEPS_PER_ROUND = 5
+
+
+def out_degrees(edges: DataFrame) -> DataFrame:
+    """Links per source page; ``edges`` holds distinct ``dataset, src, dst``."""
+    return edges.groupBy("dataset", "src").agg(F.count(F.lit(1)).alias("out_degree"))
+
+
+def uniform_ranks(nodes: DataFrame) -> DataFrame:
+    """Start vector: every page of a dataset has rank 1/n."""
+    sizes = nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.select("dataset", "url").join(sizes, "dataset").select("dataset", "url", (1.0 / F.col("n")).alias("pr"))
+
+
+def contributions(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """What each link hands on: the rank of its source over the source's out-degree."""
+    shares = ranks.join(
+        out_degrees(edges), (ranks.url == F.col("src")) & (ranks.dataset == edges.dataset)
+    ).select(ranks.dataset, "src", (F.col("pr") / F.col("out_degree")).alias("share"))
+    return edges.join(shares, ["dataset", "src"]).select("dataset", "src", "dst", "share")
+
+
+def received(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rank received per target page."""
+    return contributions(ranks, edges).groupBy("dataset", F.col("dst").alias("url")).agg(F.sum("share").alias("received"))
+
+
+def rank_step(ranks: DataFrame, edges: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """One step of the iteration as a plain DataFrame plan."""
+    sizes = ranks.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        ranks.join(sizes, "dataset")
+        .join(received(ranks, edges), ["dataset", "url"], "left")
+        .select(
+            "dataset",
+            "url",
+            F.col("pr").alias("previous"),
+            (alpha / F.col("n") + (1 - alpha) * F.coalesce("received", F.lit(0.0))).alias("pr"),
+        )
+    )
+
+
+def distance(step: DataFrame) -> DataFrame:
+    """Euclidean distance between ``pr`` and ``previous`` per dataset."""
+    gap = F.col("pr") - F.col("previous")
+    return step.groupBy("dataset").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
+
+
+def pagerank(
+    nodes: DataFrame,
+    edges: DataFrame,
+    alpha: float = 0.1,
+    epsilon: float = 1e-4,
+    max_steps: int = 1000,
+    source_block: int = SOURCE_BLOCK,
+) -> DataFrame:
+    """Ranks of all pages at convergence: ``dataset, url, pr, steps``.
+
+    ``nodes`` holds ``dataset, url``, ``edges`` distinct ``dataset, src, dst``.
+    Links to pages outside ``nodes`` count in the out-degree and hand their share
+    to nobody. A dataset without pages gives no rows; a dataset that has
+    converged takes no part in later rounds.
+
+    Pages are numbered once and the links are laid out once, by source number and
+    sorted. A step joins the rank vector to them in place, sums per target before
+    its one shuffle, and moves only those sums. Several steps run as one job that
+    keeps the vector of each, so the first one below ``epsilon`` can be returned.
+    Sources with more than ``source_block`` links are split into blocks.
+    """
+    spark = nodes.sparkSession
+    graph = _number_graph(nodes, edges)
+    parts = layout_size(spark, graph.links.count())
+    degrees = graph.links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("out") / source_block))
+    sizes = graph.pages.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+    finished: list[DataFrame] = []
+    with fixed_layout(spark, parts):
+        state = cut(
+            # one row per dataset on the broadcast side
+            graph.pages.join(broadcast_if_small(cut(sizes)), "code")
+            .join(degrees, graph.pages.id == degrees.src, "left")
+            .withColumn("out", F.coalesce("out", F.lit(0)))
+            .select("id", "code", (alpha / F.col("n")).alias("base"), "out", blocks.alias("blocks"), (1.0 / F.col("n")).alias("p0"))
+            .repartition(parts, "id")
+        )
+        keys = ["src", "block"] if state.where("blocks > 1").limit(1).count() else ["src"]
+        layout = _lay_out(graph.links, state, keys, parts)
+        step, running = 0, sizes.count()
+        while step < max_steps and running:
+            span = min(STEPS_PER_ROUND, max_steps - step)
+            for j in range(1, span + 1):
+                state = _next_state(state, layout, keys, j, alpha)
+            state = cut(state)
+            done = _converged(state, span, epsilon, last=step + span == max_steps)
+            step += span
+            if done:
+                ends = F.broadcast(spark.createDataFrame(done, "code long, at int"))
+                vectors = F.array(*[F.col(f"p{j}") for j in range(1, span + 1)])
+                finished.append(
+                    state.join(ends, "code").select(
+                        "id", F.element_at(vectors, F.col("at")).alias("pr"), (F.col("at") + step - span).alias("steps")
+                    )
+                )
+                running -= len(done)
+                state = state.join(ends, "code", "left_anti")
+            state = state.select("id", "code", "base", "out", "blocks", F.col(f"p{span}").alias("p0"))
+        layout.unpersist()
+    if not finished:
+        return graph.pages.select("dataset", "url", F.lit(0.0).alias("pr"), F.lit(0).alias("steps")).limit(0)
+    ranks = finished[0]
+    for more in finished[1:]:
+        ranks = ranks.unionByName(more)
+    return graph.pages.join(ranks, "id").select("dataset", "url", "pr", "steps")
+
+
+def _converged(state: DataFrame, span: int, epsilon: float, last: bool) -> list[tuple[int, int]]:
+    """Datasets (by code) that finished in this round and the step at which they did.
+
+    Every dataset comes to the driver once in the whole run.
+    """
+    steps = range(1, span + 1)
+    distances = state.groupBy("code").agg(
+        *[F.expr(f"sqrt(sum((p{j} - p{j - 1}) * (p{j} - p{j - 1}))) AS d{j}") for j in steps]
+    )
+    first = ", ".join([f"if(d{j} < {epsilon!r}D, {j}, NULL)" for j in steps] + [str(span) if last else "NULL"])
+    ended = distances.selectExpr("code", f"coalesce({first}) AS at").where("at IS NOT NULL")
+    return [(row.code, row.at) for row in ended.collect()]
+
+
+class NumberedGraph(NamedTuple):
+    """``pages(dataset, code, url, id)`` and ``links(src, dst)`` by number; ``dst`` is null for unknown pages."""
+
+    pages: DataFrame
+    links: DataFrame
+
+
+def _number_graph(nodes: DataFrame, edges: DataFrame) -> NumberedGraph:
+    # checkpointed first, so that the numbers can never be drawn twice
+    codes = cut(nodes.select("dataset").distinct()).select("dataset", F.monotonically_increasing_id().alias("code"))
+    distinct = cut(nodes.select("dataset", "url").dropDuplicates())
+    pages = materialize(
+        distinct.withColumn("id", F.monotonically_increasing_id())
+        .join(broadcast_if_small(codes), "dataset")
+        .select("dataset", "code", "url", "id"),
+        "rank-pages",
+    )
+    sources = pages.select("dataset", F.col("url").alias("src"), F.col("id").alias("src_id"))
+    targets = pages.select("dataset", F.col("url").alias("dst"), F.col("id").alias("dst_id"))
+    links = materialize(
+        edges.select("dataset", "src", "dst")
+        .join(sources, ["dataset", "src"])
+        .join(targets, ["dataset", "dst"], "left")
+        .select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")),
+        "rank-links",
+    )
+    return NumberedGraph(pages, links)
+
+
+def _lay_out(links: DataFrame, state: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Links by source (and block), plus one row without target per page that carries its own state on."""
+    rows = links.where("dst is not null")
+    own = state.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))
+    if "block" in keys:
+        spans = state.where("blocks > 1").select(F.col("id").alias("src"), "blocks")
+        spread = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("blocks")), F.lit(0).cast("long"))
+        with settings(links.sparkSession, spark__sql__adaptive__enabled="true"):
+            rows = cut(rows.join(broadcast_if_small(spans), "src", "left").select("src", spread.alias("block"), "dst"))
+        own = own.withColumn("block", F.lit(0).cast("long"))
+    return cut(rows.unionByName(own).repartition(parts, *keys).sortWithinPartitions(*keys)).persist()
+
+
+def _next_state(state: DataFrame, layout: DataFrame, keys: list[str], j: int, alpha: float) -> DataFrame:
+    """Add step ``j`` of a round as column ``p{j}``."""
+    ranks = state.withColumnRenamed("id", "src")
+    if "block" in keys:
+        ranks = ranks.selectExpr("*", "explode(sequence(0L, blocks - 1)) AS block")
+    carried = ["code", "base", "out", "blocks", *[f"p{i}" for i in range(j)]]
+    rows = layout.join(ranks, keys).selectExpr(
+        "coalesce(dst, src) AS id",
+        f"if(dst IS NULL, NULL, p{j - 1} / out) AS share",
+        *[f"if(dst IS NULL, {c}, NULL) AS {c}" for c in carried],
+    )
+    summed = rows.groupBy("id").agg(
+        F.expr("sum(share) AS received"), *[F.expr(f"max({c}) AS {c}") for c in carried]
+    )
+    # pages of a dataset that has finished carry no state any more
+    return summed.where("code IS NOT NULL").selectExpr(
+        "id", *carried, f"base + {1 - alpha!r}D * coalesce(received, 0D) AS p{j}"
+    )
+
+
+def top_ranked(ranks: DataFrame, count: int) -> DataFrame:
+    """The ``count`` best pages of every dataset, ties by url."""
+    order = Window.partitionBy("dataset").orderBy(F.col("sort_pr").desc(), "url")
+    return (
+        ranks.select("dataset", "url", "pr", F.round("pr", 12).alias("sort_pr"))
+        .withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= count)
+        .select("dataset", "position", "url", "pr")
+    )
+
+
+def lookup_ranks(ranks: DataFrame, wanted: DataFrame, priorities: DataFrame) -> DataFrame:
+    """Rank of each wanted url from the first dataset, by priority, that holds it.
+
+    ``wanted`` has ``url``; ``priorities`` has ``dataset, priority`` (a configuration).
+    A url in no dataset gives no row.
+    """
+    found = wanted.select("url").dropDuplicates().join(ranks, "url").join(broadcast_if_small(priorities), "dataset")
+    return found.groupBy("url").agg(
+        F.min_by("dataset", "priority").alias("dataset"), F.min_by("pr", "priority").alias("pr")
+    )
+
+
+def compare_ranks(ranks: DataFrame, expected: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Expected ranks next to the computed ones and whether they agree."""
+    gap: Column = F.abs(F.col("pr") - F.col("expected"))
+    return expected.join(ranks.select("dataset", "url", "pr"), ["dataset", "url"], "left").select(
+        "dataset", "url", "expected", "pr", F.coalesce(gap < tolerance, F.lit(False)).alias("matches")
+    )

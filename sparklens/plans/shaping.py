@@ -1,0 +1,105 @@
+"""Skew-safe building blocks: numbering, nesting and running sums.
+
+Each of them has a textbook one-liner that puts a whole group (or the whole
+table) into one task. These keep every task bounded and stay exact.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from sparklens.plans.lineage import cut
+
+# monotonically_increasing_id() keeps the row number in the low 33 bits
+_ROW_BITS = 33
+
+
+def dense_number(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
+    """Number all rows 0, 1, 2, ... (plus ``start``) in the given total order.
+
+    The rows are range-sorted over all partitions, each partition numbers its
+    own rows, and the partition sizes (one row per partition) give the offsets.
+    No task ever sees more than its own range.
+    """
+    tagged = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", _ROW_BITS)
+    sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: the window and the broadcast are bounded by the partition count
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    in_part = F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)
+    return (
+        tagged.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + in_part + F.lit(start).cast("long"))
+        .drop("_at", "_part", "_offset")
+    )
+
+
+def nest(
+    rows: DataFrame,
+    keys: Sequence[str],
+    item: Column,
+    name: str,
+    block_rows: int = 100_000,
+) -> DataFrame:
+    """Collect ``item`` per key into sorted arrays of bounded length.
+
+    A key with up to ``block_rows`` items gives one row with ``block`` 0. A
+    larger key is spread by hash over as many blocks as it needs, so no task
+    and no array has to hold a whole hot group; nothing is dropped. ``item``
+    is a struct whose leading fields give the order inside a block.
+    """
+    keys = list(keys)
+    items = rows.select(*keys, item.alias("_item"))
+    # only keys above the bound survive, so this side stays tiny and adaptive
+    # execution broadcasts it once its measured size allows
+    hot = (
+        items.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > block_rows)
+        .select(*keys, F.ceil(F.col("_n") / block_rows).alias("_blocks"))
+    )
+    spread = F.when(
+        F.col("_blocks").isNotNull(), F.pmod(F.xxhash64(F.to_json(F.struct("_item"))), F.col("_blocks"))
+    ).otherwise(F.lit(0))
+    return (
+        items.join(hot, keys, "left")
+        .groupBy(*keys, spread.cast("long").alias("block"))
+        .agg(F.sort_array(F.collect_list("_item")).alias(name))
+    )
+
+
+def running_before(
+    rows: DataFrame,
+    key: str,
+    position: str,
+    amounts: dict[str, Column],
+    block_span: int = 100_000,
+) -> DataFrame:
+    """Sum of each amount over the earlier positions of the same key.
+
+    ``position`` is a dense number and unique within a key. Positions are cut
+    into spans; sums inside a span and sums of whole spans are separate windows,
+    so even a key holding a third of the table is split into bounded groups.
+    """
+    span = F.floor(F.col(position) / block_span)
+    tagged = rows.withColumn("_span", span)
+    for name, amount in amounts.items():
+        tagged = tagged.withColumn(f"_a_{name}", amount)
+    inside = Window.partitionBy(key, "_span").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    spans = tagged.groupBy(key, "_span").agg(*[F.sum(f"_a_{n}").alias(f"_s_{n}") for n in amounts])
+    over_spans = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    bases = spans.select(
+        key, "_span", *[F.coalesce(F.sum(f"_s_{n}").over(over_spans), F.lit(0)).alias(f"_b_{n}") for n in amounts]
+    )
+    local = tagged.select(
+        *rows.columns,
+        "_span",
+        *[F.coalesce(F.sum(f"_a_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in amounts],
+    )
+    return local.join(bases, [key, "_span"]).select(
+        *rows.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in amounts]
+    )
