@@ -20,3 +20,70 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     edges = both.select(F.lit("trade").alias("dataset"), "src", "dst")
     nodes = edges.select("dataset", F.col("src").alias("url")).distinct()
     return nodes, edges
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured pages; the dataset is the registered domain of the host."""
+    return table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", r"^https?://(?:[^/?#]*\.)?(example\.(?:com|net|org))(?:[/?#:]|$)", 1).alias("dataset"),
+        F.col("page_id").alias("seq"),
+        F.regexp_replace("url", "#.*$", "").alias("url"),
+        "html",
+        F.timestamp_seconds(F.col("page_id") + 1_704_067_200).alias("fetched_at"),
+    )
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset configuration: every dataset with its first page as seed."""
+    return captures(spark, sf_dir).groupBy("dataset").agg(F.min_by("url", "seq").alias("seed"))
+
+
+def configured_prefixes(spark: SparkSession) -> DataFrame:
+    """Allowed prefixes as configured: one dataset has two, one has one, one has none."""
+    rows = [("example.com", "https://"), ("example.com", "http://"), ("example.net", "https://")]
+    return spark.createDataFrame(rows, "dataset string, prefix string")
+
+
+def open_prefixes(spark: SparkSession) -> DataFrame:
+    """Every http(s) address allowed."""
+    rows = [(f"example.{tld}", p) for tld in ("com", "net", "org") for p in ("http://", "https://")]
+    return spark.createDataFrame(rows, "dataset string, prefix string")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text documents; the dataset is the language."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("dataset"),
+        F.col("doc_id").alias("doc"),
+        F.concat(F.lit("/documents/"), "doc_id").alias("url"),
+        F.col("source").alias("title"),
+        "text",
+    )
+
+
+def document_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in rank for documents, which have no links."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("dataset"),
+        F.concat(F.lit("/documents/"), "doc_id").alias("url"),
+        (1.0 / (1.0 + F.col("doc_id") % 97)).alias("pr"),
+    )
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text asked of every language."""
+    datasets = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")).distinct()
+    items = table(spark, sf_dir, "benchmark")
+    # a handful of languages: each request is repeated once per language
+    return items.join(F.broadcast(datasets.limit(100)), how="cross").select(
+        F.col("item_id").alias("query_id"),
+        "dataset",
+        "text",
+        (F.col("item_id") % 2 == 1).alias("boost"),
+        (F.col("item_id") % 12).cast("string").alias("limit"),
+    )
+
+
+def succession_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users linked to the user of the next error event, in time order, one graph per day count."""
+    raise NotImplementedError

@@ -6,6 +6,7 @@ code. Two Unicode noncharacters mark where paragraphs open and close.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -33,7 +34,8 @@ def strip_invisible(html: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Replace named (HTML 4) and numeric character references in one pass."""
-    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    table = json.dumps({name: chr(code) for name, code in sorted(name2codepoint.items())})
+    names = F.from_json(F.lit(table), "map<string,string>")
 
     def one(piece: Column) -> Column:
         body = F.regexp_extract(piece, r"^&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)

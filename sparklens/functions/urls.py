@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparklens.functions.text import trim_white
 
@@ -57,69 +57,75 @@ def _normal_path(path: Column) -> Column:
     ).otherwise(plain)
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of ``href`` found on page ``base``, without its fragment.
+def _let(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are computed exactly once, however often later steps use them."""
+    fields = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select("*", F.inline(F.array(fields)))
+
+
+def with_resolved(links: DataFrame, href: str, base: str, name: str) -> DataFrame:
+    """Add ``name``: the absolute form of ``href`` as found on page ``base``, without fragment.
 
     Host lower-cased, default ports dropped, dot segments folded, unsafe
-    characters percent-encoded. Null when there is no valid http(s) URL.
+    characters percent-encoded. Rows without a valid http(s) URL are dropped.
     """
-    h = F.regexp_replace(F.regexp_replace(href, _CONTROL_EDGE, ""), _REFERENCE_JUNK, "")
-    h = F.regexp_replace(h, "(?s)#.*$", "")
-    b = F.regexp_replace(base, "(?s)#.*$", "")
-    base_scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z]+):", 1))
-    base_authority = F.regexp_extract(b, r"^[A-Za-z]+://([^/?]*)", 1)
-    base_path = F.regexp_extract(b, r"^[A-Za-z]+://[^/?]*([^?]*)", 1)
-    base_query = F.regexp_extract(b, r"(?s)^[^?]*(\?.*)$", 1)
-
-    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    after_scheme = F.regexp_replace(h, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
-    same_scheme_relative = (scheme == base_scheme) & ~after_scheme.rlike(r"^[/\\]{2}")
-    absolute = (scheme != "") & ~same_scheme_relative
-    ref = F.when(same_scheme_relative, after_scheme).otherwise(h)
-    with_authority = absolute | ref.rlike(r"^[/\\]{2}")
-
-    rest = F.regexp_replace(F.when(absolute, after_scheme).otherwise(ref), r"^[/\\]+", "")
-    out_scheme = F.when(absolute, scheme).otherwise(base_scheme)
-    authority = F.when(with_authority, F.regexp_extract(rest, r"^([^/\\?]*)", 1)).otherwise(base_authority)
-    tail = F.when(with_authority, F.regexp_replace(rest, r"^[^/\\?]*", "")).otherwise(ref)
-    tail_path = F.regexp_extract(tail, r"(?s)^([^?]*)", 1)
-    tail_query = F.regexp_extract(tail, r"(?s)^[^?]*(\?.*)$", 1)
-
-    directory = F.regexp_replace(base_path, "[^/]*$", "")
-    path = (
-        F.when(with_authority | tail_path.rlike(r"^[/\\]"), tail_path)
-        .when(tail_path == "", base_path)
-        .otherwise(F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), tail_path))
+    trimmed = F.regexp_replace(F.regexp_replace(href, _CONTROL_EDGE, ""), _REFERENCE_JUNK, "")
+    split_base = r"(?s)^([A-Za-z]+)://([^/?]*)([^?]*)(.*)$"
+    page = F.regexp_replace(base, "(?s)#.*$", "")
+    out = _let(links, _h=F.regexp_replace(trimmed, "(?s)#.*$", ""), _b=page)
+    out = _let(
+        out,
+        _base_scheme=F.lower(F.regexp_extract("_b", split_base, 1)),
+        _base_authority=F.regexp_extract("_b", split_base, 2),
+        _base_path=F.regexp_extract("_b", split_base, 3),
+        _base_query=F.regexp_extract("_b", split_base, 4),
+        _scheme=F.lower(F.regexp_extract("_h", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
+        _after=F.regexp_replace("_h", r"^[A-Za-z][A-Za-z0-9+.\-]*:", ""),
     )
-    query = F.when(~with_authority & (tail == ""), base_query).otherwise(
-        F.when(tail_query == "?", F.lit("")).otherwise(tail_query)
+    # "https:path" on an https page is a relative link
+    relative = (F.col("_scheme") == F.col("_base_scheme")) & ~F.col("_after").rlike(r"^[/\\]{2}")
+    absolute = (F.col("_scheme") != "") & ~relative
+    out = _let(out, _absolute=absolute, _ref=F.when(absolute | relative, F.col("_after")).otherwise(F.col("_h")))
+    own = F.col("_absolute") | F.col("_ref").rlike(r"^[/\\]{2}")
+    out = _let(out, _own=own, _rest=F.when(own, F.regexp_replace("_ref", r"^[/\\]+", "")).otherwise(F.col("_ref")))
+    split_rest = r"(?s)^([^/\\?]*)([^?]*)(.*)$"
+    out = _let(
+        out,
+        _authority=F.when(F.col("_own"), F.regexp_extract("_rest", split_rest, 1)).otherwise(F.col("_base_authority")),
+        _tail=F.when(F.col("_own"), F.regexp_extract("_rest", split_rest, 2)).otherwise(
+            F.regexp_replace("_rest", r"(?s)\?.*$", "")
+        ),
+        _query=F.regexp_extract("_rest", r"(?s)^[^?]*(\?.*)$", 1),
     )
-
-    login = F.regexp_extract(authority, "^(.*@)", 1)
-    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?([^:@]*)", 1))
-    port = F.regexp_extract(authority, r"^(?:.*@)?[^:@]*:([0-9]*)$", 1).try_cast("long")
-    bad_port = authority.rlike(r":[0-9]*[^0-9@][^@]*$") | (F.coalesce(port, F.lit(0)) > 65535)
+    directory = F.regexp_replace("_base_path", "[^/]*$", "")
+    out = _let(
+        out,
+        _out_scheme=F.when(F.col("_absolute"), F.col("_scheme")).otherwise(F.col("_base_scheme")),
+        _path=F.when(F.col("_own") | F.col("_tail").rlike(r"^[/\\]"), F.col("_tail"))
+        .when(F.col("_tail") == "", F.col("_base_path"))
+        .otherwise(F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), "_tail")),
+        _out_query=F.when(~F.col("_own") & (F.col("_rest") == ""), F.col("_base_query"))
+        .when(F.col("_query") == "?", F.lit(""))
+        .otherwise(F.col("_query")),
+        _login=F.regexp_extract("_authority", "^(.*@)", 1),
+        _host=F.lower(F.regexp_extract("_authority", r"^(?:.*@)?([^:@]*)", 1)),
+        _port=F.regexp_extract("_authority", r"^(?:.*@)?[^:@]*:([0-9]*)$", 1).try_cast("long"),
+    )
+    bad_port = F.col("_authority").rlike(r":[0-9]*[^0-9@][^@]*$") | (F.coalesce("_port", F.lit(0)) > 65535)
     valid = (
-        out_scheme.isin("http", "https")
-        & host.rlike(r"^[a-z0-9._~!$&'()*+,;=\-]+$")
+        F.col("_out_scheme").isin("http", "https")
+        & F.col("_host").rlike(r"^[a-z0-9._~!$&'()*+,;=\-]+$")
         & ~bad_port
     )
-    default_port = F.when(out_scheme == "https", F.lit(443)).otherwise(F.lit(80))
-    shown_port = F.when(port.isNull() | (port == default_port), F.lit("")).otherwise(
-        F.concat(F.lit(":"), port.cast("string"))
-    )
-    return F.when(
-        valid,
-        F.concat(
-            out_scheme,
-            F.lit("://"),
-            login,
-            host,
-            shown_port,
-            _percent_encode(_normal_path(path), _PATH_UNSAFE),
-            _percent_encode(query, _QUERY_UNSAFE),
-        ),
+    default_port = F.when(F.col("_out_scheme") == "https", F.lit(443)).otherwise(F.lit(80))
+    port = F.when(F.col("_port").isNull() | (F.col("_port") == default_port), F.lit("")).otherwise(
+        F.concat(F.lit(":"), F.col("_port").cast("string"))
     )
+    path = _percent_encode(_normal_path(F.col("_path")), _PATH_UNSAFE)
+    query = _percent_encode(F.col("_out_query"), _QUERY_UNSAFE)
+    url = F.concat("_out_scheme", F.lit("://"), "_login", "_host", port, path, query)
+    found = F.when(valid, F.array(url)).otherwise(F.array().cast("array<string>"))
+    return out.select(*links.columns, F.explode(found).alias(name))
 
 
 def directory_prefix(url: Column) -> Column:

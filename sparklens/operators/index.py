@@ -1,0 +1,117 @@
+"""Inverted index of a text collection as tables.
+
+``postings(dataset, term, doc, count, total_words, weight, mag)``,
+``terms(dataset, term, df, n, idf)`` and ``docs(dataset, doc, url, title, total_words, mag)``.
+Postings stay rows, sorted by term over all files: a word that is in most documents
+spans many files, and a search reads only the row groups of its own words.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from sparklens.functions import html as H, text as T
+from sparklens.plans.lineage import broadcast_if_small, materialize
+from sparklens.plans.shaping import dense_number
+
+
+class SearchIndex(NamedTuple):
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+
+def documents_of_pages(pages: DataFrame) -> DataFrame:
+    """Text documents of a page table, numbered in page order (captured pages first, then stubs by url)."""
+    texts = pages.select(
+        "dataset", "seq", "url", H.page_title(F.col("content")).alias("title"),
+        H.paragraph_text(F.col("content")).alias("text"),
+    )
+    return dense_number(texts, ["seq", "dataset", "url"], "doc").drop("seq")
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Documents with their words and word count."""
+    return docs.withColumn("tokens", T.tokens(F.col("text"))).withColumn(
+        "total_words", F.size("tokens").cast("long")
+    )
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """Occurrences of each word in each document: ``dataset, doc, total_words, term, count``."""
+    return (
+        tokenised(docs)
+        .select("dataset", "doc", "total_words", F.explode("tokens").alias("term"))
+        .groupBy("dataset", "doc", "total_words", "term")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
+def document_frequencies(counts: DataFrame) -> DataFrame:
+    """Documents per word."""
+    return counts.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_sizes(docs: DataFrame) -> DataFrame:
+    """Documents per dataset, those without text included."""
+    return docs.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_table(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Words with document frequency, corpus size and inverse document frequency."""
+    # one row per dataset on the right
+    sizes = broadcast_if_small(materialize(corpus_sizes(docs), "corpus"))
+    return document_frequencies(counts).join(sizes, "dataset").withColumn(
+        "idf", T.inverse_document_frequency(F.col("df"), F.col("n"))
+    )
+
+
+def weighted_postings(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Word counts with their weight and the norm of their document.
+
+    The join by word carries very frequent words; adaptive execution splits them.
+    The window is one document's distinct words, bounded by the document itself.
+    """
+    of_doc = Window.partitionBy("dataset", "doc")
+    frequency = T.term_frequency(F.col("count"), F.col("total_words"))
+    return (
+        counts.join(terms.select("dataset", "term", "idf"), ["dataset", "term"])
+        .withColumn("weight", T.weight(frequency, F.col("idf")))
+        .withColumn("mag", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(of_doc)))
+        .select("dataset", "term", "doc", "count", "total_words", "weight", "mag")
+    )
+
+
+def build_index(docs: DataFrame) -> SearchIndex:
+    """Index of ``dataset, doc, url, title, text``; ``doc`` is unique and gives the document order."""
+    counts = materialize(term_counts(docs), "counts")
+    terms = materialize(term_table(counts, docs), "terms")
+    weighted = weighted_postings(counts, terms)
+    # sorted by word, with the document as second key so that frequent words split over files
+    postings = materialize(
+        weighted.repartitionByRange("dataset", "term", "doc").sortWithinPartitions("dataset", "term", "doc"),
+        "postings",
+    )
+    norms = postings.groupBy("dataset", "doc").agg(F.max("total_words").alias("total_words"), F.max("mag").alias("mag"))
+    table = (
+        docs.select("dataset", "doc", "url", "title")
+        .join(norms, ["dataset", "doc"], "left")
+        .fillna({"total_words": 0, "mag": 0.0})
+    )
+    return SearchIndex(materialize(table, "docs"), postings, terms)
+
+
+def write_index(index: SearchIndex, path: str) -> None:
+    """Store the three tables, split by dataset."""
+    for name, table in index._asdict().items():
+        table.write.mode("overwrite").partitionBy("dataset").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str, dataset: str | None = None) -> SearchIndex:
+    """The stored index, of one dataset only if named."""
+    tables = [spark.read.parquet(f"{path}/{name}") for name in SearchIndex._fields]
+    if dataset is not None:
+        tables = [t.where(F.col("dataset") == dataset) for t in tables]
+    return SearchIndex(*tables)

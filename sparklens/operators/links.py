@@ -1,0 +1,224 @@
+"""From captured pages to a link graph: link extraction, page table, in-degrees, reachability.
+
+Captures have ``dataset, seq, url, html, fetched_at``; ``url`` carries no fragment.
+Links are kept as rows ``dataset, src, dst``; a list of incoming links is built only
+where one page is shown, because a popular page may hold a large share of all links.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from sparklens.functions import html as H, text as T, urls as U
+from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size
+from sparklens.plans.shaping import nest
+
+# document number of pages that are only known as link targets: after all captured ones
+STUB_SEQ = 1 << 62
+
+
+def prefixes_or_default(seeds: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Allowed prefixes per dataset; a dataset without any gets the directory of its seed."""
+    return seeds.join(prefixes, "dataset", "left").select(
+        "dataset", F.coalesce("prefix", U.directory_prefix(F.col("seed"))).alias("prefix")
+    )
+
+
+def within_prefixes(rows: DataFrame, url: str, prefixes: DataFrame) -> DataFrame:
+    """Rows whose ``url`` starts with any prefix of their dataset."""
+    allowed = broadcast_if_small(prefixes.select(F.col("dataset").alias("_ds"), F.col("prefix").alias("_prefix")))
+    return rows.join(
+        allowed, (F.col("dataset") == F.col("_ds")) & F.col(url).startswith(F.col("_prefix")), "left_semi"
+    )
+
+
+def raw_links(captures: DataFrame) -> DataFrame:
+    """Every link value of every page: ``dataset, src, position, href``."""
+    return captures.select(
+        "dataset", F.col("url").alias("src"), F.posexplode(H.link_values(F.col("html"))).alias("position", "href")
+    )
+
+
+def page_links(captures: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct allowed links: ``dataset, src, dst, position`` (first place on the page)."""
+    usable = raw_links(captures).where(U.usable_href(F.col("href"))).withColumn("href", T.trim_white(F.col("href")))
+    links = U.with_resolved(usable, "href", "src", "dst")
+    return (
+        within_prefixes(links, "dst", prefixes).groupBy("dataset", "src", "dst").agg(F.min("position").alias("position"))
+    )
+
+
+def latest_captures(captures: DataFrame) -> DataFrame:
+    """The last capture of each page. The limit runs before the shuffle, so re-captures do not pile up."""
+    newest = Window.partitionBy("dataset", "url").orderBy(F.col("fetched_at").desc(), F.col("seq").desc())
+    return captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def in_degrees(edges: DataFrame) -> DataFrame:
+    """Distinct sources per target."""
+    return (
+        edges.select("dataset", "src", "dst")
+        .distinct()
+        .groupBy("dataset", F.col("dst").alias("url"))
+        .agg(F.count(F.lit(1)).alias("in_degree"))
+    )
+
+
+def link_counters(edges_per_fetch: DataFrame) -> DataFrame:
+    """Links per target counted again at every fetch."""
+    return edges_per_fetch.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("incoming_count"))
+
+
+def page_table(captures: DataFrame, edges: DataFrame) -> DataFrame:
+    """Captured pages plus a stub for every link target that was not captured.
+
+    Columns ``dataset, seq, url, content, out_degree, in_degree, fetched_at``.
+    """
+    pages = latest_captures(captures).select("dataset", "url", "seq", F.col("html").alias("content"), "fetched_at")
+    incoming = in_degrees(edges)
+    outgoing = edges.groupBy("dataset", F.col("src").alias("url")).agg(F.count_distinct("dst").alias("out_degree"))
+    return (
+        pages.join(incoming, ["dataset", "url"], "full_outer")
+        .join(outgoing, ["dataset", "url"], "left")
+        .select(
+            "dataset",
+            F.coalesce("seq", F.lit(STUB_SEQ)).alias("seq"),
+            "url",
+            F.coalesce("content", F.lit("")).alias("content"),
+            F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
+            F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
+            "fetched_at",
+        )
+    )
+
+
+def outgoing_lists(edges: DataFrame) -> DataFrame:
+    """Outgoing links per page in page order; no longer than the page they come from."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "dst")))
+    return edges.groupBy("dataset", F.col("src").alias("url")).agg(
+        F.transform(ordered, lambda e: e["dst"]).alias("outgoing")
+    )
+
+
+def incoming_lists(edges: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """Incoming links per page as sorted arrays of bounded length (``dataset, url, block, incoming``)."""
+    rows = edges.select("dataset", F.col("dst").alias("url"), "src").distinct()
+    return nest(rows, ["dataset", "url"], F.col("src"), "incoming", block_rows)
+
+
+def popular_pages(pages: DataFrame, base_url: str, count: int = 10) -> DataFrame:
+    """The pages with the most incoming links per dataset, ties by url."""
+    order = Window.partitionBy("dataset").orderBy(F.col("in_degree").desc(), "url")
+    return (
+        pages.select("dataset", "url", "in_degree")
+        .withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= count)
+        .select("dataset", "position", detail_address(base_url).alias("link"), F.col("url").alias("orig_url"), "in_degree")
+    )
+
+
+def detail_address(base_url: str) -> Column:
+    """Address of the detail view of a page."""
+    return F.concat(
+        F.lit(base_url.rstrip("/") + "/"), "dataset", F.lit("/page?webUrl="), U.encode_component(F.col("url"))
+    )
+
+
+def word_frequency(pages: DataFrame, count: int = 50) -> DataFrame:
+    """The most frequent paragraph words of each page, ties by first occurrence."""
+    words = pages.select(
+        "dataset", "url", F.posexplode(T.tokens(H.paragraph_text(F.col("content")))).alias("place", "word")
+    )
+    counted = words.groupBy("dataset", "url", "word").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    order = Window.partitionBy("dataset", "url").orderBy(F.col("n").desc(), "place")
+    return (
+        counted.withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= count)
+        .select("dataset", "url", "position", "word", "n")
+    )
+
+
+def word_frequency_map(frequencies: DataFrame) -> DataFrame:
+    """Word counts of a page as one map (at most 50 entries)."""
+    entries = F.sort_array(F.collect_list(F.struct("position", "word", "n")))
+    return frequencies.groupBy("dataset", "url").agg(
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["word"], e["n"]))).alias("word_frequency")
+    )
+
+
+def page_details(pages: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Detail rows: title, rank, links both ways and word counts of each given page.
+
+    A page with more incoming links than fit one block has one row per block.
+    """
+    key = ["dataset", "url"]
+    return (
+        pages.select(*key, H.page_title(F.col("content")).alias("title"))
+        .join(ranks.select(*key, "pr"), key, "left")
+        .join(incoming_lists(edges), key, "left")
+        .join(outgoing_lists(edges), key, "left")
+        .join(word_frequency_map(word_frequency(pages)), key, "left")
+        .select(
+            *key,
+            F.coalesce("block", F.lit(0)).alias("block"),
+            "title",
+            F.coalesce("pr", F.lit(0.0)).alias("page_rank"),
+            F.coalesce("incoming", F.array().cast("array<string>")).alias("incoming_links"),
+            F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing_links"),
+            F.coalesce("word_frequency", F.create_map().cast("map<string,bigint>")).alias("word_frequency"),
+        )
+    )
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages reachable from the seeds: ``dataset, url, depth``.
+
+    ``seeds`` holds ``dataset, url``. With ``max_pages`` each dataset stops once that
+    many pages are known; new pages enter by depth, then url. Edges are laid out
+    once by source; a step joins only the newest pages to them. One page may be
+    the source of very many links, so the layout splits sources by target hash.
+    """
+    spark = edges.sparkSession
+    links = edges.select("dataset", "src", "dst").distinct()
+    parts = layout_size(spark, links.count())
+    keys = ["dataset", "url"]
+    known = cut(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
+    levels = 0
+    with fixed_layout(spark, parts):
+        ways = 1 if parts == 1 else 8
+        layout = cut(
+            links.withColumn("way", F.pmod(F.xxhash64("dst"), F.lit(ways))).repartition(parts, "dataset", "src", "way")
+        ).persist()
+        frontier, depth = known, 0
+        while True:
+            depth += 1
+            fresh = (
+                frontier.select("dataset", F.col("url").alias("src"))
+                .withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+                .join(layout, ["dataset", "src", "way"])
+                .select("dataset", F.col("dst").alias("url"))
+                .distinct()
+                .join(known, keys, "left_anti")
+                .withColumn("depth", F.lit(depth))
+            )
+            if max_pages is not None:
+                sizes = known.groupBy("dataset").agg((F.lit(max_pages) - F.count(F.lit(1))).alias("_left"))
+                order = Window.partitionBy("dataset").orderBy("url")
+                # the constant bound lets Spark cut every partition before the shuffle
+                fresh = (
+                    fresh.withColumn("_n", F.row_number().over(order))
+                    .where(F.col("_n") <= max_pages)
+                    .join(sizes, "dataset")
+                    .where("_n <= _left")
+                    .select(*keys, "depth")
+                )
+            frontier = cut(fresh)
+            if frontier.limit(1).count() == 0:
+                break
+            # every level is written once; a long list of levels is put together now and then
+            known = known.unionByName(frontier)
+            levels += 1
+            if levels % 16 == 0:
+                known = cut(known.repartition(parts, *keys))
+        layout.unpersist()
+    return known

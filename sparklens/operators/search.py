@@ -1,0 +1,277 @@
+"""Cosine search over an index, for any number of queries at once.
+
+``queries`` has ``query_id, dataset, text`` and, where used, ``boost`` (boolean) and
+``limit`` (the raw request text). Every result has ``query_id, dataset, position,
+url, title, score, pr``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from sparklens.functions import text as T
+from sparklens.operators.index import SearchIndex
+from sparklens.plans.lineage import broadcast_if_small, materialize
+
+MAX_LIMIT = 50
+FIXED_LIMIT = 10
+# beyond this many distinct query words the words are not pushed into the scan
+MAX_PUSHED_WORDS = 2_000
+QUERY = ["query_id", "dataset"]
+
+
+def query_terms(queries: DataFrame, split=T.tokens) -> DataFrame:
+    """Distinct words of each query with count, first place and the query's word count."""
+    words = queries.select(*QUERY, split(F.col("text")).alias("words"))
+    return (
+        words.select(*QUERY, F.size("words").cast("long").alias("total"), F.posexplode("words").alias("place", "term"))
+        .groupBy(*QUERY, "total", "term")
+        .agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("place"))
+    )
+
+
+def known_terms(terms_of_query: DataFrame, terms: DataFrame) -> DataFrame:
+    """Query words that occur in the corpus, with their frequency there."""
+    return terms_of_query.join(terms.select("dataset", "term", "df", "idf"), ["dataset", "term"])
+
+
+def query_weights(known: DataFrame) -> DataFrame:
+    """Weights of the query words; words of weight 0 are dropped."""
+    frequency = T.term_frequency(F.col("count"), F.col("total"))
+    return (
+        known.withColumn("q_weight", T.weight(frequency, F.col("idf")))
+        .where("q_weight <> 0")
+        .select(*QUERY, "term", "place", "q_weight")
+    )
+
+
+def query_norms(weights: DataFrame) -> DataFrame:
+    """Norm of each query vector."""
+    return weights.groupBy(*QUERY).agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_mag"))
+
+
+def push_words(table: DataFrame, words: DataFrame) -> DataFrame:
+    """Restrict a table to the given words by a pushed filter if there are few of them."""
+    few = words.select("term").distinct().limit(MAX_PUSHED_WORDS + 1).collect()
+    if len(few) > MAX_PUSHED_WORDS:
+        return table
+    return table.where(F.col("term").isin([row.term for row in few]))
+
+
+def matches(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of the query words: one row per query word and document that has it."""
+    return postings.join(broadcast_if_small(weights), ["dataset", "term"])
+
+
+def dot_products(hits: DataFrame) -> DataFrame:
+    """Candidate documents of each query with dot product and first matching query word."""
+    return hits.groupBy(*QUERY, "doc").agg(
+        F.sum(F.col("q_weight") * F.col("weight")).alias("dot"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("shared_mag"),
+        F.max("mag").alias("mag"),
+        F.min("place").alias("place"),
+    )
+
+
+def sort_score(score: Column) -> Column:
+    """Scores equal to 12 digits count as ties, whatever order they were summed in."""
+    return F.round(score, 12)
+
+
+def top_matches(scored: DataFrame, limit: Column | int, *ties: str) -> DataFrame:
+    """Best rows per query; the constant bound cuts every partition before the shuffle."""
+    order = Window.partitionBy(*QUERY).orderBy(sort_score(F.col("score")).desc(), *ties)
+    ranked = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= MAX_LIMIT)
+    return ranked.where(F.col("position") <= limit)
+
+
+def pad(top: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Fill up short results with score-0 documents in document order.
+
+    ``queries`` has ``query_id, dataset, max_results``. A result shorter than the
+    limit needs fewer than that many documents outside it, and those are among
+    the first ``2 * MAX_LIMIT`` documents of the dataset.
+    """
+    first = Window.partitionBy("dataset").orderBy("doc")
+    heads = (
+        docs.select("dataset", "doc")
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") <= 2 * MAX_LIMIT)
+        .drop("_n")
+    )
+    found = top.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("_found"))
+    short = (
+        queries.join(found, QUERY, "left")
+        .withColumn("_found", F.coalesce("_found", F.lit(0)))
+        .where("_found < max_results")
+    )
+    fill = Window.partitionBy(*QUERY).orderBy("doc")
+    fillers = (
+        short.join(broadcast_if_small(materialize(heads, "heads")), "dataset")
+        .join(top.select(*QUERY, "doc"), [*QUERY, "doc"], "left_anti")
+        .withColumn("_n", F.row_number().over(fill))
+        .where("_found + _n <= max_results")
+        .select(*QUERY, "doc", F.lit(0.0).alias("score"), (F.col("_found") + F.col("_n")).cast("int").alias("position"))
+    )
+    return top.select(*QUERY, "doc", "score", "position").unionByName(fillers)
+
+
+def present(rows: DataFrame, index: SearchIndex, ranks: DataFrame | None) -> DataFrame:
+    """Address, title and rank of each result."""
+    shown = rows.join(index.docs.select("dataset", "doc", "url", "title"), ["dataset", "doc"])
+    if ranks is None:
+        shown = shown.withColumn("pr", F.lit(0.0))
+    else:
+        shown = shown.join(ranks.select("dataset", "url", "pr"), ["dataset", "url"], "left").fillna({"pr": 0.0})
+    return shown.select(*QUERY, "position", "url", "title", "score", "pr")
+
+
+def search(index: SearchIndex, queries: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """Full-norm search: cosine over all words of a document, optional rank boost, padded to the limit.
+
+    Ties go to the document that matches an earlier query word, then to document order.
+    """
+    asked = queries.select(
+        *QUERY,
+        "text",
+        F.coalesce("boost", F.lit(False)).alias("boost"),
+        T.clamp_limit(F.col("limit")).alias("max_results"),
+    )
+    words = query_terms(asked)
+    weights = materialize(query_weights(known_terms(words, push_words(index.terms, words))), "query-weights")
+    candidates = dot_products(matches(weights, push_words(index.postings, weights))).join(
+        query_norms(weights), QUERY
+    ).join(asked.select(*QUERY, "boost", "max_results"), QUERY)
+    score = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
+    if ranks is not None:
+        ranked_docs = index.docs.select("dataset", "doc", "url").join(
+            ranks.select("dataset", "url", "pr"), ["dataset", "url"]
+        ).select("dataset", "doc", "pr")
+        candidates = candidates.join(ranked_docs, ["dataset", "doc"], "left")
+        score = T.rank_boost(score, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
+    scored = candidates.select(*QUERY, "doc", "place", "max_results", score.alias("score"))
+    top = materialize(top_matches(scored, F.col("max_results"), "place", "doc"), "top")
+    # only queries for datasets that have documents can be padded, as the heads are joined by dataset
+    return present(pad(top, asked.select(*QUERY, "max_results"), index.docs), index, ranks)
+
+
+def search_query_space(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """Search with norms over the query words only; the ten best of all documents.
+
+    A query without any known word has no result. Ties go by document order, so
+    documents without a match (score 0) follow in that order.
+    """
+    words = query_terms(queries)
+    known = materialize(known_terms(words, push_words(index.terms, words)), "known")
+    weights = query_weights(known)
+    scored = (
+        dot_products(matches(weights, push_words(index.postings, weights)))
+        .join(query_norms(weights), QUERY)
+        .select(*QUERY, "doc", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")).alias("score"))
+    )
+    top = materialize(top_matches(scored, FIXED_LIMIT, "doc"), "top")
+    answerable = known.select(*QUERY).distinct().withColumn("max_results", F.lit(FIXED_LIMIT))
+    return present(pad(top, answerable, index.docs), index, None).drop("title", "pr")
+
+
+def _frequencies_of(words: DataFrame, texts: DataFrame, column: str, split) -> DataFrame:
+    """Document frequencies and counts of the given words in ``dataset, doc, <column>``."""
+    pieces = texts.select("dataset", "doc", split(F.col(column)).alias("words"))
+    counts = (
+        pieces.select("dataset", "doc", F.size("words").cast("long").alias("total_words"), F.explode("words").alias("term"))
+        # the few query words are all that is counted
+        .join(broadcast_if_small(words.select("dataset", "term").distinct()), ["dataset", "term"], "left_semi")
+        .groupBy("dataset", "doc", "total_words", "term")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    return counts
+
+
+def _idf_of(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    frequencies = counts.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("df"))
+    return frequencies.join(sizes, "dataset").select(
+        "dataset", "term", T.inverse_document_frequency(F.col("df"), F.col("n")).alias("idf")
+    )
+
+
+def score_texts(
+    queries: DataFrame, docs: DataFrame, query_corpus: str, document_text: str, split=T.tokens
+) -> DataFrame:
+    """Query-space cosine of every document that shares a weighted word with a query.
+
+    ``docs`` has ``dataset, doc`` and the two text columns: the query's word weights
+    come from ``query_corpus``, the documents' from ``document_text``. All query words
+    take part; unknown ones weigh nothing. Other documents have score 0.
+    """
+    words = materialize(query_terms(queries, split), "words")
+    sizes = materialize(docs.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), "corpus")
+    sizes = broadcast_if_small(sizes)
+    counts = materialize(_frequencies_of(words, docs, document_text, split), "counts")
+    query_counts = counts if query_corpus == document_text else _frequencies_of(words, docs, query_corpus, split)
+    frequency = T.term_frequency(F.col("count"), F.col("total"))
+    weights = materialize(
+        words.join(_idf_of(query_counts, sizes), ["dataset", "term"])
+        .withColumn("q_weight", T.weight(frequency, F.col("idf")))
+        .select(*QUERY, "term", "place", "q_weight"),
+        "query-weights",
+    )
+    postings = counts.join(_idf_of(counts, sizes), ["dataset", "term"]).select(
+        "dataset",
+        "term",
+        "doc",
+        T.weight(T.term_frequency(F.col("count"), F.col("total_words")), F.col("idf")).alias("weight"),
+    )
+    # the document norm covers all query words of the document, weighted in the query or not
+    pairs = postings.join(broadcast_if_small(words.select(*QUERY, "term")), ["dataset", "term"]).join(
+        weights, [*QUERY, "term"], "left"
+    )
+    vectors = pairs.groupBy(*QUERY, "doc").agg(
+        F.coalesce(F.sum(F.col("q_weight") * F.col("weight")), F.lit(0.0)).alias("dot"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("d_mag"),
+    )
+    return (
+        vectors.join(query_norms(weights), QUERY)
+        .select(*QUERY, "doc", T.cosine(F.col("dot"), F.col("q_mag"), F.col("d_mag")).alias("score"))
+        .where("score <> 0")
+    )
+
+
+def search_texts(
+    queries: DataFrame, docs: DataFrame, query_corpus: str, document_text: str, split=T.tokens
+) -> DataFrame:
+    """The ten best of all documents by ``score_texts``, ties by document order."""
+    scored = score_texts(queries, docs, query_corpus, document_text, split)
+    top = materialize(top_matches(scored, FIXED_LIMIT, "doc"), "top")
+    asked = queries.select(*QUERY).distinct().withColumn("max_results", F.lit(FIXED_LIMIT))
+    results = pad(top, asked, docs)
+    return results.join(docs.select("dataset", "doc", "url"), ["dataset", "doc"]).select(
+        *QUERY, "position", "url", "score"
+    )
+
+
+def document_vectors(index: SearchIndex, queries: DataFrame) -> DataFrame:
+    """Vector over the query words, in query order, of every document that has one of them."""
+    words = query_terms(queries)
+    known = materialize(known_terms(words, push_words(index.terms, words)), "known")
+    candidates = (
+        push_words(index.postings, known).join(broadcast_if_small(known), ["dataset", "term"]).select(*QUERY, "doc").distinct()
+    )
+    weights = index.postings.select("dataset", "term", "doc", "weight")
+    # at most one entry per query word
+    entries = F.sort_array(F.collect_list(F.struct("place", F.coalesce("weight", F.lit(0.0)).alias("weight"))))
+    grid = candidates.join(known.select(*QUERY, "term", "place"), QUERY)
+    return (
+        grid.join(push_words(weights, known), ["dataset", "term", "doc"], "left")
+        .groupBy(*QUERY, "doc")
+        .agg(
+            F.transform(entries, lambda e: e["weight"]).alias("vector"),
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("magnitude"),
+        )
+    )
+
+
+def result_document(results: DataFrame) -> DataFrame:
+    """``{"result": [{url, score, title, pr}, ...]}`` per query (at most 50 entries)."""
+    entries = F.sort_array(F.collect_list(F.struct("position", "url", "score", "title", "pr")))
+    listed = F.transform(entries, lambda e: F.struct(e["url"].alias("url"), e["score"].alias("score"), e["title"].alias("title"), e["pr"].alias("pr")))
+    return results.groupBy(*QUERY).agg(F.to_json(F.struct(listed.alias("result"))).alias("body"))

@@ -1,0 +1,104 @@
+"""Reading and upserting the page table and the link table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.utils import AnalysisException
+
+from sparklens.plans.lineage import broadcast_if_small, materialize, settings
+
+PAGE_KEY = ["dataset", "url"]
+# folders per dataset; an upsert rewrites only the ones its keys fall into
+BUCKETS = 64
+
+
+def scan_pages(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """The stored page table, one dataset only if named (its folders alone are read)."""
+    pages = spark.read.parquet(path)
+    if dataset is not None:
+        pages = pages.where(F.col("dataset") == dataset)
+    return pages.drop("bucket")
+
+
+def find_page(pages: DataFrame, dataset: str, url: str, *columns: str) -> DataFrame:
+    """One page by key, with the wanted columns only."""
+    return pages.where((F.col("dataset") == dataset) & (F.col("url") == url)).select(*(columns or ["*"]))
+
+
+def select_datasets(config: DataFrame, name: str | None) -> DataFrame:
+    """Configured datasets by case-insensitive name; ``all`` or none takes every one."""
+    wanted = (name or "all").lower()
+    chosen = config if wanted == "all" else config.where(F.lower("dataset") == wanted)
+    if chosen.limit(1).count() == 0:
+        raise ValueError(f"unknown dataset: {name}")
+    return chosen
+
+
+def merge_captures(stored: DataFrame, captures: DataFrame) -> DataFrame:
+    """Stored pages with content, links and time replaced where there is a newer capture.
+
+    Both sides have ``dataset, url, content, outgoing, fetched_at``; ``stored`` also
+    ``incoming_count``, which a capture leaves as it is. Stored stubs have no time.
+    """
+    newest = Window.partitionBy(*PAGE_KEY).orderBy(F.col("fetched_at").desc())
+    # rank 1 only: Spark limits each partition before the shuffle
+    last = captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    new = last.select(*PAGE_KEY, *[F.col(c).alias(f"_{c}") for c in ("content", "outgoing", "fetched_at")])
+    return stored.join(new, PAGE_KEY, "full_outer").select(
+        *PAGE_KEY,
+        *[F.coalesce(f"_{c}", c).alias(c) for c in ("content", "outgoing", "fetched_at")],
+        F.coalesce("incoming_count", F.lit(0)).alias("incoming_count"),
+    )
+
+
+def merge_incoming(stored: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored pages with a stub for each new link target and the link counter raised.
+
+    ``links`` has one row ``dataset, src, dst`` per link and fetch.
+    """
+    added = links.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("_added"))
+    return stored.join(added, PAGE_KEY, "full_outer").select(
+        *PAGE_KEY,
+        F.coalesce("content", F.lit("")).alias("content"),
+        F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing"),
+        "fetched_at",
+        (F.coalesce("incoming_count", F.lit(0)) + F.coalesce("_added", F.lit(0))).alias("incoming_count"),
+    )
+
+
+def merge_link_set(stored: DataFrame, links: DataFrame) -> DataFrame:
+    """The set of links after adding new ones (``dataset, src, dst``)."""
+    return stored.select("dataset", "src", "dst").unionByName(links.select("dataset", "src", "dst")).distinct()
+
+
+def upsert_pages(spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None) -> None:
+    """Merge captures (and the links found in them) into the table at ``path``.
+
+    The table is split by dataset and key hash. Only folders that a new key
+    falls into are read and replaced; replacing a folder with the same batch
+    again gives the same pages.
+    """
+    columns = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp, incoming_count bigint"
+    bucket = F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")
+    batch = materialize(captures.select("dataset", "url", "content", "outgoing", "fetched_at"), "captures")
+    keys = batch.select("dataset", bucket.alias("bucket"))
+    if links is not None:
+        links = materialize(links.select("dataset", "src", "dst"), "links")
+        keys = keys.unionByName(
+            links.select("dataset", F.pmod(F.xxhash64("dst"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        )
+    # at most datasets x BUCKETS rows
+    touched = materialize(keys.distinct(), "touched")
+    try:
+        stored = spark.read.schema(columns + ", bucket int").parquet(path)
+        stored.limit(1).count()
+        stored = stored.join(broadcast_if_small(touched), ["dataset", "bucket"], "left_semi").drop("bucket")
+    except AnalysisException:
+        stored = spark.createDataFrame([], columns)
+    merged = merge_captures(stored, batch)
+    if links is not None:
+        merged = merge_incoming(merged, links)
+    # written aside first: a folder cannot be read and replaced in one job
+    merged = materialize(merged.withColumn("bucket", bucket), "merged")
+    with settings(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
+        merged.write.mode("overwrite").partitionBy("dataset", "bucket").parquet(path)

@@ -1,0 +1,46 @@
+"""Reading, seeding and appending the product catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
+
+from sparklens.plans.shaping import nest
+from sparklens.schemas import PRODUCT
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """Products from JSON files that each hold one array.
+
+    Missing ``reviews`` read as an empty list. A missing path, a file that is not
+    JSON and a file whose document is not an array give no products. A catalogue
+    of many files is read file by file in parallel.
+    """
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], PRODUCT)
+    arrays = files.where(F.regexp_replace("value", r"^[\s\x{feff}]+", "").startswith("["))
+    fields = [F.col(f.name) for f in PRODUCT.fields if f.name != "reviews"]
+    empty = F.array().cast(PRODUCT["reviews"].dataType)
+    parsed = F.from_json("value", f"array<{PRODUCT.simpleString()}>")
+    return arrays.select(F.inline(parsed)).select(*fields, F.coalesce("reviews", empty).alias("reviews"))
+
+
+def write_products(products: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Write products as JSON array files of bounded size."""
+    row = F.struct(*[c for c in products.columns])
+    grouped = nest(
+        products.withColumn("_all", F.lit(0)), ["_all"], row, "items", block_rows=rows_per_file
+    )
+    grouped.select("block", F.to_json("items").alias("value")).write.mode("error").partitionBy("block").text(path)
+
+
+def seed_products(products: DataFrame, path: str) -> None:
+    """Write the table unless it exists already."""
+    products.write.mode("ignore").parquet(path)
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append to a table."""
+    rows.write.mode("append").parquet(path)
