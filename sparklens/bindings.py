@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparklens.plans.lineage import materialize
+from sparklens.plans.shaping import dense_number
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -85,5 +88,93 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def succession_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users linked to the user of the next error event, in time order, one graph per day count."""
-    raise NotImplementedError
+    """Users linked to the user of the next error event in time; some link to themselves."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("ts", "event_id", "user_id")
+    numbered = materialize(dense_number(errors, ["ts", "event_id"], "n"), "errors")
+    user = F.concat(F.lit("u"), F.col("user_id"))
+    now = numbered.select("n", user.alias("src"))
+    then = numbered.select((F.col("n") - 1).alias("n"), user.alias("dst"))
+    edges = now.join(then, "n").select(F.lit("succession").alias("dataset"), "src", "dst").distinct()
+    nodes = numbered.select(F.lit("succession").alias("dataset"), user.alias("url")).distinct()
+    return nodes, edges
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat catalogue."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("name"),
+        F.col("p_retailprice").alias("price"),
+        F.col("p_size").cast("double").alias("dim_x"),
+        (F.col("p_size") % 7 + 1).cast("double").alias("dim_y"),
+        (F.col("p_partkey") % 11 + 1).cast("double").alias("dim_z"),
+        ((F.col("p_partkey") * 7) % 50).alias("stock"),
+    )
+
+
+def stocked_products(spark: SparkSession, sf_dir: str, factor: int = 20) -> DataFrame:
+    """Catalogue with a stock that order batches exhaust."""
+    return products(spark, sf_dir).drop("stock").join(
+        table(spark, sf_dir, "part").select(
+            F.col("p_partkey").alias("id"), (F.col("p_size") * factor).cast("long").alias("stock")
+        ),
+        "id",
+    )
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order headers; they arrive by date, then key."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.concat(F.lit("customer "), "o_custkey").alias("username"),
+        F.col("o_orderdate").alias("ordered_at"),
+    )
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").cast("long").alias("line"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("long").alias("quantity"),
+    )
+
+
+def shifted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with product ids raised by 5, so the highest ones name no product."""
+    return order_lines(spark, sf_dir).withColumn("product_id", F.col("product_id") + 5)
+
+
+def review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as review requests; some name no product, some ratings are out of range."""
+    count = table(spark, sf_dir, "part").count()
+    return table(spark, sf_dir, "events").select(
+        (F.col("event_id") % (count + 5)).alias("product_id"),
+        F.col("user_id").cast("string").alias("name"),
+        (F.floor("value") % 12).cast("string").alias("rating"),
+        F.col("event_type").alias("text"),
+        F.col("ts").alias("date"),
+    )
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as stored reviews."""
+    return review_requests(spark, sf_dir).select(
+        "product_id", "name", F.col("rating").cast("double").alias("rating"), "text"
+    )
+
+
+def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as product requests, with defects that depend on the key."""
+    kind = F.col("p_partkey") % 10
+    price, size = F.col("p_retailprice").cast("string"), F.col("p_size").cast("string")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("request_id"),
+        F.when(kind == 0, F.lit("")).when(kind == 7, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name")).alias("name"),
+        F.when(kind == 1, F.lit("-1")).when(kind == 2, F.lit("abc")).otherwise(price).alias("price"),
+        F.when(kind == 6, F.lit("-2")).otherwise(size).alias("x"),
+        size.alias("y"),
+        F.when(kind != 4, size).alias("z"),
+        F.when(kind == 3, F.lit("1.5")).when(kind == 5, F.lit("")).otherwise(size).alias("stock"),
+    )

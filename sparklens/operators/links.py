@@ -33,18 +33,46 @@ def within_prefixes(rows: DataFrame, url: str, prefixes: DataFrame) -> DataFrame
 
 
 def raw_links(captures: DataFrame) -> DataFrame:
-    """Every link value of every page: ``dataset, src, position, href``."""
+    """Every link value of every capture: ``dataset, seq, fetched_at, src, position, href``."""
     return captures.select(
-        "dataset", F.col("url").alias("src"), F.posexplode(H.link_values(F.col("html"))).alias("position", "href")
+        "dataset",
+        "seq",
+        "fetched_at",
+        F.col("url").alias("src"),
+        F.posexplode(H.link_values(F.col("html"))).alias("position", "href"),
     )
 
 
-def page_links(captures: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Distinct allowed links: ``dataset, src, dst, position`` (first place on the page)."""
+def fetched_links(captures: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct allowed links of every capture: ``dataset, seq, fetched_at, src, dst, position``."""
     usable = raw_links(captures).where(U.usable_href(F.col("href"))).withColumn("href", T.trim_white(F.col("href")))
-    links = U.with_resolved(usable, "href", "src", "dst")
+    found = within_prefixes(U.with_resolved(usable, "href", "src", "dst"), "dst", prefixes)
+    return found.groupBy("dataset", "seq", "fetched_at", "src", "dst").agg(F.min("position").alias("position"))
+
+
+def distinct_links(fetched: DataFrame) -> DataFrame:
+    """Links over all captures: ``dataset, src, dst``, when last seen and at which place then."""
+    latest = F.max(F.struct("fetched_at", "seq", (-F.col("position")).alias("back"))).alias("_latest")
     return (
-        within_prefixes(links, "dst", prefixes).groupBy("dataset", "src", "dst").agg(F.min("position").alias("position"))
+        fetched.groupBy("dataset", "src", "dst")
+        .agg(latest)
+        .select(
+            "dataset", "src", "dst", (-F.col("_latest.back")).alias("position"),
+            F.col("_latest.fetched_at").alias("last_seen"), F.col("_latest.seq").alias("last_seq"),
+        )
+    )
+
+
+def current_links(links: DataFrame, captures: DataFrame) -> DataFrame:
+    """Links that the latest capture of their page still has: what the page links to now."""
+    newest = (
+        captures.groupBy("dataset", F.col("url").alias("src"))
+        .agg(F.max(F.struct("fetched_at", "seq")).alias("_newest"))
+    )
+    return (
+        links.join(newest, ["dataset", "src"])
+        .where((F.col("last_seen") == F.col("_newest.fetched_at")) & (F.col("last_seq") == F.col("_newest.seq")))
+        .select("dataset", "src", "dst", "position")
     )
 
 
@@ -54,29 +82,24 @@ def latest_captures(captures: DataFrame) -> DataFrame:
     return captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def in_degrees(edges: DataFrame) -> DataFrame:
-    """Distinct sources per target."""
-    return (
-        edges.select("dataset", "src", "dst")
-        .distinct()
-        .groupBy("dataset", F.col("dst").alias("url"))
-        .agg(F.count(F.lit(1)).alias("in_degree"))
-    )
+def in_degrees(links: DataFrame) -> DataFrame:
+    """Sources per target; ``links`` are distinct."""
+    return links.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def link_counters(edges_per_fetch: DataFrame) -> DataFrame:
-    """Links per target counted again at every fetch."""
-    return edges_per_fetch.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("incoming_count"))
+def link_counters(fetched: DataFrame) -> DataFrame:
+    """Links per target counted again at every capture."""
+    return fetched.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("incoming_count"))
 
 
-def page_table(captures: DataFrame, edges: DataFrame) -> DataFrame:
+def page_table(captures: DataFrame, links: DataFrame, current: DataFrame) -> DataFrame:
     """Captured pages plus a stub for every link target that was not captured.
 
-    Columns ``dataset, seq, url, content, out_degree, in_degree, fetched_at``.
+    Incoming links are those of all captures, outgoing ones those of the latest. Columns ``dataset, seq, url, content, out_degree, in_degree, fetched_at``.
     """
     pages = latest_captures(captures).select("dataset", "url", "seq", F.col("html").alias("content"), "fetched_at")
-    incoming = in_degrees(edges)
-    outgoing = edges.groupBy("dataset", F.col("src").alias("url")).agg(F.count_distinct("dst").alias("out_degree"))
+    incoming = in_degrees(links)
+    outgoing = current.groupBy("dataset", F.col("src").alias("url")).agg(F.count(F.lit(1)).alias("out_degree"))
     return (
         pages.join(incoming, ["dataset", "url"], "full_outer")
         .join(outgoing, ["dataset", "url"], "left")
@@ -92,17 +115,17 @@ def page_table(captures: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def outgoing_lists(edges: DataFrame) -> DataFrame:
+def outgoing_lists(current: DataFrame) -> DataFrame:
     """Outgoing links per page in page order; no longer than the page they come from."""
     ordered = F.sort_array(F.collect_list(F.struct("position", "dst")))
-    return edges.groupBy("dataset", F.col("src").alias("url")).agg(
+    return current.groupBy("dataset", F.col("src").alias("url")).agg(
         F.transform(ordered, lambda e: e["dst"]).alias("outgoing")
     )
 
 
-def incoming_lists(edges: DataFrame, block_rows: int = 100_000) -> DataFrame:
+def incoming_lists(links: DataFrame, block_rows: int = 100_000) -> DataFrame:
     """Incoming links per page as sorted arrays of bounded length (``dataset, url, block, incoming``)."""
-    rows = edges.select("dataset", F.col("dst").alias("url"), "src").distinct()
+    rows = links.select("dataset", F.col("dst").alias("url"), "src")
     return nest(rows, ["dataset", "url"], F.col("src"), "incoming", block_rows)
 
 
@@ -146,7 +169,7 @@ def word_frequency_map(frequencies: DataFrame) -> DataFrame:
     )
 
 
-def page_details(pages: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def page_details(pages: DataFrame, links: DataFrame, current: DataFrame, ranks: DataFrame) -> DataFrame:
     """Detail rows: title, rank, links both ways and word counts of each given page.
 
     A page with more incoming links than fit one block has one row per block.
@@ -155,8 +178,8 @@ def page_details(pages: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFr
     return (
         pages.select(*key, H.page_title(F.col("content")).alias("title"))
         .join(ranks.select(*key, "pr"), key, "left")
-        .join(incoming_lists(edges), key, "left")
-        .join(outgoing_lists(edges), key, "left")
+        .join(incoming_lists(links), key, "left")
+        .join(outgoing_lists(current), key, "left")
         .join(word_frequency_map(word_frequency(pages)), key, "left")
         .select(
             *key,

@@ -1,0 +1,236 @@
+"""Orders: carts, priced documents and exact sequential stock allocation.
+
+Orders are ``order_id, username`` plus arrival columns, lines are
+``order_id, line, product_id, quantity``; equal lines of an order are interchangeable.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from sparklens.plans.lineage import cut, materialize
+from sparklens.plans.shaping import dense_number, nest, running_before
+
+_LINE = ("line", "product_id", "quantity")
+# positions per running-sum span; a product has at most one row per position
+SPAN = 100_000
+
+
+def order_headers(requests: DataFrame) -> DataFrame:
+    """Headers of order requests (``order_id, username, cart``)."""
+    return requests.select("order_id", "username")
+
+
+def cart_lines(requests: DataFrame) -> DataFrame:
+    """Cart lines of order requests, with their place in the cart."""
+    return requests.select("order_id", F.posexplode("cart").alias("line", "_item")).select(
+        "order_id", F.col("line").cast("long").alias("line"), "_item.product_id", "_item.quantity"
+    )
+
+
+def find_orders(orders: DataFrame, order_id=None, username: str | None = None) -> DataFrame:
+    """Orders by id and user."""
+    found = orders
+    if order_id is not None:
+        found = found.where(F.col("order_id") == order_id)
+    if username:
+        found = found.where(F.col("username") == username)
+    return found
+
+
+def find_lines(lines: DataFrame, order_id=None, product_id=None) -> DataFrame:
+    """Cart lines by order and product."""
+    found = lines
+    if order_id is not None:
+        found = found.where(F.col("order_id") == order_id)
+    if product_id is not None:
+        found = found.where(F.col("product_id") == product_id)
+    return found.select("product_id", "quantity")
+
+
+def with_carts(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Orders with their lines nested, in bounded blocks; an order without lines has an empty cart."""
+    carts = nest(lines, ["order_id"], F.struct(*_LINE), "cart")
+    empty = F.array().cast(carts.schema["cart"].dataType)
+    return (
+        orders.join(carts, "order_id", "left")
+        .withColumn("block", F.coalesce("block", F.lit(0)))
+        .withColumn("cart", F.coalesce("cart", empty))
+    )
+
+
+def check_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``error`` to orders without name, without lines or with a missing or non-positive quantity."""
+    sizes = lines.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.bool_or(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("_bad"),
+    )
+    bad = (
+        (F.coalesce("username", F.lit("")) == "") | F.col("_lines").isNull() | F.coalesce("_bad", F.lit(False))
+    )
+    return (
+        orders.join(sizes, "order_id", "left")
+        .withColumn("error", F.when(bad, F.lit("Invalid order format")))
+        .drop("_lines", "_bad")
+    )
+
+
+def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Lines with name and price of their product; both are null for a missing product."""
+    priced = products.select(F.col("id").alias("product_id"), "name", "price", "stock")
+    return lines.join(priced, "product_id", "left")
+
+
+def missing_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Lines whose product does not exist."""
+    return lines.join(products.select(F.col("id").alias("product_id")), "product_id", "left_anti")
+
+
+def order_totals(priced: DataFrame) -> DataFrame:
+    """Sum of price times quantity per order."""
+    return priced.groupBy("order_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total"))
+
+
+def order_documents(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Orders with items as bought (name and price at order time) and total."""
+    priced = lines.join(products.select(F.col("id").alias("product_id"), "name", "price"), "product_id")
+    items = nest(priced, ["order_id"], F.struct("line", "product_id", "name", "quantity", "price"), "items")
+    return orders.join(order_totals(priced), "order_id").join(items, "order_id")
+
+
+def allocate(
+    orders: DataFrame, lines: DataFrame, products: DataFrame, arrival: list[str], span: int = SPAN
+) -> DataFrame:
+    """Decide every order as if they came one after the other: ``order_id, accepted, reason, failed_product``.
+
+    An order is accepted if each of its lines, taken alone, fits the stock left by
+    the accepted orders before it; then all its lines are taken. A rejected order
+    changes nothing. ``reason`` tells of the first failing line.
+
+    Rounds narrow two bounds on the stock taken before an order: by accepted
+    orders (at least that) and by accepted or undecided ones (at most that).
+    An order that fits the second bound is accepted, one that misses the first
+    is rejected. The earliest undecided order has equal bounds, so each round
+    decides some, in practice nearly all; products whose lines all fit drop out.
+    """
+    placed = materialize(dense_number(check_orders(orders, lines), arrival, "pos"), "orders")
+    by_place = placed.select("order_id", "pos", "error")
+    demand = (
+        lines.join(by_place.where("error is null").select("order_id", "pos"), "order_id")
+        .groupBy("pos", "product_id")
+        .agg(F.max("quantity").alias("largest"), F.sum("quantity").alias("amount"))
+        .join(products.select(F.col("id").alias("product_id"), "stock"), "product_id", "left")
+    )
+    demand = materialize(demand, "demand")
+    positions = placed.count()
+    hopeless = demand.where("stock is null").select("pos").distinct()
+    state = cut(demand.join(hopeless, "pos", "left_anti").withColumn("taken", F.lit(False)))
+    accepted = []
+    while state.limit(1).count():
+        state, newly = _allocation_round(state, positions, span)
+        accepted.append(newly)
+    if accepted:
+        winners = accepted[0]
+        for more in accepted[1:]:
+            winners = winners.unionByName(more)
+        winners = materialize(winners, "accepted")
+    else:
+        winners = by_place.select("pos").limit(0)
+    return _explain_decisions(by_place, lines, products, demand, winners, positions, span)
+
+
+def _taken_before(rows: DataFrame, amounts, positions: int, span: int) -> DataFrame:
+    if positions <= span:
+        earlier = Window.partitionBy("product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(n) for n, a in amounts.items()])
+    return running_before(rows, "product_id", "pos", amounts, span)
+
+
+def _allocation_round(state: DataFrame, positions: int, span: int) -> tuple[DataFrame, DataFrame]:
+    bounds = _taken_before(
+        state,
+        {"most": F.col("amount"), "least": F.when(F.col("taken"), F.col("amount")).otherwise(F.lit(0))},
+        positions,
+        span,
+    )
+    judged = cut(
+        bounds.select(
+            "pos", "product_id", "largest", "amount", "stock", "taken",
+            (F.col("stock") - F.col("most") >= F.col("largest")).alias("fits"),
+            (F.col("stock") - F.col("least") < F.col("largest")).alias("fails"),
+        )
+    )
+    open_rows = judged.where("not taken")
+    verdicts = cut(
+        open_rows.groupBy("pos")
+        .agg(F.bool_and("fits").alias("accept"), F.bool_or("fails").alias("reject"))
+        .where("accept or reject")
+    )
+    newly = verdicts.where("accept").select("pos")
+    # products that still decide something
+    tight = open_rows.where("not fits").select("product_id", "pos").join(verdicts, "pos", "left_anti")
+    later = (
+        judged.join(tight.select("product_id").distinct(), "product_id", "left_semi")
+        .join(verdicts, "pos", "left")
+        .where("taken or reject is null or not reject")
+        .select(
+            "pos", "product_id", "largest", "amount", "stock",
+            (F.col("taken") | F.coalesce("accept", F.lit(False))).alias("taken"),
+        )
+    )
+    return cut(later), newly
+
+
+def _explain_decisions(
+    by_place: DataFrame, lines: DataFrame, products: DataFrame, demand: DataFrame, winners: DataFrame,
+    positions: int, span: int,
+) -> DataFrame:
+    won = winners.withColumn("won", F.lit(True))
+    decided = by_place.join(won, "pos", "left").withColumn("accepted", F.coalesce("won", F.lit(False))).drop("won")
+    with_result = demand.where("stock is not null").join(won, "pos", "left")
+    left = _taken_before(
+        with_result.select("pos", "product_id", "stock", F.coalesce("won", F.lit(False)).alias("won"), "amount"),
+        {"before": F.when(F.col("won"), F.col("amount")).otherwise(F.lit(0))},
+        positions,
+        span,
+    ).where("not won").select("pos", "product_id", (F.col("stock") - F.col("before")).alias("left"))
+    lost = decided.where("not accepted and error is null").select("order_id", "pos")
+    failing = (
+        lines.join(lost, "order_id")
+        .join(left, ["pos", "product_id"], "left")
+        .where("left is null or quantity > left")
+        .groupBy("order_id")
+        .agg(
+            F.min_by(
+                F.struct("product_id", F.col("left").isNull().alias("absent")),
+                F.struct("line", "product_id", "quantity"),
+            ).alias("first")
+        )
+        .select("order_id", F.col("first.product_id").alias("failed_product"), F.col("first.absent").alias("absent"))
+    )
+    names = products.select(F.col("id").alias("failed_product"), "name")
+    reason = (
+        F.when(F.col("accepted"), F.lit(None).cast("string"))
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("absent"), F.concat(F.lit("Product "), "failed_product", F.lit(" does not exist")))
+        .otherwise(F.concat(F.lit("Insufficient stock for product "), "name"))
+    )
+    return (
+        decided.join(failing, "order_id", "left")
+        .join(names, "failed_product", "left")
+        .select("order_id", "accepted", reason.alias("reason"), "failed_product")
+    )
+
+
+def stock_after(products: DataFrame, lines: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Products with their stock lowered by all lines of the accepted orders."""
+    sold = (
+        lines.join(decisions.where("accepted").select("order_id"), "order_id", "left_semi")
+        .groupBy("product_id")
+        .agg(F.sum("quantity").alias("_sold"))
+    )
+    return (
+        products.join(sold, products.id == sold.product_id, "left")
+        .withColumn("stock", F.col("stock") - F.coalesce("_sold", F.lit(0)))
+        .drop("product_id", "_sold")
+    )
