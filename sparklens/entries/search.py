@@ -1,0 +1,436 @@
+"""Index tables and searches over documents and captured pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparklens import bindings as B
+from sparklens.entries import sql as Q
+from sparklens.entries.ranks import PAGE_RANKS, page_ranks
+from sparklens.entries.registry import prepared, query
+from sparklens.entries.web import open_crawl
+from sparklens.functions import html as H, text as T
+from sparklens.operators import index as I, links as L, search as S
+from sparklens.plans.lineage import materialize, scratch_path
+
+R9 = "round({0}, 9) AS {0}"
+INDEX = f"{Q.DOCS}, {Q.INDEX}"
+ASKED = f"{INDEX}, {Q.REQUESTS}, {Q.QUERY_TERMS}"
+
+
+@prepared
+def document_index(spark, sf_dir) -> I.SearchIndex:
+    """Index of the text documents, one dataset per language."""
+    return I.build_index(B.documents(spark, sf_dir))
+
+
+@prepared
+def page_index(spark, sf_dir) -> I.SearchIndex:
+    """Index of the captured pages and stubs."""
+    return I.build_index(I.documents_of_pages(open_crawl(spark, sf_dir).pages))
+
+
+def _asked(spark, sf_dir):
+    return B.search_requests(spark, sf_dir)
+
+
+def _known(spark, sf_dir):
+    index = document_index(spark, sf_dir)
+    words = S.query_terms(_asked(spark, sf_dir))
+    return S.known_terms(words, S.push_words(index.terms, words))
+
+
+def _weights(spark, sf_dir):
+    return S.query_weights(_known(spark, sf_dir))
+
+
+def _hits(spark, sf_dir):
+    weights = materialize(_weights(spark, sf_dir), "weights")
+    return S.matches(weights, S.push_words(document_index(spark, sf_dir).postings, weights))
+
+
+def rounded(df, *columns):
+    for c in columns:
+        df = df.withColumn(c, F.round(c, 9))
+    return df
+
+
+# ---- index ------------------------------------------------------------------------------------------
+
+@query("ag1_term_counts", f"WITH {INDEX} SELECT dataset, doc, total_words, term, count FROM counts")
+def term_counts(spark, sf_dir):
+    return I.term_counts(B.documents(spark, sf_dir))
+
+
+@query("ag2_word_totals", f"SELECT lang AS dataset, doc_id AS doc, len({Q.words('text')}) AS total_words FROM documents")
+def word_totals(spark, sf_dir):
+    return I.tokenised(B.documents(spark, sf_dir)).select("dataset", "doc", "total_words")
+
+
+@query("ag3_document_frequency", f"WITH {INDEX} SELECT dataset, term, df FROM terms")
+def document_frequency(spark, sf_dir):
+    return I.document_frequencies(I.term_counts(B.documents(spark, sf_dir)))
+
+
+@query("ag4_postings_list", f"WITH {INDEX} SELECT dataset, term, string_agg(doc, ' ' ORDER BY doc) AS docs FROM counts GROUP BY 1, 2")
+def postings_list(spark, sf_dir):
+    from sparklens.plans.shaping import nest
+
+    postings = document_index(spark, sf_dir).postings
+    lists = nest(postings, ["dataset", "term"], F.col("doc"), "docs")
+    return lists.select("dataset", "term", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"))
+
+
+@query("ag5_corpus_size", f"WITH {INDEX} SELECT dataset, n FROM corpus")
+def corpus_size(spark, sf_dir):
+    return I.corpus_sizes(B.documents(spark, sf_dir))
+
+
+@query("ag6_document_norm", f"WITH {INDEX} SELECT dataset, doc, {R9.format('mag')} FROM norms")
+def document_norm(spark, sf_dir):
+    docs = document_index(spark, sf_dir).docs
+    return rounded(docs.where("total_words > 0").select("dataset", "doc", "mag"), "mag")
+
+
+@query(
+    "idx1_build_index",
+    f"WITH {INDEX} SELECT dataset, term, doc, count, total_words, {R9.format('weight')}, {R9.format('mag')} FROM postings JOIN norms USING (dataset, doc)",
+)
+def build_index(spark, sf_dir):
+    """Builds the index anew, stores it by dataset and reads it back."""
+    path = scratch_path(spark, "index")
+    I.write_index(I.build_index(B.documents(spark, sf_dir)), path)
+    postings = I.read_index(spark, path).postings
+    return rounded(postings.select("dataset", "term", "doc", "count", "total_words", "weight", "mag"), "weight", "mag")
+
+
+@query("idx1_page_index", f"WITH {Q.OPEN_CRAWL}, {Q.PAGE_DOCS}, {Q.INDEX} SELECT d.dataset, d.doc, url, title, coalesce(len(w), 0) AS total_words, round(coalesce(mag, 0.0), 9) AS mag FROM docs d LEFT JOIN tok USING (dataset, doc) LEFT JOIN norms USING (dataset, doc)")
+def page_index_docs(spark, sf_dir):
+    return rounded(page_index(spark, sf_dir).docs.select("dataset", "doc", "url", "title", "total_words", "mag"), "mag")
+
+
+@query("idx2_tokenised_documents", f"SELECT lang AS dataset, doc_id AS doc, array_to_string({Q.words('text')}, ' ') AS words FROM documents")
+def tokenised_documents(spark, sf_dir):
+    return I.tokenised(B.documents(spark, sf_dir)).select("dataset", "doc", F.array_join("tokens", " ").alias("words"))
+
+
+@query("fn3_term_frequency", f"WITH {INDEX} SELECT dataset, doc, term, round(count::DOUBLE / total_words, 9) AS tf FROM counts")
+def term_frequency(spark, sf_dir):
+    tf = T.term_frequency(F.col("count"), F.col("total_words"))
+    return document_index(spark, sf_dir).postings.select("dataset", "doc", "term", F.round(tf, 9).alias("tf"))
+
+
+@query("fn4_inverse_document_frequency", f"WITH {INDEX} SELECT dataset, term, n, {R9.format('idf')} FROM terms")
+def inverse_document_frequency(spark, sf_dir):
+    return rounded(document_index(spark, sf_dir).terms.select("dataset", "term", "n", "idf"), "idf")
+
+
+@query("fn5_weight", f"WITH {INDEX} SELECT dataset, doc, term, {R9.format('weight')} FROM postings")
+def weight(spark, sf_dir):
+    return rounded(document_index(spark, sf_dir).postings.select("dataset", "doc", "term", "weight"), "weight")
+
+
+# ---- query vectors -----------------------------------------------------------------------------------
+
+@query("jn4_known_words", f"WITH {ASKED} SELECT query_id, dataset, term, df FROM known")
+def known_words(spark, sf_dir):
+    return _known(spark, sf_dir).select("query_id", "dataset", "term", "df")
+
+
+@query("ag7_query_weights", f"WITH {ASKED} SELECT query_id, dataset, term, {R9.format('q_weight')}, {R9.format('q_mag')} FROM qweights JOIN qnorms USING (query_id, dataset)")
+def query_weights(spark, sf_dir):
+    weights = materialize(_weights(spark, sf_dir), "weights")
+    both = weights.join(S.query_norms(weights), ["query_id", "dataset"])
+    return rounded(both.select("query_id", "dataset", "term", "q_weight", "q_mag"), "q_weight", "q_mag")
+
+
+@query("jn5_matches", f"WITH {ASKED} SELECT query_id, dataset, term, doc FROM qweights JOIN postings USING (dataset, term)")
+def matches(spark, sf_dir):
+    return _hits(spark, sf_dir).select("query_id", "dataset", "term", "doc")
+
+
+@query("set1_candidates", f"WITH {ASKED} SELECT query_id, dataset, doc FROM dots")
+def candidates(spark, sf_dir):
+    return _hits(spark, sf_dir).select("query_id", "dataset", "doc").distinct()
+
+
+@query("ag8_dot_product", f"WITH {ASKED} SELECT query_id, dataset, doc, {R9.format('dot')} FROM dots")
+def dot_product(spark, sf_dir):
+    return rounded(S.dot_products(_hits(spark, sf_dir)).select("query_id", "dataset", "doc", "dot"), "dot")
+
+
+@query(
+    "ag14_document_vector",
+    f"""WITH {ASKED}, cand AS (SELECT DISTINCT query_id, dataset, doc FROM known JOIN postings USING (dataset, term))
+    SELECT query_id, dataset, doc, count(*) AS size, sum(CASE WHEN weight IS NULL THEN 1 ELSE 0 END) AS absent,
+      round(sqrt(sum(coalesce(weight * weight, 0))), 9) AS magnitude
+    FROM cand JOIN known USING (query_id, dataset) LEFT JOIN postings USING (dataset, term, doc) GROUP BY 1, 2, 3""",
+)
+def document_vector(spark, sf_dir):
+    index = document_index(spark, sf_dir)
+    vectors = S.document_vectors(index, _asked(spark, sf_dir))
+    # words in every document weigh 0 too, so absent ones are counted from the matches
+    words = S.query_terms(_asked(spark, sf_dir))
+    known = materialize(S.known_terms(words, S.push_words(index.terms, words)), "known")
+    present = S.matches(known, S.push_words(index.postings, known)).groupBy("query_id", "dataset", "doc").agg(
+        F.count(F.lit(1)).alias("present")
+    )
+    joined = vectors.join(present, ["query_id", "dataset", "doc"])
+    return joined.select(
+        "query_id", "dataset", "doc", F.size("vector").alias("size"),
+        (F.size("vector") - F.col("present")).alias("absent"), F.round("magnitude", 9).alias("magnitude"),
+    )
+
+
+@query("clp1_limits", f"SELECT doc_id, {Q.clamp('text')} AS of_text, {Q.clamp('(doc_id - 20)::VARCHAR')} AS of_number FROM documents")
+def limits(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", T.clamp_limit(F.col("text")).alias("of_text"),
+        T.clamp_limit((F.col("doc_id") - 20).cast("string")).alias("of_number"),
+    )
+
+
+# ---- full-norm search -----------------------------------------------------------------------------------
+
+SCORED = f"""scored AS (
+  SELECT d.query_id, d.dataset, d.doc, place AS tie,
+    CASE WHEN q_mag * mag = 0 THEN 0.0 ELSE dot / (q_mag * mag) END * CASE WHEN boost THEN 1 + 10 * coalesce(r.pr, 0.0) ELSE 1.0 END AS score
+  FROM dots d JOIN qnorms USING (query_id, dataset) JOIN norms n ON n.dataset = d.dataset AND n.doc = d.doc
+  JOIN asked a ON a.query_id = d.query_id AND a.dataset = d.dataset
+  JOIN docs x ON x.dataset = d.dataset AND x.doc = d.doc LEFT JOIN all_ranks r ON r.dataset = x.dataset AND r.url = x.url)"""
+BATCH = f"{ASKED}, all_ranks AS (SELECT * FROM doc_ranks), {SCORED}, {Q.padded('scored', 'asked')}"
+SHOWN = """SELECT r.query_id, r.dataset, position, d.url, title, round(score, 9) AS score, round(coalesce(a.pr, 0.0), 9) AS pr
+  FROM results r JOIN docs d USING (dataset, doc) LEFT JOIN all_ranks a ON a.dataset = d.dataset AND a.url = d.url"""
+
+
+@query("srch5_batch_search", f"WITH {BATCH} {SHOWN}")
+def batch_search(spark, sf_dir):
+    found = S.search(document_index(spark, sf_dir), _asked(spark, sf_dir), B.document_ranks(spark, sf_dir))
+    return rounded(found, "score", "pr")
+
+
+def _fixed(spark, sf_dir, words, boost=False, limit=None):
+    """The same request for every language."""
+    datasets = B.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")).distinct()
+    return datasets.select(
+        F.lit(0).cast("long").alias("query_id"), "dataset", F.lit(words).alias("text"), F.lit(boost).alias("boost"),
+        F.lit(limit).cast("string").alias("limit"),
+    )
+
+
+def _fixed_sql(words, boost="false", limit="NULL", split=Q.words):
+    return f"""asked AS MATERIALIZED (SELECT DISTINCT 0 AS query_id, lang AS dataset, '{words}' AS text, {boost} AS boost,
+    {Q.clamp(f"{limit}::VARCHAR")} AS max_results FROM documents)"""
+
+
+REQUEST = "The und de, thand erle the LA unwhord"
+
+
+def _single_sql(words, boost, limit, ranks="doc_ranks"):
+    return f"{INDEX}, {_fixed_sql(words, boost, limit)}, {Q.QUERY_TERMS}, all_ranks AS (SELECT * FROM {ranks}), {SCORED}, {Q.padded('scored', 'asked')}"
+
+
+@query("srch1_search", f"WITH {_single_sql(REQUEST, 'false', 'NULL')} {SHOWN}")
+def single_search(spark, sf_dir):
+    found = S.search(document_index(spark, sf_dir), _fixed(spark, sf_dir, REQUEST), B.document_ranks(spark, sf_dir))
+    return rounded(found, "score", "pr")
+
+
+@query("srch1_search_boosted", f"WITH {_single_sql(REQUEST, 'true', 12)} {SHOWN}")
+def boosted_search(spark, sf_dir):
+    asked = _fixed(spark, sf_dir, REQUEST, boost=True, limit="12")
+    return rounded(S.search(document_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
+
+
+@query("srch1_search_unknown", f"WITH {_single_sql('qqq zzz1', 'false', 5)} {SHOWN}")
+def unknown_search(spark, sf_dir):
+    asked = _fixed(spark, sf_dir, "qqq zzz1", limit="5")
+    return rounded(S.search(document_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
+
+
+PAGE_ASKED = f"""asked AS MATERIALIZED (
+  SELECT item_id AS query_id, d.dataset, text, true AS boost, 10 AS max_results
+  FROM benchmark, (SELECT DISTINCT dataset FROM docs) d)"""
+
+
+@query(
+    "srch1_page_search",
+    f"WITH RECURSIVE {PAGE_RANKS}, {Q.PAGE_DOCS}, {Q.INDEX}, {PAGE_ASKED}, {Q.QUERY_TERMS}, all_ranks AS (SELECT dataset, url, pr FROM ranks), "
+    f"{SCORED}, {Q.padded('scored', 'asked')} {SHOWN}",
+)
+def page_search(spark, sf_dir):
+    datasets = B.seeds(spark, sf_dir).select("dataset")
+    asked = B.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(datasets.limit(100))).select(
+        F.col("item_id").alias("query_id"), "dataset", "text", F.lit(True).alias("boost"), F.lit("10").alias("limit")
+    )
+    return rounded(S.search(page_index(spark, sf_dir), asked, page_ranks(spark, sf_dir)), "score", "pr")
+
+
+def _scored(spark, sf_dir):
+    """Scored candidates of the batch, with the rank of each."""
+    weights = materialize(_weights(spark, sf_dir), "weights")
+    index = document_index(spark, sf_dir)
+    dots = S.dot_products(S.matches(weights, S.push_words(index.postings, weights)))
+    ranks = index.docs.select("dataset", "doc", "url").join(B.document_ranks(spark, sf_dir), ["dataset", "url"], "left")
+    return dots.join(S.query_norms(weights), S.QUERY).join(ranks, ["dataset", "doc"]).join(
+        _asked(spark, sf_dir).select("query_id", "dataset", "boost", "limit"), S.QUERY
+    )
+
+
+@query("bst1_rank_boost", f"WITH {ASKED}, all_ranks AS (SELECT * FROM doc_ranks), {SCORED} SELECT query_id, dataset, doc, {R9.format('score')} FROM scored")
+def rank_boost(spark, sf_dir):
+    cosine = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
+    score = T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
+    return _scored(spark, sf_dir).select("query_id", "dataset", "doc", F.round(score, 9).alias("score"))
+
+
+@query("tk2_top_results", f"WITH {BATCH} SELECT query_id, dataset, doc, position FROM best")
+def top_results(spark, sf_dir):
+    cosine = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
+    score = T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
+    scored = _scored(spark, sf_dir).withColumn("score", score)
+    return S.top_matches(scored, T.clamp_limit(F.col("limit")), "place", "doc").select("query_id", "dataset", "doc", "position")
+
+
+def _half(spark, sf_dir):
+    """Top results of a request too rare to fill its limit."""
+    index = document_index(spark, sf_dir)
+    asked = _fixed(spark, sf_dir, "unwhord thand", limit="50").withColumn("max_results", F.lit(50))
+    words = S.query_terms(asked)
+    weights = materialize(S.query_weights(S.known_terms(words, index.terms)), "weights")
+    dots = S.dot_products(S.matches(weights, index.postings)).join(S.query_norms(weights), S.QUERY)
+    scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag")))
+    return index, asked, materialize(S.top_matches(scored, 50, "place", "doc"), "top")
+
+
+HALF = _single_sql("unwhord thand", "false", 50)
+
+
+@query("pad1_padded_results", f"WITH {HALF} SELECT query_id, dataset, doc, position, {R9.format('score')} FROM results")
+def padded_results(spark, sf_dir):
+    index, asked, top = _half(spark, sf_dir)
+    return rounded(S.pad(top, asked, index.docs), "score")
+
+
+@query("jn9_unmatched_documents", f"WITH {HALF} SELECT d.dataset, d.doc FROM docs d WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.dataset = d.dataset AND b.doc = d.doc)")
+def unmatched_documents(spark, sf_dir):
+    index, _, top = _half(spark, sf_dir)
+    return index.docs.select("dataset", "doc").join(top, ["dataset", "doc"], "left_anti")
+
+
+@query("set3_results_then_padding", f"WITH {HALF} SELECT dataset, score > 0 AS matched, count(*) AS n FROM results GROUP BY 1, 2")
+def results_then_padding(spark, sf_dir):
+    index, asked, top = _half(spark, sf_dir)
+    return S.pad(top, asked, index.docs).groupBy("dataset", (F.col("score") > 0).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tk6_first_documents",
+    f"WITH {Q.DOCS} SELECT dataset, doc, url FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY doc) AS n FROM docs) WHERE n <= 10",
+)
+def first_documents(spark, sf_dir):
+    """What a request without any known word gets."""
+    index = document_index(spark, sf_dir)
+    asked = _fixed(spark, sf_dir, "").select("query_id", "dataset", F.lit(10).alias("max_results"))
+    nothing = index.docs.select(F.lit(0).cast("long").alias("query_id"), "dataset", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("position")).where("false")
+    return S.pad(nothing, asked, index.docs).join(index.docs, ["dataset", "doc"]).select("dataset", "doc", "url")
+
+
+@query("snk6_result_document", f"""WITH {BATCH}, shown AS ({SHOWN})
+  SELECT query_id, dataset, string_agg(url || ' ' || title, ' ' ORDER BY position) AS listed FROM shown GROUP BY 1, 2""")
+def result_document(spark, sf_dir):
+    body = S.result_document(batch_search(spark, sf_dir))
+    path = scratch_path(spark, "results")
+    body.write.json(path)
+    back = spark.read.schema("query_id bigint, dataset string, body string").json(path)
+    parsed = F.from_json("body", "result array<struct<url:string,score:double,title:string,pr:double>>")["result"]
+    listed = F.transform(parsed, lambda r: F.concat(r["url"], F.lit(" "), r["title"]))
+    return back.select("query_id", "dataset", F.array_join(listed, " ").alias("listed"))
+
+
+# ---- query-space variants ---------------------------------------------------------------------------------
+
+SPACE = f"""spaced AS (SELECT query_id, dataset, doc, 0 AS tie, CASE WHEN q_mag * shared_mag = 0 THEN 0.0 ELSE dot / (q_mag * shared_mag) END AS score
+  FROM dots JOIN qnorms USING (query_id, dataset)),
+answerable AS (SELECT DISTINCT query_id, dataset, 10 AS max_results FROM known), {Q.padded('spaced', 'answerable')}"""
+SPACE_SHOWN = "SELECT query_id, dataset, position, url, round(score, 9) AS score FROM results JOIN docs USING (dataset, doc)"
+
+
+@query("srch2_query_space_search", f"WITH {ASKED}, {SPACE} {SPACE_SHOWN}")
+def query_space_search(spark, sf_dir):
+    return rounded(S.search_query_space(document_index(spark, sf_dir), _asked(spark, sf_dir)), "score")
+
+
+@query("tk3_ten_best", f"WITH {ASKED}, {SPACE} SELECT query_id, dataset, doc, position FROM best")
+def ten_best(spark, sf_dir):
+    weights = materialize(_weights(spark, sf_dir), "weights")
+    index = document_index(spark, sf_dir)
+    dots = S.dot_products(S.matches(weights, S.push_words(index.postings, weights))).join(S.query_norms(weights), S.QUERY)
+    scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")))
+    return S.top_matches(scored, S.FIXED_LIMIT, "doc").select("query_id", "dataset", "doc", "position")
+
+
+def _variant_sql(asked: str, split, query_text: str, doc_text: str, all_queries: bool = True) -> str:
+    """Two frequency tables, one per text; ``docs`` has both texts."""
+    return f"""{asked},
+qtok AS (SELECT query_id, dataset, {split('text')} AS w FROM asked),
+qterms AS MATERIALIZED (SELECT query_id, dataset, total, term, count(*) AS count FROM (
+  SELECT query_id, dataset, len(w) AS total, unnest(w) AS term FROM qtok) GROUP BY ALL),
+corpus AS MATERIALIZED (SELECT dataset, count(*) AS n FROM docs GROUP BY 1),
+qdf AS MATERIALIZED (SELECT dataset, term, count(DISTINCT doc) AS df FROM (
+  SELECT dataset, doc, unnest({split(query_text)}) AS term FROM docs) WHERE term IN (SELECT term FROM qterms) GROUP BY 1, 2),
+dcount AS MATERIALIZED (SELECT dataset, doc, total, term, count(*) AS count FROM (
+  SELECT dataset, doc, len(w) AS total, unnest(w) AS term FROM (SELECT dataset, doc, {split(doc_text)} AS w FROM docs))
+  WHERE term IN (SELECT term FROM qterms) GROUP BY ALL),
+ddf AS MATERIALIZED (SELECT dataset, term, count(*) AS df FROM dcount GROUP BY 1, 2),
+qw AS MATERIALIZED (SELECT query_id, dataset, term, log2(1 + count::DOUBLE / total) * {Q.idf('coalesce(df, 0)', 'n')} AS q_weight
+  FROM qterms LEFT JOIN qdf USING (dataset, term) JOIN corpus USING (dataset)),
+dw AS MATERIALIZED (SELECT dataset, term, doc, log2(1 + count::DOUBLE / total) * {Q.idf('df', 'n')} AS weight
+  FROM dcount JOIN ddf USING (dataset, term) JOIN corpus USING (dataset)),
+qn AS (SELECT query_id, dataset, sqrt(sum(q_weight * q_weight)) AS q_mag FROM qw GROUP BY 1, 2),
+pairs AS (SELECT query_id, dataset, doc, sum(q_weight * weight) AS dot, sqrt(sum(weight * weight)) AS d_mag FROM qw JOIN dw USING (dataset, term) GROUP BY 1, 2, 3),
+spaced AS (SELECT * FROM (SELECT query_id, dataset, doc, 0 AS tie, CASE WHEN q_mag * d_mag = 0 THEN 0.0 ELSE dot / (q_mag * d_mag) END AS score
+  FROM pairs JOIN qn USING (query_id, dataset)) WHERE score <> 0),
+ten AS (SELECT DISTINCT query_id, dataset, 10 AS max_results FROM asked), {Q.padded('spaced', 'ten')}"""
+
+
+@prepared
+def raw_pages(spark, sf_dir):
+    """Pages with raw content and paragraph text, empty paragraphs kept."""
+    pages = open_crawl(spark, sf_dir).pages.select(
+        "dataset", "seq", "url", F.col("content").alias("raw"), H.paragraph_text_keep_empty(F.col("content")).alias("text")
+    )
+    return materialize(I.dense_number(pages, ["seq", "dataset", "url"], "doc"), "raw-pages")
+
+
+RAW_DOCS = f"""docs AS MATERIALIZED (SELECT dataset, row_number() OVER (ORDER BY seq, dataset, url) - 1 AS doc, url, content AS raw,
+  {Q.paragraphs('content', True)} AS text FROM page)"""
+
+
+def _page_requests(spark, sf_dir):
+    datasets = B.seeds(spark, sf_dir).select("dataset")
+    return B.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(datasets.limit(100))).select(
+        F.col("item_id").alias("query_id"), "dataset", "text"
+    )
+
+
+PAGE_REQUESTS = "asked AS MATERIALIZED (SELECT item_id AS query_id, d.dataset, text FROM benchmark, (SELECT DISTINCT dataset FROM page) d)"
+
+
+@query(
+    "srch3_case_sensitive_search",
+    f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.raw_words, 'raw', 'text')} {SPACE_SHOWN}",
+)
+def case_sensitive_search(spark, sf_dir):
+    found = S.search_texts(_page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.raw_tokens)
+    return rounded(found, "score")
+
+
+@query(
+    "srch4_scores_on_texts",
+    f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.words, 'raw', 'text')} SELECT query_id, dataset, doc, {R9.format('score')} FROM spaced",
+)
+def scores_on_texts(spark, sf_dir):
+    found = S.score_texts(_page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.tokens)
+    return rounded(found, "score")

@@ -90,8 +90,8 @@ def _stored_twice(spark, sf_dir):
         (F.col("fetched_at") + F.expr("INTERVAL 1 DAY")).alias("fetched_at"),
     )
     path = scratch_path(spark, "page-store")
-    P.upsert_pages(spark, path, first, found.fetched)
-    P.upsert_pages(spark, path, second, found.fetched)
+    P.upsert_pages(spark, path, first, found.fetched, buckets=4)
+    P.upsert_pages(spark, path, second, found.fetched, buckets=4)
     return P.scan_pages(spark, path)
 
 

@@ -9,7 +9,7 @@ from sparklens.plans.lineage import broadcast_if_small, materialize, settings
 
 PAGE_KEY = ["dataset", "url"]
 # folders per dataset; an upsert rewrites only the ones its keys fall into
-BUCKETS = 64
+BUCKETS = 256
 
 
 def scan_pages(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -71,23 +71,25 @@ def merge_link_set(stored: DataFrame, links: DataFrame) -> DataFrame:
     return stored.select("dataset", "src", "dst").unionByName(links.select("dataset", "src", "dst")).distinct()
 
 
-def upsert_pages(spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None) -> None:
+def upsert_pages(
+    spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None, buckets: int = BUCKETS
+) -> None:
     """Merge captures (and the links found in them) into the table at ``path``.
 
     The table is split by dataset and key hash. Only folders that a new key
-    falls into are read and replaced; replacing a folder with the same batch
+    falls into are read and replaced (``buckets`` is a property of the table); replacing a folder with the same batch
     again gives the same pages.
     """
     columns = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp, incoming_count bigint"
-    bucket = F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
     batch = materialize(captures.select("dataset", "url", "content", "outgoing", "fetched_at"), "captures")
     keys = batch.select("dataset", bucket.alias("bucket"))
     if links is not None:
         links = materialize(links.select("dataset", "src", "dst"), "links")
         keys = keys.unionByName(
-            links.select("dataset", F.pmod(F.xxhash64("dst"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+            links.select("dataset", F.pmod(F.xxhash64("dst"), F.lit(buckets)).cast("int").alias("bucket"))
         )
-    # at most datasets x BUCKETS rows
+    # at most datasets x buckets rows
     touched = materialize(keys.distinct(), "touched")
     try:
         stored = spark.read.schema(columns + ", bucket int").parquet(path)
@@ -99,6 +101,6 @@ def upsert_pages(spark: SparkSession, path: str, captures: DataFrame, links: Dat
     if links is not None:
         merged = merge_incoming(merged, links)
     # written aside first: a folder cannot be read and replaced in one job
-    merged = materialize(merged.withColumn("bucket", bucket), "merged")
+    merged = materialize(merged.withColumn("bucket", bucket), "merged").hint("rebalance", "dataset", "bucket")
     with settings(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
         merged.write.mode("overwrite").partitionBy("dataset", "bucket").parquet(path)
