@@ -8,6 +8,11 @@ from sparklens.plans.lineage import materialize
 from sparklens.plans.shaping import dense_number
 
 
+# configured datasets: languages of the documents, domains of the captured pages
+LANGUAGES = ("de", "en", "es", "fr")
+DOMAINS = ("example.com", "example.net", "example.org")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -73,18 +78,34 @@ def document_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def for_datasets(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Repeat rows once per configured dataset."""
+    return rows.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+
+
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text asked of every language."""
-    datasets = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")).distinct()
-    items = table(spark, sf_dir, "benchmark")
-    # a handful of languages: each request is repeated once per language
-    return items.join(F.broadcast(datasets.limit(100)), how="cross").select(
+    """Every benchmark text asked of every language, with varying limit and boost."""
+    asked = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        "dataset",
         "text",
         (F.col("item_id") % 2 == 1).alias("boost"),
         (F.col("item_id") % 12).cast("string").alias("limit"),
     )
+    return for_datasets(asked, LANGUAGES)
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text asked of every crawled dataset, boosted."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text", F.lit(True).alias("boost"), F.lit("10").alias("limit")
+    )
+    return for_datasets(asked, DOMAINS)
+
+
+def fixed_request(spark: SparkSession, text: str, boost: bool = False, limit: str | None = None) -> DataFrame:
+    """One request asked of every language."""
+    one = spark.createDataFrame([(0, text, boost, limit)], "query_id bigint, text string, boost boolean, limit string")
+    return for_datasets(one, LANGUAGES)
 
 
 def succession_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -210,16 +210,7 @@ def batch_search(spark, sf_dir):
     return rounded(found, "score", "pr")
 
 
-def _fixed(spark, sf_dir, words, boost=False, limit=None):
-    """The same request for every language."""
-    datasets = B.table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")).distinct()
-    return datasets.select(
-        F.lit(0).cast("long").alias("query_id"), "dataset", F.lit(words).alias("text"), F.lit(boost).alias("boost"),
-        F.lit(limit).cast("string").alias("limit"),
-    )
-
-
-def _fixed_sql(words, boost="false", limit="NULL", split=Q.words):
+def _fixed_sql(words, boost="false", limit="NULL"):
     return f"""asked AS MATERIALIZED (SELECT DISTINCT 0 AS query_id, lang AS dataset, '{words}' AS text, {boost} AS boost,
     {Q.clamp(f"{limit}::VARCHAR")} AS max_results FROM documents)"""
 
@@ -233,19 +224,19 @@ def _single_sql(words, boost, limit, ranks="doc_ranks"):
 
 @query("srch1_search", f"WITH {_single_sql(REQUEST, 'false', 'NULL')} {SHOWN}")
 def single_search(spark, sf_dir):
-    found = S.search(document_index(spark, sf_dir), _fixed(spark, sf_dir, REQUEST), B.document_ranks(spark, sf_dir))
+    found = S.search(document_index(spark, sf_dir), B.fixed_request(spark, REQUEST), B.document_ranks(spark, sf_dir))
     return rounded(found, "score", "pr")
 
 
 @query("srch1_search_boosted", f"WITH {_single_sql(REQUEST, 'true', 12)} {SHOWN}")
 def boosted_search(spark, sf_dir):
-    asked = _fixed(spark, sf_dir, REQUEST, boost=True, limit="12")
+    asked = B.fixed_request(spark, REQUEST, boost=True, limit="12")
     return rounded(S.search(document_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
 
 
 @query("srch1_search_unknown", f"WITH {_single_sql('qqq zzz1', 'false', 5)} {SHOWN}")
 def unknown_search(spark, sf_dir):
-    asked = _fixed(spark, sf_dir, "qqq zzz1", limit="5")
+    asked = B.fixed_request(spark, "qqq zzz1", limit="5")
     return rounded(S.search(document_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
 
 
@@ -260,10 +251,7 @@ PAGE_ASKED = f"""asked AS MATERIALIZED (
     f"{SCORED}, {Q.padded('scored', 'asked')} {SHOWN}",
 )
 def page_search(spark, sf_dir):
-    datasets = B.seeds(spark, sf_dir).select("dataset")
-    asked = B.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(datasets.limit(100))).select(
-        F.col("item_id").alias("query_id"), "dataset", "text", F.lit(True).alias("boost"), F.lit("10").alias("limit")
-    )
+    asked = B.page_requests(spark, sf_dir)
     return rounded(S.search(page_index(spark, sf_dir), asked, page_ranks(spark, sf_dir)), "score", "pr")
 
 
@@ -296,7 +284,7 @@ def top_results(spark, sf_dir):
 def _half(spark, sf_dir):
     """Top results of a request too rare to fill its limit."""
     index = document_index(spark, sf_dir)
-    asked = _fixed(spark, sf_dir, "unwhord thand", limit="50").withColumn("max_results", F.lit(50))
+    asked = B.fixed_request(spark, "unwhord thand", limit="50").withColumn("max_results", F.lit(50))
     words = S.query_terms(asked)
     weights = materialize(S.query_weights(S.known_terms(words, index.terms)), "weights")
     dots = S.dot_products(S.matches(weights, index.postings)).join(S.query_norms(weights), S.QUERY)
@@ -332,7 +320,7 @@ def results_then_padding(spark, sf_dir):
 def first_documents(spark, sf_dir):
     """What a request without any known word gets."""
     index = document_index(spark, sf_dir)
-    asked = _fixed(spark, sf_dir, "").select("query_id", "dataset", F.lit(10).alias("max_results"))
+    asked = B.fixed_request(spark, "").select("query_id", "dataset", F.lit(10).alias("max_results"))
     nothing = index.docs.select(F.lit(0).cast("long").alias("query_id"), "dataset", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("position")).where("false")
     return S.pad(nothing, asked, index.docs).join(index.docs, ["dataset", "doc"]).select("dataset", "doc", "url")
 
@@ -408,13 +396,6 @@ RAW_DOCS = f"""docs AS MATERIALIZED (SELECT dataset, row_number() OVER (ORDER BY
   {Q.paragraphs('content', True)} AS text FROM page)"""
 
 
-def _page_requests(spark, sf_dir):
-    datasets = B.seeds(spark, sf_dir).select("dataset")
-    return B.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(datasets.limit(100))).select(
-        F.col("item_id").alias("query_id"), "dataset", "text"
-    )
-
-
 PAGE_REQUESTS = "asked AS MATERIALIZED (SELECT item_id AS query_id, d.dataset, text FROM benchmark, (SELECT DISTINCT dataset FROM page) d)"
 
 
@@ -423,7 +404,7 @@ PAGE_REQUESTS = "asked AS MATERIALIZED (SELECT item_id AS query_id, d.dataset, t
     f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.raw_words, 'raw', 'text')} {SPACE_SHOWN}",
 )
 def case_sensitive_search(spark, sf_dir):
-    found = S.search_texts(_page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.raw_tokens)
+    found = S.search_texts(B.page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.raw_tokens)
     return rounded(found, "score")
 
 
@@ -432,5 +413,5 @@ def case_sensitive_search(spark, sf_dir):
     f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.words, 'raw', 'text')} SELECT query_id, dataset, doc, {R9.format('score')} FROM spaced",
 )
 def scores_on_texts(spark, sf_dir):
-    found = S.score_texts(_page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.tokens)
+    found = S.score_texts(B.page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.tokens)
     return rounded(found, "score")
