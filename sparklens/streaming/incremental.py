@@ -1,0 +1,133 @@
+"""Incremental forms of the writing jobs as Structured Streaming micro-batches.
+
+Each function starts a query that works off everything that has arrived and stops;
+running it again later goes on from its checkpoint. A batch writes below its own
+number, so repeating a batch after a failure replaces its output.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
+
+from sparklens.operators import orders as O, reviews as R
+from sparklens.operators.links import fetched_links, latest_captures, outgoing_lists
+from sparklens.plans.lineage import materialize, settings
+from sparklens.sources.pages import BUCKETS, upsert_pages
+
+
+def _run(stream: DataFrame, handle, checkpoint: str, mode: str = "append", state_partitions: int | None = None) -> None:
+    """Work off what is there, in micro-batches, and wait for the end."""
+
+    def start() -> StreamingQuery:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).foreachBatch(handle).start()
+
+    if state_partitions is None:
+        start().awaitTermination()
+    else:
+        # the number of state partitions is fixed by the first run of a checkpoint
+        with settings(stream.sparkSession, spark__sql__shuffle__partitions=str(state_partitions)):
+            start().awaitTermination()
+
+
+def _batch_path(path: str, batch: int) -> str:
+    return f"{path}/batch={batch}"
+
+
+def ingest_captures(stream: DataFrame, prefixes: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Upsert captured pages, with the links found in them, into the page table at ``path``.
+
+    Only the counter of incoming links would grow if a batch were repeated, as it
+    does when a page is captured again; content and links come out the same.
+    """
+
+    def handle(batch: DataFrame, _: int) -> None:
+        captures = materialize(batch, "batch")
+        links = materialize(fetched_links(captures, prefixes), "batch-links")
+        newest = latest_captures(captures)
+        current = links.join(newest.select("dataset", "seq"), ["dataset", "seq"], "left_semi")
+        pages = newest.join(outgoing_lists(current), ["dataset", "url"], "left").select(
+            "dataset",
+            "url",
+            F.col("html").alias("content"),
+            F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing"),
+            "fetched_at",
+        )
+        upsert_pages(batch.sparkSession, path, pages, links, buckets)
+
+    _run(stream, handle, checkpoint)
+
+
+def count_in_degrees(stream: DataFrame, path: str, checkpoint: str, state_partitions: int = 200) -> None:
+    """Count distinct sources per target of a stream of ``dataset, src, dst``.
+
+    Only counts that changed are written. The set of links seen is the state; it
+    grows with the graph, as there is no time after which a link may be forgotten.
+    """
+    counts = (
+        stream.dropDuplicates(["dataset", "src", "dst"])
+        .groupBy("dataset", F.col("dst").alias("url"))
+        .agg(F.count(F.lit(1)).alias("in_degree"))
+    )
+
+    def handle(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(_batch_path(path, batch))
+
+    _run(counts, handle, checkpoint, "update", state_partitions)
+
+
+def latest_in_degrees(spark: SparkSession, path: str) -> DataFrame:
+    """Current counts; a count only ever grows, so the largest one is the latest."""
+    return spark.read.parquet(path).groupBy("dataset", "url").agg(F.max("in_degree").alias("in_degree"))
+
+
+def allocate_orders(
+    stream: DataFrame, products: DataFrame, path: str, checkpoint: str, arrival: list[str]
+) -> None:
+    """Decide arriving orders against the stock left by all earlier batches.
+
+    ``stream`` has ``order_id, username, cart`` and the arrival columns. Orders must
+    come in batches that follow arrival order. Decisions go to ``path/decisions``,
+    the stock after each batch to ``path/stock``.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        requests = materialize(batch, "batch")
+        stock = products if number == 0 else spark.read.parquet(_batch_path(f"{path}/stock", number - 1))
+        lines = materialize(O.cart_lines(requests), "batch-lines")
+        found = O.allocate(requests.select("order_id", "username", *arrival), lines, stock, arrival)
+        found.write.mode("overwrite").parquet(_batch_path(f"{path}/decisions", number))
+        decisions = spark.read.parquet(_batch_path(f"{path}/decisions", number))
+        O.stock_after(stock, lines, decisions).write.mode("overwrite").parquet(_batch_path(f"{path}/stock", number))
+
+    _run(stream, handle, checkpoint)
+
+
+def latest_stock(spark: SparkSession, path: str) -> DataFrame:
+    """Stock after the last batch."""
+    batches = spark.read.parquet(f"{path}/stock")
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.where(F.col("batch") == last).drop("batch")
+
+
+def validate_reviews(stream: DataFrame, products: DataFrame, path: str, checkpoint: str) -> None:
+    """Append valid reviews to ``path/accepted`` and the others, with their error, to ``path/rejected``."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        checked = materialize(batch, "checked")
+        R.accepted_reviews(checked).write.mode("overwrite").parquet(_batch_path(f"{path}/accepted", number))
+        rejected = checked.where("error is not null")
+        rejected.write.mode("overwrite").parquet(_batch_path(f"{path}/rejected", number))
+
+    _run(R.check_reviews(stream, products), handle, checkpoint)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of an output, none if nothing was written."""
+    try:
+        return spark.read.parquet(path).drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
