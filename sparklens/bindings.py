@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklens.plans.lineage import materialize
+from sparklens.plans.lineage import materialize, spread
 from sparklens.plans.shaping import dense_number
 
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers and parts that trade, linked in both directions."""
     lines = table(spark, sf_dir, "lineitem").select(

@@ -11,7 +11,7 @@ from sparklens.entries.registry import prepared, query
 from sparklens.entries.web import open_crawl
 from sparklens.functions import html as H, text as T
 from sparklens.operators import index as I, links as L, search as S
-from sparklens.plans.lineage import materialize, scratch_path
+from sparklens.plans.lineage import materialize, scratch_path, spread
 
 R9 = "round({0}, 9) AS {0}"
 INDEX = f"{Q.DOCS}, {Q.INDEX}"
@@ -64,7 +64,7 @@ def term_counts(spark, sf_dir):
 
 @query("ag2_word_totals", f"SELECT lang AS dataset, doc_id AS doc, len({Q.words('text')}) AS total_words FROM documents")
 def word_totals(spark, sf_dir):
-    return I.tokenised(B.documents(spark, sf_dir)).select("dataset", "doc", "total_words")
+    return I.tokenised(spread(B.documents(spark, sf_dir))).select("dataset", "doc", "total_words")
 
 
 @query("ag3_document_frequency", f"WITH {INDEX} SELECT dataset, term, df FROM terms")
@@ -111,7 +111,7 @@ def page_index_docs(spark, sf_dir):
 
 @query("idx2_tokenised_documents", f"SELECT lang AS dataset, doc_id AS doc, array_to_string({Q.words('text')}, ' ') AS words FROM documents")
 def tokenised_documents(spark, sf_dir):
-    return I.tokenised(B.documents(spark, sf_dir)).select("dataset", "doc", F.array_join("tokens", " ").alias("words"))
+    return I.tokenised(spread(B.documents(spark, sf_dir))).select("dataset", "doc", F.array_join("tokens", " ").alias("words"))
 
 
 @query("fn3_term_frequency", f"WITH {INDEX} SELECT dataset, doc, term, round(count::DOUBLE / total_words, 9) AS tf FROM counts")
@@ -184,7 +184,7 @@ def document_vector(spark, sf_dir):
 
 @query("clp1_limits", f"SELECT doc_id, {Q.clamp('text')} AS of_text, {Q.clamp('(doc_id - 20)::VARCHAR')} AS of_number FROM documents")
 def limits(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents")
+    docs = B.texts(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", T.clamp_limit(F.col("text")).alias("of_text"),
         T.clamp_limit((F.col("doc_id") - 20).cast("string")).alias("of_number"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparklens.functions.text import WHITE
+from sparklens.functions.text import HIGH_WHITE, LOW_WHITE
+
+WHITE = f"[{LOW_WHITE}{HIGH_WHITE}]"
 
 
 def trim(x: str) -> str:

@@ -125,12 +125,12 @@ def incoming_upsert(spark, sf_dir):
 @query("fn1_words", f"SELECT doc_id, array_to_string({Q.words('text')}, ' ') AS words, len({Q.words('text')}) AS n FROM documents")
 def words(spark, sf_dir):
     tokens = T.tokens(F.col("text"))
-    return B.table(spark, sf_dir, "documents").select("doc_id", joined(tokens).alias("words"), F.size(tokens).alias("n"))
+    return B.texts(spark, sf_dir, "documents").select("doc_id", joined(tokens).alias("words"), F.size(tokens).alias("n"))
 
 
 @query("fn2_raw_words", f"SELECT doc_id, array_to_string({Q.raw_words('text')}, '|') AS words FROM documents")
 def raw_words(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", joined(T.raw_tokens(F.col("text")), "|").alias("words"))
+    return B.texts(spark, sf_dir, "documents").select("doc_id", joined(T.raw_tokens(F.col("text")), "|").alias("words"))
 
 
 BASE_DIR = "regexp_extract(url, '^(https?://[^/?#]+/(?:[^?#]*/)?)', 1)"
@@ -173,7 +173,7 @@ def resolve_links(spark, sf_dir):
 
 @query("fn7_directory", f"SELECT page_id, {BASE_DIR} AS directory FROM pages")
 def directory(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id", U.directory_prefix(F.col("url")).alias("directory"))
+    return B.texts(spark, sf_dir, "pages").select("page_id", U.directory_prefix(F.col("url")).alias("directory"))
 
 
 @query(
@@ -181,7 +181,7 @@ def directory(spark, sf_dir):
     f"SELECT page_id, {Q.encode_component('url')} AS encoded, {Q.encode_component(Q.title('html'))} AS encoded_title FROM pages",
 )
 def encode_component(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select(
+    return B.texts(spark, sf_dir, "pages").select(
         "page_id", U.encode_component(F.col("url")).alias("encoded"),
         U.encode_component(H.page_title(F.col("html"))).alias("encoded_title"),
     )
@@ -190,7 +190,7 @@ def encode_component(spark, sf_dir):
 @query("fn9_trim", f"SELECT doc_id, {Q.trim('chr(160) || chr(9) || text || chr(8195)')} AS trimmed FROM documents")
 def trim(spark, sf_dir):
     edge = F.concat(F.lit(" \t"), "text", F.lit(" "))
-    return B.table(spark, sf_dir, "documents").select("doc_id", T.trim_white(edge).alias("trimmed"))
+    return B.texts(spark, sf_dir, "documents").select("doc_id", T.trim_white(edge).alias("trimmed"))
 
 
 @query(
@@ -236,24 +236,24 @@ def json_both_ways(spark, sf_dir):
 
 @query("fn15_last_part", "SELECT page_id, string_split(url, '/')[-1] AS part FROM pages")
 def last_part(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id", U.last_part(F.col("url")).alias("part"))
+    return B.texts(spark, sf_dir, "pages").select("page_id", U.last_part(F.col("url")).alias("part"))
 
 
 # ---- text and links of pages ----------------------------------------------------------------------
 
 @query("html1_paragraphs", f"SELECT page_id, {Q.paragraphs('html')} AS text FROM pages")
 def paragraphs(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id", H.paragraph_text(F.col("html")).alias("text"))
+    return B.texts(spark, sf_dir, "pages").select("page_id", H.paragraph_text(F.col("html")).alias("text"))
 
 
 @query("html2_title", f"SELECT page_id, {Q.title('html')} AS title FROM pages")
 def title(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+    return B.texts(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
 
 @query("html3_paragraphs_keep_empty", f"SELECT page_id, {Q.paragraphs('html', True)} AS text FROM pages")
 def paragraphs_keep_empty(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id", H.paragraph_text_keep_empty(F.col("html")).alias("text"))
+    return B.texts(spark, sf_dir, "pages").select("page_id", H.paragraph_text_keep_empty(F.col("html")).alias("text"))
 
 
 @query("html4_link_values", f"WITH {Q.CAPTURES}, {Q.RAW_LINKS} SELECT dataset, src, position, href FROM raw_links")
@@ -469,7 +469,8 @@ def unvisited_links(spark, sf_dir):
 
 @query(
     "chk2_page_keys",
-    f"WITH {Q.CAPTURES} SELECT dataset, url, count(*) AS copies FROM captures GROUP BY 1, 2 HAVING count(*) > 1",
+    f"WITH {Q.CAPTURES} SELECT dataset, url, 2 * count(*) AS copies FROM captures GROUP BY 1, 2",
 )
 def page_keys(spark, sf_dir):
-    return integrity.duplicate_keys(B.captures(spark, sf_dir), ["dataset", "url"])
+    captures = B.captures(spark, sf_dir).select("dataset", "url")
+    return integrity.duplicate_keys(captures.unionByName(captures), ["dataset", "url"])

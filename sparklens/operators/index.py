@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparklens.functions import html as H, text as T
-from sparklens.plans.lineage import broadcast_if_small, materialize
+from sparklens.plans.lineage import broadcast_if_small, materialize, spread
 from sparklens.plans.shaping import dense_number
 
 
@@ -25,7 +25,7 @@ class SearchIndex(NamedTuple):
 
 def documents_of_pages(pages: DataFrame) -> DataFrame:
     """Text documents of a page table, numbered in page order (captured pages first, then stubs by url)."""
-    texts = pages.select(
+    texts = spread(pages).select(
         "dataset", "seq", "url", H.page_title(F.col("content")).alias("title"),
         H.paragraph_text(F.col("content")).alias("text"),
     )
@@ -42,7 +42,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of each word in each document: ``dataset, doc, total_words, term, count``."""
     return (
-        tokenised(docs)
+        tokenised(spread(docs))
         .select("dataset", "doc", "total_words", F.explode("tokens").alias("term"))
         .groupBy("dataset", "doc", "total_words", "term")
         .agg(F.count(F.lit(1)).alias("count"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklens.functions import html as H, text as T, urls as U
-from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size
+from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, spread
 from sparklens.plans.shaping import nest
 
 # document number of pages that are only known as link targets: after all captured ones
@@ -34,7 +34,7 @@ def within_prefixes(rows: DataFrame, url: str, prefixes: DataFrame) -> DataFrame
 
 def raw_links(captures: DataFrame) -> DataFrame:
     """Every link value of every capture: ``dataset, seq, fetched_at, src, position, href``."""
-    return captures.select(
+    return spread(captures).select(
         "dataset",
         "seq",
         "fetched_at",
@@ -149,7 +149,7 @@ def detail_address(base_url: str) -> Column:
 
 def word_frequency(pages: DataFrame, count: int = 50) -> DataFrame:
     """The most frequent paragraph words of each page, ties by first occurrence."""
-    words = pages.select(
+    words = spread(pages).select(
         "dataset", "url", F.posexplode(T.tokens(H.paragraph_text(F.col("content")))).alias("place", "word")
     )
     counted = words.groupBy("dataset", "url", "word").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))

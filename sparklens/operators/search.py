@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklens.functions import text as T
 from sparklens.operators.index import SearchIndex
-from sparklens.plans.lineage import broadcast_if_small, materialize
+from sparklens.plans.lineage import broadcast_if_small, materialize, spread
 
 MAX_LIMIT = 50
 FIXED_LIMIT = 10
@@ -176,7 +176,7 @@ def search_query_space(index: SearchIndex, queries: DataFrame) -> DataFrame:
 
 def _frequencies_of(words: DataFrame, texts: DataFrame, column: str, split) -> DataFrame:
     """Document frequencies and counts of the given words in ``dataset, doc, <column>``."""
-    pieces = texts.select("dataset", "doc", split(F.col(column)).alias("words"))
+    pieces = spread(texts).select("dataset", "doc", split(F.col(column)).alias("words"))
     counts = (
         pieces.select("dataset", "doc", F.size("words").cast("long").alias("total_words"), F.explode("words").alias("term"))
         # the few query words are all that is counted

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from sparklens.functions import html, numbers, text, urls
@@ -8,28 +7,35 @@ def values(spark, rows, schema, *columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).coalesce(1).select(*columns).collect()]
 
 
+def check(spark, cases, column):
+    rows = [(i, given) for i, (given, _) in enumerate(cases)]
+    got = dict(values(spark, rows, "i int, v string", F.col("i"), column(F.col("v"))))
+    assert [got[i] for i in range(len(cases))] == [expected for _, expected in cases]
+
+
 def one(spark, value, column):
     return values(spark, [(value,)], "v string", column(F.col("v")))[0][0]
 
 
-@pytest.mark.parametrize(
-    "given, expected",
-    [
-        ("The  quick Fox\u000bjumps", ["the", "quick", "fox", "jumps"]),
-        (" 　﻿ ", []),
-        ("", []),
-        (None, []),
-        ("Don't stop, now.", ["don't", "stop,", "now."]),
-        ("\tlead and trail\n", ["lead", "and", "trail"]),
-    ],
-)
-def test_tokens(spark, given, expected):
-    assert one(spark, given, text.tokens) == expected
+TOKENS = [
+    ("The  quick Fox\u000bjumps", ["the", "quick", "fox", "jumps"]),
+    (" 　﻿ ", []),
+    ("", []),
+    (None, []),
+    ("Don't stop, now.", ["don't", "stop,", "now."]),
+    ("\tlead and trail\n", ["lead", "and", "trail"]),
+]
+
+
+def test_tokens(spark):
+    check(spark, TOKENS, text.tokens)
+
+
+RAW_TOKENS = [("", [""]), (" A b ", ["", "A", "b", ""]), ("A", ["A"])]
 
 
-@pytest.mark.parametrize("given, expected", [("", [""]), (" A b ", ["", "A", "b", ""]), ("A", ["A"])])
-def test_raw_tokens(spark, given, expected):
-    assert one(spark, given, text.raw_tokens) == expected
+def test_raw_tokens(spark):
+    check(spark, RAW_TOKENS, text.raw_tokens)
 
 
 def test_weights(spark):
@@ -44,66 +50,62 @@ def test_weights(spark):
     assert got == [(0.0, 0.0), (0.25, 1.0), (0.5, 0.0), (0.0, 1.0), (0.25, 0.0)]
 
 
-@pytest.mark.parametrize(
-    "given, expected",
-    [("5", 5), ("0", 10), ("-3", 1), ("99", 50), ("12x", 12), ("abc", 10), (None, 10), ("", 10), (" 7", 7),
-     ("9" * 60, 50), ("-" + "9" * 60, 1), ("1.9", 1)],
-)
-def test_clamp_limit(spark, given, expected):
-    assert one(spark, given, text.clamp_limit) == expected
-
-
-@pytest.mark.parametrize(
-    "given, expected",
-    [
-        ("<p>One</p><p> Two <b>bold</b> </p>", "One Two bold"),
-        ("<p>open <p>next<div>out</div>tail", "open next"),
-        ('<script>var t="</p><p>no";</script><p>yes</p>', "yes"),
-        ("<p>a<!-- <p>hidden</p> -->b</p>", "ab"),
-        ("<p>Tom &amp; Jerry &lt;3 &#65;&#x42;&copy;</p>", "Tom & Jerry <3 AB©"),
-        ("<p>&amp;lt;</p>", "&lt;"),
-        ("<p>&unknown; &amp</p>", "&unknown; &amp"),
-        ("<p></p><p> </p><p>x</p>", "x"),
-        ("<P class='a'>Cap</P>", "Cap"),
-        ("<pre>no</pre><param><p>yes<br>no gap</p>", "yesno gap"),
-        ("<p>one<article>in</article><p>two", "one two"),
-        ("no paragraphs", ""),
-        ("", ""),
-        (None, ""),
-        ("<p>in</p>out<p>in2</p>", "in in2"),
-    ],
-)
-def test_paragraph_text(spark, given, expected):
-    assert one(spark, given, html.paragraph_text) == expected
-
-
-@pytest.mark.parametrize(
-    "given, expected",
-    [
-        ("<p>a</p><p></p><p>b</p>", "a  b"),
-        ("<p> a </p>", "a"),
-        ("<p></p><p>b</p>", " b"),
-        ("<p>a</p><p></p>", "a "),
-        ("<p>a<div>x</div></p>", "a "),
-        ("", ""),
-    ],
-)
-def test_paragraph_text_keep_empty(spark, given, expected):
-    assert one(spark, given, html.paragraph_text_keep_empty) == expected
-
-
-@pytest.mark.parametrize(
-    "given, expected",
-    [
-        ("<title> A &amp; B </title><h1>H</h1>", "A & B"),
-        ("<title> </title><h1>H <i>x</i></h1>", "H x"),
-        ("<h2>none</h2>", "Untitled"),
-        ("", "Untitled"),
-        (None, "Untitled"),
-    ],
-)
-def test_page_title(spark, given, expected):
-    assert one(spark, given, html.page_title) == expected
+CLAMP_LIMIT = [("5", 5), ("0", 10), ("-3", 1), ("99", 50), ("12x", 12), ("abc", 10), (None, 10), ("", 10), (" 7", 7),
+ ("9" * 60, 50), ("-" + "9" * 60, 1), ("1.9", 1)]
+
+
+def test_clamp_limit(spark):
+    check(spark, CLAMP_LIMIT, text.clamp_limit)
+
+
+PARAGRAPH_TEXT = [
+    ("<p>One</p><p> Two <b>bold</b> </p>", "One Two bold"),
+    ("<p>open <p>next<div>out</div>tail", "open next"),
+    ('<script>var t="</p><p>no";</script><p>yes</p>', "yes"),
+    ("<p>a<!-- <p>hidden</p> -->b</p>", "ab"),
+    ("<p>Tom &amp; Jerry &lt;3 &#65;&#x42;&copy;</p>", "Tom & Jerry <3 AB©"),
+    ("<p>&amp;lt;</p>", "&lt;"),
+    ("<p>&unknown; &amp</p>", "&unknown; &amp"),
+    ("<p></p><p> </p><p>x</p>", "x"),
+    ("<P class='a'>Cap</P>", "Cap"),
+    ("<pre>no</pre><param><p>yes<br>no gap</p>", "yesno gap"),
+    ("<p>one<article>in</article><p>two", "one two"),
+    ("no paragraphs", ""),
+    ("", ""),
+    (None, ""),
+    ("<p>in</p>out<p>in2</p>", "in in2"),
+]
+
+
+def test_paragraph_text(spark):
+    check(spark, PARAGRAPH_TEXT, html.paragraph_text)
+
+
+PARAGRAPH_TEXT_KEEP_EMPTY = [
+    ("<p>a</p><p></p><p>b</p>", "a  b"),
+    ("<p> a </p>", "a"),
+    ("<p></p><p>b</p>", " b"),
+    ("<p>a</p><p></p>", "a "),
+    ("<p>a<div>x</div></p>", "a "),
+    ("", ""),
+]
+
+
+def test_paragraph_text_keep_empty(spark):
+    check(spark, PARAGRAPH_TEXT_KEEP_EMPTY, html.paragraph_text_keep_empty)
+
+
+PAGE_TITLE = [
+    ("<title> A &amp; B </title><h1>H</h1>", "A & B"),
+    ("<title> </title><h1>H <i>x</i></h1>", "H x"),
+    ("<h2>none</h2>", "Untitled"),
+    ("", "Untitled"),
+    (None, "Untitled"),
+]
+
+
+def test_page_title(spark):
+    check(spark, PAGE_TITLE, html.page_title)
 
 
 def test_link_values(spark):
@@ -171,10 +173,9 @@ def test_encode_component(spark):
     )
 
 
-@pytest.mark.parametrize(
-    "given, expected",
-    [("", 0.0), (" 12.5 ", 12.5), ("abc", None), (None, None), ("1e3", 1000.0), ("0x10", 16.0), ("12px", None),
-     (".5", 0.5), ("-1", -1.0)],
-)
-def test_lenient_number(spark, given, expected):
-    assert one(spark, given, numbers.lenient_number) == expected
+LENIENT_NUMBER = [("", 0.0), (" 12.5 ", 12.5), ("abc", None), (None, None), ("1e3", 1000.0), ("0x10", 16.0), ("12px", None),
+ (".5", 0.5), ("-1", -1.0)]
+
+
+def test_lenient_number(spark):
+    check(spark, LENIENT_NUMBER, numbers.lenient_number)
