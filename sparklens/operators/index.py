@@ -25,11 +25,13 @@ class SearchIndex(NamedTuple):
 
 def documents_of_pages(pages: DataFrame) -> DataFrame:
     """Text documents of a page table, numbered in page order (captured pages first, then stubs by url)."""
+    key = ["dataset", "url"]
     texts = spread(pages).select(
-        "dataset", "seq", "url", H.page_title(F.col("content")).alias("title"),
-        H.paragraph_text(F.col("content")).alias("text"),
+        *key, H.page_title(F.col("content")).alias("title"), H.paragraph_text(F.col("content")).alias("text")
     )
-    return dense_number(texts, ["seq", "dataset", "url"], "doc").drop("seq")
+    # only the keys are sorted; the texts join them once
+    numbers = dense_number(pages.select("seq", *key), ["seq", *key], "doc").drop("seq")
+    return texts.join(numbers, key)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:

@@ -205,9 +205,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None)
     links = edges.select("dataset", "src", "dst").distinct()
     parts = layout_size(spark, links.count())
     keys = ["dataset", "url"]
-    known = cut(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)))
-    levels = 0
     with fixed_layout(spark, parts):
+        # known pages keep one partitioning, so that no step has to move them again
+        known = cut(seeds.select(*keys).distinct().repartition(parts, *keys).withColumn("depth", F.lit(0)))
+        levels = 0
         ways = 1 if parts == 1 else 8
         layout = cut(
             links.withColumn("way", F.pmod(F.xxhash64("dst"), F.lit(ways))).repartition(parts, "dataset", "src", "way")

@@ -143,7 +143,8 @@ def search(index: SearchIndex, queries: DataFrame, ranks: DataFrame | None = Non
         query_norms(weights), QUERY
     ).join(asked.select(*QUERY, "boost", "max_results"), QUERY)
     score = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
-    if ranks is not None:
+    # without a boosted request, ranks are only needed for the few results shown
+    if ranks is not None and asked.where("boost").limit(1).count():
         ranked_docs = index.docs.select("dataset", "doc", "url").join(
             ranks.select("dataset", "url", "pr"), ["dataset", "url"]
         ).select("dataset", "doc", "pr")

@@ -29,8 +29,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/sparklens/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the scratch folder, in the folder of this application."""
+    application = spark.sparkContext.applicationId
+    return f"{scratch_root(spark).rstrip('/')}/sparklens/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -132,8 +132,6 @@ def test_name_filters_differ(spark):
 
 def test_page_upsert_leaves_other_folders_alone(spark, tmp_path):
     path = str(tmp_path / "pages")
-    schema = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp"
-
     def batch(rows):
         return spark.createDataFrame(rows, "dataset string, url string, content string, t string").select(
             "dataset", "url", "content", F.array(F.lit("x")).alias("outgoing"), F.to_timestamp("t").alias("fetched_at")
@@ -148,4 +146,3 @@ def test_page_upsert_leaves_other_folders_alone(spark, tmp_path):
     assert rows["d", "a"].content == "2" and rows["d", "a"].incoming_count == 1
     assert rows["d", "s"].content == "" and rows["d", "s"].incoming_count == 2 and rows["d", "s"].outgoing == []
     assert untouched == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages" / "dataset=e").rglob("*.parquet")}
-    assert schema
