@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklens.functions import html as H, text as T, urls as U
-from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, spread
+from sparklens.operators.pagerank import SOURCE_BLOCK
+from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, spread
 from sparklens.plans.shaping import nest
 
 # document number of pages that are only known as link targets: after all captured ones
@@ -193,33 +194,44 @@ def page_details(pages: DataFrame, links: DataFrame, current: DataFrame, ranks:
     )
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_pages: int | None = None) -> DataFrame:
+def reachable(
+    edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, source_block: int = SOURCE_BLOCK
+) -> DataFrame:
     """Pages reachable from the seeds: ``dataset, url, depth``.
 
     ``seeds`` holds ``dataset, url``. With ``max_pages`` each dataset stops once that
     many pages are known; new pages enter by depth, then url. Edges are laid out
-    once by source; a step joins only the newest pages to them. One page may be
-    the source of very many links, so the layout splits sources by target hash.
+    once by source, sources with more than ``source_block`` links in blocks; a step
+    joins only the newest pages to them.
     """
     spark = edges.sparkSession
-    links = edges.select("dataset", "src", "dst").distinct()
+    links = materialize(edges.select("dataset", "src", "dst").distinct(), "reach-links")
     parts = layout_size(spark, links.count())
-    keys = ["dataset", "url"]
+    keys, source = ["dataset", "url"], ["dataset", "src"]
+    hot = materialize(
+        links.groupBy(*source)
+        .agg(F.ceil(F.count(F.lit(1)) / source_block).alias("blocks"))
+        .where("blocks > 1"),
+        "reach-hot",
+    )
+    placed = source
+    if hot.limit(1).count():
+        hot, placed = broadcast_if_small(hot), [*source, "block"]
+        spread_over = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("blocks")), F.lit(0).cast("long"))
+        links = materialize(links.join(hot, source, "left").select(*source, "dst", spread_over.alias("block")), "reach-links")
     with fixed_layout(spark, parts):
         # known pages keep one partitioning, so that no step has to move them again
         known = cut(seeds.select(*keys).distinct().repartition(parts, *keys).withColumn("depth", F.lit(0)))
-        levels = 0
-        ways = 1 if parts == 1 else 8
-        layout = cut(
-            links.withColumn("way", F.pmod(F.xxhash64("dst"), F.lit(ways))).repartition(parts, "dataset", "src", "way")
-        ).persist()
-        frontier, depth = known, 0
+        layout = cut(links.repartition(parts, *placed)).persist()
+        frontier, depth, levels = known, 0, 0
         while True:
             depth += 1
+            newest = frontier.select("dataset", F.col("url").alias("src"))
+            if "block" in placed:
+                every = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)
+                newest = newest.join(hot, source, "left").select(*source, F.explode(every).alias("block"))
             fresh = (
-                frontier.select("dataset", F.col("url").alias("src"))
-                .withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
-                .join(layout, ["dataset", "src", "way"])
+                newest.join(layout, placed)
                 .select("dataset", F.col("dst").alias("url"))
                 .distinct()
                 .join(known, keys, "left_anti")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklens.plans.lineage import cut
+from sparklens.plans.lineage import broadcast_if_small, cut, materialize
 
 # monotonically_increasing_id() keeps the row number in the low 33 bits
 _ROW_BITS = 33
@@ -49,27 +49,34 @@ def nest(
 
     A key with up to ``block_rows`` items gives one row with ``block`` 0. A
     larger key is spread by hash over as many blocks as it needs, so no task
-    and no array has to hold a whole hot group; nothing is dropped. ``item``
-    is a struct whose leading fields give the order inside a block.
+    and no array has to hold a whole hot group; nothing is dropped. Equal items
+    of a hot key are counted first, and many copies are spread in chunks.
+    ``item`` is a struct whose leading fields give the order inside a block.
     """
     keys = list(keys)
     items = rows.select(*keys, item.alias("_item"))
-    # only keys above the bound survive, so this side stays tiny and adaptive
-    # execution broadcasts it once its measured size allows
-    hot = (
-        items.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > block_rows)
-        .select(*keys, F.ceil(F.col("_n") / block_rows).alias("_blocks"))
+    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+    hot = materialize(counts.select(*keys, F.ceil(F.col("_n") / block_rows).alias("_blocks")), "hot-keys")
+    collected = F.sort_array(F.collect_list("_item")).alias(name)
+    if hot.limit(1).count() == 0:
+        return items.groupBy(*keys).agg(collected).select(*keys, F.lit(0).cast("long").alias("block"), name)
+
+    hot = broadcast_if_small(hot)
+    ordinary = items.join(hot, keys, "left_anti").groupBy(*keys).agg(collected)
+    copies = items.join(hot, keys).groupBy(*keys, "_item", "_blocks").agg(F.count(F.lit(1)).alias("_copies"))
+    chunk_count = F.ceil(F.col("_copies") / block_rows)
+    chunks = copies.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), chunk_count - 1)).alias("_chunk")
+    ).select(
+        *keys,
+        F.pmod(F.xxhash64(F.to_json(F.struct("_item")), "_chunk"), F.col("_blocks")).alias("block"),
+        "_item",
+        F.least(F.lit(block_rows), F.col("_copies") - F.col("_chunk") * block_rows).cast("int").alias("_here"),
     )
-    spread = F.when(
-        F.col("_blocks").isNotNull(), F.pmod(F.xxhash64(F.to_json(F.struct("_item"))), F.col("_blocks"))
-    ).otherwise(F.lit(0))
-    return (
-        items.join(hot, keys, "left")
-        .groupBy(*keys, spread.cast("long").alias("block"))
-        .agg(F.sort_array(F.collect_list("_item")).alias(name))
+    spread_out = chunks.groupBy(*keys, "block").agg(
+        F.sort_array(F.flatten(F.collect_list(F.array_repeat("_item", F.col("_here"))))).alias(name)
     )
+    return ordinary.select(*keys, F.lit(0).cast("long").alias("block"), name).unionByName(spread_out)
 
 
 def running_before(

@@ -76,7 +76,8 @@ def test_pagerank_of_no_pages(spark):
     assert R.pagerank(nodes.where("false"), edges.where("false")).count() == 0
 
 
-def test_reachable_with_and_without_budget(spark):
+@pytest.mark.parametrize("source_block", [R.SOURCE_BLOCK, 2])
+def test_reachable_with_and_without_budget(spark, source_block):
     _, es = GRAPHS["random"]
     edges = spark.createDataFrame([("d", a, b) for a, b in es], "dataset string, src string, dst string")
     seeds = spark.createDataFrame([("d", "n0")], "dataset string, url string")
@@ -88,8 +89,8 @@ def test_reachable_with_and_without_budget(spark):
             depth[n] = depth[frontier[0]] + 1
         order += fresh
         frontier = fresh
-    assert {r.url: r.depth for r in L.reachable(edges, seeds).collect()} == depth
-    assert sorted(r.url for r in L.reachable(edges, seeds, max_pages=9).collect()) == sorted(order[:9])
+    assert {r.url: r.depth for r in L.reachable(edges, seeds, source_block=source_block).collect()} == depth
+    assert sorted(r.url for r in L.reachable(edges, seeds, 9, source_block).collect()) == sorted(order[:9])
 
 
 CAPTURES = [

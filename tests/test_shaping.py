@@ -30,6 +30,15 @@ def test_nest_splits_only_hot_keys_and_keeps_every_row(spark):
     assert sorted(v for b in by_key["hot"] for v in b) == list(range(200))
 
 
+def test_nest_spreads_copies_of_one_item(spark):
+    df = spark.createDataFrame([("hot", 1)] * 500 + [("hot", 2)] * 3 + [("cold", 1)] * 4, "k string, v int")
+    blocks = shaping.nest(df, ["k"], F.struct("v"), "vs", block_rows=20).collect()
+    hot = [len(b.vs) for b in blocks if b.k == "hot"]
+    assert len(hot) > 5 and max(hot) < 200
+    assert sorted(x.v for b in blocks if b.k == "hot" for x in b.vs) == [1] * 500 + [2] * 3
+    assert [[x.v for x in b.vs] for b in blocks if b.k == "cold"] == [[1] * 4]
+
+
 def test_running_before_over_spans(spark):
     rng = random.Random(3)
     rows = [("hot", p, rng.randint(1, 9)) for p in range(300)] + [("cold", p, 2) for p in range(0, 300, 37)]
