@@ -62,7 +62,7 @@ def compare(spark, con, sf_dir, name, function, sql):
 if __name__ == "__main__":
     sys.path.insert(0, ".")
     import __spark_entry__ as entry
-    from sparklens.session import build_session
+    from weftline.session import build_session
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session("compare", cores=8)

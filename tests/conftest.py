@@ -5,12 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sparklens.session import build_session  # noqa: E402
+from weftline.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("sparklens-tests", cores=4)
+    session = build_session("weftline-tests", cores=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

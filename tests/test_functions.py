@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sparklens.functions import html, numbers, text, urls
+from weftline.functions import html, numbers, text, urls
 
 
 def values(spark, rows, schema, *columns):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparklens.operators import links as L, pagerank as R
+from weftline.operators import links as L, pagerank as R
 
 
 def ranks_of(nodes, edges, alpha=0.1, epsilon=1e-4, max_steps=1000):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparklens.plans import shaping
+from weftline.plans import shaping
 
 
 def test_dense_number_is_contiguous_over_partitions(spark):

@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparklens.operators import catalog as C, orders as O, reviews as R
-from sparklens.sources import pages as P, products as SP
+from weftline.operators import catalog as C, orders as O, reviews as R
+from weftline.sources import pages as P, products as SP
 
 ORDERS = "order_id bigint, username string"
 LINES = "order_id bigint, line bigint, product_id bigint, quantity bigint"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklens.plans.lineage import materialize, spread
-from sparklens.plans.shaping import dense_number
+from weftline.plans.lineage import materialize, spread
+from weftline.plans.shaping import dense_number
 
 
 # configured datasets: languages of the documents, domains of the captured pages

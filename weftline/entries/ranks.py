@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparklens import bindings as B
-from sparklens.entries import sql as Q
-from sparklens.entries.registry import prepared, query
-from sparklens.entries.web import FREQUENCY, open_crawl
-from sparklens.operators import links as L, pagerank as R
-from sparklens.plans.lineage import materialize
+from weftline import bindings as B
+from weftline.entries import sql as Q
+from weftline.entries.registry import prepared, query
+from weftline.entries.web import FREQUENCY, open_crawl
+from weftline.operators import links as L, pagerank as R
+from weftline.plans.lineage import materialize
 
 ALL_GRAPHS = f"""{Q.OPEN_CRAWL},
 trade_lines AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparklens import bindings as B
-from sparklens.entries import sql as Q
-from sparklens.entries.ranks import PAGE_RANKS, page_ranks
-from sparklens.entries.registry import prepared, query
-from sparklens.entries.web import open_crawl
-from sparklens.functions import html as H, text as T
-from sparklens.operators import index as I, links as L, search as S
-from sparklens.plans.lineage import materialize, scratch_path, spread
+from weftline import bindings as B
+from weftline.entries import sql as Q
+from weftline.entries.ranks import PAGE_RANKS, page_ranks
+from weftline.entries.registry import prepared, query
+from weftline.entries.web import open_crawl
+from weftline.functions import html as H, text as T
+from weftline.operators import index as I, links as L, search as S
+from weftline.plans.lineage import materialize, scratch_path, spread
 
 R9 = "round({0}, 9) AS {0}"
 INDEX = f"{Q.DOCS}, {Q.INDEX}"
@@ -74,7 +74,7 @@ def document_frequency(spark, sf_dir):
 
 @query("ag4_postings_list", f"WITH {INDEX} SELECT dataset, term, string_agg(doc, ' ' ORDER BY doc) AS docs FROM counts GROUP BY 1, 2")
 def postings_list(spark, sf_dir):
-    from sparklens.plans.shaping import nest
+    from weftline.plans.shaping import nest
 
     postings = document_index(spark, sf_dir).postings
     lists = nest(postings, ["dataset", "term"], F.col("doc"), "docs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparklens.functions.text import HIGH_WHITE, LOW_WHITE
+from weftline.functions.text import HIGH_WHITE, LOW_WHITE
 
 WHITE = f"[{LOW_WHITE}{HIGH_WHITE}]"
 

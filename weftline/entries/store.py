@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparklens import bindings as B
-from sparklens.entries import sql as Q
-from sparklens.entries.registry import prepared, query
-from sparklens.functions import numbers as N
-from sparklens.operators import catalog as C, integrity as K, orders as O, reviews as R
-from sparklens.plans.lineage import materialize, scratch_path
-from sparklens.sources import products as P
+from weftline import bindings as B
+from weftline.entries import sql as Q
+from weftline.entries.registry import prepared, query
+from weftline.functions import numbers as N
+from weftline.operators import catalog as C, integrity as K, orders as O, reviews as R
+from weftline.plans.lineage import materialize, scratch_path
+from weftline.sources import products as P
 
 FLAT = "id, name, price, dim_x, dim_y, dim_z, stock"
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparklens import bindings as B
-from sparklens.entries import sql as Q
-from sparklens.entries.registry import ORACLES, query
-from sparklens.entries.store import CHECKED, order_requests
-from sparklens.operators import links as L
-from sparklens.plans.lineage import materialize, scratch_path
-from sparklens.plans.shaping import dense_number
-from sparklens.streaming import incremental as S
+from weftline import bindings as B
+from weftline.entries import sql as Q
+from weftline.entries.registry import ORACLES, query
+from weftline.entries.store import CHECKED, order_requests
+from weftline.operators import links as L
+from weftline.plans.lineage import materialize, scratch_path
+from weftline.plans.shaping import dense_number
+from weftline.streaming import incremental as S
 
 PARTS = 4
 

@@ -6,13 +6,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparklens import bindings as B
-from sparklens.entries import sql as Q
-from sparklens.entries.registry import prepared, query
-from sparklens.functions import html as H, text as T, urls as U
-from sparklens.operators import integrity, links as L
-from sparklens.plans.lineage import materialize, scratch_path
-from sparklens.sources import pages as P
+from weftline import bindings as B
+from weftline.entries import sql as Q
+from weftline.entries.registry import prepared, query
+from weftline.functions import html as H, text as T, urls as U
+from weftline.operators import integrity, links as L
+from weftline.plans.lineage import materialize, scratch_path
+from weftline.sources import pages as P
 
 BASE = "http://localhost:3000"
 

@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from sparklens.functions.text import WHITE, trim_white
+from weftline.functions.text import WHITE, trim_white
 
 _OPEN, _SHUT, _END_TAG = "\ufdd0", "\ufdd1", "\ufdd2"
 

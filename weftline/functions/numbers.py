@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparklens.functions.text import trim_white
+from weftline.functions.text import trim_white
 
 
 def lenient_number(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparklens.functions.text import trim_white
+from weftline.functions.text import trim_white
 
 # Link schemes that lead to no page.
 UNUSABLE_SCHEMES = ("mailto:", "javascript:", "tel:")

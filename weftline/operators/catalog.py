@@ -10,11 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparklens.functions.numbers import is_finite, is_whole, lenient_number
-from sparklens.functions.text import trim_white
-from sparklens.operators.reviews import with_reviews
-from sparklens.plans.lineage import materialize
-from sparklens.plans.shaping import dense_number
+from weftline.functions.numbers import is_finite, is_whole, lenient_number
+from weftline.functions.text import trim_white
+from weftline.operators.reviews import with_reviews
+from weftline.plans.lineage import materialize
+from weftline.plans.shaping import dense_number
 
 AXES = ("x", "y", "z")
 

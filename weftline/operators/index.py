@@ -12,9 +12,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sparklens.functions import html as H, text as T
-from sparklens.plans.lineage import broadcast_if_small, materialize, spread
-from sparklens.plans.shaping import dense_number
+from weftline.functions import html as H, text as T
+from weftline.plans.lineage import broadcast_if_small, materialize, spread
+from weftline.plans.shaping import dense_number
 
 
 class SearchIndex(NamedTuple):

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklens.functions import html as H, text as T, urls as U
-from sparklens.operators.pagerank import SOURCE_BLOCK
-from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, spread
-from sparklens.plans.shaping import nest
+from weftline.functions import html as H, text as T, urls as U
+from weftline.operators.pagerank import SOURCE_BLOCK
+from weftline.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, spread
+from weftline.plans.shaping import nest
 
 # document number of pages that are only known as link targets: after all captured ones
 STUB_SEQ = 1 << 62

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparklens.plans.lineage import cut, materialize
-from sparklens.plans.shaping import dense_number, nest, running_before
+from weftline.plans.lineage import cut, materialize
+from weftline.plans.shaping import dense_number, nest, running_before
 
 _LINE = ("line", "product_id", "quantity")
 # positions per running-sum span; a product has at most one row per position

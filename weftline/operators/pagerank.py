@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklens.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, settings
+from weftline.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, settings
 
 # links of one source page that share a partition; larger sources are split
 SOURCE_BLOCK = 500_000

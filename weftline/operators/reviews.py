@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparklens.functions.numbers import is_finite, lenient_number
-from sparklens.plans.shaping import nest
+from weftline.functions.numbers import is_finite, lenient_number
+from weftline.plans.shaping import nest
 
 _ITEM = ("rating", "name", "text")
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklens.functions import text as T
-from sparklens.operators.index import SearchIndex
-from sparklens.plans.lineage import broadcast_if_small, materialize, spread
+from weftline.functions import text as T
+from weftline.operators.index import SearchIndex
+from weftline.plans.lineage import broadcast_if_small, materialize, spread
 
 MAX_LIMIT = 50
 FIXED_LIMIT = 10

@@ -23,7 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="sparklens-")
+    folder = tempfile.mkdtemp(prefix="weftline-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -31,7 +31,7 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder, in the folder of this application."""
     application = spark.sparkContext.applicationId
-    return f"{scratch_root(spark).rstrip('/')}/sparklens/{application}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark).rstrip('/')}/weftline/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklens.plans.lineage import broadcast_if_small, cut, materialize
+from weftline.plans.lineage import broadcast_if_small, cut, materialize
 
 # monotonically_increasing_id() keeps the row number in the low 33 bits
 _ROW_BITS = 33

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "sparklens", master: str | None = None, cores: int | None = None) -> SparkSession:
+def build_session(app_name: str = "weftline", master: str | None = None, cores: int | None = None) -> SparkSession:
     """A session with UTC time, adaptive execution and skew handling switched on.
 
     On a cluster the master, memory and ``spark.checkpoint.dir`` come from the

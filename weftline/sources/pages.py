@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparklens.plans.lineage import broadcast_if_small, materialize, settings
+from weftline.plans.lineage import broadcast_if_small, materialize, settings
 
 PAGE_KEY = ["dataset", "url"]
 # folders per dataset; an upsert rewrites only the ones its keys fall into

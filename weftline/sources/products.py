@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sparklens.plans.shaping import nest
-from sparklens.schemas import PRODUCT
+from weftline.plans.shaping import nest
+from weftline.schemas import PRODUCT
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from sparklens.operators import orders as O, reviews as R
-from sparklens.operators.links import fetched_links, latest_captures, outgoing_lists
-from sparklens.plans.lineage import materialize, settings
-from sparklens.sources.pages import BUCKETS, upsert_pages
+from weftline.operators import orders as O, reviews as R
+from weftline.operators.links import fetched_links, latest_captures, outgoing_lists
+from weftline.plans.lineage import materialize, settings
+from weftline.sources.pages import BUCKETS, upsert_pages
 
 
 def _run(stream: DataFrame, handle, checkpoint: str, mode: str = "append", state_partitions: int | None = None) -> None:
