@@ -86,9 +86,7 @@ def test_sets_components_and_survivors(spark):
 
 def test_chain_of_near_copies_in_small_tiles(spark, monkeypatch):
     """A long chain, where each copy is near its neighbours only, whatever the leaders and tiles."""
-    monkeypatch.setattr(near_dup, "LEADER_ROUNDS", 1)
     monkeypatch.setattr(near_dup, "TILE", 8)
-    monkeypatch.setattr(near_dup, "PER_MEMBER", 1)
     vocab = ["v%d" % i for i in range(400)]
     order = list(range(60))
     random.Random(3).shuffle(order)

@@ -6,11 +6,12 @@ bitmap. The number of ones in the exclusive or of two bitmaps estimates the
 similarity with a standard error of about 0.03 where similarities are high, so pairs far below the
 limit are put aside without looking at their texts; all others are decided on full sets.
 
-Work stays linear in groups of copies: documents with equal sets become one node,
-a bucket proposes pairs with one leader at a time (not all pairs), and what is
-already connected is not compared again. What the leaders leave open is settled by
-comparing bitmaps in bounded tiles, so no link between different components is missed
-among documents that share a band.
+What moves stays linear in groups of copies: documents with equal sets become one node,
+and a bucket first proposes each member to its leader only (not all pairs). Buckets
+that still hold several components go, with the texts of their members, to tiles of bounded
+size; a tile joins the components it finds linked and gives back one link for each
+joining, at most one less than it has members. So no link between different
+components is missed among documents that share a band.
 """
 
 from __future__ import annotations
@@ -30,9 +31,7 @@ SAMPLES = 256  # MinHash samples in a sketch
 BANDS, BAND_ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6
 BITMAP_BITS = 512
 SIFT_BELOW = 0.62  # estimated similarity under which a pair is put aside: six standard errors under 0.8
-LEADER_ROUNDS = 3
-TILE = 2048  # members of a bucket that meet in one task
-PER_MEMBER = 16  # open pairs of one member that one round of tiles puts up
+TILE, TILE_SHINGLES = 1024, 2_000_000  # half of the members, and of their shingles, that meet in one tile
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -128,32 +127,48 @@ def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(sizes).where(_bits_apart("ma", "mb") <= differing_bits(SIFT_BELOW)).select("a", "b")
 
 
-def _tiles(bits_limit: int, percent: int, done: int):
-    """Pairs of one tile that are still to be decided; ranks ``done`` to ``done + PER_MEMBER`` of each member."""
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id")
-        first, second = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
-        rows, cols = frame[frame["block"] == first], frame[frame["block"] == second]
-        words = np.array(cols["bitmap"].tolist(), dtype=np.int64).view(np.uint64)
-        sizes, ids, comps = (cols[c].to_numpy() for c in ("n_shingles", "doc_id", "component"))
-        out, more = [], False
-        for doc, n, comp, own in zip(rows["doc_id"], rows["n_shingles"], rows["component"], rows["bitmap"], strict=True):
-            apart = np.bitwise_count(words ^ np.array(own, dtype=np.int64).view(np.uint64)).sum(axis=1)
-            fits = (apart <= bits_limit) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            fits &= (ids > doc) if first == second else (ids != doc)
+def _joiner(width: int, percent: int):
+    """Joins the components of one tile; gives the links it used."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "block"], kind="stable").reset_index(drop=True)
+        key, low, high = (int(frame[c].iloc[0]) for c in ("key", "low", "high"))
+        ids, sizes, block = (frame[c].to_numpy() for c in ("doc_id", "n_shingles", "block"))
+        words = np.array(frame["bitmap"].tolist(), dtype=np.int64).view(np.uint64)
+        bands = np.array(frame["bands"].tolist(), dtype=np.int64)
+        at_band = np.argmax(bands == key, axis=1)
+        before = np.arange(BANDS) < at_band.max()
+        comp = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        sets = [shingle_set(t.encode(), width) for t in frame["text"]]
+        # postings: members by shingle, so one pass over a member's shingles counts its overlap with all others
+        member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
+        holders = member[np.argsort(place, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(shingles)))])
+        ends = np.cumsum([len(x) for x in sets])
+        out = []
+        for i in range(len(sets)):
+            fits = (comp != comp[i]) & (np.arange(len(sets)) > i)
+            if low != high:
+                fits &= block != block[i]
+            fits &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
             at = np.flatnonzero(fits)
-            at = at[np.argsort(apart[at], kind="stable")]  # ranks don't depend on components, so rounds don't repeat pairs
-            later = at[done + PER_MEMBER :]
-            more |= bool((comps[later] != comp).any())
-            now = at[done : done + PER_MEMBER]
-            now = now[comps[now] != comp]
-            out.append(pd.DataFrame({"a": np.minimum(ids[now], doc), "b": np.maximum(ids[now], doc)}))
-        if more:
-            out.append(pd.DataFrame({"a": [-1], "b": [None]}))
-        return pd.concat(out).astype({"a": "Int64", "b": "Int64"})
-
-    return pairs
+            at = at[np.bitwise_count(words[at] ^ words[i]).sum(axis=1) <= differing_bits(SIFT_BELOW)]
+            # a pair that shares an earlier band as well is decided in that band's bucket
+            at = at[~((bands[at] == bands[i]) & before).any(axis=1)]
+            if not len(at):
+                continue
+            own = place[ends[i] - len(sets[i]) : ends[i]]
+            runs = first[own + 1] - first[own]
+            spots = np.repeat(first[own] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+            both = np.bincount(holders[spots], minlength=len(sets))[at]
+            for j in at[100 * both >= percent * (len(sets[i]) + np.array([len(sets[j]) for j in at]) - both)]:
+                if comp[j] != comp[i]:
+                    out.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return join
 
 
 class _Links:
@@ -164,31 +179,30 @@ class _Links:
         self.links: DataFrame | None = None
         self.component: DataFrame | None = None  # (node, component)
 
-    def decide(self, pairs: DataFrame) -> int:
-        """Decide pairs (a, b) on full sets and join the components; the number of links found."""
+    def decide(self, pairs: DataFrame) -> None:
+        """Decide pairs (a, b) on full sets and join the components."""
         left = self.texts.toDF("a", "left_text")
         right = self.texts.toDF("b", "right_text")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
-        found = materialize(both.mapInArrow(_linker(self.width, self.percent), "a long, b long"), "near-links")
-        count = found.count()
-        if count:
-            # earlier components stand for their links
-            known = self.component.toDF("a", "b") if self.component is not None else None
-            self.component = materialize(components(found if known is None else found.unionByName(known)), "near-components")
-        return count
+        self.add(both.mapInArrow(_linker(self.width, self.percent), "a long, b long"))
+
+    def add(self, found: DataFrame) -> None:
+        """Join what the links (a, b) connect; earlier components stand for their links."""
+        if self.component is not None:
+            found = found.unionByName(self.component.toDF("a", "b"))
+        self.component = materialize(components(found), "near-components")
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members with their component so far."""
-        members = members.drop("component")
         if self.component is None:
             return members.withColumn("component", F.col("doc_id"))
         known = self.component.withColumnRenamed("node", "doc_id")
         return members.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _open_buckets(members: DataFrame, tested_leader: bool) -> DataFrame:
-    """Members of buckets that hold more than one component (besides the first leader, who has met all)."""
-    rows = members.where("doc_id != leader") if tested_leader else members
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component besides the leader, who has met all."""
+    rows = members.where("doc_id != leader")
     spans = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
     return rows.join(spans.where("_least != _most").select("key"), "key")
 
@@ -236,33 +250,10 @@ def near_duplicates(
     stars = members.where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     state.decide(_sift(stars, nodes, percent))
 
-    crowd = members.where("n > 2")
-    for turn in range(LEADER_ROUNDS):
-        rows = materialize(_open_buckets(state.labelled(crowd), tested_leader=True), "near-open")
-        # another leader each time, in an order of its own; it meets all members of other components
-        order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")
-        heads = rows.groupBy("key").agg(F.min(order).alias("h")).select(
-            "key", F.col("h.doc_id").alias("head"), F.col("h.component").alias("head_component")
-        )
-        pairs = rows.join(heads, "key").where("component != head_component")
-        pairs = pairs.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
-        if not state.decide(_sift(pairs, nodes, percent)):
-            break
-
-    done = 0
-    while True:
-        rows = _open_buckets(state.labelled(crowd), tested_leader=True)
-        pairs = materialize(_tile_pairs(rows, nodes, percent, done), "near-tiles")
-        state.decide(pairs.where("b is not null").distinct())
-        if not pairs.where("b is null").limit(1).count():
-            break
-        done += PER_MEMBER
-
-    if state.component is not None:
-        known = state.component.toDF("rep", "component_id")
-        classes = classes.join(known, "rep", "left")
-    else:
-        classes = classes.withColumn("component_id", F.col("rep"))
+    rows = materialize(_open_buckets(state.labelled(members.where("n > 2"))), "near-open")
+    state.add(materialize(_tile_links(rows, nodes, texts, width, percent), "near-links"))
+
+    classes = classes.join(state.component.toDF("rep", "component_id"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     result = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -271,20 +262,19 @@ def near_duplicates(
     )
 
 
-def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int, done: int) -> DataFrame:
-    """Open pairs of open buckets; a large bucket is dealt into tiles of bounded size."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+def _tile_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join the components of open buckets; a large bucket is dealt into tiles of bounded size."""
+    rows = rows.select("key", "doc_id", "component").join(nodes, "doc_id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("blocks")
     dealt = (
-        rows.select("key", "doc_id", "component").join(sizes, "key")
+        rows.join(rows.groupBy("key").agg(blocks), "key")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        .join(nodes.select("doc_id", "n_shingles", "bitmap"), "doc_id")
+        .join(texts, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "block", "doc_id", "component", "n_shingles", "bitmap")
-    )
-    return dealt.groupBy("key", "low", "high").applyInPandas(
-        _tiles(differing_bits(SIFT_BELOW), percent, done), "a long, b long"
+                "block", "doc_id", "component", "n_shingles", "bands", "bitmap", "text")
     )
+    return dealt.groupBy("key", "low", "high").applyInPandas(_joiner(width, percent), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
