@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.line_dedup import without_repeated_lines
 from weftline.llm.near_dup import drop_near_duplicates
 from weftline.plans.lineage import materialize
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines of at least 50 words that stand in an earlier document too are deleted; what is empty then goes."""
+    return without_repeated_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup)]
 ORACLE_SQL = None
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.bindings import table
 from weftline.entries.registry import query
+from weftline.llm import sql
+from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.near_dup import near_duplicates
 
 
@@ -16,3 +18,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minhash_near_dedup")
 def _near(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir), width=4, percent=80)
+
+
+@query("op1_line_dedup", sql.LINE_DEDUP)
+def _lines(spark, sf_dir):
+    done = remove_repeated_lines(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

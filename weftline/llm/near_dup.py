@@ -241,6 +241,7 @@ def near_duplicates(
 
     in_bands = nodes.select(F.explode("bands").alias("key"), "doc_id")
     shared = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
+    shared = materialize(shared, "near-shared")  # both sides of the next join are plain scans, so Spark can split hot keys
     members = materialize(in_bands.join(shared, "key"), "near-members")
     wanted = members.select("doc_id").distinct()
     # texts of all documents that share a band with another one, whole
