@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.bindings import table
 from weftline.entries.registry import query
 from weftline.llm import sql
+from weftline.llm.bpe_text import encode_documents
 from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.near_dup import near_duplicates
+from weftline.llm.packing import write_packed
+from weftline.llm.token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,3 +27,26 @@ def _near(spark, sf_dir):
 def _lines(spark, sf_dir):
     done = remove_repeated_lines(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op2_token_packing")
+def _packed(spark, sf_dir):
+    rows = write_packed(_documents(spark, sf_dir))
+    return rows.select(
+        "block", "row", "n_tokens", "n_pad", "cu_seqlens",
+        F.col("segments.doc_id").alias("doc_ids"), F.col("segments.piece").alias("pieces"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
+@query("op6_bpe_trie")
+def _encoded(spark, sf_dir):
+    done = encode_documents(_documents(spark, sf_dir))
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op7_token_counts")
+def _counted(spark, sf_dir):
+    return count_tokens(_documents(spark, sf_dir))
