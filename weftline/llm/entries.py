@@ -12,6 +12,7 @@ from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.near_dup import near_duplicates
 from weftline.llm.packing import write_packed
 from weftline.llm.token_counts import count_tokens
+from weftline.llm.warc import round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +51,9 @@ def _encoded(spark, sf_dir):
 @query("op7_token_counts")
 def _counted(spark, sf_dir):
     return count_tokens(_documents(spark, sf_dir))
+
+
+@query("op3_warc", sql.WARC)
+def _archived(spark, sf_dir):
+    records = round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

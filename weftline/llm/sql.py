@@ -37,3 +37,15 @@ WITH raw AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, d.text)) AS text_sha256
 FROM documents d LEFT JOIN result r ON r.doc_id = d.doc_id
 """
+
+WARC = r"""
+WITH page AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), front AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM page
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM front
+"""
