@@ -9,6 +9,7 @@ from weftline.entries.registry import query
 from weftline.llm import sql
 from weftline.llm.bpe_text import encode_documents
 from weftline.llm.line_dedup import remove_repeated_lines
+from weftline.llm.mixing import mix_sources
 from weftline.llm.near_dup import near_duplicates
 from weftline.llm.packing import write_packed
 from weftline.llm.token_counts import count_tokens
@@ -57,3 +58,8 @@ def _counted(spark, sf_dir):
 def _archived(spark, sf_dir):
     records = round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_source_mixing", sql.MIXING)
+def _mixed(spark, sf_dir):
+    return mix_sources(_documents(spark, sf_dir)).drop("text_hash")

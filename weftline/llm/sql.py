@@ -49,3 +49,30 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM front
 """
+
+MIXING = r"""
+WITH doc AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM doc GROUP BY source
+), ordered AS (
+  SELECT *, row_number() OVER r AS k, sum(source_size) OVER () AS total,
+         coalesce(sum(source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS uncapped
+  FROM src WINDOW r AS (ORDER BY source_size / w, source NULLS LAST)
+), water AS (
+  SELECT arg_min(height, k) AS water_level
+  FROM (SELECT *, CAST(1.5 * total - 2.0 * capped AS DOUBLE) / uncapped AS height FROM ordered) WHERE height * w <= 2 * source_size
+), target AS (
+  SELECT source, source_size, least(2.0 * source_size, w * water_level)::DOUBLE AS target FROM src, water
+), place AS (
+  SELECT doc_id, size, d.source, source_size, target, floor(target)::BIGINT AS wanted,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, source,
+       CASE WHEN size = 0 THEN 0
+            ELSE (wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)))::BIGINT END AS taken
+FROM place
+"""
