@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.bpe_text import encode_documents, id_array
+from weftline.llm.language_id import without_rejected
 from weftline.llm.line_dedup import without_repeated_lines
+from weftline.llm.mixing import mixed_documents
 from weftline.llm.near_dup import drop_near_duplicates
 from weftline.plans.lineage import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go: those without a letter, and those it is not sure of."""
+    return without_rejected(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines of at least 50 words that stand in an earlier document too are deleted; what is empty then goes."""
     return without_repeated_lines(docs)
@@ -19,7 +27,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix of their sources takes them: not at all, once or twice."""
+    return mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of each document of the mix: (doc_id, n_tokens, ids, decoded)."""
+    return encode_documents(docs).withColumn("ids", id_array())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
+# a trained model and a tokenizer decide, which SQL can't express; tests/llm/test_pipeline.py holds the rows against plain Python
 ORACLE_SQL = None
 
 

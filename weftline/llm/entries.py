@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.bindings import table
 from weftline.entries.registry import query
 from weftline.llm import sql
+from weftline.llm.ann import nearest
 from weftline.llm.bpe_text import encode_documents
+from weftline.llm.language_id import identify
 from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.mixing import mix_sources
 from weftline.llm.near_dup import near_duplicates
 from weftline.llm.packing import write_packed
 from weftline.llm.token_counts import count_tokens
+from weftline.llm.top_k import top_products
 from weftline.llm.warc import round_trip
 
 
@@ -63,3 +66,18 @@ def _archived(spark, sf_dir):
 @query("op8_source_mixing", sql.MIXING)
 def _mixed(spark, sf_dir):
     return mix_sources(_documents(spark, sf_dir)).drop("text_hash")
+
+
+@query("op5_nearest_vectors")
+def _nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op9_top_products", sql.TOP_PRODUCTS)
+def _top(spark, sf_dir):
+    return top_products(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query("op10_language_id")
+def _languages(spark, sf_dir):
+    return identify(_documents(spark, sf_dir))

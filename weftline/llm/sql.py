@@ -76,3 +76,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, source,
             ELSE (wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)))::BIGINT END AS taken
 FROM place
 """
+
+TOP_PRODUCTS = r"""
+WITH part AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), vec AS (
+  SELECT vec_id, list(x ORDER BY i) AS v FROM part GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vec q JOIN vec c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
