@@ -10,6 +10,7 @@ gets its last token once, and a word's encoding is read backwards along these to
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 
 import regex
@@ -39,6 +40,9 @@ class TrieEncoder:
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
         self.longest = max(map(len, self.ids))
+        # each merged token with the two it was made of, and when; single symbols come before all merges
+        self.halves = {a + b: (a, b) for (a, b) in reversed(self.ranks)}
+        self.made = {t: self.ranks[h] for t, h in self.halves.items()}
         self.letters = [byte_letters()[b] for b in range(256)]
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
@@ -64,35 +68,65 @@ class TrieEncoder:
             known = self.whole[token] = self.merged(self._symbols(token)) == [token]
         return known
 
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether byte-pair encoding of two tokens put together gives the two back.
+
+        Their merges are undone, the later one first: at each time before it, the symbols that met at the
+        seam must not have been merged earlier (at equal ranks the left one is merged first).
+        """
+        made, halves, ranks = self.made, self.halves, self.ranks
+        until = len(ranks)
+        a, b = left, right
+        while True:
+            if ranks.get((a, b), until) < until:
+                return False
+            at_a, at_b = made.get(a, -1), made.get(b, -1)
+            if at_a < 0 and at_b < 0:
+                return True
+            if at_a > at_b:
+                until, a = at_a, halves[a][1]
+            else:
+                until, b = at_b + 1, halves[b][0]
+
     def _may_follow(self, left: str, right: str) -> bool:
         if (known := self.follows.get((left, right))) is None:
             if len(self.follows) >= self.MOST_PAIRS:
                 self.follows.clear()
-            pair = self.merged(self._symbols(left) + self._symbols(right))
-            known = self.follows[left, right] = pair == [left, right]
+            known = self.follows[left, right] = self._stay_apart(left, right)
         return known
 
     def _last_token(self, tail: str, end: str, depth: int, last: list[str], starts: list[int]) -> None:
         """Set the last token of the prefix of ``depth`` symbols that ends in ``tail`` (and in ``end``, a word's mark or nothing)."""
         ids, follows = self.ids, self.follows
-        for n in range(min(depth, len(tail)), 0, -1):
-            token = tail[-n:] + end
+        most = len(tail)
+        for cut in range(most - depth if depth < most else 0, most):  # longest first
+            token = tail[cut:] + end
             if token in ids:
-                if n == depth:
-                    fits = self._may_start(token)
-                else:
-                    before = last[depth - n]
+                at = depth - most + cut
+                if at:
+                    before = last[at]
                     fits = follows.get((before, token))
                     if fits is None:
                         fits = self._may_follow(before, token)
+                else:
+                    fits = self._may_start(token)
                 if fits:
                     last[depth] = token
-                    starts[depth] = depth - n
+                    starts[depth] = at
                     return
         raise ValueError(f"the vocabulary can't encode {tail[-1:]!r}")
 
     def encode(self, words) -> dict[str, list[str]]:
         """Tokens of each distinct word."""
+        collects = gc.isenabled()
+        gc.disable()  # a trie holds no cycles, and its many nodes would make the collector look at all tables again and again
+        try:
+            return self._encode(words)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, words) -> dict[str, list[str]]:
         letters = self.letters
         root: dict = {}
         deepest = 0
@@ -100,51 +134,62 @@ class TrieEncoder:
             spelt = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode()])
             node = root
             for c in spelt[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", []).append((spelt[-1], word))  # words that end here, by their last letter
-            deepest = max(deepest, len(spelt))
+                child = node.get(c)
+                if child is None:
+                    child = node[c] = {}
+                node = child
+            if "" in node:  # words that end here, by their last letter
+                node[""].append((spelt[-1], word))
+            else:
+                node[""] = [(spelt[-1], word)]
+            if len(spelt) > deepest:
+                deepest = len(spelt)
         found = {}
         last, starts = [""] * (deepest + 1), [0] * (deepest + 1)
         stack = [(0, "", root)]
-        longest = self.longest
+        longest, last_token = self.longest, self._last_token
         while stack:
             depth, tail, node = stack.pop()
             if depth:
-                self._last_token(tail, "", depth, last, starts)
-            for letter, word in node.pop("", ()):
-                # this place in the tables is free until the first child of the node comes, and is not read by children
-                self._last_token(tail + letter, WORD_END, depth + 1, last, starts)
-                at, tokens = depth + 1, []
-                while at:
-                    tokens.append(last[at])
-                    at = starts[at]
-                tokens.reverse()
-                found[word] = tokens
+                last_token(tail, "", depth, last, starts)
             for c, child in node.items():
-                stack.append((depth + 1, (tail + c)[-longest:], child))
+                if c:
+                    stack.append((depth + 1, (tail + c)[-longest:], child))
+                    continue
+                for letter, word in child:
+                    # this place of the tables is the next depth's: it is free until a child of the node is taken up
+                    last_token((tail + letter)[-longest:], WORD_END, depth + 1, last, starts)
+                    at, tokens = depth + 1, []
+                    while at:
+                        tokens.append(last[at])
+                        at = starts[at]
+                    tokens.reverse()
+                    found[word] = tokens
         return found
 
 
 class TextEncoder:
     """Whole texts to ids and back, as strings: ids joined by spaces, and the decoded text."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 250_000  # chunks in the young tables, and in the old ones
 
     def __init__(self, spec: dict):
         self.words = TrieEncoder(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.marks = tuple(self.special)
+        # chunk -> (ids, decoded) and word -> (ids, decoded); what is used while the young tables fill up outlives the old ones
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.known: dict[str, tuple[str, str]] = {}
-        self._clear()
+        self._age()
 
-    def _clear(self) -> None:
-        self.known.clear()
+    def _age(self) -> None:
+        self.old_ids, self.old_decoded, self.old_known = self.ids, self.decoded, self.known
         # chunks hold no blank, so a special token behind a blank can't be mistaken for text
         self.ids = {f" {t}": str(n) for t, n in self.special.items()}
         self.decoded = {f" {t}": t for t in self.special}
+        self.known = {}
 
     def chunks(self, text: str) -> list[str]:
         """The text in normal form (composed, lower case letter by letter), cut at white space."""
@@ -156,27 +201,36 @@ class TextEncoder:
         return text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not known yet."""
-        new = chunks.difference(self.ids)
-        if not new:
-            return
-        parts = {c: [c] if c.isascii() and c.isalpha() else PRE_TOKENS.findall(c) for c in new}
-        known = self.known
-        missing = {p for ps in parts.values() for p in ps if p not in known}
-        ids = self.words.ids
-        for word, tokens in self.words.encode(missing).items():
+        """Bring all chunks into the young tables; encode those that no table holds."""
+        ids_of, decoded_of, old = self.ids, self.decoded, self.old_ids
+        new = chunks.difference(ids_of)
+        kept = new.intersection(old)
+        ids_of.update(zip(kept, map(old.__getitem__, kept)))
+        decoded_of.update(zip(kept, map(self.old_decoded.__getitem__, kept)))
+        parts = {}
+        plain = []
+        for c in new.difference(kept):
+            if c.isascii() and c.isalpha():
+                plain.append(c)
+            else:
+                parts[c] = PRE_TOKENS.findall(c)
+        known, old_known, ids = self.known, self.old_known, self.words.ids
+        words = set(plain).union(*parts.values()).difference(known)
+        again = words.intersection(old_known)
+        known.update(zip(again, map(old_known.__getitem__, again)))
+        for word, tokens in self.words.encode(words.difference(again)).items():
             known[word] = (" ".join([str(ids[t]) for t in tokens]), " ".join(tokens))
+        for chunk in plain:
+            ids_of[chunk], decoded_of[chunk] = known[chunk]
         for chunk, ps in parts.items():
-            if len(ps) == 1:
-                self.ids[chunk], self.decoded[chunk] = known[ps[0]]
-            else:
-                self.ids[chunk] = " ".join([known[p][0] for p in ps])
-                self.decoded[chunk] = " ".join([known[p][1] for p in ps])
+            found = [known[p] for p in ps]
+            ids_of[chunk] = " ".join([f[0] for f in found])
+            decoded_of[chunk] = " ".join([f[1] for f in found])
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids, decoded text) of each text."""
-        if len(self.ids) > self.MOST_WORDS or len(self.known) > self.MOST_WORDS:
-            self._clear()
+        if len(self.ids) > self.MOST_WORDS:
+            self._age()
         cut = [self._with_special(t) if any(m in t for m in self.marks) else self.chunks(t) for t in texts]
         self.learn(set().union(*cut))
         ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
