@@ -69,7 +69,7 @@ def test_documents_keep_their_columns(spark):
 
 def test_windows_cover_every_run():
     words = line_dedup.np.array([3, 1, 1, 5, 2, 8])
-    assert line_dedup.windows(words, 6).tolist() == [[0, 3], [1, 3], [2, 3], [3, 4], [4, 5], [5, 5]]
+    assert list(zip(*(x.tolist() for x in line_dedup.windows(words, 6)), strict=True)) == [(0, 3), (1, 3), (2, 3), (3, 4), (4, 5), (5, 5)]
 
 
 def test_query(spark, sf_dir):

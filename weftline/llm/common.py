@@ -71,6 +71,15 @@ _WINDOW = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _UP = _odd_powers(_BASE, _WINDOW + 1)
 _DOWN = _odd_powers(pow(_BASE, -1, 1 << 64), _WINDOW + 1)
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse: differences of sums times powers are hashes of what lies between."""
+    if n <= _WINDOW:
+        return _UP, _DOWN
+    return _odd_powers(_BASE, n), _odd_powers(pow(_BASE, -1, 1 << 64), n)
+
+
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _LOWER = _VALUE.copy()
 _LOWER[65:91] = _VALUE[97:123]
@@ -84,12 +93,9 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     n = len(data)
-    if n <= _WINDOW:
-        up, down = _UP[:n], _DOWN
-    else:  # one word that is longer than a window
-        up, down = _odd_powers(_BASE, n + 1)[:n], _odd_powers(pow(_BASE, -1, 1 << 64), n + 1)
+    up, down = power_tables(n)  # longer ones where one word is longer than a window
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_LOWER[data] * up, out=sums[1:])
+    np.cumsum(_LOWER[data] * up[:n], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

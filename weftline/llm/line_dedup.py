@@ -20,12 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from weftline.llm.common import WORD_PATTERN, bound_batches, mix64
+from weftline.llm.common import WORD_PATTERN, bound_batches, mix64, power_tables
 from weftline.plans.lineage import materialize
 
 MIN_WORDS = 50
 _BLANK = b" \t\n\x0b\x0c\r"
-_PLACE_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 KEY = ["doc_id", "text_hash"]
 
@@ -57,38 +56,52 @@ def _line_table(batches):
         )
 
 
-def windows(words: np.ndarray, min_words: int) -> np.ndarray:
-    """First and last line of every shortest run with ``min_words`` words from a line on, and up to a line."""
-    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs with ``min_words`` words from each line on, and up to each line."""
+    total = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(words, out=total[1:])
     n = len(words)
-    last = np.searchsorted(total, total[:-1] + min_words)  # lines up to here, exclusive
-    starts = np.flatnonzero(last <= n)
-    forward = np.stack([starts, last[starts] - 1], axis=1)
+    after = np.searchsorted(total, total[:-1] + min_words)  # the line behind the run
+    starts = np.flatnonzero(after <= n)
     first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     ends = np.flatnonzero(total[1:] >= min_words)
-    backward = np.stack([first[ends], ends], axis=1)
-    return np.unique(np.concatenate([forward, backward]), axis=0)
+    spans = np.unique(np.concatenate([starts * (n + 1) + after[starts] - 1, first[ends] * (n + 1) + ends]))
+    return spans // (n + 1), spans % (n + 1)
 
 
-def chosen_lines(hashes: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Place of the smallest hash of each window, the last of equal ones."""
-    chosen = spans[:, 0].astype(np.int64)
-    for k in np.flatnonzero(spans[:, 0] != spans[:, 1]).tolist():
-        s, e = spans[k]
-        chosen[k] = e - int(np.argmin(hashes[s : e + 1][::-1]))
-    return chosen
+def chosen_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The smallest line hash of each window."""
+    if not len(first):
+        return hashes[:0]
+    padded = np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+    return np.minimum.reduceat(padded, np.stack([first, last + 1], axis=1).ravel())[::2]
+
+
+def whole_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of all lines of each window, in their order."""
+    up, down = power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(mix64(hashes) * up[: len(hashes)], out=sums[1:])
+    return mix64(mix64((sums[last + 1] - sums[first]) * down[first]) + (last - first).astype(np.uint64))
+
+
+def _row_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an array column as numpy arrays, without a Python object per value."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    return [flat[s:e] for s, e in zip(at[:-1].astype(np.int64), at[1:].astype(np.int64), strict=True)]
 
 
 def _fingerprints(min_words: int):
     def emit(batches):
         for batch in batches:
-            out = []
-            for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = np.array(h, dtype=np.int64).view(np.uint64)
-                at = np.unique(chosen_lines(hashes, windows(np.array(w), min_words)))
-                out.append(hashes[at])
-            flat = np.concatenate(out).view(np.int64) if out else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat)], ["fingerprint"])
+            out = [np.array([], dtype=np.uint64)]
+            for h, w in zip(_row_arrays(batch.column(0)), _row_arrays(batch.column(1)), strict=True):
+                # once per place: windows with the same fingerprint line count as one, equal lines do not
+                first, last = windows(w, min_words)
+                hashes = h.view(np.uint64)
+                chosen = chosen_hashes(hashes, first, last)
+                out.append(hashes[np.isin(hashes, chosen)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["fingerprint"])
 
     return emit
 
@@ -98,22 +111,25 @@ def _matches(min_words: int):
 
     def emit(batches):
         for batch in batches:
-            cols = {k: [] for k in ("doc_id", "text_hash", "window", "first", "last")}
-            for doc, text, h, w, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.array(h, dtype=np.int64).view(np.uint64)
-                spans = windows(np.array(w), min_words)
-                chosen = hashes[chosen_lines(hashes, spans)]
-                spans = spans[np.isin(chosen, np.array(repeated, dtype=np.int64).view(np.uint64))]
-                for s, e in spans.tolist():
-                    places = mix64(np.arange(1, e - s + 2, dtype=np.uint64) * _PLACE_STEP) | np.uint64(1)
-                    whole = mix64(mix64(hashes[s : e + 1] * places).sum(dtype=np.uint64, keepdims=True) + np.uint64(e - s))
-                    cols["doc_id"].append(doc)
-                    cols["text_hash"].append(text)
-                    cols["window"].append(int(whole.view(np.int64)[0]))
-                    cols["first"].append(s)
-                    cols["last"].append(e)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], list(cols))
+            rows, found, starts, ends = [], [], [], []
+            lists = (_row_arrays(batch.column(k)) for k in (2, 3, 4))
+            for n, (h, w, repeated) in enumerate(zip(*lists, strict=True)):
+                hashes = h.view(np.uint64)
+                first, last = windows(w, min_words)
+                keep = np.isin(chosen_hashes(hashes, first, last), repeated.view(np.uint64))
+                first, last = first[keep], last[keep]
+                rows.append(np.full(len(first), n))
+                found.append(whole_hashes(hashes, first, last).view(np.int64))
+                starts.append(first)
+                ends.append(last)
+            at = pa.array(np.concatenate([np.array([], dtype=np.int64), *rows]), pa.int64())
+            own = [batch.column(k).take(at) for k in (0, 1)]
+            flat = [np.concatenate([np.array([], dtype=np.int64), *x]) for x in (found, starts, ends)]
+            kinds = (pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                own + [pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip(flat, kinds, strict=True)],
+                ["doc_id", "text_hash", "window", "first", "last"],
+            )
 
     return emit
 
@@ -121,19 +137,22 @@ def _matches(min_words: int):
 def _cut_lines(batches):
     """Texts without the lines of the given runs; n_lines etc. come along."""
     for batch in batches:
-        texts, gone = [], []
-        for text, places, spans in zip(*(batch.column(k).to_pylist() for k in ("text", "places", "spans")), strict=True):
-            drop: set[int] = set()
-            for run in spans or ():
-                drop.update(range(places[run["first"]], places[run["last"]] + 1))
-            if drop:
-                text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop)
-            texts.append(text)
-            gone.append(len(drop))
+        texts, gone = batch.column(batch.schema.names.index("text")), np.zeros(batch.num_rows, dtype=np.int64)
+        spans, places = (batch.column(batch.schema.names.index(c)) for c in ("spans", "places"))
+        hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+        if len(hit):
+            texts = texts.to_pylist()
+            for n in hit.tolist():
+                own = places[n].as_py()
+                drop: set[int] = set()
+                for run in spans[n].as_py():
+                    drop.update(range(own[run["first"]], own[run["last"]] + 1))
+                texts[n] = "\n".join(x for k, x in enumerate(texts[n].split("\n")) if k not in drop)
+                gone[n] = len(drop)
+            texts = pa.array(texts, pa.string())
         rest = [c for c in batch.schema.names if c not in ("text", "places", "spans")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in rest] + [pa.array(texts, pa.string()), pa.array(gone, pa.int64())],
-            [*rest, "text", "n_removed"],
+            [batch.column(c) for c in rest] + [texts, pa.array(gone)], [*rest, "text", "n_removed"]
         )
 
 
