@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 MOST = 2.0  # times a source's own words
 BLOCK_WORDS = 1024
-CHUNK_ROWS = 20_000  # documents, on average, whose running sums are one window
+CHUNK_ROWS = 4096  # documents, on average, whose running sums are one window
 SLOT_SPAN = 65_536  # slots whose ranks are one window
 CELLS = 4096  # parts of the unit interval by which slots meet sources
 
