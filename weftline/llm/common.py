@@ -52,6 +52,13 @@ def thin_out(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     return hit.select(*df.columns)
 
 
+def list_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an array column as numpy arrays, without a Python object per value."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return [flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit integers (multiply, shift and exclusive or)."""
     x = x ^ (x >> np.uint64(30))

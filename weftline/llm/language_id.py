@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.llm.common import bound_batches
+from weftline.llm.common import bound_batches, list_arrays
 from weftline.plans.lineage import materialize
 
 BUCKETS, SIZE = 1 << 15, 16
@@ -190,8 +190,9 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         rows.mapInArrow(_features, "lang string, place long, ids array<int>, counts array<int>"), "language-features"
     )
     order = found.orderBy("place", "lang", F.xxhash64("ids", "counts")).limit(PER_LANGUAGE * MOST_LANGUAGES).toArrow()
-    cols = [order.column(c).to_pylist() for c in ("lang", "ids", "counts")]
-    return train([(name, np.array(i, dtype=np.int64), np.array(c)) for name, i, c in zip(*cols, strict=True)])
+    names = order.column("lang").to_pylist()
+    ids, counts = (list_arrays(order.column(c).combine_chunks()) for c in ("ids", "counts"))
+    return train(list(zip(names, ids, counts, strict=True)))
 
 
 def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:

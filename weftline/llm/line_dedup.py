@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from weftline.llm.common import WORD_PATTERN, bound_batches, mix64, power_tables
+from weftline.llm.common import WORD_PATTERN, bound_batches, list_arrays, mix64, power_tables
 from weftline.plans.lineage import materialize
 
 MIN_WORDS = 50
@@ -85,17 +85,11 @@ def whole_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
     return mix64(mix64((sums[last + 1] - sums[first]) * down[first]) + (last - first).astype(np.uint64))
 
 
-def _row_arrays(column: pa.Array) -> list[np.ndarray]:
-    """The lists of an array column as numpy arrays, without a Python object per value."""
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-    return [flat[s:e] for s, e in zip(at[:-1].astype(np.int64), at[1:].astype(np.int64), strict=True)]
-
-
 def _fingerprints(min_words: int):
     def emit(batches):
         for batch in batches:
             out = [np.array([], dtype=np.uint64)]
-            for h, w in zip(_row_arrays(batch.column(0)), _row_arrays(batch.column(1)), strict=True):
+            for h, w in zip(list_arrays(batch.column(0)), list_arrays(batch.column(1)), strict=True):
                 # once per place: windows with the same fingerprint line count as one, equal lines do not
                 first, last = windows(w, min_words)
                 hashes = h.view(np.uint64)
@@ -112,7 +106,7 @@ def _matches(min_words: int):
     def emit(batches):
         for batch in batches:
             rows, found, starts, ends = [], [], [], []
-            lists = (_row_arrays(batch.column(k)) for k in (2, 3, 4))
+            lists = (list_arrays(batch.column(k)) for k in (2, 3, 4))
             for n, (h, w, repeated) in enumerate(zip(*lists, strict=True)):
                 hashes = h.view(np.uint64)
                 first, last = windows(w, min_words)
