@@ -51,7 +51,7 @@ def test_weights(spark):
 
 
 CLAMP_LIMIT = [("5", 5), ("0", 10), ("-3", 1), ("99", 50), ("12x", 12), ("abc", 10), (None, 10), ("", 10), (" 7", 7),
- ("9" * 60, 50), ("-" + "9" * 60, 1), ("1.9", 1)]
+ ("9" * 60, 50), ("-" + "9" * 60, 1), ("1.9", 1), ("0x1f", 31), (" 0X0A", 10), ("0x", 10), ("0x0", 10), ("-0x5", 1), ("0xfff", 50), ("+0x7g", 7)]
 
 
 def test_clamp_limit(spark):

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from weftline.operators.orders import cart_lines, order_headers, with_carts
 from weftline.plans import shaping
 
 
@@ -17,28 +18,34 @@ def test_dense_number_of_nothing(spark):
     assert shaping.dense_number(spark.range(0), ["id"], "n").count() == 0
 
 
-def test_nest_splits_only_hot_keys_and_keeps_every_row(spark):
-    rows = [("hot", i) for i in range(200)] + [("cold", i) for i in range(5)] + [("cold", 3)]
-    df = spark.createDataFrame(rows, "k string, v int")
-    blocks = shaping.nest(df, ["k"], F.struct("v"), "vs", block_rows=50).collect()
+def test_nest_cuts_every_key_into_ordered_blocks(spark):
+    rows = [("hot", i) for i in range(220)] + [("cold", i) for i in range(5)] + [("cold", 3), (None, 1)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    blocks = sorted(shaping.nest(df, ["k"], F.struct("v"), "vs", block_rows=50).collect(), key=lambda b: b.block)
     by_key = {}
     for b in blocks:
-        assert [x.v for x in b.vs] == sorted(x.v for x in b.vs)
         by_key.setdefault(b.k, []).append([x.v for x in b.vs])
-    assert len(by_key["cold"]) == 1 and by_key["cold"][0] == [0, 1, 2, 3, 3, 4]
-    assert len(by_key["hot"]) > 1 and max(map(len, by_key["hot"])) < 120
-    assert sorted(v for b in by_key["hot"] for v in b) == list(range(200))
+    assert by_key == {"hot": [list(range(k, min(k + 50, 220))) for k in range(0, 220, 50)], "cold": [[0, 1, 2, 3, 3, 4]], None: [[1]]}
 
 
 def test_nest_spreads_copies_of_one_item(spark):
     df = spark.createDataFrame([("hot", 1)] * 500 + [("hot", 2)] * 3 + [("cold", 1)] * 4, "k string, v int")
-    blocks = shaping.nest(df, ["k"], F.struct("v"), "vs", block_rows=20).collect()
-    hot = [len(b.vs) for b in blocks if b.k == "hot"]
-    assert len(hot) > 5 and max(hot) < 200
-    assert sorted(x.v for b in blocks if b.k == "hot" for x in b.vs) == [1] * 500 + [2] * 3
+    blocks = sorted(shaping.nest(df, ["k"], F.struct("v"), "vs", block_rows=20).collect(), key=lambda b: b.block)
+    hot = [[x.v for x in b.vs] for b in blocks if b.k == "hot"]
+    assert [len(b) for b in hot] == [20] * 25 + [3] and sum(hot, []) == [1] * 500 + [2] * 3
     assert [[x.v for x in b.vs] for b in blocks if b.k == "cold"] == [[1] * 4]
 
 
+def test_a_cart_larger_than_a_block_has_one_header_and_numbered_lines(spark):
+    orders = spark.createDataFrame([(1, "a"), (2, "b")], "order_id long, username string")
+    lines = spark.createDataFrame([(1, n, n % 3, 1) for n in range(25)], "order_id long, line long, product_id long, quantity long")
+    requests = with_carts(orders, lines, block_rows=10)
+    assert sorted((r.order_id, r.block, len(r.cart)) for r in requests.collect()) == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 0)]
+    assert sorted(r.order_id for r in order_headers(requests).collect()) == [1, 2]
+    assert [(r.line, r.product_id) for r in cart_lines(requests, block_rows=10).orderBy("line").collect()] == [(n, n % 3) for n in range(25)]
+
+
 def test_running_before_over_spans(spark):
     rng = random.Random(3)
     rows = [("hot", p, rng.randint(1, 9)) for p in range(300)] + [("cold", p, 2) for p in range(0, 300, 37)]

@@ -72,13 +72,14 @@ def document_frequency(spark, sf_dir):
     return I.document_frequencies(I.term_counts(B.documents(spark, sf_dir)))
 
 
-@query("ag4_postings_list", f"WITH {INDEX} SELECT dataset, term, string_agg(doc, ' ' ORDER BY doc) AS docs FROM counts GROUP BY 1, 2")
+@query("ag4_postings_list", f"WITH {INDEX} SELECT dataset, term, block, string_agg(doc, ' ' ORDER BY doc) AS docs "
+       "FROM (SELECT *, (row_number() OVER (PARTITION BY dataset, term ORDER BY doc) - 1) // 100000 AS block FROM counts) GROUP BY 1, 2, 3")
 def postings_list(spark, sf_dir):
     from weftline.plans.shaping import nest
 
     postings = document_index(spark, sf_dir).postings
     lists = nest(postings, ["dataset", "term"], F.col("doc"), "docs")
-    return lists.select("dataset", "term", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"))
+    return lists.select("dataset", "term", "block", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"))
 
 
 @query("ag5_corpus_size", f"WITH {INDEX} SELECT dataset, n FROM corpus")

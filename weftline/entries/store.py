@@ -30,8 +30,8 @@ def review_text(column="reviews"):
     )
 
 
-REVIEW_LISTS = """review_lists AS (SELECT product_id, string_agg(rating || ':' || name || ':' || text, ' ' ORDER BY rating, name, text) AS reviews
-  FROM reviews GROUP BY 1)"""
+REVIEW_LISTS = """review_lists AS (SELECT product_id, block, string_agg(rating || ':' || name || ':' || text, ' ' ORDER BY rating, name, text) AS reviews
+  FROM (SELECT *, (row_number() OVER (PARTITION BY product_id ORDER BY rating, name, text) - 1) // 100000 AS block FROM reviews) GROUP BY 1, 2)"""
 
 
 # ---- sources and sinks -------------------------------------------------------------------------------
@@ -98,7 +98,7 @@ def order_requests(spark, sf_dir):
     """Orders with their cart as an array, as a request brings them."""
     carts = O.with_carts(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir))
     cart = F.transform("cart", lambda c: F.struct(c["product_id"].alias("product_id"), c["quantity"].alias("quantity")))
-    return materialize(carts.select("order_id", "username", cart.alias("cart")), "order-requests")
+    return materialize(carts.select("order_id", "username", "block", cart.alias("cart")), "order-requests")
 
 
 @query("snk4_append_orders", f"WITH {Q.ORDERS}, {Q.LINES} SELECT order_id, username, product_id, quantity FROM heads JOIN lines USING (order_id)")
@@ -148,7 +148,7 @@ product_filter(
 @query("flt11_orders_of_user", f"WITH {Q.ORDERS}, {Q.LINES} SELECT order_id, username, count(product_id) AS lines FROM heads LEFT JOIN lines USING (order_id) WHERE username = 'customer 7' GROUP BY 1, 2")
 def orders_of_user(spark, sf_dir):
     found = O.find_orders(B.orders(spark, sf_dir), username="customer 7")
-    return O.with_carts(found, B.order_lines(spark, sf_dir)).select("order_id", "username", F.size("cart").alias("lines"))
+    return O.with_carts(found, B.order_lines(spark, sf_dir)).groupBy("order_id", "username").agg(F.sum(F.size("cart")).alias("lines"))
 
 
 @query("flt12_lines_of_product", f"WITH {Q.LINES} SELECT product_id, quantity FROM lines WHERE product_id = 3")
@@ -173,11 +173,11 @@ def nested_dimensions(spark, sf_dir):
     return C.nested_dimensions(B.products(spark, sf_dir)).select("id", F.to_json("dimensions").alias("dimensions"))
 
 
-VIEW = "SELECT id AS product_id, name AS product_name, coalesce(reviews, '') AS reviews, '/products/' || id || '/reviews' AS href, '/products/' || id AS product_href FROM products LEFT JOIN review_lists ON product_id = id"
+VIEW = "SELECT id AS product_id, name AS product_name, coalesce(block, 0) AS block, coalesce(reviews, '') AS reviews, '/products/' || id || '/reviews' AS href, '/products/' || id AS product_href FROM products LEFT JOIN review_lists ON product_id = id"
 
 
 def _view(df):
-    return df.select("product_id", "product_name", review_text().alias("reviews"), "href", "product_href")
+    return df.select("product_id", "product_name", "block", review_text().alias("reviews"), "href", "product_href")
 
 
 @query("prj5_reviews_view", f"WITH {Q.PRODUCTS}, {Q.REVIEWS}, {REVIEW_LISTS} {VIEW}")
@@ -196,13 +196,14 @@ def unknown_products(spark, sf_dir):
     return R.unknown_products(B.reviews(spark, sf_dir), B.products(spark, sf_dir))
 
 
-@query("jn1_products_with_reviews", f"WITH {Q.PRODUCTS}, {Q.REVIEWS}, {REVIEW_LISTS} SELECT id, price, coalesce(reviews, '') AS reviews FROM products LEFT JOIN review_lists ON product_id = id")
+@query("jn1_products_with_reviews", f"WITH {Q.PRODUCTS}, {Q.REVIEWS}, {REVIEW_LISTS} SELECT id, price, coalesce(block, 0) AS block, coalesce(reviews, '') AS reviews FROM products LEFT JOIN review_lists ON product_id = id")
 def products_with_reviews(spark, sf_dir):
-    return R.with_reviews(B.products(spark, sf_dir), B.reviews(spark, sf_dir)).select("id", "price", review_text().alias("reviews"))
+    return R.with_reviews(B.products(spark, sf_dir), B.reviews(spark, sf_dir)).select("id", "price", "block", review_text().alias("reviews"))
 
 
 CARTS = f"""{Q.ORDERS}, {Q.LINES}, carts AS (
-  SELECT order_id, string_agg(line || ':' || product_id || ':' || quantity, ' ' ORDER BY line, product_id, quantity) AS cart FROM lines GROUP BY 1)"""
+  SELECT order_id, block, string_agg(line || ':' || product_id || ':' || quantity, ' ' ORDER BY line, product_id, quantity) AS cart
+  FROM (SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY line, product_id, quantity) - 1) // 100000 AS block FROM lines) GROUP BY 1, 2)"""
 
 
 def _cart_text(column="cart"):
@@ -210,9 +211,9 @@ def _cart_text(column="cart"):
     return F.array_join(F.transform(column, lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields])), " ")
 
 
-@query("jn2_orders_with_carts", f"WITH {CARTS} SELECT order_id, username, coalesce(cart, '') AS cart FROM heads LEFT JOIN carts USING (order_id)")
+@query("jn2_orders_with_carts", f"WITH {CARTS} SELECT order_id, username, coalesce(block, 0) AS block, coalesce(cart, '') AS cart FROM heads LEFT JOIN carts USING (order_id)")
 def orders_with_carts(spark, sf_dir):
-    return O.with_carts(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir)).select("order_id", "username", _cart_text().alias("cart"))
+    return O.with_carts(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir)).select("order_id", "username", "block", _cart_text().alias("cart"))
 
 
 @query("jn3_priced_lines", f"WITH {Q.PRODUCTS}, {Q.SHIFTED} SELECT order_id, line, product_id, quantity, name, price FROM lines LEFT JOIN products ON id = product_id")
@@ -246,14 +247,14 @@ def box_search(spark, sf_dir):
 @query(
     "cat2_search_with_reviews",
     f"WITH {Q.PRODUCTS}, {Q.REVIEWS}, {REVIEW_LISTS} SELECT id, name, to_json(struct_pack(x := dim_x, y := dim_y, z := dim_z))::VARCHAR AS dimensions, "
-    "coalesce(reviews, '') AS reviews FROM products LEFT JOIN review_lists ON product_id = id "
+    "coalesce(block, 0) AS block, coalesce(reviews, '') AS reviews FROM products LEFT JOIN review_lists ON product_id = id "
     "WHERE lower(name) LIKE '%r%d%' AND price BETWEEN 900 AND 960 AND dim_x <= 30 AND stock > 0",
 )
 def search_with_reviews(spark, sf_dir):
     found = C.search_with_reviews(
         B.products(spark, sf_dir), B.reviews(spark, sf_dir), name="r%d", price=(900, 960), dimensions={"x": 30, "y": 0}, in_stock_only=True
     )
-    return C.nested_dimensions(found).select("id", "name", F.to_json("dimensions").alias("dimensions"), review_text().alias("reviews"))
+    return C.nested_dimensions(found).select("id", "name", F.to_json("dimensions").alias("dimensions"), "block", review_text().alias("reviews"))
 
 
 @query("cat3_listing", f"WITH {Q.PRODUCTS} SELECT id, name, '/products/' || id AS href FROM products WHERE regexp_matches(name, '(?i)b.l') AND stock > 0")
@@ -396,18 +397,20 @@ def stock_allocation(spark, sf_dir):
 
 
 ITEMS = f"""{Q.PRODUCTS}, {CARTS}, item_lists AS (
-  SELECT order_id, round(sum(price * quantity), 4) AS total,
+  SELECT order_id, block, any_value(total) AS total,
     string_agg(line || ':' || product_id || ':' || name || ':' || quantity || ':' || price, ' ' ORDER BY line, product_id, name, quantity) AS items
-  FROM lines JOIN products ON id = product_id GROUP BY 1)"""
+  FROM (SELECT lines.*, name, price, round(sum(price * quantity) OVER (PARTITION BY order_id), 4) AS total,
+          (row_number() OVER (PARTITION BY order_id ORDER BY line, product_id, name, quantity) - 1) // 100000 AS block
+        FROM lines JOIN products ON id = product_id) GROUP BY 1, 2)"""
 
 
 def _items(df):
     fields = ("line", "product_id", "name", "quantity", "price")
     text = F.array_join(F.transform("items", lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields])), " ")
-    return df.select("order_id", "username", F.round("total", 4).alias("total"), text.alias("items"))
+    return df.select("order_id", "username", "block", F.round("total", 4).alias("total"), text.alias("items"))
 
 
-@query("ord4_order_documents", f"WITH {ITEMS} SELECT order_id, username, total, items FROM heads JOIN item_lists USING (order_id)")
+@query("ord4_order_documents", f"WITH {ITEMS} SELECT order_id, username, block, total, items FROM heads JOIN item_lists USING (order_id)")
 def order_documents(spark, sf_dir):
     return _items(O.order_documents(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir), B.products(spark, sf_dir)))
 
@@ -422,12 +425,12 @@ def stock_after(spark, sf_dir):
     return after.select("id", "stock")
 
 
-@query("ord6_order_with_cart", f"WITH {CARTS} SELECT order_id, username, cart FROM heads JOIN carts USING (order_id) WHERE order_id = (SELECT max(order_id) FROM lines)")
+@query("ord6_order_with_cart", f"WITH {CARTS} SELECT order_id, username, block, cart FROM heads JOIN carts USING (order_id) WHERE order_id = (SELECT max(order_id) FROM lines)")
 def order_with_cart(spark, sf_dir):
     lines = B.order_lines(spark, sf_dir)
     wanted = lines.agg(F.max("order_id")).first()[0]
     found = O.find_orders(B.orders(spark, sf_dir), order_id=wanted)
-    return O.with_carts(found, lines.where(F.col("order_id") == wanted)).select("order_id", "username", _cart_text().alias("cart"))
+    return O.with_carts(found, lines.where(F.col("order_id") == wanted)).select("order_id", "username", "block", _cart_text().alias("cart"))
 
 
 # ---- keys -----------------------------------------------------------------------------------------------------------------

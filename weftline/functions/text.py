@@ -62,4 +62,12 @@ def clamp_limit(text: Column) -> Column:
         (F.length(digits) > 38) & number.isNull(), F.when(digits.startswith("-"), F.lit(1)).otherwise(F.lit(50))
     )
     parsed = F.coalesce(number, too_long.cast("decimal(38,0)"), F.lit(10).cast("decimal(38,0)"))
+    # a number with a hexadecimal prefix is read as such; with more than two digits it is above the bounds
+    hex_number = r"(?i)^([+-]?)0x0*([0-9a-f]+)"
+    trimmed = trim_white(F.coalesce(text, F.lit("")))
+    hex_digits = F.regexp_extract(trimmed, hex_number, 2)
+    hex_value = F.when(F.length(hex_digits) > 2, F.lit(50)).otherwise(F.conv(hex_digits, 16, 10).cast("int"))
+    negative = F.regexp_extract(trimmed, hex_number, 1) == "-"
+    hex_limit = F.when(hex_value == 0, F.lit(10)).when(negative, F.lit(1)).otherwise(hex_value)
+    parsed = F.when(hex_digits != "", hex_limit.cast("decimal(38,0)")).otherwise(parsed)
     return F.least(F.lit(50), F.greatest(F.lit(1), parsed)).cast("int")

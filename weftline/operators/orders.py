@@ -6,10 +6,10 @@ Orders are ``order_id, username`` plus arrival columns, lines are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftline.plans.lineage import cut, materialize
-from weftline.plans.shaping import dense_number, nest, running_before
+from weftline.plans.shaping import BLOCK_ROWS, dense_number, nest, running_before
 
 _LINE = ("line", "product_id", "quantity")
 # positions per running-sum span; a product has at most one row per position
@@ -17,14 +17,15 @@ SPAN = 100_000
 
 
 def order_headers(requests: DataFrame) -> DataFrame:
-    """Headers of order requests (``order_id, username, cart``)."""
-    return requests.select("order_id", "username")
+    """Headers of order requests (``order_id, username, cart``, and ``block`` where carts come in blocks)."""
+    return (requests.where("block = 0") if "block" in requests.columns else requests).select("order_id", "username")
 
 
-def cart_lines(requests: DataFrame) -> DataFrame:
-    """Cart lines of order requests, with their place in the cart."""
-    return requests.select("order_id", F.posexplode("cart").alias("line", "_item")).select(
-        "order_id", F.col("line").cast("long").alias("line"), "_item.product_id", "_item.quantity"
+def cart_lines(requests: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Cart lines of order requests, with their place in the whole cart."""
+    before = F.col("block") * block_rows if "block" in requests.columns else F.lit(0).cast("long")
+    return requests.select("order_id", before.alias("_before"), F.posexplode("cart").alias("line", "_item")).select(
+        "order_id", (F.col("_before") + F.col("line")).alias("line"), "_item.product_id", "_item.quantity"
     )
 
 
@@ -48,9 +49,9 @@ def find_lines(lines: DataFrame, order_id=None, product_id=None) -> DataFrame:
     return found.select("product_id", "quantity")
 
 
-def with_carts(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders with their lines nested, in bounded blocks; an order without lines has an empty cart."""
-    carts = nest(lines, ["order_id"], F.struct(*_LINE), "cart")
+def with_carts(orders: DataFrame, lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Orders with their lines nested, a row per block of the cart; an order without lines has an empty cart."""
+    carts = nest(lines, ["order_id"], F.struct(*_LINE), "cart", block_rows)
     empty = F.array().cast(carts.schema["cart"].dataType)
     return (
         orders.join(carts, "order_id", "left")
@@ -122,12 +123,11 @@ def allocate(
         .join(products.select(F.col("id").alias("product_id"), "stock"), "product_id", "left")
     )
     demand = materialize(demand, "demand")
-    positions = placed.count()
     hopeless = demand.where("stock is null").select("pos").distinct()
     state = cut(demand.join(hopeless, "pos", "left_anti").withColumn("taken", F.lit(False)))
     accepted = []
     while state.limit(1).count():
-        state, newly = _allocation_round(state, positions, span)
+        state, newly = _allocation_round(state, span)
         accepted.append(newly)
     if accepted:
         winners = accepted[0]
@@ -136,21 +136,17 @@ def allocate(
         winners = materialize(winners, "accepted")
     else:
         winners = by_place.select("pos").limit(0)
-    return _explain_decisions(by_place, lines, products, demand, winners, positions, span)
+    return _explain_decisions(by_place, lines, products, demand, winners, span)
 
 
-def _taken_before(rows: DataFrame, amounts, positions: int, span: int) -> DataFrame:
-    if positions <= span:
-        earlier = Window.partitionBy("product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        return rows.select("*", *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(n) for n, a in amounts.items()])
-    return running_before(rows, "product_id", "pos", amounts, span)
 
 
-def _allocation_round(state: DataFrame, positions: int, span: int) -> tuple[DataFrame, DataFrame]:
-    bounds = _taken_before(
+def _allocation_round(state: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    bounds = running_before(
         state,
+        "product_id",
+        "pos",
         {"most": F.col("amount"), "least": F.when(F.col("taken"), F.col("amount")).otherwise(F.lit(0))},
-        positions,
         span,
     )
     judged = cut(
@@ -183,15 +179,16 @@ def _allocation_round(state: DataFrame, positions: int, span: int) -> tuple[Data
 
 def _explain_decisions(
     by_place: DataFrame, lines: DataFrame, products: DataFrame, demand: DataFrame, winners: DataFrame,
-    positions: int, span: int,
+    span: int,
 ) -> DataFrame:
     won = winners.withColumn("won", F.lit(True))
     decided = by_place.join(won, "pos", "left").withColumn("accepted", F.coalesce("won", F.lit(False))).drop("won")
     with_result = demand.where("stock is not null").join(won, "pos", "left")
-    left = _taken_before(
+    left = running_before(
         with_result.select("pos", "product_id", "stock", F.coalesce("won", F.lit(False)).alias("won"), "amount"),
+        "product_id",
+        "pos",
         {"before": F.when(F.col("won"), F.col("amount")).otherwise(F.lit(0))},
-        positions,
         span,
     ).where("not won").select("pos", "product_id", (F.col("stock") - F.col("before")).alias("left"))
     lost = decided.where("not accepted and error is null").select("order_id", "pos")

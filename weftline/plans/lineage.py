@@ -34,6 +34,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/weftline/{application}/{label}-{uuid.uuid4().hex}"
 
 
+def is_missing_path(error) -> bool:
+    """Whether an analysis error says that nothing was written at a path yet."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends here, the partitioning is kept."""
     spark = df.sparkSession

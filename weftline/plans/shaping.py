@@ -7,13 +7,17 @@ table) into one task. These keep every task bounded and stay exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.plans.lineage import broadcast_if_small, cut, materialize
+from weftline.plans.lineage import cut, materialize
 
 # monotonically_increasing_id() keeps the row number in the low 33 bits
 _ROW_BITS = 33
+# items in one array of a nested list
+BLOCK_ROWS = 100_000
 
 
 def dense_number(df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0) -> DataFrame:
@@ -43,40 +47,25 @@ def nest(
     keys: Sequence[str],
     item: Column,
     name: str,
-    block_rows: int = 100_000,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Collect ``item`` per key into sorted arrays of bounded length.
+    """Collect ``item`` per key into sorted arrays of at most ``block_rows`` items (columns ``keys, block, name``).
 
-    A key with up to ``block_rows`` items gives one row with ``block`` 0. A
-    larger key is spread by hash over as many blocks as it needs, so no task
-    and no array has to hold a whole hot group; nothing is dropped. Equal items
-    of a hot key are counted first, and many copies are spread in chunks.
-    ``item`` is a struct whose leading fields give the order inside a block.
+    One rule for every key: its items are numbered in their order, and item n is in block
+    n div ``block_rows``, so the blocks of a key put end to end are its sorted list. Items are range-sorted over
+    all partitions (copies of one item too), so no task and no array has to hold a whole hot
+    group. ``item`` is a struct whose leading fields give the order.
     """
     keys = list(keys)
-    items = rows.select(*keys, item.alias("_item"))
-    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-    hot = materialize(counts.select(*keys, F.ceil(F.col("_n") / block_rows).alias("_blocks")), "hot-keys")
-    collected = F.sort_array(F.collect_list("_item")).alias(name)
-    if hot.limit(1).count() == 0:
-        return items.groupBy(*keys).agg(collected).select(*keys, F.lit(0).cast("long").alias("block"), name)
-
-    hot = broadcast_if_small(hot)
-    ordinary = items.join(hot, keys, "left_anti").groupBy(*keys).agg(collected)
-    copies = items.join(hot, keys).groupBy(*keys, "_item", "_blocks").agg(F.count(F.lit(1)).alias("_copies"))
-    chunk_count = F.ceil(F.col("_copies") / block_rows)
-    chunks = copies.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), chunk_count - 1)).alias("_chunk")
-    ).select(
-        *keys,
-        F.pmod(F.xxhash64(F.to_json(F.struct("_item")), "_chunk"), F.col("_blocks")).alias("block"),
-        "_item",
-        F.least(F.lit(block_rows), F.col("_copies") - F.col("_chunk") * block_rows).cast("int").alias("_here"),
-    )
-    spread_out = chunks.groupBy(*keys, "block").agg(
-        F.sort_array(F.flatten(F.collect_list(F.array_repeat("_item", F.col("_here"))))).alias(name)
+    items = rows.select(*keys, item.alias("_item"), F.monotonically_increasing_id().alias("_tie"))
+    numbered = dense_number(items, [*keys, "_item", "_tie"], "_n").drop("_tie")
+    starts = numbered.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    starts = materialize(starts.toDF(*[f"_k{i}" for i in range(len(keys))], "_first"), "nest-starts")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    block = F.floor((F.col("_n") - F.col("_first")) / block_rows).alias("block")
+    return numbered.join(starts, reduce(and_, same)).groupBy(*keys, block).agg(
+        F.sort_array(F.collect_list("_item")).alias(name)
     )
-    return ordinary.select(*keys, F.lit(0).cast("long").alias("block"), name).unionByName(spread_out)
 
 
 def running_before(

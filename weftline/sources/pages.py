@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from weftline.plans.lineage import broadcast_if_small, materialize, settings
+from weftline.plans.lineage import broadcast_if_small, is_missing_path, materialize, settings
 
 PAGE_KEY = ["dataset", "url"]
 # folders per dataset; an upsert rewrites only the ones its keys fall into
@@ -95,7 +95,9 @@ def upsert_pages(
         stored = spark.read.schema(columns + ", bucket int").parquet(path)
         stored.limit(1).count()
         stored = stored.join(broadcast_if_small(touched), ["dataset", "bucket"], "left_semi").drop("bucket")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):  # anything else must not pass for an empty table, which the write would then replace
+            raise
         stored = spark.createDataFrame([], columns)
     merged = merge_captures(stored, batch)
     if links is not None:

@@ -13,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from weftline.operators import orders as O, reviews as R
 from weftline.operators.links import fetched_links, latest_captures, outgoing_lists
-from weftline.plans.lineage import materialize, settings
+from weftline.plans.lineage import is_missing_path, materialize, settings
 from weftline.sources.pages import BUCKETS, upsert_pages
 
 
@@ -98,7 +98,7 @@ def allocate_orders(
         requests = materialize(batch, "batch")
         stock = products if number == 0 else spark.read.parquet(_batch_path(f"{path}/stock", number - 1))
         lines = materialize(O.cart_lines(requests), "batch-lines")
-        found = O.allocate(requests.select("order_id", "username", *arrival), lines, stock, arrival)
+        found = O.allocate((requests.where("block = 0") if "block" in requests.columns else requests).select("order_id", "username", *arrival), lines, stock, arrival)
         found.write.mode("overwrite").parquet(_batch_path(f"{path}/decisions", number))
         decisions = spark.read.parquet(_batch_path(f"{path}/decisions", number))
         O.stock_after(stock, lines, decisions).write.mode("overwrite").parquet(_batch_path(f"{path}/stock", number))
@@ -129,5 +129,7 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batches of an output, none if nothing was written."""
     try:
         return spark.read.parquet(path).drop("batch")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return spark.createDataFrame([], schema)
