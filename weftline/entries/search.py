@@ -35,9 +35,7 @@ def _asked(spark, sf_dir):
 
 
 def _known(spark, sf_dir):
-    index = document_index(spark, sf_dir)
-    words = S.query_terms(_asked(spark, sf_dir))
-    return S.known_terms(words, S.push_words(index.terms, words))
+    return S.known_terms(S.query_terms(_asked(spark, sf_dir)), document_index(spark, sf_dir))
 
 
 def _weights(spark, sf_dir):
@@ -46,7 +44,7 @@ def _weights(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     weights = materialize(_weights(spark, sf_dir), "weights")
-    return S.matches(weights, S.push_words(document_index(spark, sf_dir).postings, weights))
+    return S.matches(weights, document_index(spark, sf_dir))
 
 
 def rounded(df, *columns):
@@ -145,39 +143,50 @@ def query_weights(spark, sf_dir):
     return rounded(both.select("query_id", "dataset", "term", "q_weight", "q_mag"), "q_weight", "q_mag")
 
 
-@query("jn5_matches", f"WITH {ASKED} SELECT query_id, dataset, term, doc FROM qweights JOIN postings USING (dataset, term)")
+@query(
+    "jn5_matches",
+    f"WITH {ASKED} SELECT query_id, dataset, term, count(*) AS docs, sum(doc)::BIGINT AS doc_sum FROM qweights JOIN postings USING (dataset, term) GROUP BY 1, 2, 3",
+)
 def matches(spark, sf_dir):
-    return _hits(spark, sf_dir).select("query_id", "dataset", "term", "doc")
+    """Documents of each query word: their number, and the sum of their numbers."""
+    return _hits(spark, sf_dir).groupBy("query_id", "dataset", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc").alias("doc_sum"))
 
 
-@query("set1_candidates", f"WITH {ASKED} SELECT query_id, dataset, doc FROM dots")
+@query("set1_candidates", f"WITH {ASKED} SELECT query_id, dataset, count(*) AS docs, sum(doc)::BIGINT AS doc_sum FROM dots GROUP BY 1, 2")
 def candidates(spark, sf_dir):
-    return _hits(spark, sf_dir).select("query_id", "dataset", "doc").distinct()
+    """Documents with a word of each query."""
+    found = _hits(spark, sf_dir).select("query_id", "dataset", "doc").distinct()
+    return found.groupBy("query_id", "dataset").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc").alias("doc_sum"))
+
+
+def _ten(rows: str, measure: str, columns: str) -> str:
+    """SQL of the ten best of each query, ties in document order."""
+    order = f"PARTITION BY query_id, dataset ORDER BY round({measure}, 12) DESC, doc"
+    return f"SELECT query_id, dataset, doc, {columns} FROM (SELECT *, row_number() OVER ({order}) AS n FROM {rows}) WHERE n <= 10"
+
 
+def _top_ten(df, measure: str):
+    return S.top_matches(df.withColumn("score", F.col(measure)), S.FIXED_LIMIT, "doc")
 
-@query("ag8_dot_product", f"WITH {ASKED} SELECT query_id, dataset, doc, {R9.format('dot')} FROM dots")
+
+@query("ag8_dot_product", f"WITH {ASKED} {_ten('dots', 'dot', R9.format('dot'))}")
 def dot_product(spark, sf_dir):
-    return rounded(S.dot_products(_hits(spark, sf_dir)).select("query_id", "dataset", "doc", "dot"), "dot")
+    """The ten largest dot products of each query."""
+    return rounded(_top_ten(S.dot_products(_hits(spark, sf_dir)), "dot").select("query_id", "dataset", "doc", "dot"), "dot")
 
 
 @query(
     "ag14_document_vector",
-    f"""WITH {ASKED}, cand AS (SELECT DISTINCT query_id, dataset, doc FROM known JOIN postings USING (dataset, term))
-    SELECT query_id, dataset, doc, count(*) AS size, sum(CASE WHEN weight IS NULL THEN 1 ELSE 0 END) AS absent,
-      round(sqrt(sum(coalesce(weight * weight, 0))), 9) AS magnitude
-    FROM cand JOIN known USING (query_id, dataset) LEFT JOIN postings USING (dataset, term, doc) GROUP BY 1, 2, 3""",
+    f"""WITH {ASKED}, cand AS (SELECT DISTINCT query_id, dataset, doc FROM known JOIN postings USING (dataset, term)),
+    vectors AS (SELECT query_id, dataset, doc, count(*) AS size, sum(CASE WHEN weight IS NULL THEN 1 ELSE 0 END) AS absent,
+      sqrt(sum(coalesce(weight * weight, 0))) AS magnitude
+    FROM cand JOIN known USING (query_id, dataset) LEFT JOIN postings USING (dataset, term, doc) GROUP BY 1, 2, 3)
+    {_ten('vectors', 'magnitude', 'size, absent, ' + R9.format('magnitude'))}""",
 )
 def document_vector(spark, sf_dir):
-    index = document_index(spark, sf_dir)
-    vectors = S.document_vectors(index, _asked(spark, sf_dir))
-    # words in every document weigh 0 too, so absent ones are counted from the matches
-    words = S.query_terms(_asked(spark, sf_dir))
-    known = materialize(S.known_terms(words, S.push_words(index.terms, words)), "known")
-    present = S.matches(known, S.push_words(index.postings, known)).groupBy("query_id", "dataset", "doc").agg(
-        F.count(F.lit(1)).alias("present")
-    )
-    joined = vectors.join(present, ["query_id", "dataset", "doc"])
-    return joined.select(
+    """The ten longest document vectors of each query."""
+    vectors = _top_ten(S.document_vectors(document_index(spark, sf_dir), _asked(spark, sf_dir)), "magnitude")
+    return vectors.select(
         "query_id", "dataset", "doc", F.size("vector").alias("size"),
         (F.size("vector") - F.col("present")).alias("absent"), F.round("magnitude", 9).alias("magnitude"),
     )
@@ -260,18 +269,19 @@ def _scored(spark, sf_dir):
     """Scored candidates of the batch, with the rank of each."""
     weights = materialize(_weights(spark, sf_dir), "weights")
     index = document_index(spark, sf_dir)
-    dots = S.dot_products(S.matches(weights, S.push_words(index.postings, weights)))
+    dots = S.dot_products(S.matches(weights, index))
     ranks = index.docs.select("dataset", "doc", "url").join(B.document_ranks(spark, sf_dir), ["dataset", "url"], "left")
     return dots.join(S.query_norms(weights), S.QUERY).join(ranks, ["dataset", "doc"]).join(
         _asked(spark, sf_dir).select("query_id", "dataset", "boost", "limit"), S.QUERY
     )
 
 
-@query("bst1_rank_boost", f"WITH {ASKED}, all_ranks AS (SELECT * FROM doc_ranks), {SCORED} SELECT query_id, dataset, doc, {R9.format('score')} FROM scored")
+@query("bst1_rank_boost", f"WITH {ASKED}, all_ranks AS (SELECT * FROM doc_ranks), {SCORED} {_ten('scored', 'score', R9.format('score'))}")
 def rank_boost(spark, sf_dir):
+    """The ten best boosted scores of each query."""
     cosine = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
-    score = T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
-    return _scored(spark, sf_dir).select("query_id", "dataset", "doc", F.round(score, 9).alias("score"))
+    scored = _scored(spark, sf_dir).withColumn("boosted", T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost")))
+    return _top_ten(scored, "boosted").select("query_id", "dataset", "doc", F.round("score", 9).alias("score"))
 
 
 @query("tk2_top_results", f"WITH {BATCH} SELECT query_id, dataset, doc, position FROM best")
@@ -287,8 +297,8 @@ def _half(spark, sf_dir):
     index = document_index(spark, sf_dir)
     asked = B.fixed_request(spark, "unwhord thand", limit="50").withColumn("max_results", F.lit(50))
     words = S.query_terms(asked)
-    weights = materialize(S.query_weights(S.known_terms(words, index.terms)), "weights")
-    dots = S.dot_products(S.matches(weights, index.postings)).join(S.query_norms(weights), S.QUERY)
+    weights = materialize(S.query_weights(S.known_terms(words, index)), "weights")
+    dots = S.dot_products(S.matches(weights, index)).join(S.query_norms(weights), S.QUERY)
     scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag")))
     return index, asked, materialize(S.top_matches(scored, 50, "place", "doc"), "top")
 
@@ -355,7 +365,7 @@ def query_space_search(spark, sf_dir):
 def ten_best(spark, sf_dir):
     weights = materialize(_weights(spark, sf_dir), "weights")
     index = document_index(spark, sf_dir)
-    dots = S.dot_products(S.matches(weights, S.push_words(index.postings, weights))).join(S.query_norms(weights), S.QUERY)
+    dots = S.dot_products(S.matches(weights, index)).join(S.query_norms(weights), S.QUERY)
     scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")))
     return S.top_matches(scored, S.FIXED_LIMIT, "doc").select("query_id", "dataset", "doc", "position")
 
@@ -411,8 +421,9 @@ def case_sensitive_search(spark, sf_dir):
 
 @query(
     "srch4_scores_on_texts",
-    f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.words, 'raw', 'text')} SELECT query_id, dataset, doc, {R9.format('score')} FROM spaced",
+    f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.words, 'raw', 'text')} {_ten('spaced', 'score', R9.format('score'))}",
 )
 def scores_on_texts(spark, sf_dir):
+    """The ten best scores of each request."""
     found = S.score_texts(B.page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.tokens)
-    return rounded(found, "score")
+    return rounded(_top_ten(found, "score").drop("position"), "score")

@@ -2,25 +2,35 @@
 
 ``postings(dataset, term, doc, count, total_words, weight, mag)``,
 ``terms(dataset, term, df, n, idf)`` and ``docs(dataset, doc, url, title, total_words, mag)``.
-Postings stay rows, sorted by term over all files: a word that is in most documents
-spans many files, and a search reads only the row groups of its own words.
+Postings stay rows. Postings and terms lie in folders by hash of the word (``shard``), sorted by
+word and document inside: a word that is in most documents spans many files, and a search
+reads only the folders of its own words.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import html as H, text as T
 from weftline.plans.lineage import broadcast_if_small, materialize, spread
 from weftline.plans.shaping import dense_number
 
 
+SHARDS = 64  # folders of postings and terms, where an index is not built with another number
+
+
 class SearchIndex(NamedTuple):
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    shards: int = SHARDS
+
+
+def shard_of(term: Column, shards: int) -> Column:
+    """Folder of a word."""
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
 def documents_of_pages(pages: DataFrame) -> DataFrame:
@@ -86,34 +96,41 @@ def weighted_postings(counts: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame) -> SearchIndex:
+def build_index(docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
     """Index of ``dataset, doc, url, title, text``; ``doc`` is unique and gives the document order."""
     counts = materialize(term_counts(docs), "counts")
-    terms = materialize(term_table(counts, docs), "terms")
-    weighted = weighted_postings(counts, terms)
-    # sorted by word, with the document as second key so that frequent words split over files
-    postings = materialize(
-        weighted.repartitionByRange("dataset", "term", "doc").sortWithinPartitions("dataset", "term", "doc"),
-        "postings",
-    )
+    shard = shard_of(F.col("term"), shards)
+    terms = term_table(counts, docs).withColumn("shard", shard).repartitionByRange("shard", "dataset", "term")
+    terms = materialize(terms, "terms", partition_by="shard")
+    weighted = weighted_postings(counts, terms).withColumn("shard", shard)
+    # sorted by word, with the document as last key so that frequent words split over files
+    order = ["shard", "dataset", "term", "doc"]
+    postings = weighted.repartitionByRange(*order).sortWithinPartitions(*order)
+    postings = materialize(postings, "postings", partition_by="shard")
     norms = postings.groupBy("dataset", "doc").agg(F.max("total_words").alias("total_words"), F.max("mag").alias("mag"))
     table = (
         docs.select("dataset", "doc", "url", "title")
         .join(norms, ["dataset", "doc"], "left")
         .fillna({"total_words": 0, "mag": 0.0})
     )
-    return SearchIndex(materialize(table, "docs"), postings, terms)
+    return SearchIndex(materialize(table, "docs"), postings, terms, shards)
+
+
+# folders of the stored tables
+FOLDERS = {"docs": ["dataset"], "postings": ["dataset", "shard"], "terms": ["dataset", "shard"]}
 
 
 def write_index(index: SearchIndex, path: str) -> None:
-    """Store the three tables, split by dataset."""
-    for name, table in index._asdict().items():
-        table.write.mode("overwrite").partitionBy("dataset").parquet(f"{path}/{name}")
+    """Store the three tables, split by dataset (and word hash), and the number of shards."""
+    for name, folders in FOLDERS.items():
+        getattr(index, name).write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}")
+    spark = index.docs.sparkSession
+    spark.range(1).select(F.lit(index.shards).alias("shards")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read_index(spark: SparkSession, path: str, dataset: str | None = None) -> SearchIndex:
     """The stored index, of one dataset only if named."""
-    tables = [spark.read.parquet(f"{path}/{name}") for name in SearchIndex._fields]
+    tables = [spark.read.parquet(f"{path}/{name}") for name in FOLDERS]
     if dataset is not None:
         tables = [t.where(F.col("dataset") == dataset) for t in tables]
-    return SearchIndex(*tables)
+    return SearchIndex(*tables, spark.read.parquet(f"{path}/layout").first()["shards"])

@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
-from weftline.operators.index import SearchIndex
+from weftline.operators.index import SearchIndex, shard_of
 from weftline.plans.lineage import broadcast_if_small, materialize, spread
 
 MAX_LIMIT = 50
 FIXED_LIMIT = 10
-# beyond this many distinct query words the words are not pushed into the scan
-MAX_PUSHED_WORDS = 2_000
 QUERY = ["query_id", "dataset"]
 
 
@@ -30,9 +28,19 @@ def query_terms(queries: DataFrame, split=T.tokens) -> DataFrame:
     )
 
 
-def known_terms(terms_of_query: DataFrame, terms: DataFrame) -> DataFrame:
+def of_words(table: DataFrame, words: DataFrame) -> DataFrame:
+    """Join an index table with ``words`` (a written table with dataset, term and shard).
+
+    A comparison on the shard makes Spark prune the table's folders by the shards of the words when the join runs.
+    """
+    key = ["shard", "dataset", "term"]
+    return table.join(broadcast_if_small(words.where("shard >= 0")), key)
+
+
+def known_terms(terms_of_query: DataFrame, index: SearchIndex) -> DataFrame:
     """Query words that occur in the corpus, with their frequency there."""
-    return terms_of_query.join(terms.select("dataset", "term", "df", "idf"), ["dataset", "term"])
+    asked = materialize(terms_of_query.withColumn("shard", shard_of(F.col("term"), index.shards)), "query-words")
+    return of_words(index.terms.select("shard", "dataset", "term", "df", "idf"), asked)
 
 
 def query_weights(known: DataFrame) -> DataFrame:
@@ -41,7 +49,7 @@ def query_weights(known: DataFrame) -> DataFrame:
     return (
         known.withColumn("q_weight", T.weight(frequency, F.col("idf")))
         .where("q_weight <> 0")
-        .select(*QUERY, "term", "place", "q_weight")
+        .select(*QUERY, "shard", "term", "place", "q_weight")
     )
 
 
@@ -50,17 +58,9 @@ def query_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy(*QUERY).agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_mag"))
 
 
-def push_words(table: DataFrame, words: DataFrame) -> DataFrame:
-    """Restrict a table to the given words by a pushed filter if there are few of them."""
-    few = words.select("term").distinct().limit(MAX_PUSHED_WORDS + 1).collect()
-    if len(few) > MAX_PUSHED_WORDS:
-        return table
-    return table.where(F.col("term").isin([row.term for row in few]))
-
-
-def matches(weights: DataFrame, postings: DataFrame) -> DataFrame:
+def matches(weights: DataFrame, index: SearchIndex) -> DataFrame:
     """Postings of the query words: one row per query word and document that has it."""
-    return postings.join(broadcast_if_small(weights), ["dataset", "term"])
+    return of_words(index.postings, weights)
 
 
 def dot_products(hits: DataFrame) -> DataFrame:
@@ -137,9 +137,8 @@ def search(index: SearchIndex, queries: DataFrame, ranks: DataFrame | None = Non
         F.coalesce("boost", F.lit(False)).alias("boost"),
         T.clamp_limit(F.col("limit")).alias("max_results"),
     )
-    words = query_terms(asked)
-    weights = materialize(query_weights(known_terms(words, push_words(index.terms, words))), "query-weights")
-    candidates = dot_products(matches(weights, push_words(index.postings, weights))).join(
+    weights = materialize(query_weights(known_terms(query_terms(asked), index)), "query-weights")
+    candidates = dot_products(matches(weights, index)).join(
         query_norms(weights), QUERY
     ).join(asked.select(*QUERY, "boost", "max_results"), QUERY)
     score = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
@@ -162,11 +161,10 @@ def search_query_space(index: SearchIndex, queries: DataFrame) -> DataFrame:
     A query without any known word has no result. Ties go by document order, so
     documents without a match (score 0) follow in that order.
     """
-    words = query_terms(queries)
-    known = materialize(known_terms(words, push_words(index.terms, words)), "known")
+    known = materialize(known_terms(query_terms(queries), index), "known")
     weights = query_weights(known)
     scored = (
-        dot_products(matches(weights, push_words(index.postings, weights)))
+        dot_products(matches(weights, index))
         .join(query_norms(weights), QUERY)
         .select(*QUERY, "doc", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")).alias("score"))
     )
@@ -251,24 +249,20 @@ def search_texts(
 
 
 def document_vectors(index: SearchIndex, queries: DataFrame) -> DataFrame:
-    """Vector over the query words, in query order, of every document that has one of them."""
-    words = query_terms(queries)
-    known = materialize(known_terms(words, push_words(index.terms, words)), "known")
-    candidates = (
-        push_words(index.postings, known).join(broadcast_if_small(known), ["dataset", "term"]).select(*QUERY, "doc").distinct()
-    )
-    weights = index.postings.select("dataset", "term", "doc", "weight")
+    """Vector over the query words, in query order, of every document that has one of them.
+
+    ``present`` counts the words the document has, ``magnitude`` is the vector's norm.
+    """
+    known = materialize(known_terms(query_terms(queries), index), "known")
+    places = known.groupBy(*QUERY).agg(F.sort_array(F.collect_set("place")).alias("places"))
     # at most one entry per query word
-    entries = F.sort_array(F.collect_list(F.struct("place", F.coalesce("weight", F.lit(0.0)).alias("weight"))))
-    grid = candidates.join(known.select(*QUERY, "term", "place"), QUERY)
-    return (
-        grid.join(push_words(weights, known), ["dataset", "term", "doc"], "left")
-        .groupBy(*QUERY, "doc")
-        .agg(
-            F.transform(entries, lambda e: e["weight"]).alias("vector"),
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("magnitude"),
-        )
+    held = matches(known, index).groupBy(*QUERY, "doc").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("at"),
+        F.count(F.lit(1)).alias("present"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("magnitude"),
     )
+    filled = F.transform("places", lambda p: F.coalesce(F.element_at("at", p), F.lit(0.0)))
+    return held.join(places, QUERY).select(*QUERY, "doc", filled.alias("vector"), "present", "magnitude")
 
 
 def result_document(results: DataFrame) -> DataFrame:
