@@ -146,3 +146,25 @@ def test_page_upsert_leaves_other_folders_alone(spark, tmp_path):
     assert rows["d", "a"].content == "2" and rows["d", "a"].incoming_count == 1
     assert rows["d", "s"].content == "" and rows["d", "s"].incoming_count == 2 and rows["d", "s"].outgoing == []
     assert untouched == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages" / "dataset=e").rglob("*.parquet")}
+
+
+def test_page_store_keeps_its_layout_and_the_newest_capture(spark, tmp_path):
+    path = str(tmp_path / "pages")
+
+    def batch(content, day):
+        rows = spark.createDataFrame([("d", f"u{k}", content) for k in range(20)], "dataset string, url string, content string")
+        return rows.withColumn("outgoing", F.array(F.lit("x"))).withColumn("fetched_at", F.to_timestamp(F.lit(day)))
+
+    links = spark.createDataFrame([("d", "u1", "u2"), ("d", "u1", "u3")], "dataset string, src string, dst string")
+    P.upsert_pages(spark, path, batch("new", "2024-01-02"), links, buckets=4)
+    P.upsert_pages(spark, path, batch("new", "2024-01-02"), links)  # once more, as after a failure
+    P.upsert_pages(spark, path, batch("new", "2024-01-02"), links.where("dst = 'u2'").withColumn("src", F.lit("u9")))
+    assert sorted(map(tuple, P.stored_links(spark, path).collect())) == [("d", "u1", "u2"), ("d", "u1", "u3"), ("d", "u9", "u2")]
+    P.upsert_pages(spark, path, batch("late", "2024-01-01"))
+    with pytest.raises(ValueError):
+        P.upsert_pages(spark, path, batch("other", "2024-01-03"), buckets=256)
+    pages = P.scan_pages(spark, path).collect()
+    assert len(pages) == 20 and {r.content for r in pages} == {"new"}
+    one = P.read_page(spark, path, "d", "u7", "url", "content")
+    assert [tuple(r) for r in one.collect()] == [("u7", "new")]
+    assert "bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]

@@ -91,33 +91,34 @@ def _stored_twice(spark, sf_dir):
     )
     path = scratch_path(spark, "page-store")
     P.upsert_pages(spark, path, first, found.fetched, buckets=4)
-    P.upsert_pages(spark, path, second, found.fetched, buckets=4)
-    return P.scan_pages(spark, path)
+    P.upsert_pages(spark, path, second, found.fetched)
+    sources = L.in_degrees(P.stored_links(spark, path))
+    return P.scan_pages(spark, path).join(sources, ["dataset", "url"], "left").fillna({"in_degree": 0})
 
 
 TWICE = f"""{Q.CRAWL}, latest AS (SELECT dataset, url, max_by(html, seq) AS html FROM kept GROUP BY 1, 2),
 outs AS (SELECT dataset, src AS url, string_agg(dst, ' ' ORDER BY position) AS outgoing FROM current_links GROUP BY 1, 2),
-ins AS (SELECT dataset, dst AS url, 2 * count(*) AS incoming_count FROM fetched GROUP BY 1, 2)"""
+ins AS (SELECT dataset, dst AS url, 2 * count(*) AS incoming_count, count(DISTINCT src) AS in_degree FROM fetched GROUP BY 1, 2)"""
 
 
 @query(
     "snk1_page_upsert",
     f"""WITH {TWICE} SELECT l.dataset, l.url, length(html) + 14 AS content_length, coalesce(outgoing, '') AS outgoing,
-    coalesce(incoming_count, 0) AS incoming_count FROM latest l LEFT JOIN outs USING (dataset, url) LEFT JOIN ins USING (dataset, url)""",
+    coalesce(incoming_count, 0) AS incoming_count, coalesce(in_degree, 0) AS in_degree FROM latest l LEFT JOIN outs USING (dataset, url) LEFT JOIN ins USING (dataset, url)""",
 )
 def page_upsert(spark, sf_dir):
     return _stored_twice(spark, sf_dir).where("fetched_at is not null").select(
-        "dataset", "url", F.length("content").alias("content_length"), joined("outgoing").alias("outgoing"), "incoming_count"
+        "dataset", "url", F.length("content").alias("content_length"), joined("outgoing").alias("outgoing"), "incoming_count", "in_degree"
     )
 
 
 @query(
     "snk2_incoming_upsert",
-    f"""WITH {TWICE} SELECT dataset, url, incoming_count FROM ins
+    f"""WITH {TWICE} SELECT dataset, url, incoming_count, in_degree FROM ins
     WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.dataset = ins.dataset AND l.url = ins.url)""",
 )
 def incoming_upsert(spark, sf_dir):
-    return _stored_twice(spark, sf_dir).where("fetched_at is null and content = ''").select("dataset", "url", "incoming_count")
+    return _stored_twice(spark, sf_dir).where("fetched_at is null and content = ''").select("dataset", "url", "incoming_count", "in_degree")
 
 
 # ---- column functions ----------------------------------------------------------------------------

@@ -24,9 +24,15 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dataset", "src").agg(F.count(F.lit(1)).alias("out_degree"))
 
 
+def dataset_sizes(nodes: DataFrame) -> DataFrame:
+    """Pages per dataset, a row each, sent to the pages where they are few: a join would shuffle all pages by dataset."""
+    sizes = nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return broadcast_if_small(materialize(sizes, "sizes"))
+
+
 def uniform_ranks(nodes: DataFrame) -> DataFrame:
     """Start vector: every page of a dataset has rank 1/n."""
-    sizes = nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    sizes = dataset_sizes(nodes)
     return nodes.select("dataset", "url").join(sizes, "dataset").select("dataset", "url", (1.0 / F.col("n")).alias("pr"))
 
 
@@ -45,9 +51,8 @@ def received(ranks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rank_step(ranks: DataFrame, edges: DataFrame, alpha: float = 0.1) -> DataFrame:
     """One step of the iteration as a plain DataFrame plan."""
-    sizes = ranks.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     return (
-        ranks.join(sizes, "dataset")
+        ranks.join(dataset_sizes(ranks), "dataset")
         .join(received(ranks, edges), ["dataset", "url"], "left")
         .select(
             "dataset",

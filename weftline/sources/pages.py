@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from weftline.plans.lineage import broadcast_if_small, is_missing_path, materialize, settings
 
 PAGE_KEY = ["dataset", "url"]
-# folders per dataset; an upsert rewrites only the ones its keys fall into
+# folders per dataset of a new table; an upsert rewrites only the ones its keys fall into
 BUCKETS = 256
+PAGE_COLUMNS = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp, incoming_count bigint"
+
+LINK_COLUMNS = "dataset string, src string, dst string"
+
+
+def bucket_of(url: Column, buckets: int) -> Column:
+    """Folder of a page."""
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def _layout_path(path: str) -> str:
+    return f"{path.rstrip('/')}.layout"
+
+
+def _links_path(path: str) -> str:
+    return f"{path.rstrip('/')}.links"
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """Folders per dataset that the table at ``path`` was created with, kept beside it; None if there is no table."""
+    try:
+        return spark.read.schema("buckets int").parquet(_layout_path(path)).first()["buckets"]
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
+        return None
+
+
+def _settle_buckets(spark: SparkSession, path: str, buckets: int | None) -> int:
+    """The table's number of folders; a new table gets the wanted one, another one than the table's is refused."""
+    found = stored_buckets(spark, path)
+    if found is None:
+        found = buckets or BUCKETS
+        spark.range(1).select(F.lit(found).alias("buckets")).write.mode("error").parquet(_layout_path(path))
+    elif buckets not in (None, found):
+        raise ValueError(f"the page table has {found} folders per dataset, not {buckets}")
+    return found
 
 
 def scan_pages(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -20,6 +57,13 @@ def scan_pages(spark: SparkSession, path: str, dataset: str | None = None) -> Da
     return pages.drop("bucket")
 
 
+def read_page(spark: SparkSession, path: str, dataset: str, url: str, *columns: str) -> DataFrame:
+    """One page of the stored table; only the folder of its key is read."""
+    pages = spark.read.schema(PAGE_COLUMNS + ", bucket int").parquet(path)
+    folder = pages.where(F.col("bucket") == bucket_of(F.lit(url), stored_buckets(spark, path)))
+    return find_page(folder.drop("bucket"), dataset, url, *columns)
+
+
 def find_page(pages: DataFrame, dataset: str, url: str, *columns: str) -> DataFrame:
     """One page by key, with the wanted columns only."""
     return pages.where((F.col("dataset") == dataset) & (F.col("url") == url)).select(*(columns or ["*"]))
@@ -35,18 +79,20 @@ def select_datasets(config: DataFrame, name: str | None) -> DataFrame:
 
 
 def merge_captures(stored: DataFrame, captures: DataFrame) -> DataFrame:
-    """Stored pages with content, links and time replaced where there is a newer capture.
+    """Stored pages with content, links and time replaced where there is a capture that is at least as new.
 
-    Both sides have ``dataset, url, content, outgoing, fetched_at``; ``stored`` also
+    A late, older capture changes nothing. Both sides have ``dataset, url, content, outgoing, fetched_at``; ``stored`` also
     ``incoming_count``, which a capture leaves as it is. Stored stubs have no time.
     """
     newest = Window.partitionBy(*PAGE_KEY).orderBy(F.col("fetched_at").desc())
     # rank 1 only: Spark limits each partition before the shuffle
     last = captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-    new = last.select(*PAGE_KEY, *[F.col(c).alias(f"_{c}") for c in ("content", "outgoing", "fetched_at")])
+    fields = ("content", "outgoing", "fetched_at")
+    new = last.select(*PAGE_KEY, F.struct(*fields).alias("_new"))
+    newer = F.col("_new").isNotNull() & (F.col("fetched_at").isNull() | (F.col("_new.fetched_at") >= F.col("fetched_at")))
     return stored.join(new, PAGE_KEY, "full_outer").select(
         *PAGE_KEY,
-        *[F.coalesce(f"_{c}", c).alias(c) for c in ("content", "outgoing", "fetched_at")],
+        *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields],
         F.coalesce("incoming_count", F.lit(0)).alias("incoming_count"),
     )
 
@@ -71,38 +117,53 @@ def merge_link_set(stored: DataFrame, links: DataFrame) -> DataFrame:
     return stored.select("dataset", "src", "dst").unionByName(links.select("dataset", "src", "dst")).distinct()
 
 
+def stored_links(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """The set of links (``dataset, src, dst``) that upserts into the page table at ``path`` have brought."""
+    links = spark.read.schema(LINK_COLUMNS + ", bucket int").parquet(_links_path(path)).select("dataset", "src", "dst")
+    return links if dataset is None else links.where(F.col("dataset") == dataset)
+
+
+def _folders_of(spark: SparkSession, path: str, columns: str, touched: DataFrame) -> DataFrame:
+    """Stored rows of the touched folders; none where nothing was written yet."""
+    try:
+        stored = spark.read.schema(columns + ", bucket int").parquet(path)
+        stored.limit(1).count()
+    except AnalysisException as error:
+        if not is_missing_path(error):  # anything else must not pass for an empty table, which the write would then replace
+            raise
+        return spark.createDataFrame([], columns)
+    return stored.join(broadcast_if_small(touched), ["dataset", "bucket"], "left_semi").drop("bucket")
+
+
+def _replace_folders(rows: DataFrame, path: str) -> None:
+    # written aside first: a folder cannot be read and replaced in one job
+    rows = materialize(rows, "merged").hint("rebalance", "dataset", "bucket")
+    with settings(rows.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"):
+        rows.write.mode("overwrite").partitionBy("dataset", "bucket").parquet(path)
+
+
 def upsert_pages(
-    spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None, buckets: int = BUCKETS
+    spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None, buckets: int | None = None
 ) -> None:
     """Merge captures (and the links found in them) into the table at ``path``.
 
-    The table is split by dataset and key hash. Only folders that a new key
-    falls into are read and replaced (``buckets`` is a property of the table); replacing a folder with the same batch
-    again gives the same pages.
+    The table is split by dataset and key hash, the set of links beside it by dataset and hash
+    of the target. Only folders that a new key falls into are read and replaced. ``buckets`` is set when the table is
+    created and kept beside it; a later call may leave it out, and another number is refused. The same batch
+    again gives the same pages and the same set of links; only the counter of fetched links grows.
     """
-    columns = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp, incoming_count bigint"
-    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+    buckets = _settle_buckets(spark, path, buckets)
     batch = materialize(captures.select("dataset", "url", "content", "outgoing", "fetched_at"), "captures")
-    keys = batch.select("dataset", bucket.alias("bucket"))
+    keys = batch.select("dataset", bucket_of(F.col("url"), buckets).alias("bucket"))
     if links is not None:
         links = materialize(links.select("dataset", "src", "dst"), "links")
-        keys = keys.unionByName(
-            links.select("dataset", F.pmod(F.xxhash64("dst"), F.lit(buckets)).cast("int").alias("bucket"))
-        )
-    # at most datasets x buckets rows
+        # at most datasets x buckets rows, as are the folders of the pages below
+        targets = materialize(links.select("dataset", bucket_of(F.col("dst"), buckets).alias("bucket")).distinct(), "targets")
+        known = merge_link_set(_folders_of(spark, _links_path(path), LINK_COLUMNS, targets), links)
+        _replace_folders(known.withColumn("bucket", bucket_of(F.col("dst"), buckets)), _links_path(path))
+        keys = keys.unionByName(targets)
     touched = materialize(keys.distinct(), "touched")
-    try:
-        stored = spark.read.schema(columns + ", bucket int").parquet(path)
-        stored.limit(1).count()
-        stored = stored.join(broadcast_if_small(touched), ["dataset", "bucket"], "left_semi").drop("bucket")
-    except AnalysisException as error:
-        if not is_missing_path(error):  # anything else must not pass for an empty table, which the write would then replace
-            raise
-        stored = spark.createDataFrame([], columns)
-    merged = merge_captures(stored, batch)
+    merged = merge_captures(_folders_of(spark, path, PAGE_COLUMNS, touched), batch)
     if links is not None:
         merged = merge_incoming(merged, links)
-    # written aside first: a folder cannot be read and replaced in one job
-    merged = materialize(merged.withColumn("bucket", bucket), "merged").hint("rebalance", "dataset", "bucket")
-    with settings(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
-        merged.write.mode("overwrite").partitionBy("dataset", "bucket").parquet(path)
+    _replace_folders(merged.withColumn("bucket", bucket_of(F.col("url"), buckets)), path)
