@@ -114,6 +114,17 @@ def test_query_recall(spark, sf_dir):
         assert recall(got, rows, 50, 5) >= 0.9
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """Probes follow the number of lists: 1,500 lists of vectors without clusters."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 10)
+    rng = np.random.default_rng(9)
+    rows = [(i, v.astype(float)) for i, v in enumerate(rng.normal(size=(15_000, 64)).astype(np.float32))]
+    got = {}
+    for r in ann.nearest(frame(spark, [(i, v.tolist()) for i, v in rows]), every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(x) == 5 for x in got.values()) and recall(got, rows, 100, 5) >= 0.9
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(5)
     points = ann.unit(rng.normal(size=(6000, 24)))

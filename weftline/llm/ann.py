@@ -9,6 +9,8 @@ neighbours, kept in memory by every worker; lists and their queries meet in tile
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +25,7 @@ LIST_ROWS, MOST_LISTS = 200, 2048  # vectors a list should hold; more lists than
 ITERATIONS, BALANCE = 12, 0.05  # rounds of fitting; how much a full list repels
 DEGREE, LONG_LINKS, ENTRIES = 16, 4, 8  # of the centroid graph
 REPLICAS, REPLICA_RATIO = 6, 1.2  # lists of a vector; distances against its nearest list
-PROBES, PROBE_RATIO = 48, 1.5  # lists of a query; distances against its nearest list
+PROBES, PROBE_SHARE, PROBE_RATIO = 48, 0.12, 1.5  # most lists of a query, or this share of all if that is more; distances against its nearest list
 BEAM = 64  # candidates of a graph search
 TILE_ROWS, TILE_QUERIES = 8192, 1024
 SPARE = 4  # classes a tile scores exactly besides those it gives
@@ -119,11 +121,17 @@ def replica_lists(graph: CentroidGraph, rows: np.ndarray) -> list[list[int]]:
     return out
 
 
+def most_probes(lists: int) -> int:
+    """Lists a query may read: a share of all, so that recall doesn't fall as their number grows."""
+    return max(PROBES, math.ceil(PROBE_SHARE * lists))
+
+
 def probe_lists(graph: CentroidGraph, rows: np.ndarray) -> list[list[int]]:
     """Lists a query reads, pruned by distance ratio."""
-    ids, apart = graph.search(rows, max(BEAM, PROBES))
+    most = most_probes(len(graph.centers))
+    ids, apart = graph.search(rows, max(BEAM, most))
     fits = (apart <= PROBE_RATIO**2 * apart[:, :1] + 1e-12) & (ids >= 0)
-    return [own[fit][:PROBES].tolist() for own, fit in zip(ids, fits, strict=True)]
+    return [own[fit][:most].tolist() for own, fit in zip(ids, fits, strict=True)]
 
 
 def _routed(graph, lists_of):
