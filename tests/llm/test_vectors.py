@@ -125,6 +125,31 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert all(len(x) == 5 for x in got.values()) and recall(got, rows, 100, 5) >= 0.9
 
 
+def test_isolated_vectors(spark, monkeypatch):
+    """Queries that are their own centroid, among tight clusters."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    rng = np.random.default_rng(13)
+    rows = rng.normal(size=(10, 64))[rng.integers(0, 10, 6000)] + 0.01 * rng.normal(size=(6000, 64))
+    rows[::20] = rng.normal(size=(300, 64))
+    rows = [(i, v.astype(float)) for i, v in enumerate(rows.astype(np.float32))]
+    got = {}
+    for r in ann.nearest(frame(spark, [(i, v.tolist()) for i, v in rows]), every=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 300 and all(len(x) == 5 for x in got.values()) and recall(got, rows, 20, 5) >= 0.9
+
+
+def test_probes_go_on_until_lists_hold_enough():
+    rng = np.random.default_rng(15)
+    graph = ann.CentroidGraph(ann.unit(rng.normal(size=(600, 24))))
+    row = graph.centers[:1]
+    far = np.argsort(graph.centers @ row[0])[:100]
+    own = np.zeros(600, dtype=np.int64)
+    own[far] = 1
+    (lists,) = ann.probe_lists(graph, row, own, np.zeros(600), 24)
+    assert own[lists].sum() == 24 and len(set(lists)) == len(lists)
+    assert sorted(ann.probe_lists(graph, row, own, np.zeros(600), 1000)[0]) == list(range(600))
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(5)
     points = ann.unit(rng.normal(size=(6000, 24)))

@@ -2,14 +2,15 @@
 
 Centroids are fitted on a bounded sample; all vectors are indexed. A vector near a
 boundary goes to several lists: to those within a distance ratio of its nearest one, unless a
-centroid already chosen is nearer to the next than the vector is. A query takes the lists within a
-distance ratio of its nearest centroid. Centroids are found through a graph of their
+centroid already chosen is nearer to the next than the vector is. A query takes a number of nearest lists, more within a
+distance ratio of its nearest centroid, and as many as hold enough vectors. Centroids are found through a graph of their
 neighbours, kept in memory by every worker; lists and their queries meet in tiles of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ ITERATIONS, BALANCE = 12, 0.05  # rounds of fitting; how much a full list repels
 DEGREE, LONG_LINKS, ENTRIES = 16, 4, 8  # of the centroid graph
 REPLICAS, REPLICA_RATIO = 6, 1.2  # lists of a vector; distances against its nearest list
 PROBES, PROBE_SHARE, PROBE_RATIO = 48, 0.12, 1.5  # most lists of a query, or this share of all if that is more; distances against its nearest list
+FEWEST_SHARE = 0.5  # of those lists, read whatever their distances are: a vector on its centroid says nothing about others
+ENOUGH = 4  # times k + 1 different classes that the lists of a query hold at least, where there are so many
 BEAM = 64  # candidates of a graph search
 TILE_ROWS, TILE_QUERIES = 8192, 1024
 SPARE = 4  # classes a tile scores exactly besides those it gives
@@ -126,12 +129,30 @@ def most_probes(lists: int) -> int:
     return max(PROBES, math.ceil(PROBE_SHARE * lists))
 
 
-def probe_lists(graph: CentroidGraph, rows: np.ndarray) -> list[list[int]]:
-    """Lists a query reads, pruned by distance ratio."""
+def probe_lists(graph: CentroidGraph, rows: np.ndarray, own: np.ndarray, spread: np.ndarray, enough: int) -> list[list[int]]:
+    """Lists a query reads: the nearest ones, more by distance ratio, and on until their ``own`` vectors are ``enough``.
+
+    ``own`` counts vectors whose nearest list it is, so that none counts twice; ``spread`` is their mean squared distance
+    from the centroid. The ratio starts from the nearest lists that hold ``enough``, and not under their spread: a query on
+    its centroid is at no distance from it, but its neighbours are.
+    """
     most = most_probes(len(graph.centers))
     ids, apart = graph.search(rows, max(BEAM, most))
-    fits = (apart <= PROBE_RATIO**2 * apart[:, :1] + 1e-12) & (ids >= 0)
-    return [own[fit][:most].tolist() for own, fit in zip(ids, fits, strict=True)]
+    out = []
+    for near, dist, row in zip(ids, apart, rows, strict=True):
+        near = near[near >= 0][:most]
+        dist = dist[: len(near)]
+        first = 1 + min(np.searchsorted(np.cumsum(own[near]), enough), len(near) - 1)
+        fits = dist <= PROBE_RATIO**2 * max(dist[first - 1], spread[near[:first]].max()) + 1e-12
+        fits[: math.ceil(FEWEST_SHARE * most)] = True
+        lists = near[fits].tolist()
+        held = own[lists].sum()
+        if held < enough:
+            order = np.argsort(-(graph.centers @ row), kind="stable")
+            order = order[~np.isin(order, lists)]
+            lists += order[: 1 + np.searchsorted(held + np.cumsum(own[order]), enough)].tolist()
+        out.append(lists)
+    return out
 
 
 def _routed(graph, lists_of):
@@ -142,11 +163,16 @@ def _routed(graph, lists_of):
         for batch in batches:
             for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
                 at = part.schema.names.index("vec")
-                lists = lists_of(net, unit(matrix(part.column(at).to_pylist())))
+                points = unit(matrix(part.column(at).to_pylist()))
+                lists = lists_of(net, points)
                 rows = np.repeat(np.arange(part.num_rows), [len(x) for x in lists])
                 taken = part.take(pa.array(rows))
                 flat = pa.array([c for x in lists for c in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([flat, *taken.columns], ["list", *part.schema.names])
+                firsts = np.array([x[0] for x in lists])
+                apart = 2 - 2 * np.einsum("qd,qd->q", points, net.centers[firsts])
+                # a row's distance from its nearest list, null in the others
+                apart = pa.array([d if n == 0 else None for x, d in zip(lists, apart.tolist(), strict=True) for n in range(len(x))], pa.float64())
+                yield pa.RecordBatch.from_arrays([flat, apart, *taken.columns], ["list", "apart", *part.schema.names])
 
     return route
 
@@ -200,11 +226,15 @@ def nearest(
     lists = max(1, min(MOST_LISTS, -(-count // LIST_ROWS), len(points)))
     graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(points, lists)))
 
-    kinds = "list long, class_id long, first long, ids array<long>, vec array<double>"
+    kinds = "list long, apart double, class_id long, first long, ids array<long>, vec array<double>"
     held = materialize(classes.mapInArrow(_routed(graph, replica_lists), kinds), "ann-lists")
+    loads = held.where("apart IS NOT NULL").groupBy("list").agg(F.count(F.lit(1)), F.avg("apart")).toArrow()  # a row per list, too
+    own, spread = np.zeros(lists, dtype=np.int64), np.zeros(lists)
+    own[loads.column(0).to_numpy()], spread[loads.column(0).to_numpy()] = loads.column(1).to_numpy(), loads.column(2).to_numpy()
+    probes = partial(probe_lists, own=own, spread=spread, enough=ENOUGH * (k + 1))
     members = query_members(rows, F.col("vec_id") % every == 0)
     asked = materialize(
-        members.select("class_id", "vec").distinct().mapInArrow(_routed(graph, probe_lists), "list long, class_id long, vec array<double>"),
+        members.select("class_id", "vec").distinct().mapInArrow(_routed(graph, probes), "list long, apart double, class_id long, vec array<double>"),
         "ann-probes",
     )
     sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("row_tiles")).join(
