@@ -51,6 +51,16 @@ def test_odd_texts(spark):
     assert kept.columns == frame.columns and kept.count() == len(rows) - 3
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """More languages than 500, and fewer documents of each where the sample is small."""
+    rows = [(k, f"word{k % 510} text", f"l{k % 510}", "x", "y") for k in range(2040)]
+    labels = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert len(labels) > 500 and set(language_id.train_on(frame).languages) == labels
+    monkeypatch.setattr(language_id, "SAMPLE", 600)
+    assert set(language_id.train_on(frame).languages) == labels
+
+
 def test_no_labels_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "word", None, "x", "y"), (2, "  ", None, "x", "y")], SCHEMA)
     assert sorted((r.doc_id, r.lang_pred, r.rejected) for r in language_id.identify(frame).collect()) == [(1, "und", False), (2, "und", True)]

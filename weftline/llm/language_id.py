@@ -25,8 +25,8 @@ from weftline.plans.lineage import materialize
 
 BUCKETS, SIZE = 1 << 15, 16
 GRAMS = (1, 2, 3, 4)
-PER_LANGUAGE = 400  # labelled documents of a language that are learned from (the sample bound)
-MOST_LANGUAGES = 500  # languages, the commonest first
+PER_LANGUAGE = 400  # labelled documents of a language that are learned from, at most
+SAMPLE = 200_000  # those of all languages together (the sample bound); every language keeps one at least
 EPOCHS, RATE = 6, 2.0
 CHECK_SHARE = 5  # one in so many of the sample sets temperature and rejection
 LOSS_SHARE = 0.002  # share of rightly predicted documents that the rejection may cost
@@ -175,21 +175,22 @@ def _features(batches):
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the labelled documents that are not held out: PER_LANGUAGE of each language, chosen by hash, as whole texts."""
+    """A model of the labelled documents that are not held out: PER_LANGUAGE of each language (fewer where SAMPLE wouldn't hold them), chosen by hash, as whole texts."""
     usable = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     place = F.xxhash64("doc_id", F.lit(17))
     ids = usable.select("doc_id", "lang", place.alias("place"))
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    languages = ids.select("lang").distinct().count()
+    share = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    picked = ids.join(F.broadcast(common.select("lang")), "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
+    picked = ids.withColumn("rank", rank).where(F.col("rank") <= share)
     picked = materialize(picked.select("doc_id", "lang", "place").distinct(), "language-sample")
     rows = usable.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text", "place")
     found = materialize(
         rows.mapInArrow(_features, "lang string, place long, ids array<int>, counts array<int>"), "language-features"
     )
-    order = found.orderBy("place", "lang", F.xxhash64("ids", "counts")).limit(PER_LANGUAGE * MOST_LANGUAGES).toArrow()
+    order = found.orderBy("place", "lang", F.xxhash64("ids", "counts")).limit(max(SAMPLE, languages)).toArrow()
     names = order.column("lang").to_pylist()
     ids, counts = (list_arrays(order.column(c).combine_chunks()) for c in ("ids", "counts"))
     return train(list(zip(names, ids, counts, strict=True)))
