@@ -9,6 +9,7 @@ from weftline.entries.registry import query
 from weftline.llm import sql
 from weftline.llm.ann import nearest
 from weftline.llm.bpe_text import encode_documents
+from weftline.llm.fingerprints import containment, fingerprint, fingerprints, resemblance, shingle_count
 from weftline.llm.language_id import identify
 from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.mixing import mix_sources
@@ -81,3 +82,15 @@ def _top(spark, sf_dir):
 @query("op10_language_id")
 def _languages(spark, sf_dir):
     return identify(_documents(spark, sf_dir))
+
+
+@query("op13_document_fingerprints", sql.FINGERPRINTS)
+def _fingerprinted(spark, sf_dir):
+    rows = fingerprints(_documents(spark, sf_dir))
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"),
+        resemblance(own, edited).alias("near_edited"), resemblance(own, F.col("next_sketch")).alias("near_next"),
+        F.round(shingle_count(own), 6).alias("n_shingles"), F.round(containment(own, edited), 9).alias("kept_edited"),
+    )

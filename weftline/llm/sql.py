@@ -91,3 +91,38 @@ WITH part AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+FINGERPRINTS = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), near AS (
+  SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next FROM doc WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), paired AS (
+  SELECT doc_id, n, text, substring(text, 1, n - n // 2) || substring(next, 1, n // 2) AS edited, lead(doc_id) OVER (ORDER BY doc_id) AS next_id FROM near
+), word AS (
+  SELECT doc_id, kind, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, 0 AS kind, text AS t FROM paired UNION ALL SELECT doc_id, 1, edited FROM paired)
+), shingle AS (
+  SELECT DISTINCT doc_id, kind, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h
+  FROM (SELECT *, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM word)
+), smallest AS (
+  SELECT doc_id, kind, list(h[1:16] ORDER BY h) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY h) AS r FROM shingle) WHERE r <= 128 GROUP BY 1, 2
+), sketch AS (
+  SELECT b.doc_id, n, edited, coalesce(a.s, []) AS a, coalesce(e.s, []) AS e, coalesce(x.s, []) AS x
+  FROM paired b LEFT JOIN smallest a ON a.doc_id = b.doc_id AND a.kind = 0 LEFT JOIN smallest e ON e.doc_id = b.doc_id AND e.kind = 1
+  LEFT JOIN smallest x ON x.doc_id = coalesce(b.next_id, (SELECT min(doc_id) FROM doc)) AND x.kind = 0
+), merged AS (
+  SELECT *, list_sort(list_distinct(a || e))[1:128] AS ae, list_sort(list_distinct(a || x))[1:128] AS ax FROM sketch
+), measured AS (
+  SELECT *, CASE WHEN len(ae) = 0 THEN 1.0 ELSE len(list_filter(ae, lambda h: list_contains(a, h) AND list_contains(e, h)))::DOUBLE / len(ae) END AS near_edited,
+         CASE WHEN len(ax) = 0 THEN 1.0 ELSE len(list_filter(ax, lambda h: list_contains(a, h) AND list_contains(x, h)))::DOUBLE / len(ax) END AS near_next,
+         CASE WHEN len(a) < 128 THEN len(a)::DOUBLE ELSE 127.0::DOUBLE / (('0x' || a[128][1:15])::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE) END AS n_shingles,
+         CASE WHEN len(ae) < 128 THEN len(ae)::DOUBLE ELSE 127.0::DOUBLE / (('0x' || ae[128][1:15])::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE) END AS n_merged
+  FROM merged
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(e, '') AS edited_fingerprint,
+       near_edited, near_next, round(n_shingles, 6) AS n_shingles,
+       round(CASE WHEN len(a) = 0 THEN 1.0 ELSE least(1.0, near_edited * n_merged / n_shingles) END, 9) AS kept_edited
+FROM measured
+"""
