@@ -10,11 +10,13 @@ from weftline.llm import sql
 from weftline.llm.ann import nearest
 from weftline.llm.bpe_text import encode_documents
 from weftline.llm.fingerprints import containment, fingerprint, fingerprints, resemblance, shingle_count
+from weftline.llm.hard_negatives import hard_negatives
 from weftline.llm.language_id import identify
 from weftline.llm.line_dedup import remove_repeated_lines
 from weftline.llm.mixing import mix_sources
 from weftline.llm.near_dup import near_duplicates
 from weftline.llm.packing import write_packed
+from weftline.llm.prefix_trie import NO_ENDS, conversation_trie, end_digests
 from weftline.llm.token_counts import count_tokens
 from weftline.llm.top_k import top_products
 from weftline.llm.warc import round_trip
@@ -84,6 +86,24 @@ def _languages(spark, sf_dir):
     return identify(_documents(spark, sf_dir))
 
 
+@query("op11_conversation_trie", sql.PREFIX_TRIE)
+def _trie(spark, sf_dir):
+    trie = conversation_trie(table(spark, sf_dir, "conversations"))
+    ends = end_digests(trie.ends).withColumnRenamed("conv_id", "ends_at")
+    rows = trie.nodes.join(ends, "ends_at", "left")
+    return rows.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"),
+    )
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def _mined(spark, sf_dir):
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100, k=5)
+
+
 @query("op13_document_fingerprints", sql.FINGERPRINTS)
 def _fingerprinted(spark, sf_dir):
     rows = fingerprints(_documents(spark, sf_dir))

@@ -126,3 +126,60 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a,
        round(CASE WHEN len(a) = 0 THEN 1.0 ELSE least(1.0, near_edited * n_merged / n_shingles) END, 9) AS kept_edited
 FROM measured
 """
+
+PREFIX_TRIE = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, p, r, t FROM conv c JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, r, t FROM conv c JOIN own USING (conv_id) WHERE p > h
+), seq AS (
+  SELECT c.conv_id, coalesce(s, []) AS s
+  FROM conv c LEFT JOIN (SELECT conv_id, list({'r': r, 't': t} ORDER BY part, p) AS s FROM rebuilt GROUP BY 1) USING (conv_id)
+), prefix AS (
+  SELECT conv_id, len(s) AS l, d, s[1:d] AS pre FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seq)
+), node AS (
+  SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE l = d), '') AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(pre[d].t, '[^\x20\x09-\x0D]+')) END AS w
+  FROM prefix GROUP BY d, pre
+), child AS (
+  SELECT u.d, u.pre, p.conv_id AS parent_conv_id FROM node u LEFT JOIN node p ON p.d = u.d - 1 AND p.pre = u.pre[1:u.d - 1]
+), fan AS (
+  SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS c FROM node WHERE d > 0 GROUP BY 1, 2
+), full_node AS (
+  SELECT n.*, parent_conv_id, coalesce(c, 0) AS c FROM node n JOIN child x ON x.d = n.d AND x.pre = n.pre LEFT JOIN fan f ON f.d = n.d AND f.pre = n.pre
+), subtree AS (
+  SELECT v.d, v.pre, sum((u.n - 1) * u.w) AS saved, count(*) FILTER (WHERE u.c = 0) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_node) u JOIN node v ON v.d = u.e AND v.pre = u.pre[1:u.e] GROUP BY 1, 2
+)
+SELECT conv_id, f.d::BIGINT AS depth, parent_conv_id, n AS n_convs, c AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM full_node f JOIN subtree s ON s.d = f.d AND s.pre = f.pre
+"""
+
+HARD_NEGATIVES = r"""
+WITH part AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         generate_subscripts(embedding, 1) AS i, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), vec AS (
+  SELECT vec_id, label, list(x ORDER BY i) AS v FROM part GROUP BY vec_id, label
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vec a JOIN vec c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5
+), negative AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5
+"""
