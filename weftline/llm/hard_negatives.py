@@ -71,7 +71,7 @@ def _dealer(sent):
 
 
 def _planter(peak: float):
-    def plant(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def plant(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("class_id")
         rows = integers(frame["vec"])
         labels, kind = np.unique(frame["label"].to_numpy().astype(str), return_inverse=True)
