@@ -24,6 +24,12 @@ def document_index(spark, sf_dir) -> I.SearchIndex:
     return I.build_index(B.documents(spark, sf_dir))
 
 
+@prepared
+def ranked_index(spark, sf_dir) -> I.SearchIndex:
+    """The same index with the documents' ranks."""
+    return I.with_ranks(document_index(spark, sf_dir), B.document_ranks(spark, sf_dir))
+
+
 @prepared
 def page_index(spark, sf_dir) -> I.SearchIndex:
     """Index of the captured pages and stubs."""
@@ -216,7 +222,7 @@ SHOWN = """SELECT r.query_id, r.dataset, position, d.url, title, round(score, 9)
 
 @query("srch5_batch_search", f"WITH {BATCH} {SHOWN}")
 def batch_search(spark, sf_dir):
-    found = S.search(document_index(spark, sf_dir), _asked(spark, sf_dir), B.document_ranks(spark, sf_dir))
+    found = S.search(ranked_index(spark, sf_dir), _asked(spark, sf_dir), B.document_ranks(spark, sf_dir))
     return rounded(found, "score", "pr")
 
 
@@ -241,7 +247,7 @@ def single_search(spark, sf_dir):
 @query("srch1_search_boosted", f"WITH {_single_sql(REQUEST, 'true', 12)} {SHOWN}")
 def boosted_search(spark, sf_dir):
     asked = B.fixed_request(spark, REQUEST, boost=True, limit="12")
-    return rounded(S.search(document_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
+    return rounded(S.search(ranked_index(spark, sf_dir), asked, B.document_ranks(spark, sf_dir)), "score", "pr")
 
 
 @query("srch1_search_unknown", f"WITH {_single_sql('qqq zzz1', 'false', 5)} {SHOWN}")
@@ -265,42 +271,32 @@ def page_search(spark, sf_dir):
     return rounded(S.search(page_index(spark, sf_dir), asked, page_ranks(spark, sf_dir)), "score", "pr")
 
 
-def _scored(spark, sf_dir):
-    """Scored candidates of the batch, with the rank of each."""
+def _best(spark, sf_dir, limit, *ties):
+    """The best boosted matches of the batch."""
     weights = materialize(_weights(spark, sf_dir), "weights")
-    index = document_index(spark, sf_dir)
-    dots = S.dot_products(S.matches(weights, index))
-    ranks = index.docs.select("dataset", "doc", "url").join(B.document_ranks(spark, sf_dir), ["dataset", "url"], "left")
-    return dots.join(S.query_norms(weights), S.QUERY).join(ranks, ["dataset", "doc"]).join(
-        _asked(spark, sf_dir).select("query_id", "dataset", "boost", "limit"), S.QUERY
-    )
+    asked = materialize(_asked(spark, sf_dir).select(*S.QUERY, "boost", limit.alias("max_results")), "asked")
+    return S.best_matches(ranked_index(spark, sf_dir), weights, asked, ties)
 
 
 @query("bst1_rank_boost", f"WITH {ASKED}, all_ranks AS (SELECT * FROM doc_ranks), {SCORED} {_ten('scored', 'score', R9.format('score'))}")
 def rank_boost(spark, sf_dir):
     """The ten best boosted scores of each query."""
-    cosine = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
-    scored = _scored(spark, sf_dir).withColumn("boosted", T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost")))
-    return _top_ten(scored, "boosted").select("query_id", "dataset", "doc", F.round("score", 9).alias("score"))
+    best = _best(spark, sf_dir, F.lit(S.FIXED_LIMIT), "doc")
+    return best.select("query_id", "dataset", "doc", F.round("score", 9).alias("score"))
 
 
 @query("tk2_top_results", f"WITH {BATCH} SELECT query_id, dataset, doc, position FROM best")
 def top_results(spark, sf_dir):
-    cosine = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
-    score = T.rank_boost(cosine, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
-    scored = _scored(spark, sf_dir).withColumn("score", score)
-    return S.top_matches(scored, T.clamp_limit(F.col("limit")), "place", "doc").select("query_id", "dataset", "doc", "position")
+    best = _best(spark, sf_dir, T.clamp_limit(F.col("limit")), "place", "doc")
+    return best.select("query_id", "dataset", "doc", "position")
 
 
 def _half(spark, sf_dir):
     """Top results of a request too rare to fill its limit."""
     index = document_index(spark, sf_dir)
     asked = B.fixed_request(spark, "unwhord thand", limit="50").withColumn("max_results", F.lit(50))
-    words = S.query_terms(asked)
-    weights = materialize(S.query_weights(S.known_terms(words, index)), "weights")
-    dots = S.dot_products(S.matches(weights, index)).join(S.query_norms(weights), S.QUERY)
-    scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag")))
-    return index, asked, materialize(S.top_matches(scored, 50, "place", "doc"), "top")
+    weights = materialize(S.query_weights(S.known_terms(S.query_terms(asked), index)), "weights")
+    return index, asked, S.best_matches(index, weights, asked)
 
 
 HALF = _single_sql("unwhord thand", "false", 50)
@@ -309,7 +305,7 @@ HALF = _single_sql("unwhord thand", "false", 50)
 @query("pad1_padded_results", f"WITH {HALF} SELECT query_id, dataset, doc, position, {R9.format('score')} FROM results")
 def padded_results(spark, sf_dir):
     index, asked, top = _half(spark, sf_dir)
-    return rounded(S.pad(top, asked, index.docs), "score")
+    return rounded(S.pad(top, asked, index.heads), "score")
 
 
 @query("jn9_unmatched_documents", f"WITH {HALF} SELECT d.dataset, d.doc FROM docs d WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.dataset = d.dataset AND b.doc = d.doc)")
@@ -321,7 +317,7 @@ def unmatched_documents(spark, sf_dir):
 @query("set3_results_then_padding", f"WITH {HALF} SELECT dataset, score > 0 AS matched, count(*) AS n FROM results GROUP BY 1, 2")
 def results_then_padding(spark, sf_dir):
     index, asked, top = _half(spark, sf_dir)
-    return S.pad(top, asked, index.docs).groupBy("dataset", (F.col("score") > 0).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+    return S.pad(top, asked, index.heads).groupBy("dataset", (F.col("score") > 0).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -333,7 +329,7 @@ def first_documents(spark, sf_dir):
     index = document_index(spark, sf_dir)
     asked = B.fixed_request(spark, "").select("query_id", "dataset", F.lit(10).alias("max_results"))
     nothing = index.docs.select(F.lit(0).cast("long").alias("query_id"), "dataset", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("position")).where("false")
-    return S.pad(nothing, asked, index.docs).join(index.docs, ["dataset", "doc"]).select("dataset", "doc", "url")
+    return S.pad(nothing, asked, index.heads).join(index.docs, ["dataset", "doc"]).select("dataset", "doc", "url")
 
 
 @query("snk6_result_document", f"""WITH {BATCH}, shown AS ({SHOWN})
@@ -364,10 +360,7 @@ def query_space_search(spark, sf_dir):
 @query("tk3_ten_best", f"WITH {ASKED}, {SPACE} SELECT query_id, dataset, doc, position FROM best")
 def ten_best(spark, sf_dir):
     weights = materialize(_weights(spark, sf_dir), "weights")
-    index = document_index(spark, sf_dir)
-    dots = S.dot_products(S.matches(weights, index)).join(S.query_norms(weights), S.QUERY)
-    scored = dots.withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")))
-    return S.top_matches(scored, S.FIXED_LIMIT, "doc").select("query_id", "dataset", "doc", "position")
+    return S.best_query_space_matches(document_index(spark, sf_dir), weights).select("query_id", "dataset", "doc", "position")
 
 
 def _variant_sql(asked: str, split, query_text: str, doc_text: str, all_queries: bool = True) -> str:
@@ -394,13 +387,25 @@ spaced AS (SELECT * FROM (SELECT query_id, dataset, doc, 0 AS tie, CASE WHEN q_m
 ten AS (SELECT DISTINCT query_id, dataset, 10 AS max_results FROM asked), {Q.padded('spaced', 'ten')}"""
 
 
+def _two_texts(spark, sf_dir):
+    """Pages with raw content and paragraph text, empty paragraphs kept; numbered in page order."""
+    pages = open_crawl(spark, sf_dir).pages
+    texts = spread(pages).select("dataset", "url", F.col("content").alias("raw"), H.paragraph_text_keep_empty(F.col("content")).alias("text"))
+    # only the keys are sorted; the texts join them once
+    numbers = I.dense_number(pages.select("seq", "dataset", "url"), ["seq", "dataset", "url"], "doc").drop("seq")
+    return materialize(texts.join(numbers, ["dataset", "url"]), "raw-pages")
+
+
 @prepared
-def raw_pages(spark, sf_dir):
-    """Pages with raw content and paragraph text, empty paragraphs kept."""
-    pages = open_crawl(spark, sf_dir).pages.select(
-        "dataset", "seq", "url", F.col("content").alias("raw"), H.paragraph_text_keep_empty(F.col("content")).alias("text")
-    )
-    return materialize(I.dense_number(pages, ["seq", "dataset", "url"], "doc"), "raw-pages")
+def raw_word_index(spark, sf_dir) -> I.TextIndex:
+    """Case-sensitive index: words of queries by the raw pages, words of documents by their paragraphs."""
+    return I.build_text_index(_two_texts(spark, sf_dir), "raw", "text", T.raw_tokens)
+
+
+@prepared
+def word_index(spark, sf_dir) -> I.TextIndex:
+    """The same without case and empty words."""
+    return I.build_text_index(_two_texts(spark, sf_dir), "raw", "text", T.tokens)
 
 
 RAW_DOCS = f"""docs AS MATERIALIZED (SELECT dataset, row_number() OVER (ORDER BY seq, dataset, url) - 1 AS doc, url, content AS raw,
@@ -415,8 +420,7 @@ PAGE_REQUESTS = "asked AS MATERIALIZED (SELECT item_id AS query_id, d.dataset, t
     f"WITH {Q.OPEN_CRAWL}, {RAW_DOCS}, {_variant_sql(PAGE_REQUESTS, Q.raw_words, 'raw', 'text')} {SPACE_SHOWN}",
 )
 def case_sensitive_search(spark, sf_dir):
-    found = S.search_texts(B.page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.raw_tokens)
-    return rounded(found, "score")
+    return rounded(S.search_texts(raw_word_index(spark, sf_dir), B.page_requests(spark, sf_dir)), "score")
 
 
 @query(
@@ -425,5 +429,5 @@ def case_sensitive_search(spark, sf_dir):
 )
 def scores_on_texts(spark, sf_dir):
     """The ten best scores of each request."""
-    found = S.score_texts(B.page_requests(spark, sf_dir), raw_pages(spark, sf_dir), "raw", "text", T.tokens)
+    found = S.score_texts(word_index(spark, sf_dir), B.page_requests(spark, sf_dir))
     return rounded(_top_ten(found, "score").drop("position"), "score")

@@ -5,10 +5,15 @@
 Postings stay rows. Postings and terms lie in folders by hash of the word (``shard``), sorted by
 word and document inside: a word that is in most documents spans many files, and a search
 reads only the folders of its own words.
+
+Documents are cut into slices of consecutive numbers. ``blocks(dataset, term, slice, postings, best)`` has, for each word
+and slice, how many documents there have the word and the largest share it has in the vector of one of them, so
+a search can tell which slices matter before it reads postings. ``heads(dataset, doc)`` are the first documents of each dataset.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,12 +24,34 @@ from weftline.plans.shaping import dense_number
 
 
 SHARDS = 64  # folders of postings and terms, where an index is not built with another number
+SLICE_DOCS = 64  # document numbers in a slice
+HEAD_DOCS = 100  # first documents of a dataset: twice the longest result
 
 
 class SearchIndex(NamedTuple):
+    """``ranks(dataset, doc, slice, pr)`` and ``rank_bounds(dataset, slice, best_pr)`` are there after ``with_ranks``."""
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    blocks: DataFrame
+    heads: DataFrame
+    shards: int = SHARDS
+    ranks: DataFrame | None = None
+    rank_bounds: DataFrame | None = None
+
+
+class TextIndex(NamedTuple):
+    """Index of two texts per document: ``terms`` has the document frequencies of both, ``postings`` the words of one.
+
+    ``terms(dataset, term, idf, query_idf)``: weights as word of a document and as word of a query; null where the word isn't in that text.
+    """
+
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    heads: DataFrame
+    split: Callable[[Column], Column]
     shards: int = SHARDS
 
 
@@ -33,6 +60,11 @@ def shard_of(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def slice_of(doc: Column) -> Column:
+    """Slice of a document number."""
+    return F.floor(doc / SLICE_DOCS)
+
+
 def documents_of_pages(pages: DataFrame) -> DataFrame:
     """Text documents of a page table, numbered in page order (captured pages first, then stubs by url)."""
     key = ["dataset", "url"]
@@ -53,8 +85,9 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of each word in each document: ``dataset, doc, total_words, term, count``."""
+    # laid out by document first: texts are smaller than their words, and the counts need no shuffle of their own
     return (
-        tokenised(spread(docs))
+        tokenised(docs.select("dataset", "doc", "text").repartition("dataset", "doc"))
         .select("dataset", "doc", "total_words", F.explode("tokens").alias("term"))
         .groupBy("dataset", "doc", "total_words", "term")
         .agg(F.count(F.lit(1)).alias("count"))
@@ -96,9 +129,21 @@ def weighted_postings(counts: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
-    """Index of ``dataset, doc, url, title, text``; ``doc`` is unique and gives the document order."""
-    counts = materialize(term_counts(docs), "counts")
+def slice_blocks(postings: DataFrame) -> DataFrame:
+    """Word and slice with the number of postings and the largest ``weight / mag``; sums of these bound every cosine in the slice."""
+    share = F.when(F.col("mag") > 0, F.col("weight") / F.col("mag")).otherwise(F.lit(0.0))
+    key = ["shard", "dataset", "term", slice_of(F.col("doc")).alias("slice")]
+    return postings.groupBy(*key).agg(F.count(F.lit(1)).alias("postings"), F.max(share).alias("best"))
+
+
+def head_documents(docs: DataFrame) -> DataFrame:
+    """The first documents of each dataset; Spark limits the ranks before the shuffle."""
+    first = Window.partitionBy("dataset").orderBy("doc")
+    return docs.select("dataset", "doc").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= HEAD_DOCS).drop("_n")
+
+
+def index_of_counts(counts: DataFrame, docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
+    """Index from word counts (``dataset, doc, total_words, term, count``; a written table) and ``dataset, doc, url, title``."""
     shard = shard_of(F.col("term"), shards)
     terms = term_table(counts, docs).withColumn("shard", shard).repartitionByRange("shard", "dataset", "term")
     terms = materialize(terms, "terms", partition_by="shard")
@@ -113,15 +158,71 @@ def build_index(docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
         .join(norms, ["dataset", "doc"], "left")
         .fillna({"total_words": 0, "mag": 0.0})
     )
-    return SearchIndex(materialize(table, "docs"), postings, terms, shards)
+    blocks = materialize(slice_blocks(postings).repartition("shard"), "blocks", partition_by="shard")
+    table = materialize(table, "docs")
+    return SearchIndex(table, postings, terms, blocks, materialize(head_documents(table), "heads"), shards)
+
+
+def build_index(docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
+    """Index of ``dataset, doc, url, title, text``; ``doc`` is unique and gives the document order."""
+    return index_of_counts(materialize(term_counts(docs), "counts"), docs, shards)
+
+
+def with_ranks(index: SearchIndex, ranks: DataFrame) -> SearchIndex:
+    """The index with the rank of each document (``ranks``: ``dataset, url, pr``) and the best rank of each slice, written once."""
+    ranked = index.docs.select("dataset", "doc", "url").join(ranks.select("dataset", "url", "pr"), ["dataset", "url"])
+    ranked = materialize(ranked.select("dataset", "doc", slice_of(F.col("doc")).alias("slice"), "pr"), "ranks")
+    best = ranked.groupBy("dataset", "slice").agg(F.max("pr").alias("best_pr"))
+    return index._replace(ranks=ranked, rank_bounds=materialize(best, "rank-bounds"))
+
+
+def _text_counts(docs: DataFrame, column: str, split) -> DataFrame:
+    words = docs.select("dataset", "doc", F.col(column).alias("text")).repartition("dataset", "doc")
+    words = words.select("dataset", "doc", split(F.col("text")).alias("words"))
+    return (
+        words.select("dataset", "doc", F.size("words").cast("long").alias("total_words"), F.explode("words").alias("term"))
+        .groupBy("dataset", "doc", "total_words", "term")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
+def build_text_index(docs: DataFrame, query_corpus: str, document_text: str, split=T.tokens, shards: int = SHARDS) -> TextIndex:
+    """Index of ``dataset, doc, url`` and two text columns: queries weigh their words by ``query_corpus``, documents by ``document_text``.
+
+    ``split`` cuts both into words (``T.raw_tokens`` keeps case and empty words). Every text is cut into words once.
+    """
+    sizes = broadcast_if_small(materialize(corpus_sizes(docs), "corpus"))
+    counts = materialize(_text_counts(docs, document_text, split), "text-counts")
+    own = document_frequencies(counts)
+    if query_corpus == document_text:
+        both = own.withColumn("query_df", F.col("df"))
+    else:
+        asked = document_frequencies(_text_counts(docs, query_corpus, split)).withColumnRenamed("df", "query_df")
+        both = own.join(asked, ["dataset", "term"], "full_outer")
+    shard = shard_of(F.col("term"), shards)
+    weights = [
+        F.when(F.col(df).isNotNull(), T.inverse_document_frequency(F.col(df), F.col("n"))).alias(name)
+        for df, name in (("df", "idf"), ("query_df", "query_idf"))
+    ]
+    terms = both.join(sizes, "dataset").select(shard.alias("shard"), "dataset", "term", *weights).repartition("shard")
+    terms = materialize(terms, "text-terms", partition_by="shard")
+    frequency = T.term_frequency(F.col("count"), F.col("total_words"))
+    postings = counts.join(terms.select("dataset", "term", "idf"), ["dataset", "term"])
+    postings = postings.select(shard.alias("shard"), "dataset", "term", "doc", T.weight(frequency, F.col("idf")).alias("weight"))
+    order = ["shard", "dataset", "term", "doc"]
+    postings = materialize(postings.repartitionByRange(*order).sortWithinPartitions(*order), "text-postings", partition_by="shard")
+    table = materialize(docs.select("dataset", "doc", "url"), "text-docs")
+    return TextIndex(table, postings, terms, materialize(head_documents(table), "text-heads"), split, shards)
 
 
 # folders of the stored tables
-FOLDERS = {"docs": ["dataset"], "postings": ["dataset", "shard"], "terms": ["dataset", "shard"]}
+FOLDERS = {
+    "docs": ["dataset"], "postings": ["dataset", "shard"], "terms": ["dataset", "shard"], "blocks": ["dataset", "shard"], "heads": ["dataset"],
+}
 
 
 def write_index(index: SearchIndex, path: str) -> None:
-    """Store the three tables, split by dataset (and word hash), and the number of shards."""
+    """Store the tables, split by dataset (and word hash), and the number of shards."""
     for name, folders in FOLDERS.items():
         getattr(index, name).write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}")
     spark = index.docs.sparkSession

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions import text as T
-from weftline.operators.index import SearchIndex, shard_of
-from weftline.plans.lineage import broadcast_if_small, materialize, spread
+from weftline.operators.index import SearchIndex, TextIndex, shard_of, slice_of, with_ranks
+from weftline.plans.lineage import broadcast_if_small, materialize
 
 MAX_LIMIT = 50
 FIXED_LIMIT = 10
@@ -28,13 +28,12 @@ def query_terms(queries: DataFrame, split=T.tokens) -> DataFrame:
     )
 
 
-def of_words(table: DataFrame, words: DataFrame) -> DataFrame:
-    """Join an index table with ``words`` (a written table with dataset, term and shard).
+def of_words(table: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+    """Join an index table with ``words`` (a written table with dataset, term and shard) on these and ``more``.
 
     A comparison on the shard makes Spark prune the table's folders by the shards of the words when the join runs.
     """
-    key = ["shard", "dataset", "term"]
-    return table.join(broadcast_if_small(words.where("shard >= 0")), key)
+    return table.join(broadcast_if_small(words.where("shard >= 0")), ["shard", "dataset", "term", *more])
 
 
 def known_terms(terms_of_query: DataFrame, index: SearchIndex) -> DataFrame:
@@ -54,8 +53,9 @@ def query_weights(known: DataFrame) -> DataFrame:
 
 
 def query_norms(weights: DataFrame) -> DataFrame:
-    """Norm of each query vector."""
-    return weights.groupBy(*QUERY).agg(F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("q_mag"))
+    """Norm of each query vector; squares are added in the order of the words, so that reruns agree to the last digit."""
+    squares = F.array_sort(F.collect_list(F.struct("place", (F.col("q_weight") * F.col("q_weight")).alias("square"))))
+    return weights.groupBy(*QUERY).agg(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x["square"])).alias("q_mag"))
 
 
 def matches(weights: DataFrame, index: SearchIndex) -> DataFrame:
@@ -63,9 +63,9 @@ def matches(weights: DataFrame, index: SearchIndex) -> DataFrame:
     return of_words(index.postings, weights)
 
 
-def dot_products(hits: DataFrame) -> DataFrame:
-    """Candidate documents of each query with dot product and first matching query word."""
-    return hits.groupBy(*QUERY, "doc").agg(
+def dot_products(hits: DataFrame, *more: str) -> DataFrame:
+    """Candidate documents of each query with dot product and first matching query word; ``more`` columns go with the document."""
+    return hits.groupBy(*QUERY, *more, "doc").agg(
         F.sum(F.col("q_weight") * F.col("weight")).alias("dot"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("shared_mag"),
         F.max("mag").alias("mag"),
@@ -85,20 +85,75 @@ def top_matches(scored: DataFrame, limit: Column | int, *ties: str) -> DataFrame
     return ranked.where(F.col("position") <= limit)
 
 
-def pad(top: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Fill up short results with score-0 documents in document order.
+def query_blocks(weights: DataFrame, index: SearchIndex) -> DataFrame:
+    """The blocks of each query's words: a row per query word and slice that has it."""
+    blocks = index.blocks.select("shard", "dataset", "term", "slice", "postings", "best")
+    return materialize(of_words(blocks, weights), "query-blocks")
+
+
+def _bounded_top(
+    blocks: DataFrame, bounds: DataFrame, asked: DataFrame, index: SearchIndex, score_of, ties: tuple[str, ...]
+) -> DataFrame:
+    """The best ``max_results`` documents of each query, reading only blocks whose slice can still hold one.
 
-    ``queries`` has ``query_id, dataset, max_results``. A result shorter than the
-    limit needs fewer than that many documents outside it, and those are among
-    the first ``2 * MAX_LIMIT`` documents of the dataset.
+    ``bounds`` (a written table) has ``query_id, dataset, slice, bound, docs``: no document of the slice scores higher than ``bound``, and
+    at least ``docs`` documents there match. A first pass scores the slices of the highest bounds until they hold enough documents, which
+    gives a k-th score; the second pass scores the other slices whose bound reaches it. All other blocks aren't read.
+    ``score_of`` adds ``score`` to summed matches (``dot_products`` with the slice).
     """
-    first = Window.partitionBy("dataset").orderBy("doc")
-    heads = (
-        docs.select("dataset", "doc")
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= 2 * MAX_LIMIT)
-        .drop("_n")
+    best_first = Window.partitionBy(*QUERY).orderBy(F.col("bound").desc(), "slice")
+    limits = asked.select(*QUERY, "max_results")
+    # each slice of a list has a matching document, so MAX_LIMIT slices are enough
+    leading = bounds.withColumn("_n", F.row_number().over(best_first)).where(F.col("_n") <= MAX_LIMIT).join(limits, QUERY)
+    before = F.coalesce(F.sum("docs").over(best_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = materialize(leading.withColumn("_before", before).where("_before < max_results").select(*QUERY, "slice"), "first-slices")
+
+    def scored(slices: DataFrame, label: str) -> DataFrame:
+        wanted = blocks.join(broadcast_if_small(slices), [*QUERY, "slice"]).select("shard", "dataset", "term", "slice", "query_id", "place", "q_weight")
+        postings = index.postings.withColumn("slice", slice_of(F.col("doc")))
+        hits = of_words(postings, materialize(wanted, "wanted-blocks"), "slice")
+        found = score_of(dot_products(hits, "slice")).select(*QUERY, "doc", *[t for t in ties if t != "doc"], "score")
+        return materialize(top_matches(found.join(limits, QUERY), F.col("max_results"), *ties), label)
+
+    top = scored(first, "first-top")
+    kth = top.where("position = max_results").select(*QUERY, sort_score(F.col("score")).alias("_kth"))
+    # bounds are raised by more than rounding can take away; a query without a k-th score keeps all its slices
+    reach = F.col("_kth").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-11 >= F.col("_kth"))
+    rest = bounds.join(kth, QUERY, "left").where(reach).join(first, [*QUERY, "slice"], "left_anti").select(*QUERY, "slice")
+    rest = materialize(rest, "second-slices")
+    if rest.limit(1).count():
+        both = top.drop("position", "max_results").unionByName(scored(rest, "second-top").drop("position", "max_results"))
+        top = materialize(top_matches(both.join(limits, QUERY), F.col("max_results"), *ties), "top")
+    return top
+
+
+def cosine_bounds(blocks: DataFrame, weights: DataFrame, asked: DataFrame, index: SearchIndex) -> DataFrame:
+    """Highest score that a document of each slice can reach: words' best shares added up, times the best rank where boosted."""
+    sums = blocks.groupBy(*QUERY, "slice").agg(
+        F.sum(F.col("q_weight") * F.col("best")).alias("_sum"), F.max("postings").alias("docs")
     )
+    bound = T.cosine(F.col("_sum"), F.col("q_mag"), F.lit(1.0))
+    sums = sums.join(query_norms(weights), QUERY).join(asked.select(*QUERY, "boost"), QUERY)
+    if index.rank_bounds is not None:
+        sums = sums.join(index.rank_bounds, ["dataset", "slice"], "left")
+        bound = T.rank_boost(bound, F.coalesce("best_pr", F.lit(0.0)), F.col("boost"))
+    return materialize(sums.select(*QUERY, "slice", bound.alias("bound"), "docs"), "bounds")
+
+
+def query_space_bounds(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same for norms over the query words: no document scores higher than the share of the query that its slice has words of."""
+    sums = blocks.groupBy(*QUERY, "slice").agg(
+        F.sqrt(F.sum(F.col("q_weight") * F.col("q_weight"))).alias("_part"), F.max("postings").alias("docs")
+    ).join(query_norms(weights), QUERY)
+    return materialize(sums.select(*QUERY, "slice", T.cosine(F.col("_part"), F.col("q_mag"), F.lit(1.0)).alias("bound"), "docs"), "bounds")
+
+
+def pad(top: DataFrame, queries: DataFrame, heads: DataFrame) -> DataFrame:
+    """Fill up short results with score-0 documents in document order.
+
+    ``queries`` has ``query_id, dataset, max_results``, ``heads`` the first documents of each dataset (``dataset, doc``). A result shorter
+    than the limit needs fewer than that many documents outside it, and those are among the first ``2 * MAX_LIMIT`` of the dataset.
+    """
     found = top.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("_found"))
     short = (
         queries.join(found, QUERY, "left")
@@ -107,7 +162,7 @@ def pad(top: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     )
     fill = Window.partitionBy(*QUERY).orderBy("doc")
     fillers = (
-        short.join(broadcast_if_small(materialize(heads, "heads")), "dataset")
+        short.join(broadcast_if_small(heads), "dataset")
         .join(top.select(*QUERY, "doc"), [*QUERY, "doc"], "left_anti")
         .withColumn("_n", F.row_number().over(fill))
         .where("_found + _n <= max_results")
@@ -126,10 +181,43 @@ def present(rows: DataFrame, index: SearchIndex, ranks: DataFrame | None) -> Dat
     return shown.select(*QUERY, "position", "url", "title", "score", "pr")
 
 
+def best_matches(index: SearchIndex, weights: DataFrame, asked: DataFrame, ties: tuple[str, ...] = ("place", "doc")) -> DataFrame:
+    """The best documents of each query by full-norm cosine, boosted where asked: ``query_id, dataset, doc, score, position``.
+
+    ``weights`` is a written table, ``asked`` has ``query_id, dataset, boost, max_results``; boosts use the index's ranks. Ties go to
+    the document that matches an earlier query word, then to document order, if not said otherwise.
+    """
+    blocks = query_blocks(weights, index)
+    norms = materialize(query_norms(weights), "query-norms")
+
+    def score_of(dots: DataFrame) -> DataFrame:
+        rows = dots.join(norms, QUERY)
+        score = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
+        if index.ranks is not None:
+            rows = rows.join(asked.select(*QUERY, "boost"), QUERY).join(index.ranks, ["dataset", "slice", "doc"], "left")
+            score = T.rank_boost(score, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
+        return rows.withColumn("score", score)
+
+    return _bounded_top(blocks, cosine_bounds(blocks, weights, asked, index), asked, index, score_of, ties)
+
+
+def best_query_space_matches(index: SearchIndex, weights: DataFrame) -> DataFrame:
+    """The ten best documents of each query by cosine over the query words, ties by document order."""
+    blocks = query_blocks(weights, index)
+    norms = materialize(query_norms(weights), "query-norms")
+    asked = norms.select(*QUERY, F.lit(FIXED_LIMIT).alias("max_results"))
+
+    def score_of(dots: DataFrame) -> DataFrame:
+        return dots.join(norms, QUERY).withColumn("score", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")))
+
+    return _bounded_top(blocks, query_space_bounds(blocks, weights), asked, index, score_of, ("doc",))
+
+
 def search(index: SearchIndex, queries: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Full-norm search: cosine over all words of a document, optional rank boost, padded to the limit.
 
-    Ties go to the document that matches an earlier query word, then to document order.
+    Boosts use the ranks of the index (``with_ranks``), or ``ranks`` where it has none. Ties go to the document that matches an
+    earlier query word, then to document order.
     """
     asked = queries.select(
         *QUERY,
@@ -137,22 +225,13 @@ def search(index: SearchIndex, queries: DataFrame, ranks: DataFrame | None = Non
         F.coalesce("boost", F.lit(False)).alias("boost"),
         T.clamp_limit(F.col("limit")).alias("max_results"),
     )
+    asked = materialize(asked, "asked")
+    if ranks is not None and index.ranks is None and asked.where("boost").limit(1).count():
+        index = with_ranks(index, ranks)
     weights = materialize(query_weights(known_terms(query_terms(asked), index)), "query-weights")
-    candidates = dot_products(matches(weights, index)).join(
-        query_norms(weights), QUERY
-    ).join(asked.select(*QUERY, "boost", "max_results"), QUERY)
-    score = T.cosine(F.col("dot"), F.col("q_mag"), F.col("mag"))
-    # without a boosted request, ranks are only needed for the few results shown
-    if ranks is not None and asked.where("boost").limit(1).count():
-        ranked_docs = index.docs.select("dataset", "doc", "url").join(
-            ranks.select("dataset", "url", "pr"), ["dataset", "url"]
-        ).select("dataset", "doc", "pr")
-        candidates = candidates.join(ranked_docs, ["dataset", "doc"], "left")
-        score = T.rank_boost(score, F.coalesce("pr", F.lit(0.0)), F.col("boost"))
-    scored = candidates.select(*QUERY, "doc", "place", "max_results", score.alias("score"))
-    top = materialize(top_matches(scored, F.col("max_results"), "place", "doc"), "top")
+    top = best_matches(index, weights, asked)
     # only queries for datasets that have documents can be padded, as the heads are joined by dataset
-    return present(pad(top, asked.select(*QUERY, "max_results"), index.docs), index, ranks)
+    return present(pad(top, asked.select(*QUERY, "max_results"), index.heads), index, ranks)
 
 
 def search_query_space(index: SearchIndex, queries: DataFrame) -> DataFrame:
@@ -162,69 +241,26 @@ def search_query_space(index: SearchIndex, queries: DataFrame) -> DataFrame:
     documents without a match (score 0) follow in that order.
     """
     known = materialize(known_terms(query_terms(queries), index), "known")
-    weights = query_weights(known)
-    scored = (
-        dot_products(matches(weights, index))
-        .join(query_norms(weights), QUERY)
-        .select(*QUERY, "doc", T.cosine(F.col("dot"), F.col("q_mag"), F.col("shared_mag")).alias("score"))
-    )
-    top = materialize(top_matches(scored, FIXED_LIMIT, "doc"), "top")
+    top = best_query_space_matches(index, materialize(query_weights(known), "query-weights"))
     answerable = known.select(*QUERY).distinct().withColumn("max_results", F.lit(FIXED_LIMIT))
-    return present(pad(top, answerable, index.docs), index, None).drop("title", "pr")
-
-
-def _frequencies_of(words: DataFrame, texts: DataFrame, column: str, split) -> DataFrame:
-    """Document frequencies and counts of the given words in ``dataset, doc, <column>``."""
-    pieces = spread(texts).select("dataset", "doc", split(F.col(column)).alias("words"))
-    counts = (
-        pieces.select("dataset", "doc", F.size("words").cast("long").alias("total_words"), F.explode("words").alias("term"))
-        # the few query words are all that is counted
-        .join(broadcast_if_small(words.select("dataset", "term").distinct()), ["dataset", "term"], "left_semi")
-        .groupBy("dataset", "doc", "total_words", "term")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    return counts
+    return present(pad(top, answerable, index.heads), index, None).drop("title", "pr")
 
 
-def _idf_of(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    frequencies = counts.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("df"))
-    return frequencies.join(sizes, "dataset").select(
-        "dataset", "term", T.inverse_document_frequency(F.col("df"), F.col("n")).alias("idf")
-    )
-
-
-def score_texts(
-    queries: DataFrame, docs: DataFrame, query_corpus: str, document_text: str, split=T.tokens
-) -> DataFrame:
+def score_texts(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Query-space cosine of every document that shares a weighted word with a query.
 
-    ``docs`` has ``dataset, doc`` and the two text columns: the query's word weights
-    come from ``query_corpus``, the documents' from ``document_text``. All query words
+    The query's word weights come from the one text of the index, the documents' from the other. All query words
     take part; unknown ones weigh nothing. Other documents have score 0.
     """
-    words = materialize(query_terms(queries, split), "words")
-    sizes = materialize(docs.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")), "corpus")
-    sizes = broadcast_if_small(sizes)
-    counts = materialize(_frequencies_of(words, docs, document_text, split), "counts")
-    query_counts = counts if query_corpus == document_text else _frequencies_of(words, docs, query_corpus, split)
+    words = query_terms(queries, index.split).withColumn("shard", shard_of(F.col("term"), index.shards))
+    words = materialize(words, "query-words")
     frequency = T.term_frequency(F.col("count"), F.col("total"))
-    weights = materialize(
-        words.join(_idf_of(query_counts, sizes), ["dataset", "term"])
-        .withColumn("q_weight", T.weight(frequency, F.col("idf")))
-        .select(*QUERY, "term", "place", "q_weight"),
-        "query-weights",
-    )
-    postings = counts.join(_idf_of(counts, sizes), ["dataset", "term"]).select(
-        "dataset",
-        "term",
-        "doc",
-        T.weight(T.term_frequency(F.col("count"), F.col("total_words")), F.col("idf")).alias("weight"),
-    )
+    known = of_words(index.terms.where("query_idf is not null"), words)
+    weights = known.withColumn("q_weight", T.weight(frequency, F.col("query_idf"))).select(*QUERY, "term", "place", "q_weight")
+    weights = materialize(weights, "query-weights")
     # the document norm covers all query words of the document, weighted in the query or not
-    pairs = postings.join(broadcast_if_small(words.select(*QUERY, "term")), ["dataset", "term"]).join(
-        weights, [*QUERY, "term"], "left"
-    )
-    vectors = pairs.groupBy(*QUERY, "doc").agg(
+    asked = materialize(words.select("shard", *QUERY, "term").join(weights.drop("place"), [*QUERY, "term"], "left"), "asked-words")
+    vectors = of_words(index.postings, asked).groupBy(*QUERY, "doc").agg(
         F.coalesce(F.sum(F.col("q_weight") * F.col("weight")), F.lit(0.0)).alias("dot"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("d_mag"),
     )
@@ -235,15 +271,12 @@ def score_texts(
     )
 
 
-def search_texts(
-    queries: DataFrame, docs: DataFrame, query_corpus: str, document_text: str, split=T.tokens
-) -> DataFrame:
+def search_texts(index: TextIndex, queries: DataFrame) -> DataFrame:
     """The ten best of all documents by ``score_texts``, ties by document order."""
-    scored = score_texts(queries, docs, query_corpus, document_text, split)
-    top = materialize(top_matches(scored, FIXED_LIMIT, "doc"), "top")
+    top = materialize(top_matches(score_texts(index, queries), FIXED_LIMIT, "doc"), "top")
     asked = queries.select(*QUERY).distinct().withColumn("max_results", F.lit(FIXED_LIMIT))
-    results = pad(top, asked, docs)
-    return results.join(docs.select("dataset", "doc", "url"), ["dataset", "doc"]).select(
+    results = pad(top, asked, index.heads)
+    return results.join(index.docs.select("dataset", "doc", "url"), ["dataset", "doc"]).select(
         *QUERY, "position", "url", "score"
     )
 
