@@ -130,3 +130,31 @@ def test_incoming_lists_of_a_hot_page_come_in_blocks(spark):
     links = spark.createDataFrame([("d", f"s{i:03}", "hub") for i in range(90)], "dataset string, src string, dst string")
     blocks = L.incoming_lists(links, block_rows=20).collect()
     assert len(blocks) > 1 and sorted(s for b in blocks for s in b.incoming) == [f"s{i:03}" for i in range(90)]
+
+
+def test_prefixes_join_by_equality(spark):
+    """100,000 prefixes in one dataset, some the beginning of others; every address once, however many prefixes allow it."""
+    wide = spark.range(100_000).select(F.lit("d").alias("dataset"), F.format_string("https://h%d.com/%s", F.col("id"), F.repeat(F.lit("a/"), (F.col("id") % 5).cast("int"))).alias("prefix"))
+    extra = spark.createDataFrame([("d", "https://h7"), ("d", "https://h77.com/x"), ("d", None), ("e", ""), ("f", "http")], "dataset string, prefix string")
+    rows = [("d", f"https://h{n}.com/{path}", n) for n in (0, 1, 2, 5, 6, 7, 70, 77, 99_999, 100_000) for path in ("", "a/", "a/a/a/a/z", "b")]
+    rows += [("d", "https://h7", 1), ("d", "", 2), ("e", "", 3), ("e", "any", 4), ("f", "ftp://x", 5), ("f", "https://x", 6), ("g", "https://x", 7), ("d", None, 8)]
+    rows += [rows[0], rows[0]]
+    table = spark.createDataFrame(rows, "dataset string, dst string, n int").repartition(3)
+
+    def allowed(dataset, url):
+        if url is None or dataset == "g":
+            return False
+        if dataset == "e":
+            return True
+        if dataset == "f":
+            return url.startswith("http")
+        host = int(url[9:].split(".")[0]) if url.startswith("https://h") else -1
+        own = f"https://h{host}.com/" + "a/" * (host % 5)
+        return url.startswith("https://h7") or (0 <= host < 100_000 and url.startswith(own))
+
+    found = L.within_prefixes(table, "dst", wide.unionByName(extra))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted((r for r in rows if allowed(r[0], r[1])), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "StartsWith" not in plan
+    few = {(r.dataset, r.prefix) for r in L.shortest_prefixes(extra).collect()}
+    assert few == {("d", "https://h7"), ("e", ""), ("f", "http")}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import catalog as C, orders as O, reviews as R
+from weftline.plans import commits as K
 from weftline.sources import pages as P, products as SP
 
 ORDERS = "order_id bigint, username string"
@@ -139,13 +140,15 @@ def test_page_upsert_leaves_other_folders_alone(spark, tmp_path):
 
     links = spark.createDataFrame([("d", "a", "s"), ("d", "b", "s"), ("d", "a", "a")], "dataset string, src string, dst string")
     P.upsert_pages(spark, path, batch([("d", "a", "1", "2024-01-01"), ("e", "b", "1", "2024-01-01")]), links, buckets=4)
-    untouched = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages" / "dataset=e").rglob("*.parquet")}
+    untouched = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages").rglob("*.parquet")}
     P.upsert_pages(spark, path, batch([("d", "a", "2", "2024-01-02"), ("d", "a", "old", "2024-01-01")]), None, buckets=4)
-    rows = {(r.dataset, r.url): r for r in spark.read.parquet(path).collect()}
+    rows = {(r.dataset, r.url): r for r in P.stored_pages(spark, path).collect()}
     assert set(rows) == {("d", "a"), ("d", "s"), ("e", "b")}
     assert rows["d", "a"].content == "2" and rows["d", "a"].incoming_count == 1
     assert rows["d", "s"].content == "" and rows["d", "s"].incoming_count == 2 and rows["d", "s"].outgoing == []
-    assert untouched == {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages" / "dataset=e").rglob("*.parquet")}
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "pages").rglob("*.parquet")}
+    # a batch writes its own rows only: here the one folder of its one page
+    assert untouched.items() <= after.items() and {f.rsplit("/", 2)[-2] for f in after.keys() - untouched.keys()} == {"bucket=" + str(spark.range(1).select(P.bucket_of(F.lit("a"), 4)).first()[0])}
 
 
 def test_page_store_keeps_its_layout_and_the_newest_capture(spark, tmp_path):
@@ -163,8 +166,92 @@ def test_page_store_keeps_its_layout_and_the_newest_capture(spark, tmp_path):
     P.upsert_pages(spark, path, batch("late", "2024-01-01"))
     with pytest.raises(ValueError):
         P.upsert_pages(spark, path, batch("other", "2024-01-03"), buckets=256)
-    pages = P.scan_pages(spark, path).collect()
+    pages = P.stored_pages(spark, path).collect()
     assert len(pages) == 20 and {r.content for r in pages} == {"new"}
     one = P.read_page(spark, path, "d", "u7", "url", "content")
     assert [tuple(r) for r in one.collect()] == [("u7", "new")]
     assert "bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def stored(spark, path):
+    pages = sorted(tuple(r) for r in P.stored_pages(spark, path).select("dataset", "url", "content", F.array_join("outgoing", " "), "incoming_count").collect())
+    return pages, sorted(map(tuple, P.stored_links(spark, path).collect()))
+
+
+def page_batch(spark, n):
+    rows = [("d", f"u{k}", f"{n}", ["x", str(n)], f"2024-01-0{(n * 5) % 9 + 1}") for k in range(n, n + 6)]
+    captures = spark.createDataFrame(rows, "dataset string, url string, content string, outgoing array<string>, t string")
+    links = spark.createDataFrame([("d", f"u{k}", f"u{k % 3}") for k in range(n, n + 4)], "dataset string, src string, dst string")
+    return captures.withColumn("fetched_at", F.to_timestamp("t")).drop("t"), links
+
+
+def model_store(batches):
+    newest, counts, links = {}, {}, set()
+    for turn, n in enumerate(batches):
+        time = (n * 5) % 9 + 1
+        for k in range(n, n + 6):
+            newest[f"u{k}"] = max(newest.get(f"u{k}", (0,)), (time, turn, str(n)))
+        for k in range(n, n + 4):
+            counts[f"u{k % 3}"] = counts.get(f"u{k % 3}", 0) + 1
+            links.add(("d", f"u{k}", f"u{k % 3}"))
+    pages = []
+    for u in newest.keys() | counts.keys():
+        content = newest[u][2] if u in newest else ""
+        pages.append(("d", u, content, f"x {content}" if content else "", counts.get(u, 0)))
+    return sorted(pages), sorted(links)
+
+
+def test_repeated_batches_and_merged_segments_change_nothing(spark, tmp_path):
+    path, order = str(tmp_path / "store"), []
+    for n in (3, 0, 7, 1, 5, 2):
+        captures, links = page_batch(spark, n)
+        number = len(order)
+        assert P.upsert_pages(spark, path, captures, links, 4, batch=number, fan=3)
+        order.append(n)
+        assert stored(spark, path) == model_store(order)
+        before = K.read_manifest(spark, path)
+        assert not P.upsert_pages(spark, path, captures, links, batch=number) and K.read_manifest(spark, path) == before
+    # six batches of level 0, merged by threes
+    assert [s.level for s in before.segments] == [1, 1] and before.applied == {"captures": 5}
+    P.merge_pages(spark, path)
+    assert stored(spark, path) == model_store(order) and len(K.read_manifest(spark, path).segments) == 1
+    gone = K.remove_unused(spark, path, keep_versions=1)
+    assert len(gone) == 8 and stored(spark, path) == model_store(order)
+
+
+def test_failure_before_the_manifest_does_not_show(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    P.upsert_pages(spark, path, *page_batch(spark, 0), 4, batch=0)
+    before = stored(spark, path)
+    for step in ("write_segment", "commit"):
+        work = getattr(P, step)
+
+        def fail(*args, work=work, step=step):
+            if step == "write_segment":  # pages are written, links are not
+                spark_, path_, tables = args
+                work(spark_, path_, {"captures": tables["captures"]})
+            raise RuntimeError("executor and driver are gone")
+
+        monkeypatch.setattr(P, step, fail)
+        with pytest.raises(RuntimeError):
+            P.upsert_pages(spark, path, *page_batch(spark, 2), batch=1)
+        monkeypatch.setattr(P, step, work)
+        assert stored(spark, path) == before
+    P.upsert_pages(spark, path, *page_batch(spark, 2), batch=1)
+    assert stored(spark, path) == model_store([0, 2])
+
+
+def test_two_writers_cannot_commit_one_version(spark, tmp_path):
+    path = str(tmp_path / "store")
+    seen = K.read_manifest(spark, path)
+    assert seen.version == -1 and not seen.has("a", 0)
+    first = K.commit(spark, path, seen, [], {"a": 0}, {})
+    with pytest.raises(K.CommitConflict):
+        K.commit(spark, path, seen, [], {"b": 0}, {})
+    assert K.read_manifest(spark, path) == first and first.has("a", 0) and not first.has("b", 0)
+
+
+def test_segments_are_merged_by_level():
+    level = lambda *x: [K.Segment(str(n), v, ()) for n, v in enumerate(x)]
+    assert K.merge_due([], 3) is None and K.merge_due(level(0, 0), 3) is None
+    assert K.merge_due(level(1, 0, 0, 0), 3) == 1 and K.merge_due(level(1, 1, 1), 3) == 0 and K.merge_due(level(2, 1, 1, 0), 2) is None

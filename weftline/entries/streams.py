@@ -11,6 +11,7 @@ from weftline.entries.store import CHECKED, order_requests
 from weftline.operators import links as L
 from weftline.plans.lineage import materialize, scratch_path
 from weftline.plans.shaping import dense_number
+from weftline.sources import pages as P
 from weftline.streaming import incremental as S
 
 PARTS = 4
@@ -45,7 +46,7 @@ def capture_stream(spark, sf_dir):
     path, checkpoint = scratch_path(spark, "stream-pages"), scratch_path(spark, "stream-state")
     prefixes = B.open_prefixes(spark)
     _feed(spark, B.captures(spark, sf_dir), ["seq"], lambda s: S.ingest_captures(s, prefixes, path, checkpoint, buckets=4))
-    return spark.read.parquet(path).select(
+    return P.stored_pages(spark, path).select(
         "dataset", "url", F.length("content").alias("content_length"), F.array_join("outgoing", " ").alias("outgoing"), "incoming_count"
     )
 

@@ -90,10 +90,11 @@ def _stored_twice(spark, sf_dir):
         (F.col("fetched_at") + F.expr("INTERVAL 1 DAY")).alias("fetched_at"),
     )
     path = scratch_path(spark, "page-store")
-    P.upsert_pages(spark, path, first, found.fetched, buckets=4)
-    P.upsert_pages(spark, path, second, found.fetched)
+    P.upsert_pages(spark, path, first, found.fetched, buckets=4, batch=0)
+    P.upsert_pages(spark, path, second, found.fetched, batch=1)
+    P.upsert_pages(spark, path, second, found.fetched, batch=1)  # once more, as after a failure: changes nothing
     sources = L.in_degrees(P.stored_links(spark, path))
-    return P.scan_pages(spark, path).join(sources, ["dataset", "url"], "left").fillna({"in_degree": 0})
+    return P.stored_pages(spark, path).join(sources, ["dataset", "url"], "left").fillna({"in_degree": 0})
 
 
 TWICE = f"""{Q.CRAWL}, latest AS (SELECT dataset, url, max_by(html, seq) AS html FROM kept GROUP BY 1, 2),

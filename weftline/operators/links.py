@@ -25,12 +25,39 @@ def prefixes_or_default(seeds: DataFrame, prefixes: DataFrame) -> DataFrame:
     )
 
 
+def _prefix_lengths(prefixes: DataFrame) -> DataFrame:
+    """One row per dataset, with at most as many lengths as its longest prefix has characters."""
+    return prefixes.groupBy(F.col("dataset").alias("_ds")).agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+
+
+def _cuts(rows: DataFrame, url: str, lengths: DataFrame, shorter: bool = False) -> DataFrame:
+    """Rows once per prefix length of their dataset (below their own length, or up to it), with ``url`` cut to it (``_cut``)."""
+    own = F.length(url)
+    fitting = F.filter("_lengths", lambda n: (n < own) if shorter else (n <= own))
+    held = rows.join(lengths, F.col("dataset") == F.col("_ds")).withColumn("_length", F.explode(fitting))
+    return held.withColumn("_cut", F.substring(url, F.lit(1), F.col("_length")))
+
+
+def shortest_prefixes(prefixes: DataFrame) -> DataFrame:
+    """The prefixes (``dataset, prefix``) that no other one of their dataset is a prefix of; they allow the same addresses."""
+    every = materialize(prefixes.select("dataset", "prefix").where("prefix is not null").distinct(), "prefixes")
+    whole = every.select(F.col("dataset").alias("_in"), F.col("prefix").alias("_whole"))
+    cuts = _cuts(every, "prefix", _prefix_lengths(every), shorter=True)
+    covered = cuts.join(whole, (F.col("dataset") == F.col("_in")) & (F.col("_cut") == F.col("_whole")), "left_semi")
+    return every.join(covered.select("dataset", "prefix").distinct(), ["dataset", "prefix"], "left_anti")
+
+
 def within_prefixes(rows: DataFrame, url: str, prefixes: DataFrame) -> DataFrame:
-    """Rows whose ``url`` starts with any prefix of their dataset."""
-    allowed = broadcast_if_small(prefixes.select(F.col("dataset").alias("_ds"), F.col("prefix").alias("_prefix")))
-    return rows.join(
-        allowed, (F.col("dataset") == F.col("_ds")) & F.col(url).startswith(F.col("_prefix")), "left_semi"
-    )
+    """Rows whose ``url`` starts with any prefix of their dataset.
+
+    Each address is cut to the lengths that prefixes of its dataset have, and the cuts are joined with the prefixes by equality. No
+    prefix begins with another one then, so a row meets one of them at most.
+    """
+    allowed = materialize(shortest_prefixes(prefixes), "shortest-prefixes")
+    lengths = broadcast_if_small(materialize(_prefix_lengths(allowed), "prefix-lengths"))
+    names = broadcast_if_small(allowed.select(F.col("dataset").alias("_in"), F.col("prefix").alias("_prefix")))
+    met = _cuts(rows, url, lengths).join(names, (F.col("dataset") == F.col("_in")) & (F.col("_cut") == F.col("_prefix")), "left_semi")
+    return met.select(*rows.columns)
 
 
 def raw_links(captures: DataFrame) -> DataFrame:

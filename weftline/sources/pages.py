@@ -1,18 +1,20 @@
-"""Reading and upserting the page table and the link table."""
+"""Reading pages, and the page store: captures, incoming counts and links that grow by committed batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
 
-from weftline.plans.lineage import broadcast_if_small, is_missing_path, materialize, settings
+from weftline.plans.commits import FAN, commit, merge_due, read_manifest, read_table, write_segment
+from weftline.plans.lineage import materialize
 
 PAGE_KEY = ["dataset", "url"]
-# folders per dataset of a new table; an upsert rewrites only the ones its keys fall into
+# folders per dataset of a new store
 BUCKETS = 256
-PAGE_COLUMNS = "dataset string, url string, content string, outgoing array<string>, fetched_at timestamp, incoming_count bigint"
-
-LINK_COLUMNS = "dataset string, src string, dst string"
+# tables of a segment: the newest capture of a page in it, links counted per fetch, the set of links; ``turn`` orders the batches
+CAPTURES = "url string, content string, outgoing array<string>, fetched_at timestamp, turn bigint, dataset string, bucket int"
+INCOMING = "url string, added bigint, dataset string, bucket int"
+LINKS = "src string, dst string, dataset string, bucket int"
+FOLDERS = ["dataset", "bucket"]
 
 
 def bucket_of(url: Column, buckets: int) -> Column:
@@ -20,48 +22,12 @@ def bucket_of(url: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
 
 
-def _layout_path(path: str) -> str:
-    return f"{path.rstrip('/')}.layout"
-
-
-def _links_path(path: str) -> str:
-    return f"{path.rstrip('/')}.links"
-
-
-def stored_buckets(spark: SparkSession, path: str) -> int | None:
-    """Folders per dataset that the table at ``path`` was created with, kept beside it; None if there is no table."""
-    try:
-        return spark.read.schema("buckets int").parquet(_layout_path(path)).first()["buckets"]
-    except AnalysisException as error:
-        if not is_missing_path(error):
-            raise
-        return None
-
-
-def _settle_buckets(spark: SparkSession, path: str, buckets: int | None) -> int:
-    """The table's number of folders; a new table gets the wanted one, another one than the table's is refused."""
-    found = stored_buckets(spark, path)
-    if found is None:
-        found = buckets or BUCKETS
-        spark.range(1).select(F.lit(found).alias("buckets")).write.mode("error").parquet(_layout_path(path))
-    elif buckets not in (None, found):
-        raise ValueError(f"the page table has {found} folders per dataset, not {buckets}")
-    return found
-
-
 def scan_pages(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """The stored page table, one dataset only if named (its folders alone are read)."""
+    """A page table in folders by dataset, one dataset only if named (its folders alone are read)."""
     pages = spark.read.parquet(path)
     if dataset is not None:
         pages = pages.where(F.col("dataset") == dataset)
-    return pages.drop("bucket")
-
-
-def read_page(spark: SparkSession, path: str, dataset: str, url: str, *columns: str) -> DataFrame:
-    """One page of the stored table; only the folder of its key is read."""
-    pages = spark.read.schema(PAGE_COLUMNS + ", bucket int").parquet(path)
-    folder = pages.where(F.col("bucket") == bucket_of(F.lit(url), stored_buckets(spark, path)))
-    return find_page(folder.drop("bucket"), dataset, url, *columns)
+    return pages
 
 
 def find_page(pages: DataFrame, dataset: str, url: str, *columns: str) -> DataFrame:
@@ -78,92 +44,115 @@ def select_datasets(config: DataFrame, name: str | None) -> DataFrame:
     return chosen
 
 
-def merge_captures(stored: DataFrame, captures: DataFrame) -> DataFrame:
-    """Stored pages with content, links and time replaced where there is a capture that is at least as new.
+def newest_captures(captures: DataFrame) -> DataFrame:
+    """The newest capture of each page; of captures of one time, that of the later batch. Spark limits the ranks before the shuffle."""
+    newest = Window.partitionBy(*PAGE_KEY).orderBy(F.col("fetched_at").desc(), F.col("turn").desc())
+    return captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def incoming_counts(links: DataFrame) -> DataFrame:
+    """Links per target (``dataset, url, added``) of rows ``dataset, src, dst``, one per link and fetch."""
+    return links.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("added"))
+
+
+def link_set(links: DataFrame) -> DataFrame:
+    """The distinct links."""
+    return links.select("dataset", "src", "dst").distinct()
+
+
+def _in_folders(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, list[str]]:
+    """Rows with their folder, laid out so that a folder is one file where its size allows; AQE splits large ones."""
+    return rows.withColumn("bucket", bucket_of(F.col(key), buckets)).hint("rebalance", *FOLDERS), FOLDERS
+
+
+def _merged(spark: SparkSession, path: str, segments, folders: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Captures, incoming counts and links of the segments together; of pages in some folders only, where these are given."""
+    captures = read_table(spark, path, segments, "captures", CAPTURES)
+    incoming = read_table(spark, path, segments, "incoming", INCOMING)
+    if folders is not None:  # before segments are merged, or Spark would read all folders
+        captures, incoming = captures.where(folders), incoming.where(folders)
+    links = read_table(spark, path, segments, "links", LINKS)
+    if len(segments) > 1:  # keys are unique inside a segment
+        captures = newest_captures(captures)
+        incoming = incoming.groupBy(*PAGE_KEY, "bucket").agg(F.sum("added").alias("added"))
+        links = links.distinct()
+    return captures, incoming, links
 
-    A late, older capture changes nothing. Both sides have ``dataset, url, content, outgoing, fetched_at``; ``stored`` also
-    ``incoming_count``, which a capture leaves as it is. Stored stubs have no time.
+
+def upsert_pages(
+    spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None, buckets: int | None = None,
+    source: str = "captures", batch: int | None = None, fan: int = FAN,
+) -> bool:
+    """Commit a batch of captures, and the links found in them, to the store at ``path``; whether it was new.
+
+    ``batch`` numbers the batches of a ``source`` in rising order; a number that was committed before changes nothing, neither pages nor
+    links nor counts. Without a number the batch is always new. ``buckets``, the folders per dataset, are settled by the first batch; a
+    later call may leave them out, and another number is refused. Each batch writes its own rows only; an older capture that comes late
+    changes no page.
     """
-    newest = Window.partitionBy(*PAGE_KEY).orderBy(F.col("fetched_at").desc())
-    # rank 1 only: Spark limits each partition before the shuffle
-    last = captures.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-    fields = ("content", "outgoing", "fetched_at")
-    new = last.select(*PAGE_KEY, F.struct(*fields).alias("_new"))
-    newer = F.col("_new").isNotNull() & (F.col("fetched_at").isNull() | (F.col("_new.fetched_at") >= F.col("fetched_at")))
-    return stored.join(new, PAGE_KEY, "full_outer").select(
-        *PAGE_KEY,
-        *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields],
-        F.coalesce("incoming_count", F.lit(0)).alias("incoming_count"),
+    seen = read_manifest(spark, path)
+    if batch is not None and seen.has(source, batch):
+        return False
+    settled = seen.facts.get("buckets", buckets or BUCKETS)
+    if buckets not in (None, settled):
+        raise ValueError(f"the page store has {settled} folders per dataset, not {buckets}")
+    number = seen.applied.get(source, -1) + 1 if batch is None else batch
+    turn = seen.facts.get("turns", 0)
+    rows = captures.select(*PAGE_KEY, "content", "outgoing", "fetched_at", F.lit(turn).cast("long").alias("turn"))
+    tables = {"captures": _in_folders(newest_captures(rows), "url", settled)}
+    if links is not None:
+        links = materialize(links.select("dataset", "src", "dst"), "links")
+        tables["incoming"] = _in_folders(incoming_counts(links), "url", settled)
+        tables["links"] = _in_folders(link_set(links), "dst", settled)
+    segment = write_segment(spark, path, tables)
+    seen = commit(
+        spark, path, seen, [*seen.segments, segment], {**seen.applied, source: number}, {**seen.facts, "buckets": settled, "turns": turn + 1}
     )
+    start = merge_due(seen.segments, fan)
+    if start is not None:
+        merge_pages(spark, path, start)
+    return True
 
 
-def merge_incoming(stored: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored pages with a stub for each new link target and the link counter raised.
+def merge_pages(spark: SparkSession, path: str, start: int = 0) -> None:
+    """Make one segment of those from place ``start`` on; pages, links and counts stay as they are."""
+    seen = read_manifest(spark, path)
+    old = seen.segments[start:]
+    if len(old) < 2:
+        return
+    names, buckets = ("captures", "incoming", "links"), seen.facts["buckets"]
+    keys = {"captures": "url", "incoming": "url", "links": "dst"}
+    tables = {n: _in_folders(rows.drop("bucket"), keys[n], buckets) for n, rows in zip(names, _merged(spark, path, old), strict=True)}
+    segment = write_segment(spark, path, tables, old[-1].level + 1)
+    commit(spark, path, seen, [*seen.segments[:start], segment], seen.applied, seen.facts)
 
-    ``links`` has one row ``dataset, src, dst`` per link and fetch.
+
+def stored_pages(spark: SparkSession, path: str, dataset: str | None = None, url: str | None = None) -> DataFrame:
+    """``dataset, url, content, outgoing, fetched_at, incoming_count`` of all stored pages and stubs; stubs have no time.
+
+    With ``dataset``, and ``url``, only the folders of that dataset, or that page, are read.
     """
-    added = links.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("_added"))
-    return stored.join(added, PAGE_KEY, "full_outer").select(
+    manifest = read_manifest(spark, path)
+    folders = None if dataset is None else F.col("dataset") == dataset
+    if url is not None:
+        place = (F.col("bucket") == bucket_of(F.lit(url), manifest.facts.get("buckets", BUCKETS))) & (F.col("url") == url)
+        folders = place if folders is None else folders & place
+    captures, incoming, _ = _merged(spark, path, manifest.segments, folders)
+    return captures.drop("bucket", "turn").join(incoming.drop("bucket"), PAGE_KEY, "full_outer").select(
         *PAGE_KEY,
         F.coalesce("content", F.lit("")).alias("content"),
         F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing"),
         "fetched_at",
-        (F.coalesce("incoming_count", F.lit(0)) + F.coalesce("_added", F.lit(0))).alias("incoming_count"),
+        F.coalesce("added", F.lit(0)).alias("incoming_count"),
     )
 
 
-def merge_link_set(stored: DataFrame, links: DataFrame) -> DataFrame:
-    """The set of links after adding new ones (``dataset, src, dst``)."""
-    return stored.select("dataset", "src", "dst").unionByName(links.select("dataset", "src", "dst")).distinct()
-
-
 def stored_links(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """The set of links (``dataset, src, dst``) that upserts into the page table at ``path`` have brought."""
-    links = spark.read.schema(LINK_COLUMNS + ", bucket int").parquet(_links_path(path)).select("dataset", "src", "dst")
+    """The set of links (``dataset, src, dst``) that the batches have brought."""
+    links = _merged(spark, path, read_manifest(spark, path).segments)[2].select("dataset", "src", "dst")
     return links if dataset is None else links.where(F.col("dataset") == dataset)
 
 
-def _folders_of(spark: SparkSession, path: str, columns: str, touched: DataFrame) -> DataFrame:
-    """Stored rows of the touched folders; none where nothing was written yet."""
-    try:
-        stored = spark.read.schema(columns + ", bucket int").parquet(path)
-        stored.limit(1).count()
-    except AnalysisException as error:
-        if not is_missing_path(error):  # anything else must not pass for an empty table, which the write would then replace
-            raise
-        return spark.createDataFrame([], columns)
-    return stored.join(broadcast_if_small(touched), ["dataset", "bucket"], "left_semi").drop("bucket")
-
-
-def _replace_folders(rows: DataFrame, path: str) -> None:
-    # written aside first: a folder cannot be read and replaced in one job
-    rows = materialize(rows, "merged").hint("rebalance", "dataset", "bucket")
-    with settings(rows.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"):
-        rows.write.mode("overwrite").partitionBy("dataset", "bucket").parquet(path)
-
-
-def upsert_pages(
-    spark: SparkSession, path: str, captures: DataFrame, links: DataFrame | None = None, buckets: int | None = None
-) -> None:
-    """Merge captures (and the links found in them) into the table at ``path``.
-
-    The table is split by dataset and key hash, the set of links beside it by dataset and hash
-    of the target. Only folders that a new key falls into are read and replaced. ``buckets`` is set when the table is
-    created and kept beside it; a later call may leave it out, and another number is refused. The same batch
-    again gives the same pages and the same set of links; only the counter of fetched links grows.
-    """
-    buckets = _settle_buckets(spark, path, buckets)
-    batch = materialize(captures.select("dataset", "url", "content", "outgoing", "fetched_at"), "captures")
-    keys = batch.select("dataset", bucket_of(F.col("url"), buckets).alias("bucket"))
-    if links is not None:
-        links = materialize(links.select("dataset", "src", "dst"), "links")
-        # at most datasets x buckets rows, as are the folders of the pages below
-        targets = materialize(links.select("dataset", bucket_of(F.col("dst"), buckets).alias("bucket")).distinct(), "targets")
-        known = merge_link_set(_folders_of(spark, _links_path(path), LINK_COLUMNS, targets), links)
-        _replace_folders(known.withColumn("bucket", bucket_of(F.col("dst"), buckets)), _links_path(path))
-        keys = keys.unionByName(targets)
-    touched = materialize(keys.distinct(), "touched")
-    merged = merge_captures(_folders_of(spark, path, PAGE_COLUMNS, touched), batch)
-    if links is not None:
-        merged = merge_incoming(merged, links)
-    _replace_folders(merged.withColumn("bucket", bucket_of(F.col("url"), buckets)), path)
+def read_page(spark: SparkSession, path: str, dataset: str, url: str, *columns: str) -> DataFrame:
+    """One page of the store; only the folders of its key are read."""
+    return find_page(stored_pages(spark, path, dataset, url), dataset, url, *columns)

@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from weftline.operators import orders as O, reviews as R
 from weftline.operators.links import fetched_links, latest_captures, outgoing_lists
 from weftline.plans.lineage import is_missing_path, materialize, settings
+from weftline.plans.commits import read_manifest
 from weftline.sources.pages import BUCKETS, upsert_pages
 
 
@@ -36,14 +37,17 @@ def _batch_path(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
 
-def ingest_captures(stream: DataFrame, prefixes: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> None:
-    """Upsert captured pages, with the links found in them, into the page table at ``path``.
+def ingest_captures(
+    stream: DataFrame, prefixes: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, source: str = "captures"
+) -> None:
+    """Commit captured pages, with the links found in them, to the page store at ``path``.
 
-    Only the counter of incoming links would grow if a batch were repeated, as it
-    does when a page is captured again; content and links come out the same.
+    A batch is committed under its number and the name of its ``source``: repeated after a failure, it changes nothing.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
+        if read_manifest(batch.sparkSession, path).has(source, number):
+            return
         captures = materialize(batch, "batch")
         links = materialize(fetched_links(captures, prefixes), "batch-links")
         newest = latest_captures(captures)
@@ -55,7 +59,7 @@ def ingest_captures(stream: DataFrame, prefixes: DataFrame, path: str, checkpoin
             F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing"),
             "fetched_at",
         )
-        upsert_pages(batch.sparkSession, path, pages, links, buckets)
+        upsert_pages(batch.sparkSession, path, pages, links, buckets, source, number)
 
     _run(stream, handle, checkpoint)
 
