@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftline import bindings as B
-from weftline.entries import sql as Q
+from weftline.entries import search, sql as Q
 from weftline.entries.registry import ORACLES, query
 from weftline.entries.store import CHECKED, order_requests
-from weftline.operators import links as L
+from weftline.operators import links as L, segments as G
 from weftline.plans.lineage import materialize, scratch_path
 from weftline.plans.shaping import dense_number
 from weftline.sources import pages as P
@@ -51,13 +51,25 @@ def capture_stream(spark, sf_dir):
     )
 
 
+@query("idx1_index_stream", ORACLES["idx1_build_index"])
+def index_stream(spark, sf_dir):
+    """The index after four batches, the first of which brings older versions of every fifth document."""
+    path, checkpoint = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-state")
+    docs = B.documents(spark, sf_dir).withColumn("version", F.lit(1)).withColumn("arrival", F.col("doc"))
+    older = docs.where("doc % 5 = 0").withColumn("version", F.lit(0)).withColumn("arrival", F.lit(-1).cast("long"))
+    older = older.withColumn("text", F.concat(F.lit("an older text "), F.substring("text", 1, 200)))
+    _feed(spark, older.unionByName(docs), ["arrival", "doc"], lambda s: S.index_documents(s, path, checkpoint))
+    rows = G.current_index(spark, path).postings.select("dataset", "term", "doc", "count", "total_words", "weight", "mag")
+    return search.rounded(rows, "weight", "mag")
+
+
 @query("st2_in_degree_stream", f"WITH {Q.OPEN_CRAWL} SELECT dataset, dst AS url, count(*) AS in_degree FROM links GROUP BY 1, 2")
 def in_degree_stream(spark, sf_dir):
     path, checkpoint = scratch_path(spark, "stream-degrees"), scratch_path(spark, "stream-state")
     events = L.fetched_links(B.captures(spark, sf_dir), B.open_prefixes(spark)).select("seq", "dataset", "src", "dst")
     # every link arrives twice
     both = events.unionByName(events.withColumn("seq", F.col("seq") + 1))
-    _feed(spark, both, ["seq", "dataset", "src", "dst"], lambda s: S.count_in_degrees(s, path, checkpoint, state_partitions=4))
+    _feed(spark, both, ["seq", "dataset", "src", "dst"], lambda s: S.count_in_degrees(s, path, checkpoint, buckets=4))
     return S.latest_in_degrees(spark, path)
 
 

@@ -142,10 +142,13 @@ def head_documents(docs: DataFrame) -> DataFrame:
     return docs.select("dataset", "doc").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= HEAD_DOCS).drop("_n")
 
 
-def index_of_counts(counts: DataFrame, docs: DataFrame, shards: int = SHARDS) -> SearchIndex:
-    """Index from word counts (``dataset, doc, total_words, term, count``; a written table) and ``dataset, doc, url, title``."""
+def index_of_counts(counts: DataFrame, docs: DataFrame, shards: int = SHARDS, terms: DataFrame | None = None) -> SearchIndex:
+    """Index from word counts (``dataset, doc, total_words, term, count``; a written table) and ``dataset, doc, url, title``.
+
+    ``terms`` (``dataset, term, df, n, idf``) is counted where it isn't known already.
+    """
     shard = shard_of(F.col("term"), shards)
-    terms = term_table(counts, docs).withColumn("shard", shard).repartitionByRange("shard", "dataset", "term")
+    terms = (term_table(counts, docs) if terms is None else terms).withColumn("shard", shard).repartitionByRange("shard", "dataset", "term")
     terms = materialize(terms, "terms", partition_by="shard")
     weighted = weighted_postings(counts, terms).withColumn("shard", shard)
     # sorted by word, with the document as last key so that frequent words split over files

@@ -1,36 +1,27 @@
 """Incremental forms of the writing jobs as Structured Streaming micro-batches.
 
 Each function starts a query that works off everything that has arrived and stops;
-running it again later goes on from its checkpoint. A batch writes below its own
-number, so repeating a batch after a failure replaces its output.
+running it again later goes on from its checkpoint. A batch is committed under its number, or writes
+below it, so repeating a batch after a failure changes nothing, or replaces its output.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from weftline.operators import orders as O, reviews as R
 from weftline.operators.links import fetched_links, latest_captures, outgoing_lists
-from weftline.plans.lineage import is_missing_path, materialize, settings
-from weftline.plans.commits import read_manifest
+from weftline.operators.segments import add_documents
+from weftline.plans.commits import FAN, commit, merge_due, read_manifest, read_table, write_segment
+from weftline.plans.lineage import broadcast_if_small, is_missing_path, materialize
 from weftline.sources.pages import BUCKETS, upsert_pages
 
 
-def _run(stream: DataFrame, handle, checkpoint: str, mode: str = "append", state_partitions: int | None = None) -> None:
+def _run(stream: DataFrame, handle, checkpoint: str) -> None:
     """Work off what is there, in micro-batches, and wait for the end."""
-
-    def start() -> StreamingQuery:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        return writer.trigger(availableNow=True).foreachBatch(handle).start()
-
-    if state_partitions is None:
-        start().awaitTermination()
-    else:
-        # the number of state partitions is fixed by the first run of a checkpoint
-        with settings(stream.sparkSession, spark__sql__shuffle__partitions=str(state_partitions)):
-            start().awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
 
 
 def _batch_path(path: str, batch: int) -> str:
@@ -64,27 +55,64 @@ def ingest_captures(
     _run(stream, handle, checkpoint)
 
 
-def count_in_degrees(stream: DataFrame, path: str, checkpoint: str, state_partitions: int = 200) -> None:
+def index_documents(stream: DataFrame, path: str, checkpoint: str, source: str = "documents") -> None:
+    """Commit arriving documents (``dataset, doc, url, title, text``, and ``version`` where there is one) to the segmented index at ``path``."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        add_documents(batch.sparkSession, path, materialize(batch, "batch"), number, source)
+
+    _run(stream, handle, checkpoint)
+
+
+# tables of the in-degree store: the links seen, and what each batch adds to the counts
+SEEN = "src string, dst string, dataset string, bucket int"
+ADDED = "url string, added bigint, dataset string"
+
+
+def count_in_degrees(stream: DataFrame, path: str, checkpoint: str, buckets: int = 256, source: str = "links", fan: int = FAN) -> None:
     """Count distinct sources per target of a stream of ``dataset, src, dst``.
 
-    Only counts that changed are written. The set of links seen is the state; it
-    grows with the graph, as there is no time after which a link may be forgotten.
+    The links seen lie in folders by hash at ``path``, not in memory: a batch reads the folders of its own links, keeps those that are
+    new, and commits them with what they add to the counts. A batch that comes again changes nothing.
     """
-    counts = (
-        stream.dropDuplicates(["dataset", "src", "dst"])
-        .groupBy("dataset", F.col("dst").alias("url"))
-        .agg(F.count(F.lit(1)).alias("in_degree"))
-    )
 
-    def handle(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(_batch_path(path, batch))
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = read_manifest(spark, path)
+        if seen.has(source, number):
+            return
+        settled = seen.facts.get("buckets", buckets)
+        bucket = F.pmod(F.xxhash64("dataset", "src", "dst"), F.lit(settled)).cast("int")
+        links = materialize(batch.select("dataset", "src", "dst").distinct().withColumn("bucket", bucket), "batch-links")
+        # at most datasets x buckets rows: Spark prunes the other folders when the join runs
+        touched = broadcast_if_small(materialize(links.select("dataset", "bucket").distinct(), "batch-folders"))
+        known = read_table(spark, path, seen.segments, "seen", SEEN).join(touched, ["dataset", "bucket"], "left_semi")
+        fresh = materialize(links.join(known, ["dataset", "bucket", "src", "dst"], "left_anti"), "fresh-links")
+        added = fresh.groupBy("dataset", F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("added"))
+        segment = write_segment(spark, path, {"seen": _folders(fresh, "dataset", "bucket"), "added": _folders(added, "dataset")})
+        seen = commit(spark, path, seen, [*seen.segments, segment], {**seen.applied, source: number}, {"buckets": settled})
+        start = merge_due(seen.segments, fan)
+        if start is not None:
+            old = seen.segments[start:]
+            sums = _added_up(read_table(spark, path, old, "added", ADDED))
+            whole = {"seen": _folders(read_table(spark, path, old, "seen", SEEN), "dataset", "bucket"), "added": _folders(sums, "dataset")}
+            commit(spark, path, seen, [*seen.segments[:start], write_segment(spark, path, whole, old[-1].level + 1)], seen.applied, seen.facts)
+
+    _run(stream, handle, checkpoint)
+
+
+def _folders(rows: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    return rows.hint("rebalance", *names), list(names)
+
 
-    _run(counts, handle, checkpoint, "update", state_partitions)
+def _added_up(added: DataFrame) -> DataFrame:
+    return added.groupBy("dataset", "url").agg(F.sum("added").alias("added"))
 
 
 def latest_in_degrees(spark: SparkSession, path: str) -> DataFrame:
-    """Current counts; a count only ever grows, so the largest one is the latest."""
-    return spark.read.parquet(path).groupBy("dataset", "url").agg(F.max("in_degree").alias("in_degree"))
+    """Current counts: what all batches have added."""
+    added = _added_up(read_table(spark, path, read_manifest(spark, path).segments, "added", ADDED))
+    return added.withColumnRenamed("added", "in_degree")
 
 
 def allocate_orders(
