@@ -179,3 +179,22 @@ LENIENT_NUMBER = [("", 0.0), (" 12.5 ", 12.5), ("abc", None), (None, None), ("1e
 
 def test_lenient_number(spark):
     check(spark, LENIENT_NUMBER, numbers.lenient_number)
+
+
+def test_hosts_outside_ascii(spark):
+    labels = ["bücher", "münchen-ost", "例え", "пример", "ñandú", "ü", "a-ü-b", "日本語テスト", "mañana", "ΑΒΓ".lower(), "straße", "👍x👎👍", "ليهمابتكلموشعربي؟", "ü" * 30, "0ö9"]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", urls.punycode(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in got} == {x: x.encode("punycode").decode() for x in labels}
+    hosts = {"www.bücher.example": "www.xn--bcher-kva.example", "例え。テスト": "xn--r8jz45g.xn--zckzah", "plain.org": "plain.org", "": ""}
+    got = spark.createDataFrame([(x,) for x in hosts], "x string").select("x", urls.ascii_host(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in got} == hosts
+
+
+def test_links_to_hosts_outside_ascii(spark):
+    links = {
+        "http://Bücher.example/ä?q=ö": "http://xn--bcher-kva.example/%C3%A4?q=%C3%B6", "//BÜCHER.example:80/x": "http://xn--bcher-kva.example/x", "http://b%C3%BCcher.example/": "http://xn--bcher-kva.example/",
+        "https://例え.テスト:8443": "https://xn--r8jz45g.xn--zckzah:8443/", "http://ex%61mple.org/": "http://example.org/", "http://bad%20host/": None, "http://bad%2Fhost/": None, "http://%zz/": None,
+    }
+    rows = spark.createDataFrame([(h, "http://h.com/") for h in links], "href string, base string")
+    got = {r.href: r.u for r in urls.with_resolved(rows, "href", "base", "u").collect()}
+    assert got == {h: u for h, u in links.items() if u}

@@ -57,6 +57,78 @@ def _normal_path(path: Column) -> Column:
     ).otherwise(plain)
 
 
+# The parameters of Punycode (RFC 3492)
+_BASE, _TMIN, _TMAX, _SKEW, _DAMP, _FIRST_BIAS, _FIRST_CODE = 36, 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _bias(delta: Column, points: Column, first: Column) -> Column:
+    """The bias for the next number, from the one just written."""
+    halved = F.when(first, F.floor(delta / _DAMP)).otherwise(F.floor(delta / 2))
+    start = F.struct((halved + F.floor(halved / points)).alias("d"), F.lit(0).cast("long").alias("k"))
+    # code points are below 2^21 and labels short: six divisions are more than any number needs
+    done = F.aggregate(
+        F.sequence(F.lit(1), F.lit(6)), start,
+        lambda s, _: F.when(s["d"] > (_BASE - _TMIN) * _TMAX // 2, F.struct(F.floor(s["d"] / (_BASE - _TMIN)).alias("d"), (s["k"] + _BASE).alias("k"))).otherwise(s),
+    )
+    return done["k"] + F.floor((_BASE - _TMIN + 1) * done["d"] / (done["d"] + _SKEW))
+
+
+def _number(delta: Column, bias: Column) -> Column:
+    """A number as digits of falling weight, each with its own threshold."""
+
+    def digit(value: Column) -> Column:
+        return F.substring(F.lit(_DIGITS), value.cast("int") + 1, F.lit(1))
+
+    def step(s: Column, n: Column) -> Column:
+        t = F.greatest(F.lit(_TMIN).cast("long"), F.least(F.lit(_TMAX).cast("long"), n * _BASE - bias))
+        more = F.struct(
+            F.concat(s["text"], digit(t + (s["q"] - t) % (_BASE - t))).alias("text"), F.floor((s["q"] - t) / (_BASE - t)).alias("q"), F.lit(False).alias("done")
+        )
+        last = F.struct(F.concat(s["text"], digit(s["q"])).alias("text"), s["q"].alias("q"), F.lit(True).alias("done"))
+        return F.when(s["done"], s).when(s["q"] < t, last).otherwise(more)
+
+    start = F.struct(F.lit("").alias("text"), delta.cast("long").alias("q"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long")), start, step)["text"]
+
+
+def punycode(label: Column) -> Column:
+    """A label with non-ASCII characters as RFC 3492 writes it: a fold over its code points, smallest first."""
+    codes = F.transform(F.regexp_extract_all(label, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.ascii(c).cast("long"))
+    plain = F.regexp_replace(label, r"[^\x00-\x7f]", "")
+    higher = F.array_sort(F.array_distinct(F.filter(codes, lambda c: c >= _FIRST_CODE)))
+    zero = F.lit(0).cast("long")
+
+    def state(text, delta, bias, handled, code) -> Column:
+        return F.struct(
+            text.alias("text"), delta.cast("long").alias("delta"), bias.cast("long").alias("bias"), handled.cast("long").alias("handled"), code.cast("long").alias("code")
+        )
+
+    def of_code(s: Column, code: Column) -> Column:
+        def of_place(t: Column, c: Column) -> Column:
+            written = state(
+                F.concat(t["text"], _number(t["delta"], t["bias"])), zero,
+                _bias(t["delta"], t["handled"] + 1, t["handled"] == F.length(plain)), t["handled"] + 1, t["code"],
+            )
+            passed = state(t["text"], t["delta"] + 1, t["bias"], t["handled"], t["code"])
+            return F.when(c < code, passed).when(c == code, written).otherwise(t)
+
+        moved = state(s["text"], s["delta"] + (code - s["code"]) * (s["handled"] + 1), s["bias"], s["handled"], code)
+        return F.aggregate(codes, moved, of_place, lambda t: state(t["text"], t["delta"] + 1, t["bias"], t["handled"], t["code"] + 1))
+
+    begin = state(
+        F.when(plain == "", F.lit("")).otherwise(F.concat(plain, F.lit("-"))), zero, F.lit(_FIRST_BIAS), F.length(plain), F.lit(_FIRST_CODE)
+    )
+    return F.aggregate(higher, begin, of_code, lambda s: s["text"])
+
+
+def ascii_host(host: Column) -> Column:
+    """A lower-case host with its non-ASCII labels in Punycode; ideographic full stops separate labels too."""
+    labels = F.split(F.regexp_replace(host, r"[\x{3002}\x{ff0e}\x{ff61}]", "."), r"\.", -1)
+    known = F.transform(labels, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x))
+    return F.when(host.rlike(r"[^\x00-\x7f]"), F.array_join(known, ".")).otherwise(host)
+
+
 def _let(df: DataFrame, **values: Column) -> DataFrame:
     """Add columns that are computed exactly once, however often later steps use them."""
     fields = F.struct(*[value.alias(name) for name, value in values.items()])
@@ -66,7 +138,7 @@ def _let(df: DataFrame, **values: Column) -> DataFrame:
 def with_resolved(links: DataFrame, href: str, base: str, name: str) -> DataFrame:
     """Add ``name``: the absolute form of ``href`` as found on page ``base``, without fragment.
 
-    Host lower-cased, default ports dropped, dot segments folded, unsafe
+    Host lower-cased and in Punycode where it isn't ASCII, default ports dropped, dot segments folded, unsafe
     characters percent-encoded. Rows without a valid http(s) URL are dropped.
     """
     trimmed = F.regexp_replace(F.regexp_replace(href, _CONTROL_EDGE, ""), _REFERENCE_JUNK, "")
@@ -108,9 +180,13 @@ def with_resolved(links: DataFrame, href: str, base: str, name: str) -> DataFram
         .when(F.col("_query") == "?", F.lit(""))
         .otherwise(F.col("_query")),
         _login=F.regexp_extract("_authority", "^(.*@)", 1),
-        _host=F.lower(F.regexp_extract("_authority", r"^(?:.*@)?([^:@]*)", 1)),
+        _named=F.regexp_extract("_authority", r"^(?:.*@)?([^:@]*)", 1),
         _port=F.regexp_extract("_authority", r"^(?:.*@)?[^:@]*:([0-9]*)$", 1).try_cast("long"),
     )
+    # percent-encoded characters of a host stand for themselves; what they decode to must be a valid host again
+    plain = F.when(F.col("_named").contains("%"), F.expr("try_url_decode(replace(_named, '+', '%2B'))")).otherwise(F.col("_named"))
+    out = _let(out, _lower=F.lower(plain))
+    out = _let(out, _host=ascii_host(F.col("_lower")))
     bad_port = F.col("_authority").rlike(r":[0-9]*[^0-9@][^@]*$") | (F.coalesce("_port", F.lit(0)) > 65535)
     valid = (
         F.col("_out_scheme").isin("http", "https")
