@@ -255,3 +255,17 @@ def test_segments_are_merged_by_level():
     level = lambda *x: [K.Segment(str(n), v, ()) for n, v in enumerate(x)]
     assert K.merge_due([], 3) is None and K.merge_due(level(0, 0), 3) is None
     assert K.merge_due(level(1, 0, 0, 0), 3) == 1 and K.merge_due(level(1, 1, 1), 3) == 0 and K.merge_due(level(2, 1, 1, 0), 2) is None
+
+
+def test_placed_orders(spark):
+    """Accepted orders are numbered in order of arrival and priced; the others leave no trace in documents and stock."""
+    orders = spark.createDataFrame([(5, "a", 3), (6, "b", 1), (7, "c", 2), (8, "", 0), (9, "e", 4)], "order_id bigint, username string, at int")
+    lines = spark.createDataFrame([(5, 0, 1, 2), (5, 1, 2, 1), (6, 0, 1, 3), (7, 0, 1, 9), (9, 0, 1, 1), (9, 1, 77, 1)], LINES)
+    products = spark.createDataFrame([(1, "one", 2.5, 6), (2, "two", 1.0, 1)], "id bigint, name string, price double, stock bigint")
+    stored, decisions, stock = O.place_orders(orders, lines, products, ["at", "order_id"], issued=40)
+    got = {r.order_id: (r.id, r.at, r.total, [(i.product_id, i.name, i.quantity, i.price) for i in r["items"]]) for r in stored.collect()}
+    assert got == {6: (40, 1, 7.5, [(1, "one", 3, 2.5)]), 5: (41, 3, 6.0, [(1, "one", 2, 2.5), (2, "two", 1, 1.0)])}
+    assert sorted(r.order_id for r in decisions.where("accepted").collect()) == [5, 6] and decisions.count() == 5
+    assert {r.id: r.stock for r in stock.collect()} == {1: 1, 2: 0}
+    documents = O.order_documents(orders, lines, products)
+    assert sorted(r.order_id for r in documents.collect()) == [5, 6, 7]

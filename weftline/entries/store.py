@@ -396,18 +396,21 @@ def stock_allocation(spark, sf_dir):
     return O.allocate(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir), B.stocked_products(spark, sf_dir), ["ordered_at", "order_id"])
 
 
-ITEMS = f"""{Q.PRODUCTS}, {CARTS}, item_lists AS (
+# an order with an unknown product has no document
+KNOWN_LINES = "known_lines AS (SELECT * FROM lines WHERE order_id NOT IN (SELECT order_id FROM lines WHERE product_id NOT IN (SELECT id FROM products)))"
+ITEM_LISTS = f"""{KNOWN_LINES}, item_lists AS (
   SELECT order_id, block, any_value(total) AS total,
     string_agg(line || ':' || product_id || ':' || name || ':' || quantity || ':' || price, ' ' ORDER BY line, product_id, name, quantity) AS items
-  FROM (SELECT lines.*, name, price, round(sum(price * quantity) OVER (PARTITION BY order_id), 4) AS total,
+  FROM (SELECT k.*, name, price, round(sum(price * quantity) OVER (PARTITION BY order_id), 4) AS total,
           (row_number() OVER (PARTITION BY order_id ORDER BY line, product_id, name, quantity) - 1) // 100000 AS block
-        FROM lines JOIN products ON id = product_id) GROUP BY 1, 2)"""
+        FROM known_lines k JOIN products ON id = product_id) GROUP BY 1, 2)"""
+ITEMS = f"{Q.PRODUCTS}, {CARTS}, {ITEM_LISTS}"
 
 
-def _items(df):
+def _items(df, *more):
     fields = ("line", "product_id", "name", "quantity", "price")
     text = F.array_join(F.transform("items", lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields])), " ")
-    return df.select("order_id", "username", "block", F.round("total", 4).alias("total"), text.alias("items"))
+    return df.select(*more, "order_id", "username", "block", F.round("total", 4).alias("total"), text.alias("items"))
 
 
 @query("ord4_order_documents", f"WITH {ITEMS} SELECT order_id, username, block, total, items FROM heads JOIN item_lists USING (order_id)")
@@ -415,6 +418,26 @@ def order_documents(spark, sf_dir):
     return _items(O.order_documents(B.orders(spark, sf_dir), B.order_lines(spark, sf_dir), B.products(spark, sf_dir)))
 
 
+@query("ord4_refused_documents", f"WITH {Q.PRODUCTS}, {Q.ORDERS}, {Q.SHIFTED}, {ITEM_LISTS} SELECT order_id, username, block, total, items FROM heads JOIN item_lists USING (order_id)")
+def refused_documents(spark, sf_dir):
+    """Documents of orders some of which name an unknown product; these have none."""
+    return _items(O.order_documents(B.orders(spark, sf_dir), B.shifted_lines(spark, sf_dir), B.products(spark, sf_dir)))
+
+
+@query(
+    "ord4_order_job",
+    f"""WITH RECURSIVE {ALLOCATION}, {Q.PRODUCTS}, {ITEM_LISTS},
+    numbered AS (SELECT order_id, username, ordered_at, 99 + row_number() OVER (ORDER BY ordered_at, order_id) AS id FROM heads JOIN decided USING (order_id) WHERE accepted)
+    SELECT id, order_id, username, ordered_at, block, total, items FROM numbered JOIN item_lists USING (order_id)""",
+)
+def order_job(spark, sf_dir):
+    """Requests in, stored orders out: decided, numbered, priced and dated."""
+    stored, _, _ = O.place_orders(
+        B.orders(spark, sf_dir), B.order_lines(spark, sf_dir), B.stocked_products(spark, sf_dir), ["ordered_at", "order_id"], issued=100
+    )
+    return _items(stored, "id", "ordered_at")
+
+
 @query(
     "ord5_stock_after",
     f"""WITH RECURSIVE {ALLOCATION}, sold AS (SELECT product_id, sum(quantity) AS n FROM lines JOIN decided USING (order_id) WHERE accepted GROUP BY 1)

@@ -93,12 +93,29 @@ def order_totals(priced: DataFrame) -> DataFrame:
 
 
 def order_documents(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Orders with items as bought (name and price at order time) and total."""
-    priced = lines.join(products.select(F.col("id").alias("product_id"), "name", "price"), "product_id")
+    """Orders with items as bought (name and price at order time) and total; an order with an unknown product is refused as a whole."""
+    refused = missing_lines(lines, products).select("order_id").distinct()
+    known = lines.join(refused, "order_id", "left_anti")
+    priced = known.join(products.select(F.col("id").alias("product_id"), "name", "price"), "product_id")
     items = nest(priced, ["order_id"], F.struct("line", "product_id", "name", "quantity", "price"), "items")
     return orders.join(order_totals(priced), "order_id").join(items, "order_id")
 
 
+def place_orders(
+    orders: DataFrame, lines: DataFrame, products: DataFrame, arrival: list[str], issued: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From requests to stored orders: documents of the accepted orders, the decision on every order, and the stock after them.
+
+    Orders are decided in order of ``arrival`` (``allocate``). Accepted ones get ids (column ``id``) from a counter that has handed out
+    ``issued`` ids so far, and become documents with priced items and total; their columns, the date among them, stay.
+    """
+    decisions = materialize(allocate(orders, lines, products, arrival), "placed-decisions")
+    accepted = decisions.where("accepted").select("order_id")
+    numbered = materialize(dense_number(orders.join(accepted, "order_id"), arrival, "id", issued), "placed-orders")
+    taken = lines.join(accepted, "order_id", "left_semi")
+    return order_documents(numbered, taken, products), decisions, stock_after(products, lines, decisions)
+
+
 def allocate(
     orders: DataFrame, lines: DataFrame, products: DataFrame, arrival: list[str], span: int = SPAN
 ) -> DataFrame:
