@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -153,3 +154,10 @@ def test_queries(spark, sf_dir, words):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 4096)
     packed = _packed(spark, sf_dir).collect()
     assert {d for r in packed for d in r.doc_ids} == set(docs)
+
+
+def test_texts_are_grouped_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_text, "GROUP_BYTES", 10)
+    texts = pa.array(["abc", None, "defg", "ää", "", "x" * 30, "y", None])
+    groups = bpe_text._groups(texts)
+    assert groups == [(0, 3), (3, 2), (5, 1), (6, 2)] and bpe_text._groups(texts[:0]) == []

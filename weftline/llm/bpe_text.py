@@ -6,6 +6,7 @@ import json
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.bpe_trie import TextEncoder
@@ -13,6 +14,8 @@ from weftline.llm.common import bound_batches, id_and_text
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+GROUP_BYTES = 4_000_000  # of texts that are encoded together: the more there are, the more words and prefixes they share
+
 _encoders: dict[str, TextEncoder] = {}  # one per vocabulary and worker process; its tables are bounded
 
 
@@ -22,6 +25,18 @@ def _encoder(content: str) -> TextEncoder:
     return _encoders[content]
 
 
+def _groups(column: pa.Array) -> list[tuple[int, int]]:
+    """Places and numbers of the texts that go together: GROUP_BYTES at most, or one text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    groups, start, total = [], 0, 0
+    for n, size in enumerate(sizes):
+        if n > start and total + size > GROUP_BYTES:
+            groups.append((start, n - start))
+            start, total = n, 0
+        total += size
+    return [*groups, (start, len(sizes) - start)] if sizes else []
+
+
 def encode_documents(
     docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -43,7 +58,7 @@ def encode_documents(
     def encode(batches):
         encoder = _encoder(content.value)
         for batch in batches:
-            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
+            for part in (batch.slice(*group) for group in _groups(batch.column(1))):
                 pairs = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ids = pa.array([p[0] for p in pairs], pa.string())
                 counts = pa.array([p[0].count(" ") + 1 if p[0] else 0 for p in pairs], pa.int64())
