@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import index as I, segments as G
+from weftline.operators import index as I, orders as O, segments as G
 from weftline.plans import commits as K
 from weftline.plans.lineage import scratch_path
 from weftline.streaming import incremental as S
@@ -93,3 +93,32 @@ def test_links_seen_stay_out_of_memory(spark):
     manifest = K.read_manifest(spark, path)
     assert manifest.applied == {"links": 4} and len(manifest.segments) < 5
     assert K.read_table(spark, path, manifest.segments, "seen", S.SEEN).select("dataset", "src", "dst").count() == len(links)
+
+
+def test_late_orders_wait_for_earlier_ones(spark):
+    """Batches out of order, within the delay: decisions and stock of one batch in order of time; segments are merged on the way."""
+    rng = random.Random(12)
+    orders = [(n, f"u{n}" if n % 9 else "", n) for n in range(40)]
+    lines = [(n, k, rng.choice([1, 1, 2, 3]), rng.randint(1, 5)) for n in range(40) for k in range(rng.randint(0, 3))]
+    carts = spark.createDataFrame(lines, "order_id bigint, line bigint, product_id bigint, quantity bigint").groupBy("order_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line", "product_id", "quantity"))), lambda x: F.struct(x["product_id"].alias("product_id"), x["quantity"].alias("quantity"))).alias("cart")
+    )
+    heads = spark.createDataFrame(orders, "order_id bigint, username string, day int")
+    requests = heads.select("order_id", "username", F.timestamp_seconds(F.col("day") * 86_400).alias("at")).join(carts, "order_id", "left")
+    products = spark.createDataFrame([(1, "one", 30), (2, "two", 12), (3, "three", 9)], "id bigint, name string, stock bigint")
+    rows = requests.collect()
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r.order_id // 13 * 13 + rng.choice([0, 14]))  # up to about 27 days late
+    path, checkpoint, inbox = (scratch_path(spark, x) for x in ("orders", "state", "inbox"))
+    for part in (rows[:15], rows[15:28], rows[28:]):
+        spark.createDataFrame(part, requests.schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(requests.schema).parquet(inbox)
+        S.allocate_orders(stream, products, path, checkpoint, ["at", "order_id"], "30 days", fan=2)
+    early = S.stored_decisions(spark, path).count()
+    S.decide_waiting(requests.limit(0), products, path, ["at", "order_id"])
+    want = O.allocate(requests.select("order_id", "username", "at"), O.cart_lines(requests), products, ["at", "order_id"])
+    got = S.stored_decisions(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and early < 40
+    left = {r.id: r.stock for r in O.stock_after(products, O.cart_lines(requests), want).collect()}
+    assert {r.id: r.stock for r in S.stock_now(spark, products, path).collect()} == left
+    assert any(s.level for s in K.read_manifest(spark, path).segments)

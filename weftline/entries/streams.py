@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline import bindings as B
 from weftline.entries import search, sql as Q
-from weftline.entries.registry import ORACLES, query
+from weftline.entries.registry import ORACLES, prepared, query
 from weftline.entries.store import CHECKED, order_requests
 from weftline.operators import links as L, segments as G
 from weftline.plans.lineage import materialize, scratch_path
@@ -73,24 +73,28 @@ def in_degree_stream(spark, sf_dir):
     return S.latest_in_degrees(spark, path)
 
 
+@prepared
 def _order_stream(spark, sf_dir):
+    """Orders that come up to 200 days late, in four parts."""
     path, checkpoint = scratch_path(spark, "stream-orders"), scratch_path(spark, "stream-state")
     requests = order_requests(spark, sf_dir).join(B.orders(spark, sf_dir).select("order_id", "ordered_at"), "order_id")
     products, arrival = B.stocked_products(spark, sf_dir), ["ordered_at", "order_id"]
-    _feed(spark, requests, arrival, lambda s: S.allocate_orders(s, products, path, checkpoint, arrival))
+    late = F.col("ordered_at") + F.make_dt_interval(days=F.pmod(F.xxhash64("order_id"), F.lit(200)).cast("int"))
+    parts = requests.withColumn("came_at", late)
+    _feed(spark, parts, ["came_at", "order_id"], lambda s: S.allocate_orders(s.drop("came_at"), products, path, checkpoint, arrival, "200 days"))
+    S.decide_waiting(requests.limit(0), products, path, arrival)
     return path
 
 
 @query("st3_order_stream", ORACLES["ord3_stock_allocation"])
 def order_stream(spark, sf_dir):
     # the line numbers of a request are places in its cart, which keep the order of the given ones
-    path = _order_stream(spark, sf_dir)
-    return spark.read.parquet(f"{path}/decisions").drop("batch")
+    return S.stored_decisions(spark, _order_stream(spark, sf_dir))
 
 
 @query("st3_stock_after_stream", ORACLES["ord5_stock_after"])
 def stock_after_stream(spark, sf_dir):
-    return S.latest_stock(spark, _order_stream(spark, sf_dir)).select("id", "stock")
+    return S.stock_now(spark, B.stocked_products(spark, sf_dir), _order_stream(spark, sf_dir)).select("id", "stock")
 
 
 @query(

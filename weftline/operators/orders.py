@@ -236,15 +236,16 @@ def _explain_decisions(
     )
 
 
-def stock_after(products: DataFrame, lines: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Products with their stock lowered by all lines of the accepted orders."""
-    sold = (
-        lines.join(decisions.where("accepted").select("order_id"), "order_id", "left_semi")
-        .groupBy("product_id")
-        .agg(F.sum("quantity").alias("_sold"))
-    )
+def lower_stock(products: DataFrame, sold: DataFrame) -> DataFrame:
+    """Products with their stock lowered by what was sold (``product_id, amount``)."""
     return (
         products.join(sold, products.id == sold.product_id, "left")
-        .withColumn("stock", F.col("stock") - F.coalesce("_sold", F.lit(0)))
-        .drop("product_id", "_sold")
+        .withColumn("stock", F.col("stock") - F.coalesce("amount", F.lit(0)))
+        .drop("product_id", "amount")
     )
+
+
+def stock_after(products: DataFrame, lines: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Products with their stock lowered by all lines of the accepted orders."""
+    taken = lines.join(decisions.where("accepted").select("order_id"), "order_id", "left_semi")
+    return lower_stock(products, taken.groupBy("product_id").agg(F.sum("quantity").alias("amount")))

@@ -115,34 +115,83 @@ def latest_in_degrees(spark: SparkSession, path: str) -> DataFrame:
     return added.withColumnRenamed("added", "in_degree")
 
 
+# tables of the order store: the decisions, what each batch sold, and the orders not decided yet (those of the last segment count)
+DECISIONS = "order_id bigint, accepted boolean, reason string, failed_product bigint"
+SOLD = "product_id bigint, amount bigint"
+
+
+def _sold(spark: SparkSession, path: str, segments) -> DataFrame:
+    return read_table(spark, path, segments, "sold", SOLD).groupBy("product_id").agg(F.sum("amount").alias("amount"))
+
+
+def _decide(requests: DataFrame, products: DataFrame, path: str, arrival: list[str], commit_as: tuple[str, int], delay: str | None, fan: int) -> None:
+    """Decide the requests, and those waiting, that no earlier one can come before any more; commit decisions, sales and the rest."""
+    spark, (source, number) = requests.sparkSession, commit_as
+    seen = read_manifest(spark, path)
+    if seen.has(source, number):
+        return
+    waiting = read_table(spark, path, seen.segments[-1:], "waiting", requests.schema)
+    known = materialize(waiting.unionByName(requests), "waiting")
+    time = F.col(arrival[0]).cast("timestamp")
+    if delay is None:
+        ready, rest, horizon = known, known.limit(0), seen.facts.get("horizon")
+    else:
+        # the horizon only moves on: what is at most as late as ``delay`` comes before it
+        late = known.agg((F.max(time) - F.expr(f"INTERVAL {delay}")).cast("double")).first()[0]
+        horizon = max((x for x in (late, seen.facts.get("horizon")) if x is not None), default=None)
+        due = F.coalesce(time.cast("double") <= F.lit(horizon).cast("double"), F.lit(True))
+        ready, rest = known.where(due), known.where(~due)
+    lines = materialize(O.cart_lines(ready), "batch-lines")
+    heads = ready.where("block = 0") if "block" in ready.columns else ready
+    stock = O.lower_stock(products, _sold(spark, path, seen.segments))
+    found = materialize(O.allocate(heads.select("order_id", "username", *arrival), lines, stock, arrival), "batch-decisions")
+    taken = lines.join(found.where("accepted").select("order_id"), "order_id", "left_semi")
+    sold = taken.groupBy("product_id").agg(F.sum("quantity").alias("amount"))
+    found = found.select("order_id", "accepted", "reason", "failed_product")
+    segment = write_segment(spark, path, {"decisions": (found, []), "sold": (sold, []), "waiting": (rest, [])})
+    facts = {**seen.facts, "horizon": horizon}
+    seen = commit(spark, path, seen, [*seen.segments, segment], {**seen.applied, source: number}, facts)
+    start = merge_due(seen.segments, fan)
+    if start is not None:
+        old = seen.segments[start:]
+        whole = {
+            "decisions": (read_table(spark, path, old, "decisions", DECISIONS), []), "sold": (_sold(spark, path, old), []),
+            "waiting": (read_table(spark, path, old[-1:], "waiting", requests.schema), []),
+        }
+        commit(spark, path, seen, [*seen.segments[:start], write_segment(spark, path, whole, old[-1].level + 1)], seen.applied, seen.facts)
+
+
 def allocate_orders(
-    stream: DataFrame, products: DataFrame, path: str, checkpoint: str, arrival: list[str]
+    stream: DataFrame, products: DataFrame, path: str, checkpoint: str, arrival: list[str], delay: str | None = None, source: str = "orders", fan: int = FAN
 ) -> None:
-    """Decide arriving orders against the stock left by all earlier batches.
+    """Decide arriving orders, in order of ``arrival``, against the stock left by all earlier ones.
 
-    ``stream`` has ``order_id, username, cart`` and the arrival columns. Orders must
-    come in batches that follow arrival order. Decisions go to ``path/decisions``,
-    the stock after each batch to ``path/stock``.
+    ``stream`` has ``order_id, username, cart`` and the arrival columns, the first of which is the order's time. With ``delay`` (an interval, as
+    "2 days") orders wait until one has come that is later by so much: batches may then bring them out of order by up to that, and the decisions
+    are those of one batch in order; ``decide_waiting`` ends the wait. Without it, orders must come in batches that follow arrival order. A batch adds
+    its decisions and sales; the stock isn't rewritten (``stock_now``). An order that is later still is decided when it comes.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        requests = materialize(batch, "batch")
-        stock = products if number == 0 else spark.read.parquet(_batch_path(f"{path}/stock", number - 1))
-        lines = materialize(O.cart_lines(requests), "batch-lines")
-        found = O.allocate((requests.where("block = 0") if "block" in requests.columns else requests).select("order_id", "username", *arrival), lines, stock, arrival)
-        found.write.mode("overwrite").parquet(_batch_path(f"{path}/decisions", number))
-        decisions = spark.read.parquet(_batch_path(f"{path}/decisions", number))
-        O.stock_after(stock, lines, decisions).write.mode("overwrite").parquet(_batch_path(f"{path}/stock", number))
+        _decide(materialize(batch, "batch"), products, path, arrival, (source, number), delay, fan)
 
     _run(stream, handle, checkpoint)
 
 
-def latest_stock(spark: SparkSession, path: str) -> DataFrame:
-    """Stock after the last batch."""
-    batches = spark.read.parquet(f"{path}/stock")
-    last = batches.agg(F.max("batch")).first()[0]
-    return batches.where(F.col("batch") == last).drop("batch")
+def decide_waiting(requests: DataFrame, products: DataFrame, path: str, arrival: list[str], fan: int = FAN) -> None:
+    """Decide all orders that still wait; ``requests`` gives their columns, its rows (none, as a rule) are decided with them."""
+    done = read_manifest(requests.sparkSession, path).applied.get("closing", -1)
+    _decide(requests, products, path, arrival, ("closing", done + 1), None, fan)
+
+
+def stored_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions so far."""
+    return read_table(spark, path, read_manifest(spark, path).segments, "decisions", DECISIONS)
+
+
+def stock_now(spark: SparkSession, products: DataFrame, path: str) -> DataFrame:
+    """Products with the stock that all decisions so far leave."""
+    return O.lower_stock(products, _sold(spark, path, read_manifest(spark, path).segments))
 
 
 def validate_reviews(stream: DataFrame, products: DataFrame, path: str, checkpoint: str) -> None:
