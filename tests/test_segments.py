@@ -13,6 +13,11 @@ from weftline.streaming import incremental as S
 SCHEMA = "dataset string, doc bigint, url string, title string, text string"
 
 
+@pytest.fixture(autouse=True)
+def few_folders(monkeypatch):
+    monkeypatch.setattr(G, "BUCKETS", 2)
+
+
 def tables(index):
     rows = {name: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in frame.select(*columns).collect()), key=repr) for name, frame, columns in (
         ("postings", index.postings, ["dataset", "term", "doc", "count", "total_words", "weight", "mag"]), ("terms", index.terms, ["dataset", "term", "df", "n", "idf"]),
@@ -41,38 +46,38 @@ def test_index_after_three_batches_equals_the_index_built_anew(spark, tmp_path):
         for key in removed:
             state.pop(key, None)
     assert not G.add_documents(spark, path, spark.createDataFrame(batches()[2], SCHEMA), 2)
-    want = tables(I.build_index(spark.createDataFrame(list(state.values()), SCHEMA)))
-    assert tables(G.current_index(spark, path)) == want
+    want = tables(I.build_index(spark.createDataFrame(list(state.values()), SCHEMA), shards=2))
+    assert tables(G.current_index(spark, path, shards=2)) == want
     G.merge_segments(spark, path, 1)  # the newer two; what they replace in the oldest stays noted
-    assert [s.level for s in K.read_manifest(spark, path).segments] == [0, 1] and tables(G.current_index(spark, path)) == want
+    assert [s.level for s in K.read_manifest(spark, path).segments] == [0, 1] and tables(G.current_index(spark, path, shards=2)) == want
     G.merge_segments(spark, path)
     K.remove_unused(spark, path, keep_versions=1)
     manifest = K.read_manifest(spark, path)
-    assert len(manifest.segments) == 1 and tables(G.current_index(spark, path)) == want
+    assert len(manifest.segments) == 1 and tables(G.current_index(spark, path, shards=2)) == want
     assert K.read_table(spark, path, manifest.segments, "replaced", G.REPLACED).count() == 0
     # a merged index takes further batches
     assert G.add_documents(spark, path, spark.createDataFrame([("d", 7, "u7", "t4", "w1 new")], SCHEMA), 3)
     state["d", 7] = ("d", 7, "u7", "t4", "w1 new")
-    assert tables(G.current_index(spark, path)) == tables(I.build_index(spark.createDataFrame(list(state.values()), SCHEMA)))
+    assert tables(G.current_index(spark, path, shards=2)) == tables(I.build_index(spark.createDataFrame(list(state.values()), SCHEMA), shards=2))
 
 
 def test_last_version_in_a_batch_counts(spark, tmp_path):
     rows = [("d", 1, "u1", "t", "a b", 1), ("d", 1, "u1", "t", "c", 2), ("d", 2, "u2", "t", "a", 1), ("d", 2, "u2", "t", "b", 1), ("d", 3, "u3", "t", "x y", 0)]
     G.add_documents(spark, str(tmp_path / "index"), spark.createDataFrame(rows, SCHEMA + ", version int"), 0)
-    want = I.build_index(spark.createDataFrame([("d", 1, "u1", "t", "c"), ("d", 2, "u2", "t", "b"), ("d", 3, "u3", "t", "x y")], SCHEMA))
-    assert tables(G.current_index(spark, str(tmp_path / "index"))) == tables(want)
+    want = I.build_index(spark.createDataFrame([("d", 1, "u1", "t", "c"), ("d", 2, "u2", "t", "b"), ("d", 3, "u3", "t", "x y")], SCHEMA), shards=2)
+    assert tables(G.current_index(spark, str(tmp_path / "index"), shards=2)) == tables(want)
 
 
 def test_failed_batch_does_not_show(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "index")
     one, two, _ = batches()
     G.add_documents(spark, path, spark.createDataFrame(one, SCHEMA), 0)
-    before = tables(G.current_index(spark, path))
+    before = tables(G.current_index(spark, path, shards=2))
     monkeypatch.setattr(G, "commit", lambda *args: (_ for _ in ()).throw(RuntimeError("gone")))
     with pytest.raises(RuntimeError):
         G.add_documents(spark, path, spark.createDataFrame(two, SCHEMA), 1)
     monkeypatch.undo()
-    assert tables(G.current_index(spark, path)) == before
+    assert tables(G.current_index(spark, path, shards=2)) == before
     assert G.add_documents(spark, path, spark.createDataFrame(two, SCHEMA), 1)
 
 
