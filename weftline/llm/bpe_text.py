@@ -14,7 +14,8 @@ from weftline.llm.common import bound_batches, id_and_text
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
-GROUP_BYTES = 4_000_000  # of texts that are encoded together: the more there are, the more words and prefixes they share
+# of texts that are encoded together: the more there are, the more words and prefixes they share
+GROUP_BYTES = 4_000_000
 
 _encoders: dict[str, TextEncoder] = {}  # one per vocabulary and worker process; its tables are bounded
 
