@@ -65,7 +65,9 @@ PARAGRAPH_TEXT = [
     ("<p>a<!-- <p>hidden</p> -->b</p>", "ab"),
     ("<p>Tom &amp; Jerry &lt;3 &#65;&#x42;&copy;</p>", "Tom & Jerry <3 AB©"),
     ("<p>&amp;lt;</p>", "&lt;"),
-    ("<p>&unknown; &amp</p>", "&unknown; &amp"),
+    ("<p>&unknown; &amp</p>", "&unknown; &"),
+    ("<p>&notit; &notin; &copy2 &ampamp;x &#65 &#x41;&#128;&#0;&#99999999999; &NotEqualTilde; AT&T</p>",
+     "¬it; ∉ ©2 &amp;x A A€\ufffd\ufffd ≂̸ AT&T"),
     ("<p></p><p> </p><p>x</p>", "x"),
     ("<P class='a'>Cap</P>", "Cap"),
     ("<pre>no</pre><param><p>yes<br>no gap</p>", "yesno gap"),
@@ -74,6 +76,29 @@ PARAGRAPH_TEXT = [
     ("", ""),
     (None, ""),
     ("<p>in</p>out<p>in2</p>", "in in2"),
+    # stray end tags close nothing; those of open elements close the paragraph inside
+    ("<p>a</div>b</ul>c</h2>d</li>e", "abcde"),
+    ("<div><p>a</div>b</p>", "a"),
+    ("<section><div><p>a</section>b", "a"),
+    ("<p>a</body>b</html>c", "abc"),
+    ("<p>a<body>b<html>c", "abc"),
+    # list items close items, but not through a list; other neighbours
+    ("<ul><li><p>a<li>b<p>c</ul>d", "a c"),
+    ("<ul><li><ul><p>a</li>b</ul>c</li>d", "ab"),
+    ("<dl><dt><p>a<dd><p>b<dt>c</dl>d", "a b"),
+    ("<h1>x<p>a</h2>b<p>c", "a c"),
+    ("<div><p>a<hr>b</div><p>c", "a c"),
+    # parts of tables count inside a table only, cells bound the search
+    ("<p>a<td>b<tr>c", "abc"),
+    ("<div><table><tr><td><p>a</div>b<td>c<p>d<tr><td>e</table>f", "ab d"),
+    ("<table><tr><td><p>a</table>b<p>c", "a c"),
+    # a button bounds paragraphs; unfinished tags at the end go
+    ("<p>a<button><div>b</div></button>c", "abc"),
+    ("<button><p>a<button>b", "a"),
+    ("<p>a<b", "a"),
+    ("<p>a</p", "a"),
+    ("<p>1 < 2 <", "1 < 2 <"),
+    ("".join(f"<li><p>{n}</div>." for n in range(200)), " ".join(f"{n}." for n in range(200))),
 ]
 
 
@@ -87,6 +112,7 @@ PARAGRAPH_TEXT_KEEP_EMPTY = [
     ("<p></p><p>b</p>", " b"),
     ("<p>a</p><p></p>", "a "),
     ("<p>a<div>x</div></p>", "a "),
+    ("</p><p>a</p></p>", " a "),
     ("", ""),
 ]
 
@@ -98,6 +124,8 @@ def test_paragraph_text_keep_empty(spark):
 PAGE_TITLE = [
     ("<title> A &amp; B </title><h1>H</h1>", "A & B"),
     ("<title> </title><h1>H <i>x</i></h1>", "H x"),
+    ("<h1>one<h2>two</h2></h1>", "one"),
+    ("<h1>one</h3>two</h1>", "one"),
     ("<h2>none</h2>", "Untitled"),
     ("", "Untitled"),
     (None, "Untitled"),
@@ -112,8 +140,9 @@ def test_link_values(spark):
     page = (
         '<a href="/a?x=1&amp;y=2">1</a><A HREF=\'b\'>2</A><a class="c>d" href=plain>3</a><a name="n">no</a>'
         '<!-- <a href="/hidden"> --><abbr href="/no">x</abbr><a href="">e</a><a href="has space">4</a>'
+        '<a href="?a&copy=1&copyb&reg&lt;">5</a>'
     )
-    assert one(spark, page, html.link_values) == ["/a?x=1&y=2", "b", "plain", "", "has space"]
+    assert one(spark, page, html.link_values) == ["/a?x=1&y=2", "b", "plain", "", "has space", "?a&copy=1&copyb®<"]
 
 
 BASE = "https://example.com/dir/sub/page.html?x=1"
