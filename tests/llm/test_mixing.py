@@ -85,3 +85,36 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_query(spark, sf_dir):
     assert compare(spark, connect(sf_dir), sf_dir, "op8_source_mixing", _mixed, sql.MIXING) is None
+
+
+def test_rows_come_through_the_schedule(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 1)
+    assert compare(spark, connect(sf_dir), sf_dir, "op8_source_mixing", _mixed, sql.MIXING) is not None
+
+
+def test_mix_is_written_in_the_order_of_its_slots(spark):
+    docs = documents(random.Random(7), {"a": 900, "b": 500, "c": 60})
+    frame = spark.createDataFrame(docs, SCHEMA)
+    mixed = [r.doc_id for r in mixing.mixed_documents(frame, block_words=16).collect()]
+    first = {r.doc_id: r.first_slot for r in mixing.mix_sources(frame, block_words=16).where("taken > 0").collect()}
+    seen = list(dict.fromkeys(mixed))
+    assert set(seen) == set(first) and [first[d] for d in seen] == sorted(first.values())
+
+
+def test_columns_with_clashing_names(spark):
+    docs = documents(random.Random(8), {"a": 90, "b": 50})
+    names = ["_copy", "_doc", "_text", "_copies", "row", "slot", "epoch", "text_hash", "words"]
+    frame = spark.createDataFrame(docs, SCHEMA).drop("slot").withColumns({n: F.lit(n) for n in names})
+    mixed = mixing.mixed_documents(frame, block_words=16)
+    assert mixed.columns == frame.columns
+    got = mixed.collect()
+    assert got and all(r[n] == n for r in got for n in names)
+
+
+def test_levels_of_many_sources(spark):
+    shares = {f"s{k:03}": 1 + k * k % 97 for k in range(200)}
+    rows = spark.createDataFrame(list(shares.items()), "source string, size long")
+    want = targets(shares)
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in mixing.source_targets(rows).collect())
+    capped = mixing.source_targets(rows, share=2.5)  # more than all sources may give
+    assert all(r.target == 2.0 * r.source_size for r in capped.collect())

@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftline.llm import near_dup
 from weftline.llm.common import shingle_set, word_hashes
 from weftline.llm.components import components
@@ -123,3 +125,13 @@ def test_query(spark, sf_dir):
 @pytest.mark.parametrize("text", ["a" * 300_000, "a b c d e f " * 40_000])
 def test_very_long_texts(text):
     assert len(shingle_set(text.encode(), 4)) == len(full_set(text, 4))
+
+
+def test_columns_with_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (2, text), (3, "other words"), (None, text)]
+    names = ["_dropped_id", "row", "kept", "component_id"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    kept = near_dup.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, *r[2:]) for r in kept.collect()) == [(n, *names) for n in (0, 1, 3)]

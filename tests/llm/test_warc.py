@@ -72,3 +72,9 @@ def test_empty_table(spark):
 
 def test_query(spark, sf_dir):
     assert compare(spark, connect(sf_dir), sf_dir, "op3_warc", _archived, sql.WARC) is None
+
+
+def test_schemes():
+    same = ["s3://b/k", "hdfs://name:8020/k", "gs://b/k", "abfss://c@a.dfs.core.windows.net/k", "file:///k"]
+    assert [warc.store_uri(u) for u in same] == same
+    assert [warc.store_uri(u) for u in ("s3a://b/k", "S3N://b/k", "file:/k/l", "/k/l")] == ["s3://b/k", "s3://b/k", "file:///k/l", "file:///k/l"]

@@ -42,21 +42,19 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = dense_number(sums, [F.col("source").asc_nulls_last()], "source_no")
     place = (F.col("source_no") % len(weights)).cast("int") + 1
-    numbered = materialize(numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place)), "mix-sources")
-    level = None
-    while True:  # the level only rises, and each turn but the last caps another source
-        capped = F.lit(False) if level is None else F.col("weight") * F.lit(level) > most * F.col("source_size")
-        total, full, weight = numbered.agg(
-            F.sum("source_size"), F.sum(F.when(capped, F.col("source_size"))), F.sum(F.when(~capped, F.col("weight")))
-        ).first()
-        if not weight:
-            break
-        now = (share * total - most * (full or 0)) / weight
-        if now == level:
-            break
-        level = now
-    target = F.least(most * F.col("source_size"), F.col("weight") * F.lit(level)) if level is not None else F.lit(0.0)
-    return numbered.withColumn("target", target.cast("double"))
+    numbered = numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place))
+    # by the level that caps them: the first source that stays below its cap, with all before it capped, sets the level
+    ordered = dense_number(numbered, [F.col("source_size") / F.col("weight"), "source_no"], "turn").withColumn("all", F.lit(0))
+    sums_before = {"capped": F.col("source_size"), "lighter": F.col("weight").cast("long")}
+    ordered = materialize(running_before(ordered, "all", "turn", sums_before), "mix-sources")
+    total, weight = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    height = (F.lit(share * (total or 0)) - most * F.col("capped")) / (F.lit(weight) - F.col("lighter"))
+    free = ordered.withColumn("height", height).where(F.col("height") * F.col("weight") <= most * F.col("source_size"))
+    level = free.agg(F.min_by("height", "turn")).first()[0]
+    target = most * F.col("source_size")
+    if level is not None:
+        target = F.least(target, F.col("weight") * F.lit(level))
+    return ordered.select("source_no", "source", "source_size", "weight", target.cast("double").alias("target"))
 
 
 def _streams(sized: DataFrame) -> DataFrame:
@@ -148,13 +146,15 @@ def schedule(
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """How many words of each document the mix takes: (doc_id, size, source_size, target, taken, source, text_hash), a row per row.
+    """What the mix takes of each document: (doc_id, size, source_size, target, taken, first_slot, n_pieces, source, text_hash), a row per row.
 
     ``size`` counts the words (runs outside space and tab to carriage return), ``taken`` counts repeats; it is
-    at most twice the size. A source's ``taken`` add up to its target, rounded down. The same rows give the same mix.
+    at most twice the size. A source's ``taken`` add up to its target, rounded down. ``first_slot`` is the place in the schedule
+    where the mix first takes words of the document, ``n_pieces`` the number of places. The same rows give the same mix.
 
     * Null or empty text: size 0, taken 0. Null source: a source of its own, the last. Null ids come first in
       the order of equal hashes.
+    * What is not taken has a null first slot and no pieces.
     * Repeated ids: rows are independent; rows that are the same in all columns are interchangeable.
     * Other columns are not read. An empty table, or one without words, takes nothing.
     """
@@ -162,20 +162,26 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     own = ["doc_id", "size", "source_size", "target", "source", "text_hash", "source_no", "start"]
     # rows of size 0 share their place with others, and equal ones are told apart by their count
     words = pieces.groupBy(*own).agg(
-        F.sum("words").alias("taken"), F.when(F.col("size") > 0, F.lit(1)).otherwise(F.count(F.lit(1))).alias("rows")
+        F.sum("words").alias("taken"), F.when(F.col("size") > 0, F.lit(1)).otherwise(F.count(F.lit(1))).alias("rows"),
+        F.min("slot").alias("first_slot"), F.count("slot").alias("n_pieces"),
     )
     each = words.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows").cast("long"))))
-    return each.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "text_hash")
+    return each.select(
+        "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "n_pieces", "source", "text_hash"
+    )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as often as the mix takes them (0, 1 or 2 times; a document cut by a block's end counts as whole)."""
+    """``docs`` as often as the mix takes them, in the order of the schedule: 0, 1 or 2 times, each at its first slot.
+
+    A document that is cut by a block's end counts as whole. All columns stay as they are, whatever their names; rows that
+    repeat id and text come at the same slots. Rows of one slot are in the order of their ids.
+    """
     text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    taken = mix_sources(docs, **options).where("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).alias("_copies")
-    )
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_text"))
-    joined = docs.join(copies, same)
-    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))
-    return joined.select(*[docs[c] for c in docs.columns], repeats.alias("_copy")).drop("_copy")
+    taken = schedule(docs, **options).where("words > 0")
+    times = taken.groupBy("doc_id", "text_hash", "epoch").agg(F.min("slot").alias("slot"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    own_id, own_text = F.col("row")[id_col].cast("long"), F.col("row")[text_col].cast("string")
+    joined = packed.join(times, own_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(own_text) == F.col("text_hash")))
+    ordered = joined.orderBy("slot", "doc_id", "text_hash")
+    return ordered.select(*[F.col("row")[c].alias(c) for c in docs.columns])

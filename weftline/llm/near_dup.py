@@ -279,7 +279,9 @@ def _tile_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not kept; all columns stay as they are."""
-    kept = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    key = options.get("id_col", "doc_id")
-    return docs.join(kept.withColumnRenamed("doc_id", "_dropped_id"), F.col(key).cast("long") == F.col("_dropped_id"), "left_anti")
+    """``docs`` without the documents that are not kept; all columns stay as they are, whatever their names."""
+    dropped = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    key = F.col("row")[options.get("id_col", "doc_id")].cast("long")
+    left = packed.join(dropped, key == F.col("doc_id"), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -71,10 +71,38 @@ WITH doc AS (
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target, source,
+, fact AS (
+  SELECT source, source_size, floor(target)::BIGINT AS wanted, (source_size + 1023) // 1024 AS per_epoch,
+         floor(target)::BIGINT // source_size * ((source_size + 1023) // 1024) + (floor(target)::BIGINT % source_size + 1023) // 1024 AS need
+  FROM target WHERE source_size > 0
+), share AS (
+  SELECT *, sum(need) OVER (ORDER BY source NULLS LAST)::BIGINT - need AS before, sum(need) OVER ()::BIGINT AS n FROM fact
+), dealt AS (
+  SELECT i AS slot, s.source, row_number() OVER (PARTITION BY s.source ORDER BY i) - 1 AS rank
+  FROM (SELECT unnest(range((SELECT max(n) FROM share))) AS i)
+  JOIN share s ON (i % 2147483648) * 1327217885 % 2147483648 >= floor(before * (2147483648.0::DOUBLE / n))
+    AND (before + need = n OR (i % 2147483648) * 1327217885 % 2147483648 < floor((before + need) * (2147483648.0::DOUBLE / n)))
+), tail AS (
+  SELECT source, unnest(range(coalesce(got, 0), need)) AS rank, n
+  FROM share LEFT JOIN (SELECT source AS src, count(*) AS got FROM dealt GROUP BY source) ON source IS NOT DISTINCT FROM src
+), slots AS (
+  SELECT source AS slot_source, slot, rank // per_epoch AS epoch, rank % per_epoch AS block,
+         least(1024, source_size - rank % per_epoch * 1024, wanted - (rank // per_epoch * source_size + rank % per_epoch * 1024)) AS words
+  FROM (SELECT slot, source, rank FROM dealt UNION ALL SELECT rank + n, source, rank FROM tail) t
+  JOIN (SELECT source AS own, source_size, wanted, per_epoch, need FROM fact) ON source IS NOT DISTINCT FROM own
+  WHERE rank < need
+), piece AS (
+  SELECT p.doc_id, p.source, min(slot) AS first_slot, count(*) AS n_pieces
+  FROM (SELECT *, unnest(range(start::BIGINT // 1024, (start::BIGINT + size - 1) // 1024 + 1)) AS b FROM place WHERE size > 0) p
+  JOIN slots ON p.source IS NOT DISTINCT FROM slot_source AND b = block
+  WHERE least(start + size, b * 1024 + words) > greatest(start, b * 1024)
+  GROUP BY p.doc_id, p.source
+)
+SELECT p.doc_id, size::BIGINT AS size, source_size, target, p.source,
        CASE WHEN size = 0 THEN 0
-            ELSE (wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)))::BIGINT END AS taken
-FROM place
+            ELSE (wanted // source_size * size + greatest(0, least(size, wanted % source_size - start)))::BIGINT END AS taken,
+       first_slot::BIGINT AS first_slot, coalesce(n_pieces, 0)::BIGINT AS n_pieces
+FROM place p LEFT JOIN piece q ON p.doc_id = q.doc_id AND p.source IS NOT DISTINCT FROM q.source
 """
 
 TOP_PRODUCTS = r"""

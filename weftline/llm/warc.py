@@ -79,9 +79,23 @@ def _page_of(record_id: str | None):
     return int(own) if own else None
 
 
+# The schemes by which Spark's readers name stores that the archive reader and writer name otherwise
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def store_uri(folder: str) -> str:
+    """The folder as Spark names it, in the scheme that opens the same store in the workers; plain paths are local files."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{folder}"
+    if scheme == "file":  # Spark writes file:/path too
+        return f"file:///{rest.lstrip('/')}"
+    return f"{SCHEMES.get(scheme.lower(), scheme)}:{rest}"
+
+
 def _writer(folder: str):
     def write(batches):
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = fs.FileSystem.from_uri(store_uri(folder))
         files.create_dir(base, recursive=True)
         rows, out, name, at = [], None, "", 0
 
@@ -147,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[DataFra
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or scratch_path(spark, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = folder if ":" in folder else f"file://{folder}"
     index = first_captures(pages.select("page_id", "url", "html")).mapInArrow(_writer(folder), INDEX)
     return materialize(index, "warc-index"), folder
 
@@ -174,7 +188,7 @@ def ranges(index: DataFrame) -> DataFrame:
 
 def _reader(folder: str):
     def read(batches):
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = fs.FileSystem.from_uri(store_uri(folder))
         for batch in batches:
             for archive, start, stop, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.open_input_file(f"{base}/{archive}") as file:
