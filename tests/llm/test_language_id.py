@@ -75,13 +75,25 @@ def test_prediction_is_the_sum_of_subwords(monkeypatch):
     model = language_id.train(samples)
     monkeypatch.setattr(language_id, "TABLE_BYTES", 0)
     own = language_id.Predictor(model)
-    own.room = 3
-    for _, text, *_ in documents(30):
+    unbroken = "".join(t for _, t, *_ in documents(12)).replace(" ", "")
+    for text in [t for _, t, *_ in documents(30)] + ["a b " + unbroken + " c", unbroken]:
         counts = language_id.text_counts(text)
         n = sum(counts.values())
         odds = model.scores(sum(model.table[b] * c for b, c in counts.items())[None, :], np.array([n]))
         name, score, _ = own.predict([text])
         assert name[0] == model.languages[int(odds.argmax())] and abs(score[0] - odds.max()) < 1e-5
+        assert max(map(len, own.places), default=0) <= language_id.LONGEST_KEPT
+
+
+def test_subwords_of_long_words_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    for word in ("a", "ab", "abcdef", "abcdefghi", "zürich" * 9, "日本語" * 30):
+        want = np.bincount(language_id.subwords(word), minlength=language_id.BUCKETS)
+        assert (language_id.bucket_counts(word) == want).all()
+        counts = language_id.text_counts(f"{word} x {word}")
+        assert {b: int(n) for b, n in counts.items()} == {
+            int(b): int(n) for b, n in enumerate(2 * want + np.bincount(language_id.subwords("x"), minlength=language_id.BUCKETS)) if n
+        }
 
 
 def test_no_label_leaks_into_predictions(spark):

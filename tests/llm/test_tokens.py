@@ -69,6 +69,42 @@ def test_small_tables_of_the_encoder(monkeypatch, texts, words):
         assert encoder.encode([text or ""])[0][0] == " ".join(map(str, ids))
 
 
+def test_unbroken_texts(monkeypatch, words):
+    """Text without blanks: ids as the library's, tables bounded by characters, long words not kept."""
+    import json
+
+    from weftline.llm.bpe_trie import TextEncoder
+
+    spec = json.load(open(bpe_text.DEFAULT_TOKENIZER, encoding="utf-8"))
+    monkeypatch.setattr(TextEncoder, "MOST_HELD", 3000)
+    encoder, rng = TextEncoder(spec), random.Random(6)
+    parts = ["the", "ation", "日本", "xq", "é", "aaa", "ßtr", "😀"]
+    start = "".join(rng.choice(parts) for _ in range(60))
+    texts = [start[: rng.randint(1, 100)] + "".join(rng.choice(parts) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    texts += [start, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "ab" * 50_000]
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        for text, (ids, decoded) in zip(part, encoder.encode(part), strict=True):
+            want = words.encode(text, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and decoded == words.decode(want, skip_special_tokens=False)
+        assert max(map(len, [*encoder.ids, *encoder.known])) <= TextEncoder.LONGEST_KEPT
+        assert encoder.held == sum(len(c) + len(encoder.ids[c]) + len(encoder.decoded[c]) for c in encoder.ids if c[0] != " ") + sum(
+            len(w) + len(x) + len(y) for w, (x, y) in encoder.known.items()
+        )
+
+
+def test_long_words_equal_the_trie(monkeypatch, texts):
+    import json
+
+    spec = json.load(open(bpe_text.DEFAULT_TOKENIZER, encoding="utf-8"))
+    pieces = {w for t in texts for w in (t or "").split()[:50] if len(w) < 3000}
+    apart = TrieEncoder(spec).encode(pieces)
+    monkeypatch.setattr(TrieEncoder, "LONG", 1)
+    assert TrieEncoder(spec).encode(pieces) == apart
+    monkeypatch.setattr(TrieEncoder, "LONG", 10**9)
+    assert TrieEncoder(spec).encode(pieces) == apart
+
+
 def test_prefix_states_equal_merging_by_rank():
     merges = ["a b", "ab a", "b a", "a b</w>", "ba b</w>"]
     vocab = {t: k for k, t in enumerate(["a", "b", "a</w>", "b</w>", "ab", "aba", "ba", "ab</w>", "bab</w>"])}
@@ -87,6 +123,11 @@ def test_counts(spark, texts, monkeypatch):
     monkeypatch.setattr(token_counts, "MOST_CACHED", 10)
     lengths = token_counts.Lengths(library)
     assert [lengths.count([t or ""])[0] for t in texts] == [len(library.encode(t or "")) for t in texts]
+    monkeypatch.setattr(token_counts, "MOST_HELD", 100)
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", 50)
+    lengths = token_counts.Lengths(library)
+    assert lengths.count([t or "" for t in texts]) == [len(library.encode(t or "")) for t in texts]
+    assert max(map(len, lengths)) <= token_counts.LONGEST_KEPT
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 

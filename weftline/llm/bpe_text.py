@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.bpe_trie import TextEncoder
-from weftline.llm.common import bound_batches, id_and_text
+from weftline.llm.common import bound_batches, byte_groups, id_and_text
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,14 +28,7 @@ def _encoder(content: str) -> TextEncoder:
 
 def _groups(column: pa.Array) -> list[tuple[int, int]]:
     """Places and numbers of the texts that go together: GROUP_BYTES at most, or one text."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    groups, start, total = [], 0, 0
-    for n, size in enumerate(sizes):
-        if n > start and total + size > GROUP_BYTES:
-            groups.append((start, n - start))
-            start, total = n, 0
-        total += size
-    return [*groups, (start, len(sizes) - start)] if sizes else []
+    return byte_groups(pc.fill_null(pc.binary_length(column), 0).to_pylist(), GROUP_BYTES)
 
 
 def encode_documents(

@@ -6,13 +6,22 @@ one vocabulary entry that ends the prefix and may follow the last token of what
 tokens may follow each other exactly when byte-pair encoding of the two put together gives them
 back. Distinct words are put into a trie; going through it depth first, every prefix
 gets its last token once, and a word's encoding is read backwards along these tokens.
+
+Very long words (text without blanks) would make a trie node for each letter that no other word shares. They are
+taken in sorted order, which is the order of the traversal, with the path alone as state: what a word
+shares with the one before it stands there already. The tokens that end at a letter
+come from one automaton of the vocabulary.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
+import os
 import unicodedata
+from array import array
 
+import ahocorasick
 import regex
 
 # The pre-token pattern and end mark of the tokenizer file (white space is taken out before)
@@ -34,6 +43,7 @@ class TrieEncoder:
     """Encodes words by a vocabulary and ranked merges; results of words and of token pairs are kept, in bounded tables."""
 
     MOST_PAIRS = 400_000
+    LONG = 16  # characters of a word from which on it is kept out of the trie
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -44,8 +54,10 @@ class TrieEncoder:
         self.halves = {a + b: (a, b) for (a, b) in reversed(self.ranks)}
         self.made = {t: self.ranks[h] for t, h in self.halves.items()}
         self.letters = [byte_letters()[b] for b in range(256)]
+        self.spelling = "".join(self.letters)
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.paths: LongWords | None = None
 
     def _symbols(self, token: str) -> list[str]:
         if token.endswith(WORD_END) and len(token) > len(WORD_END):
@@ -130,7 +142,15 @@ class TrieEncoder:
         letters = self.letters
         root: dict = {}
         deepest = 0
+        found = {}
+        long_words = [w for w in words if len(w) >= self.LONG]
+        if long_words:
+            if self.paths is None:
+                self.paths = LongWords(self)
+            found.update(self.paths.encode(long_words))
         for word in words:
+            if word in found:
+                continue
             spelt = word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode()])
             node = root
             for c in spelt[:-1]:
@@ -144,7 +164,6 @@ class TrieEncoder:
                 node[""] = [(spelt[-1], word)]
             if len(spelt) > deepest:
                 deepest = len(spelt)
-        found = {}
         last, starts = [""] * (deepest + 1), [0] * (deepest + 1)
         stack = [(0, "", root)]
         longest, last_token = self.longest, self._last_token
@@ -168,10 +187,72 @@ class TrieEncoder:
         return found
 
 
+class LongWords:
+    """The same last-token states for long words, by token numbers; nothing but the path to the last word is kept."""
+
+    END = "\0"  # stands for the end mark; no letter of the vocabulary's alphabet
+
+    def __init__(self, trie: TrieEncoder):
+        self.trie = trie
+        self.names: list[str] = []
+        self.sizes: list[int] = []
+        self.tokens = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token in trie.ids:
+            spelt = token[: -len(WORD_END)] + self.END if token.endswith(WORD_END) else token
+            if spelt != self.END:
+                self.tokens.add_word(spelt, len(self.names))
+                self.names.append(token)
+                self.sizes.append(len(spelt))
+        self.tokens.make_automaton()
+        self.pairs: dict[int, bool] = {}
+
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` may follow ``before`` (-1: stand at the start); the answer is kept."""
+        names, pairs = self.names, self.pairs
+        if len(pairs) >= self.trie.MOST_PAIRS:
+            pairs.clear()
+        fits = self.trie._stay_apart(names[before], names[token]) if before >= 0 else self.trie._may_start(names[token])
+        pairs[before * len(names) + token] = fits
+        return fits
+
+    def encode(self, words):
+        """(word, tokens) of each word; the path grows at four bytes a letter."""
+        spelt = sorted((codecs.charmap_decode(w.encode(), "strict", self.trie.spelling)[0] + self.END, w) for w in words)
+        names, sizes, pairs, many = self.names, self.sizes, self.pairs, len(self.names)
+        path, before_it = array("i", [-1]), ""
+        for letters, word in spelt:
+            done = len(os.path.commonprefix((before_it, letters)))
+            before_it = letters
+            del path[done + 1 :]
+            # a token that ends behind the shared prefix starts at most its length before; tokens come longest first
+            for end, token in self.tokens.iter(letters, max(0, done + 1 - self.trie.longest)):
+                if end < done:
+                    continue
+                before = path[end + 1 - sizes[token]]
+                fits = pairs.get(before * many + token)
+                if fits is None:
+                    fits = self._fits(before, token)
+                if fits:
+                    if end > done:
+                        break
+                    path.append(token)
+                    done = end + 1
+            if done < len(letters):
+                raise ValueError(f"the vocabulary can't encode {letters[done]!r}")
+            at, tokens = done, array("i")
+            while at:
+                tokens.append(path[at])
+                at -= sizes[path[at]]
+            tokens.reverse()
+            yield word, [names[t] for t in tokens]
+
+
 class TextEncoder:
     """Whole texts to ids and back, as strings: ids joined by spaces, and the decoded text."""
 
     MOST_WORDS = 250_000  # chunks in the young tables, and in the old ones
+    MOST_HELD = 96_000_000  # characters of all strings in them, likewise; one group of texts may come on top
+    LONGEST_KEPT = 256  # characters of a chunk or word that is kept; longer ones go with the texts they stand in
 
     def __init__(self, spec: dict):
         self.words = TrieEncoder(spec)
@@ -182,6 +263,7 @@ class TextEncoder:
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.known: dict[str, tuple[str, str]] = {}
+        self.passing: list[str] = []
         self._age()
 
     def _age(self) -> None:
@@ -190,6 +272,7 @@ class TextEncoder:
         self.ids = {f" {t}": str(n) for t, n in self.special.items()}
         self.decoded = {f" {t}": t for t in self.special}
         self.known = {}
+        self.held = 0
 
     def chunks(self, text: str) -> list[str]:
         """The text in normal form (composed, lower case letter by letter), cut at white space."""
@@ -226,15 +309,27 @@ class TextEncoder:
             found = [known[p] for p in ps]
             ids_of[chunk] = " ".join([f[0] for f in found])
             decoded_of[chunk] = " ".join([f[1] for f in found])
+        self.passing = [c for c in new.union(words) if len(c) > self.LONGEST_KEPT]
+        self.held += sum([len(c) + len(ids_of[c]) + len(decoded_of[c]) for c in new.difference(self.passing)])
+        self.held += sum([len(w) + len(known[w][0]) + len(known[w][1]) for w in words.difference(self.passing)])
+
+    def _forget_long(self) -> None:
+        for chunk in self.passing:
+            for table in (self.ids, self.decoded, self.known):
+                table.pop(chunk, None)
+        self.passing = []
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids, decoded text) of each text."""
-        if len(self.ids) > self.MOST_WORDS:
+        if len(self.ids) > self.MOST_WORDS or self.held > self.MOST_HELD:
             self._age()
         cut = [self._with_special(t) if any(m in t for m in self.marks) else self.chunks(t) for t in texts]
         self.learn(set().union(*cut))
         ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(" ".join(map(ids, cs)), " ".join(map(decoded, cs))) for cs in cut]
+        done = [(" ".join(map(ids, cs)), " ".join(map(decoded, cs))) for cs in cut]
+        if self.passing:
+            self._forget_long()
+        return done
 
     def _with_special(self, text: str) -> list[str]:
         out = []

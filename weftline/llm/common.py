@@ -24,6 +24,17 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def byte_groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Places and numbers of the texts of these sizes that are worked on together: ``most`` at most, or one text."""
+    groups, start, total = [], 0, 0
+    for n, size in enumerate(sizes):
+        if n > start and total + size > most:
+            groups.append((start, n - start))
+            start, total = n, 0
+        total += size
+    return [*groups, (start, len(sizes) - start)] if sizes else []
+
+
 def text_bytes(values: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null reads as empty."""
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]

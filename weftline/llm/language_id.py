@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.llm.common import bound_batches, list_arrays
+from weftline.llm.common import bound_batches, byte_groups, list_arrays
 from weftline.plans.lineage import materialize
 
 BUCKETS, SIZE = 1 << 15, 16
@@ -31,7 +31,11 @@ EPOCHS, RATE = 6, 2.0
 CHECK_SHARE = 5  # one in so many of the sample sets temperature and rejection
 LOSS_SHARE = 0.002  # share of rightly predicted documents that the rejection may cost
 MOST_REJECTED_SCORE = 0.6  # scores from here on are never rejected
-TABLE_BYTES = 48 << 20  # of the class sums that a worker keeps
+TABLE_BYTES = 48 << 20  # of the class sums and chunks that a worker keeps
+ENTRY_BYTES = 200  # of a chunk in the table besides its characters and sums
+LONGEST_KEPT = 256  # characters of a chunk that is kept; longer ones go with the texts they stand in
+GROUP_BYTES = 4_000_000  # of texts whose chunks are learned together
+PIECE = 1 << 16  # characters of a long chunk whose subwords are at hand at a time
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -44,9 +48,26 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
+def bucket_counts(word: str) -> np.ndarray:
+    """How often each bucket is met by the subwords of a word; the subwords of a very long one come piece by piece."""
+    marked = f"<{word}>"
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[zlib.crc32(marked.encode()) % BUCKETS] += 1
+    for at in range(0, len(marked), PIECE):
+        part = marked[at : at + PIECE + max(GRAMS) - 1]
+        for n in GRAMS:
+            found = [zlib.crc32(part[k : k + n].encode()) for k in range(min(PIECE, len(part) - n + 1))]
+            counts += np.bincount(np.array(found, dtype=np.int64) % BUCKETS, minlength=BUCKETS)
+    return counts
+
+
 def text_counts(text: str) -> Counter:
     counts: Counter = Counter()
     for word, n in Counter(_LETTERS.findall(text.lower())).items():
+        if len(word) > PIECE:
+            met = bucket_counts(word)
+            counts.update({b: n * int(met[b]) for b in np.flatnonzero(met).tolist()})
+            continue
         for bucket in subwords(word):
             counts[bucket] += n
     return counts
@@ -121,15 +142,16 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model = model
-        self.room = max(1000, TABLE_BYTES // (4 * (len(model.languages) + 1)))
+        self.entry = ENTRY_BYTES + 4 * (len(model.languages) + 1)
         self.rows = np.zeros((1024, len(model.languages) + 1), dtype=np.float32)
         self.places: dict[str, int] = {}
+        self.held = 0  # bytes of the table
 
     def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.places]
-        if len(self.places) + len(new) > self.room:
+        if self.held > TABLE_BYTES:
             self.places.clear()
-            new = list(chunks)
+            self.held = 0
+        new = [c for c in chunks if len(c) <= LONGEST_KEPT and c not in self.places]
         need = len(self.places) + len(new)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((need, self.rows.shape[1]), dtype=np.float32)])
@@ -138,15 +160,31 @@ class Predictor:
             at = self.places[chunk] = len(self.places)
             self.rows[at, :-1] = self.model.table[found].sum(axis=0) if found else 0
             self.rows[at, -1] = len(found)
+            self.held += self.entry + len(chunk)
+
+    def _long(self, chunk: str) -> np.ndarray:
+        """The row of a chunk that isn't kept."""
+        row = np.zeros(self.rows.shape[1])
+        for word in _LETTERS.findall(chunk):
+            met = bucket_counts(word) if len(word) > LONGEST_KEPT else np.bincount(subwords(word), minlength=BUCKETS)
+            used = np.flatnonzero(met)
+            row[:-1] += met[used] @ self.model.table[used].astype(np.float64)
+            row[-1] += met.sum()
+        return row
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        chunks = [(t or "").lower().split() for t in texts]
-        self._learn(set().union(*chunks))
         sums = np.zeros((len(texts), self.rows.shape[1]))
-        for k, cs in enumerate(chunks):
-            if cs:
-                at = np.fromiter(map(self.places.__getitem__, cs), dtype=np.int64, count=len(cs))
-                sums[k] = self.rows[at].sum(axis=0, dtype=np.float64)
+        for start, n in byte_groups([len(t or "") for t in texts], GROUP_BYTES):
+            chunks = [(t or "").lower().split() for t in texts[start : start + n]]
+            self._learn(set().union(*chunks))
+            for k, cs in enumerate(chunks, start):
+                at = [place for c in cs if (place := self.places.get(c)) is not None]
+                if at:
+                    sums[k] = self.rows[at].sum(axis=0, dtype=np.float64)
+                if len(at) < len(cs):
+                    for chunk in cs:
+                        if len(chunk) > LONGEST_KEPT:
+                            sums[k] += self._long(chunk)
         odds = self.model.scores(sums[:, :-1], sums[:, -1])
         letters = sums[:, -1] > 0
         best = odds.argmax(axis=1)

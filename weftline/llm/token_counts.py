@@ -16,12 +16,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import bound_batches, id_and_text
+from weftline.llm.common import bound_batches, byte_groups, id_and_text
 
 DEFAULT_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TABLE_SIZE = 32_768  # entries of the table that is sent to the workers
 SUMMARY, SUMMARY_OUT = 150_000, 16_384  # counters a task keeps, and gives
 MOST_CACHED = 400_000  # entries a worker keeps besides
+MOST_HELD = 32_000_000  # characters of their keys
+LONGEST_KEPT = 256  # characters of a key that is kept; longer ones go with the texts they stand in
+GROUP_BYTES = 4_000_000  # of texts whose keys are learned together
 LONGEST_FREQUENT = 64  # characters of a pre-token in the table, which bounds its bytes
 
 BLANK_MARK = "▁"  # fixed value: how the vocabulary spells a blank
@@ -49,18 +52,23 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Lengths by key; what is missing is encoded."""
+    """Lengths by key; what is missing is encoded. Bounded by entries and by the characters of their keys."""
 
     def __init__(self, encoder, known=()):
         super().__init__(known)
         self.encoder, self.fixed = encoder, dict(known)
+        self.held = 0
+        self.passing: list[str] = []
 
     def learn(self, keys: set[str]) -> None:
         new = [k for k in keys if k not in self]
-        if len(self) + len(new) > MOST_CACHED + len(self.fixed):
+        if len(self) + len(new) > MOST_CACHED + len(self.fixed) or self.held > MOST_HELD:
             self.clear()
             self.update(self.fixed)
+            self.held = 0
             new = [k for k in keys if k not in self]
+        self.passing = [k for k in new if len(k) > LONGEST_KEPT]
+        self.held += sum(map(len, new)) - sum(map(len, self.passing))
         if new:
             # a lone blank is one piece; a line's start is encoded behind a line feed, which makes two pieces with the blank before it
             counts = [len(ids) for ids in self.encoder.encode(new, num_threads=1)]
@@ -68,9 +76,15 @@ class Lengths(dict):
                 self[key] = 1 if key == "" else n - 2 if key[0] == "\n" else n
 
     def count(self, texts: list[str]) -> list[int]:
-        keys = [pre_tokens(t) for t in texts]
-        self.learn(set().union(*keys))
-        return [sum(map(self.__getitem__, ks)) + t.count("\n") for ks, t in zip(keys, texts, strict=True)]
+        counts = []
+        for start, n in byte_groups([len(t) for t in texts], GROUP_BYTES):
+            part = texts[start : start + n]
+            keys = [pre_tokens(t) for t in part]
+            self.learn(set().union(*keys))
+            counts += [sum(map(self.__getitem__, ks)) + t.count("\n") for ks, t in zip(keys, part, strict=True)]
+            for key in self.passing:
+                del self[key]
+        return counts
 
 
 _processors: dict = {}  # one per model and worker process
