@@ -8,9 +8,9 @@ limit are put aside without looking at their texts; all others are decided on fu
 
 What moves stays linear in groups of copies: documents with equal sets become one node,
 and a bucket first proposes each member to its leader only (not all pairs). Buckets
-that still hold several components go, with the texts of their members, to tiles of bounded
-size; a tile joins the components it finds linked and gives back one link for each
-joining, at most one less than it has members. So no link between different
+that still hold several components go to tiles of bounded size, first with bitmaps, then
+with the texts of those members that bitmaps leave a partner in the tile; a tile joins the components
+it finds linked and gives back one link for each joining, at most one less than it has members. So no link between different
 components is missed among documents that share a band.
 """
 
@@ -127,18 +127,53 @@ def _sift(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.where(sizes).where(_bits_apart("ma", "mb") <= differing_bits(SIFT_BELOW)).select("a", "b")
 
 
+class _Tile:
+    """Members that meet in one tile, and which of them may be linked by sizes and bitmaps."""
+
+    def __init__(self, frame: pd.DataFrame, percent: int):
+        self.percent = percent
+        key, self.low, self.high = (int(frame[c].iloc[0]) for c in ("key", "low", "high"))
+        self.ids, self.sizes, self.block = (frame[c].to_numpy() for c in ("doc_id", "n_shingles", "block"))
+        self.words = np.array(frame["bitmap"].tolist(), dtype=np.int64).view(np.uint64)
+        self.bands = np.array(frame["bands"].tolist(), dtype=np.int64)
+        self.before = np.arange(BANDS) < np.argmax(self.bands == key, axis=1).max()
+        self.comp = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later members of other components that ``i`` may be linked with."""
+        fits = (self.comp != self.comp[i]) & (np.arange(len(self.ids)) > i)
+        if self.low != self.high:
+            fits &= self.block != self.block[i]
+        fits &= 100 * np.minimum(self.sizes, self.sizes[i]) >= self.percent * np.maximum(self.sizes, self.sizes[i])
+        at = np.flatnonzero(fits)
+        at = at[np.bitwise_count(self.words[at] ^ self.words[i]).sum(axis=1) <= differing_bits(SIFT_BELOW)]
+        # a pair that shares an earlier band as well is decided in that band's bucket
+        return at[~((self.bands[at] == self.bands[i]) & self.before).any(axis=1)]
+
+
+def _sifter(percent: int):
+    """Members of one tile that may be linked with another one there; only their texts are fetched."""
+
+    def sift(frame: pd.DataFrame) -> pd.DataFrame:
+        tile = _Tile(frame, percent)
+        fits = np.zeros(len(frame), dtype=bool)
+        for i in range(len(frame)):
+            at = tile.partners(i)
+            if len(at):
+                fits[i] = True
+                fits[at] = True
+        return frame.loc[fits, ["key", "low", "high", "doc_id"]].drop_duplicates()
+
+    return sift
+
+
 def _joiner(width: int, percent: int):
     """Joins the components of one tile; gives the links it used."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "block"], kind="stable").reset_index(drop=True)
-        key, low, high = (int(frame[c].iloc[0]) for c in ("key", "low", "high"))
-        ids, sizes, block = (frame[c].to_numpy() for c in ("doc_id", "n_shingles", "block"))
-        words = np.array(frame["bitmap"].tolist(), dtype=np.int64).view(np.uint64)
-        bands = np.array(frame["bands"].tolist(), dtype=np.int64)
-        at_band = np.argmax(bands == key, axis=1)
-        before = np.arange(BANDS) < at_band.max()
-        comp = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        tile = _Tile(frame, percent)
+        ids, comp = tile.ids, tile.comp
         sets = [shingle_set(t.encode(), width) for t in frame["text"]]
         # postings: members by shingle, so one pass over a member's shingles counts its overlap with all others
         member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -148,14 +183,7 @@ def _joiner(width: int, percent: int):
         ends = np.cumsum([len(x) for x in sets])
         out = []
         for i in range(len(sets)):
-            fits = (comp != comp[i]) & (np.arange(len(sets)) > i)
-            if low != high:
-                fits &= block != block[i]
-            fits &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-            at = np.flatnonzero(fits)
-            at = at[np.bitwise_count(words[at] ^ words[i]).sum(axis=1) <= differing_bits(SIFT_BELOW)]
-            # a pair that shares an earlier band as well is decided in that band's bucket
-            at = at[~((bands[at] == bands[i]) & before).any(axis=1)]
+            at = tile.partners(i)
             if not len(at):
                 continue
             own = place[ends[i] - len(sets[i]) : ends[i]]
@@ -264,18 +292,23 @@ def near_duplicates(
 
 
 def _tile_links(rows: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that join the components of open buckets; a large bucket is dealt into tiles of bounded size."""
+    """Links that join the components of open buckets; a large bucket is dealt into tiles of bounded size.
+
+    Tiles see sizes, bitmaps and bands first; texts follow only for the members that may be linked in the tile.
+    """
     rows = rows.select("key", "doc_id", "component").join(nodes, "doc_id")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("blocks")
     dealt = (
         rows.join(rows.groupBy("key").agg(blocks), "key")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-        .join(texts, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "block", "doc_id", "component", "n_shingles", "bands", "bitmap", "text")
+                "block", "doc_id", "component", "n_shingles", "bands", "bitmap")
     )
-    return dealt.groupBy("key", "low", "high").applyInPandas(_joiner(width, percent), "a long, b long")
+    tile = ["key", "low", "high"]
+    sifted = dealt.groupBy(*tile).applyInPandas(_sifter(percent), "key long, low long, high long, doc_id long")
+    with_text = dealt.join(materialize(sifted, "near-sifted"), [*tile, "doc_id"], "left_semi").join(texts, "doc_id")
+    return with_text.groupBy(*tile).applyInPandas(_joiner(width, percent), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
