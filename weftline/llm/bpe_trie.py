@@ -7,7 +7,7 @@ tokens may follow each other exactly when byte-pair encoding of the two put toge
 back. Distinct words are put into a trie; going through it depth first, every prefix
 gets its last token once, and a word's encoding is read backwards along these tokens.
 
-Very long words (text without blanks) would make a trie node for each letter that no other word shares. They are
+Long words would make a trie node for each of many letters that no other word shares. They are
 taken in sorted order, which is the order of the traversal, with the path alone as state: what a word
 shares with the one before it stands there already. The tokens that end at a letter
 come from one automaton of the vocabulary.
@@ -43,7 +43,7 @@ class TrieEncoder:
     """Encodes words by a vocabulary and ranked merges; results of words and of token pairs are kept, in bounded tables."""
 
     MOST_PAIRS = 400_000
-    LONG = 16  # characters of a word from which on it is kept out of the trie
+    LONG = 8  # characters of a word from which on it is kept out of the trie
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -251,7 +251,7 @@ class TextEncoder:
     """Whole texts to ids and back, as strings: ids joined by spaces, and the decoded text."""
 
     MOST_WORDS = 250_000  # chunks in the young tables, and in the old ones
-    MOST_HELD = 96_000_000  # characters of all strings in them, likewise; one group of texts may come on top
+    MOST_HELD = 24_000_000  # characters of all strings in them, likewise; one group of texts may come on top
     LONGEST_KEPT = 256  # characters of a chunk or word that is kept; longer ones go with the texts they stand in
 
     def __init__(self, spec: dict):

@@ -31,8 +31,8 @@ EPOCHS, RATE = 6, 2.0
 CHECK_SHARE = 5  # one in so many of the sample sets temperature and rejection
 LOSS_SHARE = 0.002  # share of rightly predicted documents that the rejection may cost
 MOST_REJECTED_SCORE = 0.6  # scores from here on are never rejected
-TABLE_BYTES = 48 << 20  # of the class sums and chunks that a worker keeps
-ENTRY_BYTES = 200  # of a chunk in the table besides its characters and sums
+TABLE_BYTES = 128 << 20  # of the class sums and chunks that a worker keeps
+ENTRY_BYTES = 160  # of a chunk in the table besides its characters and sums
 LONGEST_KEPT = 256  # characters of a chunk that is kept; longer ones go with the texts they stand in
 GROUP_BYTES = 4_000_000  # of texts whose chunks are learned together
 PIECE = 1 << 16  # characters of a long chunk whose subwords are at hand at a time
@@ -176,15 +176,17 @@ class Predictor:
         sums = np.zeros((len(texts), self.rows.shape[1]))
         for start, n in byte_groups([len(t or "") for t in texts], GROUP_BYTES):
             chunks = [(t or "").lower().split() for t in texts[start : start + n]]
-            self._learn(set().union(*chunks))
+            distinct = set().union(*chunks)
+            self._learn(distinct)
+            passing = {c: self._long(c) for c in distinct if len(c) > LONGEST_KEPT}
             for k, cs in enumerate(chunks, start):
-                at = [place for c in cs if (place := self.places.get(c)) is not None]
-                if at:
-                    sums[k] = self.rows[at].sum(axis=0, dtype=np.float64)
-                if len(at) < len(cs):
-                    for chunk in cs:
-                        if len(chunk) > LONGEST_KEPT:
-                            sums[k] += self._long(chunk)
+                if passing:
+                    for chunk in passing.keys() & cs:
+                        sums[k] += cs.count(chunk) * passing[chunk]
+                    cs = [c for c in cs if c not in passing]
+                if cs:
+                    at = np.fromiter(map(self.places.__getitem__, cs), dtype=np.int64, count=len(cs))
+                    sums[k] += self.rows[at].sum(axis=0, dtype=np.float64)
         odds = self.model.scores(sums[:, :-1], sums[:, -1])
         letters = sums[:, -1] > 0
         best = odds.argmax(axis=1)
