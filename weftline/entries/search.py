@@ -48,11 +48,6 @@ def _weights(spark, sf_dir):
     return S.query_weights(_known(spark, sf_dir))
 
 
-def _hits(spark, sf_dir):
-    weights = materialize(_weights(spark, sf_dir), "weights")
-    return S.matches(weights, document_index(spark, sf_dir))
-
-
 def rounded(df, *columns):
     for c in columns:
         df = df.withColumn(c, F.round(c, 9))
@@ -155,14 +150,13 @@ def query_weights(spark, sf_dir):
 )
 def matches(spark, sf_dir):
     """Documents of each query word: their number, and the sum of their numbers."""
-    return _hits(spark, sf_dir).groupBy("query_id", "dataset", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc").alias("doc_sum"))
+    return S.word_matches(materialize(_weights(spark, sf_dir), "weights"), document_index(spark, sf_dir))
 
 
 @query("set1_candidates", f"WITH {ASKED} SELECT query_id, dataset, count(*) AS docs, sum(doc)::BIGINT AS doc_sum FROM dots GROUP BY 1, 2")
 def candidates(spark, sf_dir):
     """Documents with a word of each query."""
-    found = _hits(spark, sf_dir).select("query_id", "dataset", "doc").distinct()
-    return found.groupBy("query_id", "dataset").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc").alias("doc_sum"))
+    return S.candidates(materialize(_weights(spark, sf_dir), "weights"), document_index(spark, sf_dir))
 
 
 def _ten(rows: str, measure: str, columns: str) -> str:
@@ -178,7 +172,8 @@ def _top_ten(df, measure: str):
 @query("ag8_dot_product", f"WITH {ASKED} {_ten('dots', 'dot', R9.format('dot'))}")
 def dot_product(spark, sf_dir):
     """The ten largest dot products of each query."""
-    return rounded(_top_ten(S.dot_products(_hits(spark, sf_dir)), "dot").select("query_id", "dataset", "doc", "dot"), "dot")
+    found = S.largest_dot_products(materialize(_weights(spark, sf_dir), "weights"), document_index(spark, sf_dir))
+    return rounded(found.select("query_id", "dataset", "doc", "dot"), "dot")
 
 
 @query(
@@ -191,7 +186,7 @@ def dot_product(spark, sf_dir):
 )
 def document_vector(spark, sf_dir):
     """The ten longest document vectors of each query."""
-    vectors = _top_ten(S.document_vectors(document_index(spark, sf_dir), _asked(spark, sf_dir)), "magnitude")
+    vectors = S.longest_vectors(document_index(spark, sf_dir), _asked(spark, sf_dir))
     return vectors.select(
         "query_id", "dataset", "doc", F.size("vector").alias("size"),
         (F.size("vector") - F.col("present")).alias("absent"), F.round("magnitude", 9).alias("magnitude"),
