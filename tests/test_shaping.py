@@ -53,3 +53,25 @@ def test_running_before_over_spans(spark):
     got = {(r.k, r.pos): r.before for r in shaping.running_before(df, "k", "pos", {"before": F.col("a")}, 16).collect()}
     want = {(k, p): sum(a for k2, p2, a in rows if k2 == k and p2 < p) for k, p, _ in rows}
     assert got == want
+
+
+def test_heavy_keys_are_counted_exactly(spark):
+    rows = [("a",)] * 40 + [("b",)] * 30 + [(None,)] * 35 + [(f"k{i}",) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string").repartition(5).cache()
+    assert {r[0] for r in shaping.heavy_keys(df, "k", 31).collect()} == {"a", None}
+    assert shaping.heavy_keys(df, "k", 100) is None and shaping.heavy_keys(df, "k", 1000) is None
+
+
+def test_running_sums_split_heavy_keys_only(spark):
+    rng = random.Random(4)
+    rows = [("hot", p, rng.randint(1, 9)) for p in range(300)] + [(f"k{n % 7}", n, 2) for n in range(0, 300, 11)] + [(None, p, 1) for p in range(50)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, a bigint").cache()
+    want = {(k, p): sum(a for k2, p2, a in rows if k2 == k and p2 < p) for k, p, _ in rows}
+    heavy = shaping.heavy_keys(df, "k", 16)
+    assert sorted(str(r[0]) for r in heavy.collect()) == ["None", "hot"]
+    for keys in (heavy, None):
+        got = shaping.running_by_key(df, "k", "pos", {"before": F.col("a")}, 16, keys)
+        assert {(r.k, r.pos): r.before for r in got.collect()} == want
+    # keys that aren't heavy have one window and one shuffle, however far apart their rows lie
+    plan = shaping.running_by_key(df, "k", "pos", {"before": F.col("a")}, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

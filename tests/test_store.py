@@ -68,6 +68,25 @@ def test_allocation_of_random_orders(spark, seed, span):
     both_ways(spark, orders, lines, {p: rng.randint(0, 200) for p in range(8)}, span)
 
 
+def test_rounds_read_only_what_is_undecided(spark, monkeypatch):
+    seen, write = [], O.materialize
+
+    def recorded(df, label, *more):
+        written = write(df, label, *more)
+        if label == "allocation-round":
+            seen.append(written.groupBy("status").count().rdd.collectAsMap())
+        return written
+
+    monkeypatch.setattr(O, "materialize", recorded)
+    # every order of a chain depends on the one before; 80 others fit at once
+    chain = [(i, n, 1000 + i + n, 2) for i in range(6) for n in range(2)]
+    both_ways(spark, [(i, "u") for i in range(100)], chain + [(i, 0, i, 1) for i in range(20, 100)], {**{1000 + i: 3 for i in range(8)}, **{i: 1 for i in range(20, 100)}})
+    sizes = [sum(s.values()) for s in seen]
+    # a row is judged until it is decided, and then no more
+    assert len(sizes) > 2 and sizes[0] == 92 and sizes[1] <= 12
+    assert all(now == before.get(O.OPEN, 0) for now, before in zip(sizes[1:], seen))
+
+
 def test_products_from_json(spark, tmp_path):
     item = {"id": 1, "name": "Ring", "price": 2, "dimensions": {"x": 1, "y": 2, "z": 3}, "stock": 0}
     folder = tmp_path / "array"
