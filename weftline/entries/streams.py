@@ -9,7 +9,7 @@ from weftline.entries import search, sql as Q
 from weftline.entries.registry import ORACLES, prepared, query
 from weftline.entries.store import CHECKED, order_requests
 from weftline.operators import links as L, segments as G
-from weftline.plans.lineage import materialize, scratch_path
+from weftline.plans.lineage import scratch_path
 from weftline.plans.shaping import dense_number
 from weftline.sources import pages as P
 from weftline.streaming import incremental as S
@@ -19,7 +19,7 @@ PARTS = 4
 
 def _arrivals(rows: DataFrame, order: list[str]):
     """The whole table in four consecutive parts by arrival order."""
-    numbered = materialize(dense_number(rows, order, "_n"), "arrivals")
+    numbered = dense_number(rows, order, "_n", stored=True)
     total = numbered.count()
     part = F.floor(F.col("_n") * PARTS / total)
     for k in range(PARTS):

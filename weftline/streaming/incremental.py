@@ -173,7 +173,7 @@ def allocate_orders(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        _decide(materialize(batch, "batch"), products, path, arrival, (source, number), delay, fan)
+        _decide(batch, products, path, arrival, (source, number), delay, fan)
 
     _run(stream, handle, checkpoint)
 
