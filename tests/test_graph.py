@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import links as L, pagerank as R
+from weftline.plans.lineage import cut, fixed_layout, settings
 
 
 def ranks_of(nodes, edges, alpha=0.1, epsilon=1e-4, max_steps=1000):
@@ -158,3 +159,21 @@ def test_prefixes_join_by_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "StartsWith" not in plan
     few = {(r.dataset, r.prefix) for r in L.shortest_prefixes(extra).collect()}
     assert few == {("d", "https://h7"), ("e", ""), ("f", "http")}
+
+
+def test_a_step_moves_one_sum_per_target_and_sorts_nothing(spark):
+    pages = spark.range(300).select("id", F.lit(0).cast("long").alias("code"), F.lit(0.001).alias("base"), F.lit(7).cast("long").alias("out"), F.lit(1 / 300).alias("pr"))
+    links = spark.range(2100).select((F.col("id") % 300).alias("src"), (F.col("id") * 31 % 290).alias("dst"))
+    with fixed_layout(spark, 4), settings(spark, spark__sql__execution__replaceHashWithSortAgg="true"):
+        layout = R._lay_out(links, None, 500, 4).persist()
+        step = R._next_state(cut(pages.repartition(4, "id")), layout, ["src"], None, 500, 0.1)
+        plan = step._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        ranks = {r.id: r.pr for r in step.collect()}
+        layout.unpersist()
+    # partial sums run over the sorted links, without a table of all targets, and carry no state of pages
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "SortAggregate(key=[dst" in plan.replace(" ", "")
+    assert "max(" not in plan
+    want = {}
+    for i in range(2100):
+        want[i * 31 % 290] = want.get(i * 31 % 290, 0.0) + 1 / 300 / 7
+    assert len(ranks) == 300 and all(abs(ranks[i] - 0.001 - 0.9 * want.get(i, 0.0)) < 1e-12 for i in range(300))

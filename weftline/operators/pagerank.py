@@ -12,11 +12,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.plans.lineage import broadcast_if_small, cut, fixed_layout, layout_size, materialize, settings
+from weftline.plans.shaping import heavy_keys
 
 # links of one source page that share a partition; larger sources are split
 SOURCE_BLOCK = 500_000
-# steps that run as one job, between two reliable checkpoints of the rank vector
-STEPS_PER_ROUND = 5
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -85,49 +84,38 @@ def pagerank(
     converged takes no part in later rounds.
 
     Pages are numbered once and the links are laid out once, by source number and
-    sorted. A step joins the rank vector to them in place, sums per target before
-    its one shuffle, and moves only those sums. Several steps run as one job that
-    keeps the vector of each, so the first one below ``epsilon`` can be returned.
-    Sources with more than ``source_block`` links are split into blocks.
+    sorted by target. A step looks the ranks up where the links lie (each task holds those of its own
+    sources), adds up runs of equal targets as they come, and moves only those sums, which meet the pages in their layout.
+    Every step ends in a checkpoint of the rank vector. Sources with more than ``source_block`` links are split into blocks.
     """
     spark = nodes.sparkSession
     graph = _number_graph(nodes, edges)
     parts = layout_size(spark, graph.links.count())
-    degrees = graph.links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("out") / source_block))
+    heavy = heavy_keys(graph.links, "src", source_block)
+    keys = ["src"] if heavy is None else ["src", "block"]
     sizes = graph.pages.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
     finished: list[DataFrame] = []
-    with fixed_layout(spark, parts):
+    with fixed_layout(spark, parts), settings(spark, spark__sql__execution__replaceHashWithSortAgg="true"):
+        layout = _lay_out(graph.links, heavy, source_block, parts).persist()
+        degrees = layout.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
         state = cut(
             # one row per dataset on the broadcast side
             graph.pages.join(broadcast_if_small(cut(sizes)), "code")
-            .join(degrees, graph.pages.id == degrees.src, "left")
-            .withColumn("out", F.coalesce("out", F.lit(0)))
-            .select("id", "code", (alpha / F.col("n")).alias("base"), "out", blocks.alias("blocks"), (1.0 / F.col("n")).alias("p0"))
             .repartition(parts, "id")
+            .join(degrees.withColumnRenamed("src", "id"), "id", "left")
+            .select("id", "code", (alpha / F.col("n")).alias("base"), F.coalesce("out", F.lit(0)).alias("out"), (1.0 / F.col("n")).alias("pr"))
         )
-        keys = ["src", "block"] if state.where("blocks > 1").limit(1).count() else ["src"]
-        layout = _lay_out(graph.links, state, keys, parts)
         step, running = 0, sizes.count()
         while step < max_steps and running:
-            span = min(STEPS_PER_ROUND, max_steps - step)
-            for j in range(1, span + 1):
-                state = _next_state(state, layout, keys, j, alpha)
-            state = cut(state)
-            done = _converged(state, span, epsilon, last=step + span == max_steps)
-            step += span
+            step += 1
+            state = cut(_next_state(state, layout, keys, heavy, source_block, alpha))
+            done = _converged(state, epsilon, last=step == max_steps)
             if done:
-                ends = F.broadcast(spark.createDataFrame(done, "code long, at int"))
-                vectors = F.array(*[F.col(f"p{j}") for j in range(1, span + 1)])
-                finished.append(
-                    state.join(ends, "code").select(
-                        "id", F.element_at(vectors, F.col("at")).alias("pr"), (F.col("at") + step - span).alias("steps")
-                    )
-                )
+                ends = F.broadcast(spark.createDataFrame([(code,) for code in done], "code long"))
+                finished.append(state.join(ends, "code", "left_semi").select("id", "pr", F.lit(step).alias("steps")))
                 running -= len(done)
                 state = state.join(ends, "code", "left_anti")
-            state = state.select("id", "code", "base", "out", "blocks", F.col(f"p{span}").alias("p0"))
         layout.unpersist()
     if not finished:
         return graph.pages.select("dataset", "url", F.lit(0.0).alias("pr"), F.lit(0).alias("steps")).limit(0)
@@ -137,18 +125,14 @@ def pagerank(
     return graph.pages.join(ranks, "id").select("dataset", "url", "pr", "steps")
 
 
-def _converged(state: DataFrame, span: int, epsilon: float, last: bool) -> list[tuple[int, int]]:
-    """Datasets (by code) that finished in this round and the step at which they did.
+def _converged(state: DataFrame, epsilon: float, last: bool) -> list[int]:
+    """Datasets (by code) that finish with this step: all of them, if it is the last.
 
     Every dataset comes to the driver once in the whole run.
     """
-    steps = range(1, span + 1)
-    distances = state.groupBy("code").agg(
-        *[F.expr(f"sqrt(sum((p{j} - p{j - 1}) * (p{j} - p{j - 1}))) AS d{j}") for j in steps]
-    )
-    first = ", ".join([f"if(d{j} < {epsilon!r}D, {j}, NULL)" for j in steps] + [str(span) if last else "NULL"])
-    ended = distances.selectExpr("code", f"coalesce({first}) AS at").where("at IS NOT NULL")
-    return [(row.code, row.at) for row in ended.collect()]
+    gap = F.col("pr") - F.col("previous")
+    distances = state.groupBy("code").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
+    return [row.code for row in (distances if last else distances.where(F.col("distance") < epsilon)).select("code").collect()]
 
 
 class NumberedGraph(NamedTuple):
@@ -180,37 +164,33 @@ def _number_graph(nodes: DataFrame, edges: DataFrame) -> NumberedGraph:
     return NumberedGraph(pages, links)
 
 
-def _lay_out(links: DataFrame, state: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """Links by source (and block), plus one row without target per page that carries its own state on."""
-    rows = links.where("dst is not null")
-    own = state.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))
-    if "block" in keys:
-        spans = state.where("blocks > 1").select(F.col("id").alias("src"), "blocks")
-        spread = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("blocks")), F.lit(0).cast("long"))
-        with settings(links.sparkSession, spark__sql__adaptive__enabled="true"):
-            rows = cut(rows.join(broadcast_if_small(spans), "src", "left").select("src", spread.alias("block"), "dst"))
-        own = own.withColumn("block", F.lit(0).cast("long"))
-    return cut(rows.unionByName(own).repartition(parts, *keys).sortWithinPartitions(*keys)).persist()
-
-
-def _next_state(state: DataFrame, layout: DataFrame, keys: list[str], j: int, alpha: float) -> DataFrame:
-    """Add step ``j`` of a round as column ``p{j}``."""
-    ranks = state.withColumnRenamed("id", "src")
-    if "block" in keys:
-        ranks = ranks.selectExpr("*", "explode(sequence(0L, blocks - 1)) AS block")
-    carried = ["code", "base", "out", "blocks", *[f"p{i}" for i in range(j)]]
-    rows = layout.join(ranks, keys).selectExpr(
-        "coalesce(dst, src) AS id",
-        f"if(dst IS NULL, NULL, p{j - 1} / out) AS share",
-        *[f"if(dst IS NULL, {c}, NULL) AS {c}" for c in carried],
-    )
-    summed = rows.groupBy("id").agg(
-        F.expr("sum(share) AS received"), *[F.expr(f"max({c}) AS {c}") for c in carried]
-    )
-    # pages of a dataset that has finished carry no state any more
-    return summed.where("code IS NOT NULL").selectExpr(
-        "id", *carried, f"base + {1 - alpha!r}D * coalesce(received, 0D) AS p{j}"
-    )
+def _blocks(links: Column, source_block: int) -> Column:
+    return F.ceil(links / source_block)
+
+
+def _lay_out(links: DataFrame, heavy: DataFrame | None, source_block: int, parts: int) -> DataFrame:
+    """Links by source (and block, where there are heavy sources), sorted by target; links to unknown pages come first."""
+    if heavy is None:
+        return links.repartition(parts, "src").sortWithinPartitions("dst")
+    spans = F.broadcast(heavy.select(F.col("_key").alias("src"), _blocks(F.col("_n"), source_block).alias("blocks")))
+    block = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("blocks")), F.lit(0).cast("long"))
+    split = links.join(spans, "src", "left").select("src", block.alias("block"), "dst")
+    return split.repartition(parts, "src", "block").sortWithinPartitions("dst")
+
+
+def _next_state(state: DataFrame, layout: DataFrame, keys: list[str], heavy: DataFrame | None, source_block: int, alpha: float) -> DataFrame:
+    """The state after one more step; ``previous`` is the rank before it."""
+    shares = state.where("out > 0").select(F.col("id").alias("src"), "out", (F.col("pr") / F.col("out")).alias("share"))
+    if heavy is not None:
+        blocks = F.when(F.col("out") > source_block, _blocks(F.col("out"), source_block)).otherwise(F.lit(1).cast("long"))
+        blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
+        # the block of a link follows from its source's number of links, all of which ``out`` counts
+        shares = shares.select("src", "share", F.explode(blocks).alias("block"))
+    # the side that is hashed is that of the ranks, so the links stay in the order of their targets
+    rows = layout.where("dst IS NOT NULL").join(shares.select(*keys, "share").hint("shuffle_hash"), keys)
+    received = rows.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("received"))
+    rank = F.col("base") + F.lit(1 - alpha) * F.coalesce("received", F.lit(0.0))
+    return state.join(received.hint("shuffle_hash"), "id", "left").select("id", "code", "base", "out", F.col("pr").alias("previous"), rank.alias("pr"))
 
 
 def top_ranked(ranks: DataFrame, count: int) -> DataFrame:

@@ -80,7 +80,7 @@ def nest(
 
 
 def heavy_keys(rows: DataFrame, key: str, bound: int) -> DataFrame | None:
-    """Keys with more than ``bound`` rows, and with at least a ten-thousandth of them; None where there are none. ``rows`` is a written table.
+    """Keys (``_key``, their rows ``_n``) with more than ``bound`` rows, and with at least a ten-thousandth of them; None where there are none. ``rows`` is a written table.
 
     One pass keeps a bounded number of candidates in each task, a second one counts these; no row is shuffled by its key.
     """
@@ -90,7 +90,7 @@ def heavy_keys(rows: DataFrame, key: str, bound: int) -> DataFrame | None:
     candidates = rows.stat.freqItems([key], max(bound / total, 1e-4)).first()[0]
     wanted = rows.sparkSession.createDataFrame([(k,) for k in candidates], f"_key {rows.schema[key].dataType.simpleString()}")
     counts = rows.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key"))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    heavy = materialize(counts.where(F.col("_n") > bound).select("_key"), "heavy-keys")
+    heavy = materialize(counts.where(F.col("_n") > bound), "heavy-keys")
     return heavy if heavy.limit(1).count() else None
 
 
@@ -105,6 +105,7 @@ def running_by_key(
     if heavy is None:
         before = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
         return rows.select(*rows.columns, *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(n) for n, a in amounts.items()])
+    heavy = heavy.select("_key")
     is_heavy = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     split = is_heavy.withColumn("_span", F.when(F.col("_heavy"), F.floor(F.col(position) / span)).otherwise(F.lit(0))).drop("_heavy")
     before = Window.partitionBy(key, "_span").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
