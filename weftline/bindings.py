@@ -24,9 +24,9 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers and parts that trade, linked in both directions."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p")
-    ).distinct()
+    # written once: both directions and the nodes are read from it
+    pairs = materialize(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), "trade")
+    lines = pairs.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("p"))
     both = lines.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(
         lines.select(F.col("p").alias("src"), F.col("s").alias("dst"))
     )
