@@ -127,3 +127,12 @@ def test_late_orders_wait_for_earlier_ones(spark):
     left = {r.id: r.stock for r in O.stock_after(products, O.cart_lines(requests), want).collect()}
     assert {r.id: r.stock for r in S.stock_now(spark, products, path).collect()} == left
     assert any(s.level for s in K.read_manifest(spark, path).segments)
+
+
+def test_a_segment_holds_a_row_per_document(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([("d", 1, "u1", "t", "b a b"), ("d", 2, "u2", "t", "a"), ("d", 3, "u3", "t", "")], "dataset string, doc bigint, url string, title string, text string")
+    G.add_documents(spark, path, docs, 0)
+    rows = spark.read.parquet(f"{path}/tables/counts").select("doc", "total_words", "terms", "counts").collect()
+    assert sorted((r.doc, r.total_words, r.terms, r.counts) for r in rows) == [(1, 3, "a b", [1, 2]), (2, 1, "a", [1])]
+    assert {r.term: r.df for r in G.term_sums(spark, path).collect()} == {"a": 2, "b": 1}

@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weftline.functions import text as T
-from weftline.operators.index import SHARDS, SearchIndex, index_of_counts, term_counts
+from weftline.operators.index import SHARDS, SearchIndex, each_word, index_of_lists, word_lists
 from weftline.plans.commits import FAN, commit, merge_due, read_manifest, read_table, write_segment
-from weftline.plans.lineage import broadcast_if_small, materialize
+from weftline.plans.lineage import broadcast_if_small, materialize, spread
 
 BUCKETS = 64  # folders per dataset of documents and counts: a batch looks up older versions in the folders of its own documents
 VERSION = ["dataset", "doc", "turn"]
 # tables of a segment; ``turn`` is the place of a batch among all
-COUNTS = "doc bigint, total_words bigint, term string, count bigint, turn bigint, dataset string, bucket int"
+# the words of a document are one row (``index.word_lists``), so neither batches, merges nor the index derived from them move rows of words
+COUNTS = "doc bigint, total_words bigint, terms string, counts array<int>, turn bigint, dataset string, bucket int"
 DOCS = "doc bigint, url string, title string, turn bigint, dataset string, bucket int"
 REPLACED = "doc bigint, turn bigint, dataset string"
 TERMS = "term string, df bigint, dataset string"
@@ -44,6 +45,11 @@ def _tables(spark: SparkSession, path: str, segments) -> dict[str, DataFrame]:
     return {name: read_table(spark, path, segments, name, schema) for name, schema in TABLES.items()}
 
 
+def _words(lists: DataFrame) -> DataFrame:
+    """A row per word of each document."""
+    return each_word(lists.select("dataset", "terms", "counts")).select("dataset", "term")
+
+
 def _live(rows: DataFrame, replaced: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(replaced), VERSION, "left_anti")
 
@@ -64,7 +70,7 @@ def add_documents(
         last = Window.partitionBy("dataset", "doc").orderBy(F.col("version").desc(), F.col("text").desc())
         docs = docs.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     docs = materialize(docs.select("dataset", "doc", "url", "title", "text"), "segment-docs")
-    counts = materialize(term_counts(docs).withColumn("turn", turn).withColumn("bucket", _bucket(F.col("doc"))), "segment-counts")
+    counts = materialize(word_lists(spread(docs)).withColumn("turn", turn).withColumn("bucket", _bucket(F.col("doc"))), "segment-counts")
 
     named = docs.select("dataset", "doc")
     if removed is not None:
@@ -77,7 +83,7 @@ def add_documents(
     old_counts = old["counts"].join(broadcast_if_small(replaced), ["dataset", "bucket", "doc", "turn"], "left_semi")
 
     one = F.lit(1).cast("long")
-    terms = counts.select("dataset", "term", one.alias("df")).unionByName(old_counts.select("dataset", "term", (-one).alias("df")))
+    terms = _words(counts).withColumn("df", one).unionByName(_words(old_counts).withColumn("df", -one))
     sizes = docs.select("dataset", one.alias("n")).unionByName(replaced.select("dataset", (-one).alias("n")))
     table = docs.select("dataset", "doc", "url", "title", turn, _bucket(F.col("doc")).alias("bucket"))
     segment = write_segment(spark, path, {
@@ -122,6 +128,6 @@ def current_index(spark: SparkSession, path: str, shards: int = SHARDS) -> Searc
     """The search index of all documents committed so far."""
     tables = _tables(spark, path, read_manifest(spark, path).segments)
     replaced = materialize(tables["replaced"], "segment-replaced")
-    counts = _live(tables["counts"], replaced).select("dataset", "doc", "total_words", "term", "count")
+    counts = _live(tables["counts"], replaced).select("dataset", "doc", "total_words", "terms", "counts")
     docs = _live(tables["docs"], replaced).select("dataset", "doc", "url", "title")
-    return index_of_counts(materialize(counts, "counts"), docs, shards, term_sums(spark, path))
+    return index_of_lists(materialize(counts, "lists"), docs, shards, term_sums(spark, path))
