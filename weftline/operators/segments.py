@@ -130,4 +130,4 @@ def current_index(spark: SparkSession, path: str, shards: int = SHARDS) -> Searc
     replaced = materialize(tables["replaced"], "segment-replaced")
     counts = _live(tables["counts"], replaced).select("dataset", "doc", "total_words", "terms", "counts")
     docs = _live(tables["docs"], replaced).select("dataset", "doc", "url", "title")
-    return index_of_lists(materialize(counts, "lists"), docs, shards, term_sums(spark, path))
+    return index_of_lists(materialize(counts, "lists", packed=True), docs, shards, term_sums(spark, path))

@@ -47,15 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: str | list[str] | None = None, packed: bool = False) -> DataFrame:
     """Write ``df`` once as parquet in the scratch folder and read it back.
 
     Used where several later steps read the same result: it is computed once,
-    columns can be pruned again and its size is known to the planner.
+    columns can be pruned again and its size is known to the planner. ``packed`` tables take more time to write and less room.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.mode("error")
+    if packed:
+        writer = writer.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
