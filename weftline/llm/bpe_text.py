@@ -10,20 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.bpe_trie import TextEncoder
-from weftline.llm.common import bound_batches, byte_groups, id_and_text
+from weftline.llm.common import bound_batches, byte_groups, id_and_text, worker_tables
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # of texts that are encoded together: the more there are, the more words and prefixes they share
 GROUP_BYTES = 4_000_000
 
-_encoders: dict[str, TextEncoder] = {}  # one per vocabulary and worker process; its tables are bounded
-
 
 def _encoder(content: str) -> TextEncoder:
-    if content not in _encoders:
-        _encoders[content] = TextEncoder(json.loads(content))
-    return _encoders[content]
+    """One per vocabulary and worker process; its tables are bounded."""
+    return worker_tables(content, lambda: TextEncoder(json.loads(content)))
 
 
 def _groups(column: pa.Array) -> list[tuple[int, int]]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +23,31 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_tables: dict[str, object] = {}  # what an operator keeps in its worker from task to task
+
+
+def free_worker() -> None:
+    """Drop what earlier operators keep in this worker, and give free memory back to the system.
+
+    Spark hands workers on from stage to stage, so tables of a stage that is over would stand beside those of the next ones.
+    """
+    if _tables:
+        _tables.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def worker_tables(key: str, make: Callable[[], object]) -> object:
+    """What the operator of ``key`` keeps in this worker from task to task; those of others go."""
+    if key not in _tables:
+        free_worker()
+        _tables[key] = make()
+    return _tables[key]
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under its own names; other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.llm.common import bound_batches, byte_groups, list_arrays
+from weftline.llm.common import bound_batches, byte_groups, free_worker, list_arrays
 from weftline.plans.lineage import materialize
 
 BUCKETS, SIZE = 1 << 15, 16
@@ -201,6 +201,7 @@ def held_out(id_col: str) -> Column:
 
 
 def _features(batches):
+    free_worker()
     for batch in batches:
         ids, counts = [], []
         for text in batch.column(1).to_pylist():
@@ -243,6 +244,7 @@ def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:
 
     @F.pandas_udf(kind)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        free_worker()
         own = Predictor(sent.value) if sent.value is not None else None
         for texts in batches:
             values = [t if isinstance(t, str) else None for t in texts]
@@ -252,6 +254,8 @@ def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:
                 names, scores = [UNKNOWN] * len(values), [0.0] * len(values)
                 rejected = [not _LETTERS.search(t or "") for t in values]
             yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejected})
+        del own  # the table is gone before the next stage takes the worker
+        free_worker()
 
     return predict(text)
 

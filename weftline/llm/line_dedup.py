@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from weftline.llm.common import WORD_PATTERN, bound_batches, list_arrays, mix64, power_tables
+from weftline.llm.common import WORD_PATTERN, bound_batches, free_worker, list_arrays, mix64, power_tables
 from weftline.plans.lineage import materialize
 
 MIN_WORDS = 50
@@ -34,6 +34,7 @@ def split_lines(text: bytes) -> list[bytes]:
 
 
 def _line_table(batches):
+    free_worker()
     for batch in batches:
         hashes, words, places, lines = [], [], [], []
         for text in batch.column(2).cast(pa.binary()).to_pylist():

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import bound_batches, id_and_text, mix64, shingle_set, text_bytes, thin_out
+from weftline.llm.common import bound_batches, free_worker, id_and_text, mix64, shingle_set, text_bytes, thin_out
 from weftline.llm.components import components
 from weftline.plans.lineage import materialize
 
@@ -75,6 +75,7 @@ def differing_bits(similarity: float) -> int:
 
 def _sketcher(width: int):
     def sketch(batches):
+        free_worker()
         for batch in batches:
             out = {k: [] for k in ("doc_id", "n_shingles", "digest", "bands", "bitmap")}
             for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
