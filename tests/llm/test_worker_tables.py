@@ -1,4 +1,7 @@
 import gc
+import json
+import random
+import tracemalloc
 import weakref
 
 import pyarrow as pa
@@ -27,3 +30,24 @@ def test_tables_of_a_stage_go_when_the_next_takes_the_worker(following):
     assert found.num_rows == 1
     gc.collect()
     assert kept() is None
+
+
+def test_an_entry_of_the_encoder_is_small():
+    """A chunk and the words in it take under 250 bytes of Python's memory each, room of the dict included (168, and 319 when ids and texts were kept written out)."""
+    with open(bpe_text.DEFAULT_TOKENIZER, encoding="utf-8") as file:
+        encoder = bpe_text.TextEncoder(json.load(file))
+    rng = random.Random(8)
+    made = {"".join(rng.choice("abcdeeehiinorsttt") for _ in range(rng.randint(4, 10))) for _ in range(20_000)}
+    text = " ".join(w if k % 4 else f"{w}," for k, w in enumerate(sorted(made)))
+    encoder.encode(["first words, and considerably longer ones"])
+    tracemalloc.start()
+    try:
+        encoder.encode([text])
+        encoder.words.follows.clear()
+        encoder.words.paths.pairs.clear()
+        encoder.words.whole.clear()
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 250 * len(made)

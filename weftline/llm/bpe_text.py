@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.bpe_trie import TextEncoder
-from weftline.llm.common import bound_batches, byte_groups, id_and_text, worker_tables
+from weftline.llm.common import bound_batches, byte_groups, give_back, id_and_text, worker_tables
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
-# of texts that are encoded together: the more there are, the more words and prefixes they share
-GROUP_BYTES = 4_000_000
+# of texts that are encoded together: the more there are, the more words and prefixes they share, and the more room they take
+GROUP_BYTES = 1_000_000
 
 
 def _encoder(content: str) -> TextEncoder:
@@ -50,11 +50,10 @@ def encode_documents(
         encoder = _encoder(content.value)
         for batch in batches:
             for part in (batch.slice(*group) for group in _groups(batch.column(1))):
-                pairs = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                ids = pa.array([p[0] for p in pairs], pa.string())
-                counts = pa.array([p[0].count(" ") + 1 if p[0] else 0 for p in pairs], pa.int64())
-                decoded = pa.array([p[1] for p in pairs], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), counts, ids, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+                found = encoder.arrays([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *found], ["doc_id", "n_tokens", "ids", "decoded"])
+                del found
+                give_back()  # what a group needs besides the tables, before the next one comes
 
     return id_and_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids string, decoded string")
 

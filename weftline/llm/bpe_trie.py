@@ -20,8 +20,12 @@ import gc
 import os
 import unicodedata
 from array import array
+from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The pre-token pattern and end mark of the tokenizer file (white space is taken out before)
@@ -247,11 +251,46 @@ class LongWords:
             yield word, [names[t] for t in tokens]
 
 
+class Encoded:
+    """Token numbers of chunks, one chunk behind the other: an entry costs its text, a number and four bytes a token."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.starts = array("i", [0])
+        self.tokens = array("i")
+
+    def __getitem__(self, chunk: str) -> array:
+        row = self.rows[chunk]
+        return self.tokens[self.starts[row] : self.starts[row + 1]]
+
+    def add(self, chunk: str, tokens: array) -> None:
+        self.rows[chunk] = len(self.rows)
+        self.tokens.extend(tokens)
+        self.starts.append(len(self.tokens))
+
+    def drop_last(self, chunks) -> None:
+        """Drop the chunks, which were added last."""
+        for chunk in chunks:
+            del self.rows[chunk]
+        del self.starts[len(self.rows) + 1 :]
+        del self.tokens[self.starts[-1] :]
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of these rows, and where each row ends in them."""
+        starts = np.asarray(self.starts)
+        begin = starts[rows]
+        sizes = starts[rows + 1] - begin
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat((begin - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.asarray(self.tokens)[at], ends
+
+
 class TextEncoder:
     """Whole texts to ids and back, as strings: ids joined by spaces, and the decoded text."""
 
-    MOST_WORDS = 250_000  # chunks in the young tables, and in the old ones
-    MOST_HELD = 24_000_000  # characters of all strings in them, likewise; one group of texts may come on top
+    MOST_WORDS = 250_000  # chunks and words in the young table, and in the old one
+    MOST_HELD = 24_000_000  # characters of them, their ids and decoded texts, likewise; one group of texts may come on top
     LONGEST_KEPT = 256  # characters of a chunk or word that is kept; longer ones go with the texts they stand in
 
     def __init__(self, spec: dict):
@@ -259,21 +298,42 @@ class TextEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.marks = tuple(self.special)
-        # chunk -> (ids, decoded) and word -> (ids, decoded); what is used while the young tables fill up outlives the old ones
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
-        self.known: dict[str, tuple[str, str]] = {}
-        self.passing: list[str] = []
+        names = {n: t for t, n in [*self.words.ids.items(), *self.special.items()]}
+        self.names = pa.array([names.get(n, "") for n in range(max(names) + 1)], pa.string())
+        self.numbers = pa.array(map(str, range(len(self.names))), pa.string())
+        # characters of a token's number and name
+        self.chars = np.array([len(str(n)) + len(names.get(n, "")) for n in range(len(self.names))])
+        # a chunk that is one word reads as that word, so both stand in one table; what is used while the young one fills up outlives the old one
+        self.young = Encoded()
+        self.passing: dict[str, array] = {}
         self._age()
 
     def _age(self) -> None:
-        self.old_ids, self.old_decoded, self.old_known = self.ids, self.decoded, self.known
+        self.old, self.young = self.young, Encoded()
         # chunks hold no blank, so a special token behind a blank can't be mistaken for text
-        self.ids = {f" {t}": str(n) for t, n in self.special.items()}
-        self.decoded = {f" {t}": t for t in self.special}
-        self.known = {}
+        for text, number in self.special.items():
+            self.young.add(f" {text}", array("i", [number]))
         self.held = 0
 
+    def _strings(self, texts: pa.Array) -> dict[str, str]:
+        tokens = ((c, self.young[c]) for c in self.young.rows)
+        return {c: " ".join(texts.take(pa.array(ts, pa.int32())).to_pylist()) for c, ts in tokens}
+
+    @property
+    def ids(self) -> dict[str, str]:
+        """Ids of what the young table holds, written out."""
+        return self._strings(self.numbers)
+
+    @property
+    def decoded(self) -> dict[str, str]:
+        """Decoded texts of what the young table holds, written out."""
+        return self._strings(self.names)
+
+    @property
+    def known(self) -> dict[str, tuple[str, str]]:
+        """Words that are held apart from the chunks: none."""
+        return {}
+
     def chunks(self, text: str) -> list[str]:
         """The text in normal form (composed, lower case letter by letter), cut at white space."""
         if not text.isascii():
@@ -284,12 +344,11 @@ class TextEncoder:
         return text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Bring all chunks into the young tables; encode those that no table holds."""
-        ids_of, decoded_of, old = self.ids, self.decoded, self.old_ids
-        new = chunks.difference(ids_of)
-        kept = new.intersection(old)
-        ids_of.update(zip(kept, map(old.__getitem__, kept)))
-        decoded_of.update(zip(kept, map(self.old_decoded.__getitem__, kept)))
+        """Bring all chunks into the young table; encode those that neither table holds."""
+        young, old = self.young, self.old
+        rows, place = len(young.rows), len(young.tokens)
+        new = chunks.difference(young.rows)
+        kept = new.intersection(old.rows)
         parts = {}
         plain = []
         for c in new.difference(kept):
@@ -297,39 +356,56 @@ class TextEncoder:
                 plain.append(c)
             else:
                 parts[c] = PRE_TOKENS.findall(c)
-        known, old_known, ids = self.known, self.old_known, self.words.ids
-        words = set(plain).union(*parts.values()).difference(known)
-        again = words.intersection(old_known)
-        known.update(zip(again, map(old_known.__getitem__, again)))
-        for word, tokens in self.words.encode(words.difference(again)).items():
-            known[word] = (" ".join([str(ids[t]) for t in tokens]), " ".join(tokens))
-        for chunk in plain:
-            ids_of[chunk], decoded_of[chunk] = known[chunk]
+        words = set(plain).union(*parts.values()).difference(young.rows)
+        kept |= words.intersection(old.rows)
+        for c in kept:
+            young.add(c, old[c])
+        number = self.words.ids.__getitem__
+        passing = {}
+        for word, tokens in self.words.encode(words.difference(kept)).items():
+            if len(word) > self.LONGEST_KEPT:
+                passing[word] = array("i", map(number, tokens))
+            else:
+                young.add(word, map(number, tokens))
         for chunk, ps in parts.items():
-            found = [known[p] for p in ps]
-            ids_of[chunk] = " ".join([f[0] for f in found])
-            decoded_of[chunk] = " ".join([f[1] for f in found])
-        self.passing = [c for c in new.union(words) if len(c) > self.LONGEST_KEPT]
-        self.held += sum([len(c) + len(ids_of[c]) + len(decoded_of[c]) for c in new.difference(self.passing)])
-        self.held += sum([len(w) + len(known[w][0]) + len(known[w][1]) for w in words.difference(self.passing)])
-
-    def _forget_long(self) -> None:
-        for chunk in self.passing:
-            for table in (self.ids, self.decoded, self.known):
-                table.pop(chunk, None)
-        self.passing = []
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids, decoded text) of each text."""
-        if len(self.ids) > self.MOST_WORDS or self.held > self.MOST_HELD:
+            if chunk in young.rows or chunk in passing:
+                continue
+            found = array("i")
+            for p in ps:
+                found.extend(passing[p] if p in passing else young[p])
+            if len(chunk) > self.LONGEST_KEPT:
+                passing[chunk] = found
+            else:
+                young.add(chunk, found)
+        added = np.asarray(young.tokens[place:])
+        blanks = len(added) - (len(young.rows) - rows)
+        self.held += sum(map(len, islice(reversed(young.rows), len(young.rows) - rows))) + int(self.chars[added].sum()) + 2 * blanks
+        for chunk, found in passing.items():
+            young.add(chunk, found)
+        self.passing = passing
+
+    def arrays(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Number of tokens, ids and decoded text of each text."""
+        if len(self.young.rows) > self.MOST_WORDS or self.held > self.MOST_HELD:
             self._age()
         cut = [self._with_special(t) if any(m in t for m in self.marks) else self.chunks(t) for t in texts]
         self.learn(set().union(*cut))
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        done = [(" ".join(map(ids, cs)), " ".join(map(decoded, cs))) for cs in cut]
+        borders = np.cumsum([0, *map(len, cut)])
+        rows = np.fromiter(map(self.young.rows.__getitem__, chain.from_iterable(cut)), np.int32, borders[-1])
+        del cut
+        tokens, ends = self.young.gather(rows)
         if self.passing:
-            self._forget_long()
-        return done
+            self.young.drop_last(self.passing)
+            self.passing = {}
+        offsets = np.concatenate([[0], ends])[borders]
+        starts, tokens = pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32())
+        ids, decoded = (pc.binary_join(pa.ListArray.from_arrays(starts, s.take(tokens)), " ") for s in (self.numbers, self.names))
+        return pa.array(np.diff(offsets), pa.int64()), ids, decoded
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """(ids, decoded text) of each text."""
+        _, ids, decoded = self.arrays(texts)
+        return list(zip(ids.to_pylist(), decoded.to_pylist(), strict=True))
 
     def _with_special(self, text: str) -> list[str]:
         out = []

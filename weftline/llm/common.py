@@ -26,6 +26,14 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 _tables: dict[str, object] = {}  # what an operator keeps in its worker from task to task
 
 
+def give_back() -> None:
+    """Give free memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def free_worker() -> None:
     """Drop what earlier operators keep in this worker, and give free memory back to the system.
 
@@ -34,10 +42,7 @@ def free_worker() -> None:
     if _tables:
         _tables.clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
+    give_back()
 
 
 def worker_tables(key: str, make: Callable[[], object]) -> object:
