@@ -51,3 +51,11 @@ def test_an_entry_of_the_encoder_is_small():
     finally:
         tracemalloc.stop()
     assert held < 250 * len(made)
+
+
+def test_the_driver_gives_the_room_of_the_sample_back(spark, sf_dir, monkeypatch):
+    held = []
+    monkeypatch.setattr(language_id, "give_back", lambda: held.append(pa.total_allocated_bytes()), raising=False)
+    before = pa.total_allocated_bytes()
+    assert language_id.train_on(spark.read.parquet(f"{sf_dir}/documents.parquet")) is not None
+    assert len(held) == 1 and held[0] <= before

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.llm.common import bound_batches, byte_groups, free_worker, list_arrays
+from weftline.llm.common import bound_batches, byte_groups, free_worker, give_back, list_arrays
 from weftline.plans.lineage import materialize
 
 BUCKETS, SIZE = 1 << 15, 16
@@ -234,7 +234,10 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     order = found.orderBy("place", "lang", F.xxhash64("ids", "counts")).limit(max(SAMPLE, languages)).toArrow()
     names = order.column("lang").to_pylist()
     ids, counts = (list_arrays(order.column(c).combine_chunks()) for c in ("ids", "counts"))
-    return train(list(zip(names, ids, counts, strict=True)))
+    model = train(list(zip(names, ids, counts, strict=True)))
+    del order, names, ids, counts
+    give_back()  # the sample was the driver's
+    return model
 
 
 def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:
