@@ -99,9 +99,10 @@ def document_norm(spark, sf_dir):
 def build_index(spark, sf_dir):
     """Builds the index anew, stores it by dataset and reads it back."""
     path = scratch_path(spark, "index")
-    I.write_index(I.build_index(B.documents(spark, sf_dir)), path)
+    I.write_index(I.build_index(B.documents(spark, sf_dir), written=False), path)
     postings = I.read_index(spark, path).postings
-    return rounded(postings.select("dataset", "term", "doc", "count", "total_words", "weight", "mag"), "weight", "mag")
+    nine = [(F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c) for c in ("weight", "mag")]  # as the SQL rounds, without a decimal for each value
+    return postings.select("dataset", "term", "doc", "count", "total_words", *nine)
 
 
 @query("idx1_page_index", f"WITH {Q.OPEN_CRAWL}, {Q.PAGE_DOCS}, {Q.INDEX} SELECT d.dataset, d.doc, url, title, coalesce(len(w), 0) AS total_words, round(coalesce(mag, 0.0), 9) AS mag FROM docs d LEFT JOIN tok USING (dataset, doc) LEFT JOIN norms USING (dataset, doc)")
