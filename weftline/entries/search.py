@@ -76,8 +76,9 @@ def document_frequency(spark, sf_dir):
 def postings_list(spark, sf_dir):
     from weftline.plans.shaping import nest
 
-    postings = document_index(spark, sf_dir).postings
-    lists = nest(postings, ["dataset", "term"], F.col("doc"), "docs")
+    index, key = document_index(spark, sf_dir), ["dataset", "term"]
+    sizes = index.terms.select(*key, F.col("df").alias("_size"))
+    lists = nest(index.entries, key, F.col("doc"), "docs", lists=True, sizes=sizes)
     return lists.select("dataset", "term", "block", F.array_join(F.col("docs").cast("array<string>"), " ").alias("docs"))
 
 

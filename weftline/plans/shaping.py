@@ -50,6 +50,8 @@ def nest(
     item: Column,
     name: str,
     block_rows: int = BLOCK_ROWS,
+    lists: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Collect ``item`` per key into sorted arrays of at most ``block_rows`` items (columns ``keys, block, name``).
 
@@ -58,20 +60,25 @@ def nest(
     collected in one shuffle. Items of keys with more (found by a count, few whatever the table) are range-sorted over
     all partitions, copies of one item too, so no task and no array has to hold a whole hot
     group. ``item`` is a struct whose leading fields give the order; ``rows`` should be cheap to read twice.
+    ``lists``: ``item`` is a list of items, and its row stands for all of them; the result is that of a row for each.
+    ``sizes`` (``keys, _size``) has the items of each key, where they have been counted before.
     """
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block_rows)
-    large = materialize(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "nest-large")
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg((F.sum(F.size(item)) if lists else F.count(F.lit(1))).alias("_size"))
+    large = materialize(sizes.where(F.col("_size") > block_rows).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "nest-large")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     items = rows.select(*keys, item.alias("_item"))
     whole = F.sort_array(F.collect_list("_item")).alias(name)
+    together = F.sort_array(F.flatten(F.collect_list("_item"))).alias(name) if lists else whole
     one_block = F.lit(0).cast("long").alias("block")
     if not large.limit(1).count():
-        return items.groupBy(*keys, one_block).agg(whole)
+        return items.groupBy(*keys, one_block).agg(together)
     # at most a row per ``block_rows`` items
     large = F.broadcast(large)
-    small = items.join(large, same, "left_anti").groupBy(*keys, one_block).agg(whole)
-    items = items.join(large, same, "left_semi").withColumn("_tie", F.monotonically_increasing_id())
+    small = items.join(large, same, "left_anti").groupBy(*keys, one_block).agg(together)
+    items = items.join(large, same, "left_semi")
+    items = (items.select(*keys, F.explode("_item").alias("_item")) if lists else items).withColumn("_tie", F.monotonically_increasing_id())
     numbered = dense_number(items, [*keys, "_item", "_tie"], "_n", stored=True).drop("_tie")
     starts = numbered.groupBy(*keys).agg(F.min("_n").alias("_first"))
     starts = materialize(starts.toDF(*[f"_k{i}" for i in range(len(keys))], "_first"), "nest-starts")
